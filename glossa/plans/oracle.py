@@ -112,7 +112,7 @@ cached as (select distinct request_id from keyed where pair = 'en-en' and strlen
 
 def l2(a: str, b: str) -> str:
     return (f"sqrt(list_sum(list_transform(range(1, len({a}) + 1), "
-            f"i -> pow(cast({a}[i] as double) - cast({b}[i] as double) + 1e-6, 2))))")
+            f"lambda i: pow(cast({a}[i] as double) - cast({b}[i] as double) + 1e-6, 2))))")
 
 
 def _questions_values() -> str:
@@ -134,7 +134,7 @@ def _configs_values() -> str:
 
 
 def _tokens(text: str) -> str:
-    return f"list_filter(regexp_split_to_array(coalesce({text}, ''), '[ \\t\\n\\r]+'), x -> x <> '')"
+    return f"list_filter(regexp_split_to_array(coalesce({text}, ''), '[ \\t\\n\\r]+'), lambda x: x <> '')"
 
 
 NA_LIST = ", ".join(lit(v) for v in PANDAS_NA_VALUES)
@@ -279,7 +279,7 @@ select config, cast(n as bigint) as n, cast(n // batch_size as bigint) as steps_
 with t as (select doc_id, {_tokens('text')} as toks from documents),
 c as (select doc_id, toks[1:{PAD_LENGTH}] as cut from t)
 select doc_id, cast(len(cut) as integer) as n_tokens, {PAD_LENGTH} as length,
-       sha256(array_to_string(list_concat(cut, list_transform(range({PAD_LENGTH} - len(cut)), x -> '<pad>')), chr(1))) as tokens_sha
+       sha256(array_to_string(list_concat(cut, list_transform(range({PAD_LENGTH} - len(cut)), lambda x: '<pad>')), chr(1))) as tokens_sha
 from c""",
 
     "triplet_metrics": f"""with {V_TRIP},
