@@ -33,26 +33,20 @@ def normalize_answer(raw: Column | str) -> Column:
 
 
 def answer_value(answer: Column) -> Column:
-    m = F.create_map(*[x for k, v in ANSWER_VALUES.items() for x in (F.lit(k), F.lit(v))])
-    return F.element_at(m, answer)
-
-
-def weighted_score(answers: Column | str, weights: dict[str, float] | None = None,
-                   default_weight: float = 1.0) -> Column:
-    """Weighted mean of answer values over valid answers, per row (no shuffle).
-
-    ``weights`` maps question number (as text) to weight; unlisted questions
-    weigh ``default_weight``. Null when no answer is valid.
-    """
-    entries = F.map_entries(_c(answers))
-    if weights:
-        wmap = F.create_map(*[x for k, w in weights.items() for x in (F.lit(str(k)), F.lit(float(w)))])
-        wt = lambda k: F.coalesce(F.element_at(wmap, k), F.lit(default_weight))
-    else:
-        wt = lambda k: F.lit(default_weight)
-    pairs = F.filter(F.transform(entries, lambda e: F.struct(
-        wt(e["key"]).alias("w"), answer_value(normalize_answer(e["value"])).alias("v"))),
-        lambda p: p["v"].isNotNull())
-    num = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + p["w"] * p["v"])
-    den = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + p["w"])
-    return F.when(den > 0, num / den)
+    """Numeric value of a normalised answer (null for anything else)."""
+    out = None
+    for k, v in ANSWER_VALUES.items():
+        out = (F.when if out is None else out.when)(answer == k, F.lit(v))
+    return out
+
+
+def question_weights(weights: dict | None = None, questions: int = 25) -> dict[str, float]:
+    return {str(k): float(v) for k, v in (weights or {i: 1.0 for i in range(1, questions + 1)}).items()}
+
+
+def weighted_score(values: list[Column], weights: list[float]) -> Column:
+    """Weighted mean of the non-null answer values; null when none is valid."""
+    num = [F.coalesce(v * F.lit(w), F.lit(0.0)) for v, w in zip(values, weights)]
+    den = [F.when(v.isNotNull(), F.lit(w)).otherwise(F.lit(0.0)) for v, w in zip(values, weights)]
+    total = sum(den[1:], den[0])
+    return F.when(total > 0, sum(num[1:], num[0]) / total)

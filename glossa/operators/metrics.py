@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.fixed_text import PAIRWISE_EPS, RANKING_MARGIN
-from glossa.functions.answers import normalize_answer, parse_answers
+from glossa.functions.answers import (answer_value, normalize_answer, parse_answers, question_weights,
+                                     weighted_score)
 from glossa.functions.vectors import harmonic_mean, hinge, l2_distance, mean_of
 from glossa.operators.rows import with_index
 
@@ -79,6 +80,24 @@ def answers_long(df: DataFrame, response_col: str = "response", keep: Sequence[s
                     normalize_answer("raw").alias("answer"))
 
 
+def with_qa_score(df: DataFrame, response_col: str = "response", out: str = "score",
+                  weights: dict | None = None, questions: int = 25) -> DataFrame:
+    """QA score per row: weighted mean of YES=1 / MAYBE=.5 / NO=0 over the bank's questions.
+
+    Narrow (no shuffle). The response is parsed once into a map column and each
+    question's value becomes its own column before the weighted sum, so every
+    step is evaluated once per row inside whole-stage codegen. Answers to keys
+    outside the bank are not scored.
+    """
+    w = question_weights(weights, questions)
+    keys = list(w)
+    parsed = df.withColumn("_answers", parse_answers(response_col))
+    vals = parsed.withColumns({f"_v{i}": answer_value(F.upper(F.trim(F.try_element_at("_answers", F.lit(k)))))
+                               for i, k in enumerate(keys)})
+    return (vals.withColumn(out, weighted_score([F.col(f"_v{i}") for i in range(len(keys))], list(w.values())))
+                .drop("_answers", *[f"_v{i}" for i in range(len(keys))]))
+
+
 def answer_tallies(long: DataFrame, by: Sequence[str] = ("qid", "model")) -> DataFrame:
     a = F.col("answer")
     return long.groupBy(*by).agg(F.count_if(a == "YES").alias("yes"), F.count_if(a == "NO").alias("no"),

@@ -50,6 +50,19 @@ def with_index(df: DataFrame, order_col: str, by: Sequence[str] = (), out: str =
                   .drop("_c", "_r", "_o"))
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give a narrow, CPU-heavy stage at least as many tasks as the cluster has cores.
+
+    A scan yields one task per file split; a file written as one row group is
+    one task however large its rows are. When the input has fewer partitions
+    than ``min_partitions`` (default: the session's parallelism) it is spread
+    round-robin; otherwise it is returned unchanged, so on large inputs — many
+    more splits than cores — this is a no-op and adds no shuffle.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def head_in_order(df: DataFrame, n: int, *order: str | Column) -> DataFrame:
     """First ``n`` rows in a stated order (a bare ``limit`` is not deterministic).
 

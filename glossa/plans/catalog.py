@@ -201,9 +201,8 @@ def answers_long(spark: SparkSession, d: str) -> DataFrame:
 
 
 def qa_score(spark: SparkSession, d: str) -> DataFrame:
-    from glossa.functions.answers import parse_answers, weighted_score
-    x = v_qa(spark, d)
-    return x.select("row_id", "model", F.round(weighted_score(parse_answers("response")), 6).alias("score"))
+    x = M.with_qa_score(v_qa(spark, d), "response")
+    return x.select("row_id", "model", F.round("score", 6).alias("score"))
 
 
 def score_rollup(spark: SparkSession, d: str) -> DataFrame:
