@@ -57,6 +57,20 @@ def distinct_requests(keyed: DataFrame, content_col: str, model_col: str = "chat
     return keyed.select("request_id", model_col, content_col).dropDuplicates(["request_id"])
 
 
+def unique_requests(rows: DataFrame, models: list[str], content_col: str,
+                    temperature: float = TEMPERATURE, include_reasoning: bool = INCLUDE_REASONING,
+                    model_col: str = "chat_model") -> DataFrame:
+    """The distinct requests of a sweep, deduplicated before the model expansion.
+
+    Same rows as ``distinct_requests(with_request_key(expand_models(rows)))``,
+    but each distinct prompt text crosses the shuffle once instead of once per
+    model (map-side partial dedupe first, then the literal model explode).
+    """
+    texts = rows.select(content_col).dropDuplicates([content_col])
+    return with_request_key(expand_models(texts, models, model_col), content_col, model_col, temperature,
+                            include_reasoning).select("request_id", model_col, content_col)
+
+
 def request_counts(keyed: DataFrame) -> DataFrame:
     """How many input rows share each request key."""
     return keyed.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_rows"))
@@ -116,9 +130,10 @@ def run_sweep(rows: DataFrame, models: list[str], content_col: str, cache: Respo
               include_reasoning: bool = INCLUDE_REASONING, **score_opts) -> DataFrame:
     keyed = with_request_key(expand_models(rows, models), content_col, "chat_model", temperature,
                              include_reasoning)
-    fill_cache(distinct_requests(keyed, content_col), cache, client_factory, content_col=content_col,
-               waves=waves, temperature=temperature, include_reasoning=include_reasoning, **score_opts)
-    return attach_responses(keyed, cache)
+    requests = unique_requests(rows, models, content_col, temperature, include_reasoning)
+    fill_cache(requests, cache, client_factory, content_col=content_col, waves=waves,
+               temperature=temperature, include_reasoning=include_reasoning, **score_opts)
+    return attach_responses(keyed.drop(content_col), cache)
 
 
 def failed(answered: DataFrame) -> DataFrame:

@@ -97,15 +97,23 @@ def question_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- sweep, dedupe, cache
+def _prompts(spark: SparkSession, d: str) -> DataFrame:
+    return P.render_prompt(v_pairs(spark, d), TEMPLATE_BASELINE, _slots(), out="content") \
+        .select("row_id", "pair", "content")
+
+
 def _keyed(spark: SparkSession, d: str) -> DataFrame:
-    prompts = P.render_prompt(v_pairs(spark, d), TEMPLATE_BASELINE, _slots(), out="content")
-    return S.with_request_key(S.expand_models(prompts.select("row_id", "pair", "content"), MODELS), "content")
+    return S.with_request_key(S.expand_models(_prompts(spark, d), MODELS), "content")
+
+
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    return S.unique_requests(_prompts(spark, d), MODELS, "content")
 
 
-def _warm_cache(spark: SparkSession, keyed: DataFrame) -> ResponseCache:
+def _warm_cache(spark: SparkSession, d: str) -> ResponseCache:
     """A cache holding a previous sweep over one language pair."""
     cache = ResponseCache(spark, scratch_path(spark, "cache"))
-    earlier = S.distinct_requests(keyed.where(F.col("pair") == WARM_PAIR), "content")
+    earlier = S.unique_requests(_prompts(spark, d).where(F.col("pair") == WARM_PAIR), MODELS, "content")
     cache.append(score_requests(earlier, EchoClient, backoff_s=0.0))
     return cache
 
@@ -121,22 +129,19 @@ def sweep_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cache_misses(spark: SparkSession, d: str) -> DataFrame:
-    k = _keyed(spark, d)
-    cache = _warm_cache(spark, k)
-    return S.split_cache(S.distinct_requests(k, "content"), cache.keys())[1].select("request_id", "chat_model")
+    cache = _warm_cache(spark, d)
+    return S.split_cache(_requests(spark, d), cache.keys())[1].select("request_id", "chat_model")
 
 
 def cache_report(spark: SparkSession, d: str) -> DataFrame:
-    k = _keyed(spark, d)
-    cache = _warm_cache(spark, k)
-    return S.cache_report(k, cache.keys())
+    cache = _warm_cache(spark, d)
+    return S.cache_report(_keyed(spark, d), cache.keys())
 
 
 def score_stub(spark: SparkSession, d: str) -> DataFrame:
-    k = _keyed(spark, d)
-    cache = _warm_cache(spark, k)
-    S.fill_cache(S.distinct_requests(k, "content"), cache, EchoClient, waves=2, backoff_s=0.0)
-    out = S.attach_responses(k, cache)
+    cache = _warm_cache(spark, d)
+    S.fill_cache(_requests(spark, d), cache, EchoClient, waves=2, backoff_s=0.0)
+    out = S.attach_responses(_keyed(spark, d).drop("content"), cache)
     return out.select("row_id", "chat_model", "response", judge_score("response").alias("score"),
                       "error", "attempts")
 
