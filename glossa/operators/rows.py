@@ -50,6 +50,16 @@ def with_index(df: DataFrame, order_col: str, by: Sequence[str] = (), out: str =
                   .drop("_c", "_r", "_o"))
 
 
+def with_row_id(df: DataFrame, out: str = "row_id") -> DataFrame:
+    """Dense 0-based ids in input order, assigned at ingest (call it on the scan).
+
+    ``monotonically_increasing_id`` is unique and follows file / split order but
+    leaves gaps; ``with_index`` makes it dense without a single-task window.
+    Persist the result if the ids must survive a re-read with other splits.
+    """
+    return with_index(df.withColumn("_mono", F.monotonically_increasing_id()), "_mono", out=out).drop("_mono")
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Give a narrow, CPU-heavy stage at least as many tasks as the cluster has cores.
 
