@@ -37,10 +37,11 @@ def parse_report(df: DataFrame, score_col: str = "score", by: Sequence[str] = ("
     return df.groupBy(*by).agg(*aggs)
 
 
-def score_rollup(df: DataFrame, dims: Sequence[str], measures: dict) -> DataFrame:
-    """``ROLLUP`` over ``dims`` with a ``gid`` column telling subtotal rows apart."""
+def score_rollup(df: DataFrame, dims: Sequence[str], measures: dict, mode: str = "rollup") -> DataFrame:
+    """``ROLLUP`` (or ``CUBE``) over ``dims`` with a ``gid`` column telling subtotal rows apart."""
     aggs = [F.count(F.lit(1)).alias("n")] + [expr.alias(name) for name, expr in measures.items()]
-    return df.rollup(*dims).agg(F.grouping_id().alias("gid"), *aggs)
+    grouped = df.cube(*dims) if mode == "cube" else df.rollup(*dims)
+    return grouped.agg(F.grouping_id().alias("gid"), *aggs)
 
 
 def mse(df: DataFrame, pred_col: str, label_col: str) -> DataFrame:
@@ -105,6 +106,13 @@ def answer_tallies(long: DataFrame, by: Sequence[str] = ("qid", "model")) -> Dat
                                  F.count_if(a.isNull()).alias("invalid"))
 
 
+def answer_pivot(long: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
+    """Answer counts as columns (YES / NO / MAYBE, plus invalid) per key."""
+    from glossa.functions.answers import ANSWER_VALUES
+    x = long.withColumn("answer", F.coalesce(F.col("answer"), F.lit("INVALID")))
+    return x.groupBy(*by).pivot("answer", list(ANSWER_VALUES) + ["INVALID"]).count().na.fill(0)
+
+
 def with_segment_ids(df: DataFrame, by: Sequence[str] = ("model",), order_col: str = "row_id",
                      out: str = "segment_id") -> DataFrame:
     """0-based segment id in input order within each key (skew-safe numbering)."""

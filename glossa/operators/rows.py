@@ -73,6 +73,22 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
+def attach_checked(rows: DataFrame, results: DataFrame, on: str | list[str], how: str = "left") -> DataFrame:
+    """Join per-row results back by key and fail loudly on a mismatch.
+
+    Where a list zip would silently truncate to the shorter side, this counts
+    result keys without a row and rows without a result (two anti-joins) and
+    raises if either is non-zero.
+    """
+    keys = [on] if isinstance(on, str) else list(on)
+    orphans = results.select(*keys).join(rows.select(*keys), keys, "left_anti").count()
+    missing = rows.select(*keys).join(results.select(*keys), keys, "left_anti").count()
+    if orphans or missing:
+        raise ValueError(f"results do not line up with rows: {orphans} results without a row, "
+                         f"{missing} rows without a result")
+    return rows.join(results, keys, how)
+
+
 def head_in_order(df: DataFrame, n: int, *order: str | Column) -> DataFrame:
     """First ``n`` rows in a stated order (a bare ``limit`` is not deterministic).
 

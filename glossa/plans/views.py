@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.operators.rows import spread, with_index
+from glossa.operators.rows import cut_lineage, spread, with_index
 
 N_QUESTIONS = 25
 
@@ -70,8 +70,10 @@ def v_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     by anchor key: one shuffle, groups of at most 3. The negative, whose
     label mapping is not invertible, is one equi-join on ((label+1)%10, k).
     """
-    r = with_index(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"),
-                   "vec_id", by=["label"], out="k")
+    # The indexed table feeds two branches that read different columns, so Spark
+    # could not reuse one shuffle for both; it is written once to the shared folder.
+    r = cut_lineage(with_index(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"),
+                               "vec_id", by=["label"], out="k"), "trip-index")
     roles = r.select("vec_id", "label", "embedding", F.inline(F.array(
         F.struct(F.lit("src").alias("role"), F.col("k").alias("ak")),
         F.struct(F.lit("ref").alias("role"), (F.col("k") - 1).alias("ak")),

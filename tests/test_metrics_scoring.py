@@ -89,3 +89,23 @@ def test_quality_head_fits(spark):
     model = T.fit_quality_head(df, "f", "label")
     pred = T.predict_quality(model, df, "f").select(F.avg(F.abs(F.col("prediction") - F.col("label")))).first()[0]
     assert pred < 1e-6
+
+
+def test_attach_checked(spark):
+    from glossa.operators.rows import attach_checked
+    import pytest
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "row_id long, src string")
+    res = spark.createDataFrame([(1, 0.5), (2, 0.7)], "row_id long, score double")
+    assert attach_checked(rows, res, "row_id").count() == 2
+    with pytest.raises(ValueError, match="1 rows without a result"):
+        attach_checked(rows, res.where("row_id = 1"), "row_id")
+
+
+def test_answer_pivot_and_cube(spark):
+    df = spark.createDataFrame([(1, "a", "{'1': 'YES', '2': 'x'}"), (2, "b", "{'1': 'no'}")],
+                               "row_id long, model string, response string")
+    p = {r.model: (r.YES, r.NO, r.MAYBE, r.INVALID) for r in M.answer_pivot(M.answers_long(df)).collect()}
+    assert p == {"a": (1, 0, 0, 1), "b": (0, 1, 0, 0)}
+    d = spark.createDataFrame([("x", 1, 2.0), ("y", 1, 4.0)], "a string, b int, v double")
+    cube = M.score_rollup(d, ["a", "b"], {"avg_v": F.avg("v")}, mode="cube").collect()
+    assert len(cube) == 2 + 2 + 1 + 1
