@@ -26,7 +26,10 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Arrow batches to Python model calls: at most 2048 rows and 64 MB, so batches
+    # of long documents stay bounded in worker memory.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
