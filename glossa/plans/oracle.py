@@ -145,7 +145,7 @@ select doc_id as row_id, case when text in ({NA_LIST}) then null else text end a
 from documents order by doc_id limit 100""",
 
     "csv_roundtrip": f"""with {V_PAIRS}
-select row_id, sha256(src) as src_sha, sha256(tgt) as tgt_sha, length(src) as src_len from v_pairs""",
+select row_id, sha256(src) as src_sha, sha256(tgt) as tgt_sha, cast(length(src) as integer) as src_len from v_pairs""",
 
     "model_slug": r"""
 select page_id, replace(url, '/', '_') as slug,
@@ -155,13 +155,13 @@ select page_id, replace(url, '/', '_') as slug,
 from pages""",
 
     "render_baseline": f"""with {V_PAIRS}, x as (select row_id, {prompt_sql(TEMPLATE_BASELINE, 'src', 'tgt')} as prompt from v_pairs)
-select row_id, sha256(prompt) as prompt_sha, length(prompt) as prompt_len from x""",
+select row_id, sha256(prompt) as prompt_sha, cast(length(prompt) as integer) as prompt_len from x""",
 
     "render_variants": f"""with {V_PAIRS},
 x as (select row_id, 'baseline' as prompt_variant, {prompt_sql(TEMPLATE_BASELINE, 'src', 'tgt')} as prompt from v_pairs
       union all
       select row_id, 'stepwise' as prompt_variant, {prompt_sql(TEMPLATE_STEPWISE, 'src', 'tgt')} as prompt from v_pairs)
-select row_id, prompt_variant, length(prompt) as prompt_len, sha256(prompt) as prompt_sha from x""",
+select row_id, prompt_variant, cast(length(prompt) as integer) as prompt_len, sha256(prompt) as prompt_sha from x""",
 
     "render_judge": f"""with {V_TURNS}, x as (select conv_id, turn, {judge_sql('src', 'tgt')} as content from v_turns)
 select conv_id, turn, 'user' as role, sha256(content) as content_sha, sha256({flat_sql('content')}) as flat_sha from x""",
@@ -226,7 +226,7 @@ select model, round(avg(case when greatest(a, b) = 0 then 0.0 else least(a, b) /
        count(*) as n_segments, count(*) filter (where 2 * b < a) as n_with_spans
 from x group by model""",
 
-    "answers_long": f"""with {V_ANSWERS}, x as (select qid, model, {_norm('raw')} as answer from v_answers)
+    "answers_long": f"""with {V_ANSWERS}, x as (select cast(qid as integer) as qid, model, {_norm('raw')} as answer from v_answers)
 select qid, model, count(*) filter (where answer = 'YES') as yes, count(*) filter (where answer = 'NO') as no,
        count(*) filter (where answer = 'MAYBE') as maybe, count(*) filter (where answer is null) as invalid
 from x group by qid, model""",
