@@ -52,17 +52,16 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for written tables (``spark.checkpoint.dir``).
 
-    A local session that lacks it gets one here; a cluster session must set it.
+    Read from the session; a local session that lacks it gets one here (and it
+    becomes the checkpoint folder too); a cluster session must set it.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        master = spark.sparkContext.master
-        if not master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder for written tables")
         path = tempfile.mkdtemp(prefix="glossa-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(path)
     return path
 
