@@ -39,6 +39,15 @@ class ResponseCache:
         """Keys with a successful answer: what counts as cached."""
         return self.raw().where(F.col("error").isNull()).select("request_id").distinct()
 
+    def compact(self, out_path: str) -> "ResponseCache":
+        """Write one row per key (the entry reads would pick) to a new table.
+
+        Reads dedupe on every lookup, so a long-lived cache with many appends is
+        compacted now and then; the caller switches to the returned cache.
+        """
+        self.entries().select(*CACHE_COLUMNS).write.mode("errorifexists").parquet(out_path)
+        return ResponseCache(self.spark, out_path)
+
     def append(self, scored: DataFrame) -> None:
         out = scored.withColumn("written_at", F.current_timestamp()).select(*CACHE_COLUMNS)
         out.write.mode("append").parquet(self.path)

@@ -68,3 +68,14 @@ def test_split_cache(spark):
     hits, misses = S.split_cache(req, keys)
     assert [r.request_id for r in hits.collect()] == ["b"]
     assert sorted(r.request_id for r in misses.collect()) == ["a", "c"]
+
+
+def test_cache_compaction(spark):
+    cache = ResponseCache(spark, scratch_path(spark, "cache-compact"))
+    S.run_sweep(rows(spark), MODELS, "content", cache, EchoClient, backoff_s=0.0)
+    S.run_sweep(rows(spark), MODELS, "content", cache, EchoClient, backoff_s=0.0)
+    assert cache.raw().count() == 14
+    small = cache.compact(scratch_path(spark, "cache-compacted"))
+    assert small.raw().count() == 12
+    assert sorted(map(tuple, small.entries().select("request_id", "error").collect())) == \
+        sorted(map(tuple, cache.entries().select("request_id", "error").collect()))
