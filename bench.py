@@ -42,11 +42,14 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     repeats = int(os.environ.get("BENCH_REPEATS", "2"))
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus * 2, app="glossa-bench",
-                          extra={"spark.driver.memory": "16g"})
+    extra = {"spark.driver.memory": "16g"}
+    if os.environ.get("BENCH_EVENT_LOG"):          # a folder for Spark's event log (stage / task times)
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG"]})
+    only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus * 2, app="glossa-bench", extra=extra)
     spark.read.parquet(f"{sf_dir}/events.parquet").write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
-    for name in HEADLINE:
+    for name in only or HEADLINE:
         best = None
         for _ in range(repeats):
             t0 = time.perf_counter()
@@ -58,12 +61,12 @@ def main() -> None:
         "pairs": spark.read.parquet(f"{sf_dir}/documents.parquet").count(),
         "events": spark.read.parquet(f"{sf_dir}/events.parquet").count(),
     }
-    rates = {
-        "prompts_rendered_per_sec": round(2 * counts["pairs"] / times["render_variants"], 1),
-        "requests_keyed_per_sec": round(4 * counts["pairs"] / times["sweep_dedupe"], 1),
-        "judge_responses_parsed_per_sec": round(counts["events"] / times["judge_score"], 1),
-        "answers_exploded_per_sec": round(25 * counts["events"] / times["answers_long"], 1),
-    }
+    per_row = {"render_variants": ("prompts_rendered_per_sec", 2 * counts["pairs"]),
+               "sweep_dedupe": ("requests_keyed_per_sec", 4 * counts["pairs"]),
+               "score_stub": ("requests_answered_per_sec", 4 * counts["pairs"]),
+               "judge_score": ("judge_responses_parsed_per_sec", counts["events"]),
+               "answers_long": ("answers_exploded_per_sec", 25 * counts["events"])}
+    rates = {label: round(n / times[q], 1) for q, (label, n) in per_row.items() if q in times}
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "rates": rates, "sf": float(m.group(1)) if m else sf_dir,
