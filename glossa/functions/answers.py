@@ -34,19 +34,16 @@ def normalize_answer(raw: Column | str) -> Column:
 
 def answer_value(answer: Column) -> Column:
     """Numeric value of a normalised answer (null for anything else)."""
-    out = None
-    for k, v in ANSWER_VALUES.items():
-        out = (F.when if out is None else out.when)(answer == k, F.lit(v))
-    return out
+    m = F.create_map(*[x for k, v in ANSWER_VALUES.items() for x in (F.lit(k), F.lit(v))])
+    return F.try_element_at(m, answer)
 
 
 def question_weights(weights: dict | None = None, questions: int = 25) -> dict[str, float]:
     return {str(k): float(v) for k, v in (weights or {i: 1.0 for i in range(1, questions + 1)}).items()}
 
 
-def weighted_score(values: list[Column], weights: list[float]) -> Column:
-    """Weighted mean of the non-null answer values; null when none is valid."""
+def weighted_sums(values: list[Column], weights: list[float]) -> tuple[Column, Column]:
+    """(sum of weight x value, sum of weights) over the non-null values."""
     num = [F.coalesce(v * F.lit(w), F.lit(0.0)) for v, w in zip(values, weights)]
     den = [F.when(v.isNotNull(), F.lit(w)).otherwise(F.lit(0.0)) for v, w in zip(values, weights)]
-    total = sum(den[1:], den[0])
-    return F.when(total > 0, sum(num[1:], num[0]) / total)
+    return sum(num[1:], num[0]), sum(den[1:], den[0])

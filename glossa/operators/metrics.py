@@ -13,8 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.fixed_text import PAIRWISE_EPS, RANKING_MARGIN
-from glossa.functions.answers import (answer_value, normalize_answer, parse_answers, question_weights,
-                                     weighted_score)
+from glossa.functions.answers import ANSWER_VALUES, normalize_answer, parse_answers, question_weights
 from glossa.functions.vectors import harmonic_mean, hinge, l2_distance, mean_of
 from glossa.operators.rows import with_index
 
@@ -91,12 +90,19 @@ def with_qa_score(df: DataFrame, response_col: str = "response", out: str = "sco
     outside the bank are not scored.
     """
     w = question_weights(weights, questions)
-    keys = list(w)
+    values = "map(" + ", ".join(f"'{k}', {v!r}D" for k, v in ANSWER_VALUES.items()) + ")"
     parsed = df.withColumn("_answers", parse_answers(response_col))
-    vals = parsed.withColumns({f"_v{i}": answer_value(F.upper(F.trim(F.try_element_at("_answers", F.lit(k)))))
-                               for i, k in enumerate(keys)})
-    return (vals.withColumn(out, weighted_score([F.col(f"_v{i}") for i in range(len(keys))], list(w.values())))
-                .drop("_answers", *[f"_v{i}" for i in range(len(keys))]))
+    terms = []
+    for k, wk in w.items():
+        key = k.replace("'", "")
+        v = f"try_element_at({values}, upper(trim(try_element_at(_answers, '{key}'))))"
+        terms.append((v, f"{float(wk)!r}D"))
+    # SQL text for the 2 x len(weights) generated terms: one parse per column
+    num = " + ".join(f"coalesce({v} * {wk}, 0D)" for v, wk in terms)
+    den = " + ".join(f"CASE WHEN {v} IS NOT NULL THEN {wk} ELSE 0D END" for v, wk in terms)
+    sums = parsed.select("*", F.expr(num).alias("_num"), F.expr(den).alias("_den"))
+    return (sums.withColumn(out, F.when(F.col("_den") > 0, F.col("_num") / F.col("_den")))
+                .drop("_answers", "_num", "_den"))
 
 
 def answer_tallies(long: DataFrame, by: Sequence[str] = ("qid", "model")) -> DataFrame:
