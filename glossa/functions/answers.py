@@ -40,10 +40,3 @@ def answer_value(answer: Column) -> Column:
 
 def question_weights(weights: dict | None = None, questions: int = 25) -> dict[str, float]:
     return {str(k): float(v) for k, v in (weights or {i: 1.0 for i in range(1, questions + 1)}).items()}
-
-
-def weighted_sums(values: list[Column], weights: list[float]) -> tuple[Column, Column]:
-    """(sum of weight x value, sum of weights) over the non-null values."""
-    num = [F.coalesce(v * F.lit(w), F.lit(0.0)) for v, w in zip(values, weights)]
-    den = [F.when(v.isNotNull(), F.lit(w)).otherwise(F.lit(0.0)) for v, w in zip(values, weights)]
-    return sum(num[1:], num[0]), sum(den[1:], den[0])

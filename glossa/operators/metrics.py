@@ -84,10 +84,10 @@ def with_qa_score(df: DataFrame, response_col: str = "response", out: str = "sco
                   weights: dict | None = None, questions: int = 25) -> DataFrame:
     """QA score per row: weighted mean of YES=1 / MAYBE=.5 / NO=0 over the bank's questions.
 
-    Narrow (no shuffle). The response is parsed once into a map column and each
-    question's value becomes its own column before the weighted sum, so every
-    step is evaluated once per row inside whole-stage codegen. Answers to keys
-    outside the bank are not scored.
+    Narrow (no shuffle). The response is parsed once into a map column (a
+    separate projection, so the parse is not repeated per question); the
+    weighted sum and the weight total are one codegen'd expression each. Answers
+    to keys outside the bank are not scored; null when no scored answer is valid.
     """
     w = question_weights(weights, questions)
     values = "map(" + ", ".join(f"'{k}', {v!r}D" for k, v in ANSWER_VALUES.items()) + ")"
