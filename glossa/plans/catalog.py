@@ -16,7 +16,7 @@ from glossa.fixed_text import (DEBUG_EVAL_ROWS, DEBUG_SAMPLES, DEBUG_TRAIN_ROWS,
 from glossa.functions.config import get_or, merge_right_wins, run_stamp
 from glossa.functions.answers import normalize_answer
 from glossa.functions.text import basename, has_suffix, judge_score, na_normalize, slug, stem
-from glossa.functions.tokens import pad_encode as pad_encode_expr
+from glossa.functions.tokens import pad_encode as pad_encode_expr, whitespace_tokens
 from glossa.operators import metrics as M
 from glossa.operators import prompts as P
 from glossa.operators import sweep as S
@@ -265,8 +265,10 @@ def step_budget(spark: SparkSession, d: str) -> DataFrame:
 
 def pad_encode(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
-    e = docs.select("doc_id", pad_encode_expr(F.col("text"), PAD_LENGTH).alias("enc"))
-    return e.select("doc_id", F.aggregate("enc.attention_mask", F.lit(0), lambda a, m: a + m).alias("n_tokens"),
+    e = docs.select("doc_id", F.size(whitespace_tokens(F.col("text"))).alias("n_words"),
+                    pad_encode_expr(F.col("text"), PAD_LENGTH).alias("enc"))
+    return e.select("doc_id", "n_words",
+                    F.aggregate("enc.attention_mask", F.lit(0), lambda a, m: a + m).alias("n_tokens"),
                     F.size("enc.tokens").alias("length"),
                     sha(F.array_join("enc.tokens", "\u0001")).alias("tokens_sha"))
 

@@ -277,8 +277,8 @@ select config, cast(n as bigint) as n, cast(n // batch_size as bigint) as steps_
 
     "pad_encode": f"""
 with t as (select doc_id, {_tokens('text')} as toks from documents),
-c as (select doc_id, toks[1:{PAD_LENGTH}] as cut from t)
-select doc_id, cast(len(cut) as integer) as n_tokens, {PAD_LENGTH} as length,
+c as (select doc_id, len(toks) as n_words, toks[1:{PAD_LENGTH}] as cut from t)
+select doc_id, cast(n_words as integer) as n_words, cast(len(cut) as integer) as n_tokens, {PAD_LENGTH} as length,
        sha256(array_to_string(list_concat(cut, list_transform(range({PAD_LENGTH} - len(cut)), lambda x: '<pad>')), chr(1))) as tokens_sha
 from c""",
 
