@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from glossa.fixed_text import (INCLUDE_REASONING, JUDGE_MAX_TOKENS, JUDGE_TOP_P, RETRY_ATTEMPTS,
                                TEMPERATURE, TIMEOUT_S)
+from glossa.session import ship_package
 
 RESULT_SCHEMA = "request_id string, chat_model string, full_response string, error string, attempts int"
 CONTENT_PATH = "$.choices[0].message.content"
@@ -61,6 +62,7 @@ def score_requests(requests: DataFrame, client_factory: Callable, model_col: str
                                     "error": [r[1] for r in res],
                                     "attempts": pd.array([r[2] for r in res], dtype="int32")})
 
+    ship_package(requests.sparkSession)
     x = requests.select("request_id", model_col, content_col)
     if partitions:
         x = x.repartition(partitions, "request_id")
@@ -80,6 +82,7 @@ def generate_judgements(df: DataFrame, prompt_col: str, generator_factory: Calla
                         sampling: dict = JUDGE_SAMPLING, out: str = "llm_response",
                         batch_size: int = 64) -> DataFrame:
     """Rubric-judge generation: the model is built once per task and fed Arrow batches."""
+    ship_package(df.sparkSession)
 
     @F.pandas_udf("string")
     def gen(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -103,6 +106,7 @@ def score_segments(df: DataFrame, src_col: str, mt_col: str, scorer_factory: Cal
 
     Adds ``score double`` and ``error_spans`` (kept only when non-empty).
     """
+    ship_package(df.sparkSession)
 
     def _pred(scorer, src, mt, ref):
         samples = [{"src": s, "mt": m} if ref is None else {"src": s, "mt": m, "ref": r}
@@ -140,6 +144,7 @@ def score_segments(df: DataFrame, src_col: str, mt_col: str, scorer_factory: Cal
 def encode_texts(df: DataFrame, text_col: str, encoder_factory: Callable, out: str = "vec",
                  batch_size: int = 64) -> DataFrame:
     """Text to a dense float vector (sentence embedding), batched per task."""
+    ship_package(df.sparkSession)
 
     @F.pandas_udf("array<float>")
     def enc(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
