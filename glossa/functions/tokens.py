@@ -6,7 +6,7 @@ come from ``xxhash64`` of the token (or from a vocabulary join by the caller).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PAD = "<pad>"
@@ -39,3 +39,25 @@ def pad_encode(text: Column, max_length: int, pad: str = PAD) -> Column:
     padded = pad_tokens(toks, max_length, pad)
     return F.struct(padded.alias("tokens"), token_ids(padded, pad).alias("input_ids"),
                     attention_mask(toks, max_length).alias("attention_mask"))
+
+
+def vocab_ids(df: DataFrame, tokens_col: str, vocab: DataFrame, key: str, out: str = "input_ids",
+              pad: str = PAD, pad_id: int = 0, unk_id: int = 1) -> DataFrame:
+    """Token ids from a vocabulary table (``token string, id long``) by join.
+
+    Real tokens are exploded with their position, joined to the vocabulary (a
+    common word is a hot join key; AQE splits skewed join partitions) and
+    regrouped per row in position order — a group is bounded by the row's token
+    count. Padding, the hottest token of all, never enters the join: right
+    padding is re-appended as ``pad_id``. Unknown tokens get ``unk_id``.
+    ``key`` identifies a row.
+    """
+    real = df.select(key, F.posexplode(tokens_col).alias("_pos", "_tok")).where(F.col("_tok") != pad)
+    v = vocab.select(F.col("token").alias("_tok"), F.col("id").alias("_id"))
+    ids = real.join(v, "_tok", "left").select(
+        key, "_pos", F.coalesce(F.col("_id"), F.lit(unk_id).cast("long")).alias("_id"))
+    per_row = ids.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "_id"))).alias("_p"))
+    x = df.join(per_row, key, "left")
+    got = F.coalesce(F.transform("_p", lambda p: p["_id"]), F.array().cast("array<bigint>"))
+    padded = F.concat(got, F.array_repeat(F.lit(pad_id).cast("long"), F.size(tokens_col) - F.size(got)))
+    return x.withColumn(out, padded).drop("_p")

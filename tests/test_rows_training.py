@@ -98,3 +98,20 @@ def test_pad_encode(spark):
     assert rows[0].e.tokens == ["a", "b", "c", "<pad>"] and rows[0].e.attention_mask == [1, 1, 1, 0]
     assert rows[1].e.tokens == ["<pad>"] * 4 and rows[2].e.attention_mask == [0] * 4
     assert rows[0].e.input_ids[3] == 0 and all(i > 0 for i in rows[0].e.input_ids[:3])
+
+
+def test_vocab_ids(spark):
+    from glossa.functions.tokens import pad_tokens, vocab_ids, whitespace_tokens
+    df = spark.createDataFrame([(1, "the cat sat"), (2, "the dog")], "k long, t string")
+    df = df.withColumn("tokens", pad_tokens(whitespace_tokens(F.col("t")), 4))
+    vocab = spark.createDataFrame([("the", 5), ("cat", 6), ("sat", 7)], "token string, id long")
+    got = {r.k: r.input_ids for r in vocab_ids(df, "tokens", vocab, "k").collect()}
+    assert got == {1: [5, 6, 7, 0], 2: [5, 1, 0, 0]}
+
+
+def test_vocab_ids_all_padding(spark):
+    from glossa.functions.tokens import pad_tokens, vocab_ids, whitespace_tokens
+    df = spark.createDataFrame([(1, "")], "k long, t string").withColumn(
+        "tokens", pad_tokens(whitespace_tokens(F.col("t")), 3))
+    vocab = spark.createDataFrame([("x", 5)], "token string, id long")
+    assert vocab_ids(df, "tokens", vocab, "k").first().input_ids == [0, 0, 0]
