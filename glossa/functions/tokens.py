@@ -1,7 +1,7 @@
 """Fixed-length model inputs: truncate, right-pad, attention mask.
 
 The token source is pluggable; the default splits on ASCII whitespace. Ids
-come from ``xxhash64`` of the token (or from a vocabulary join by the caller).
+come from ``xxhash64`` of the token or from a vocabulary table (``vocab_ids``).
 """
 
 from __future__ import annotations
