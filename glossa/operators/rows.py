@@ -50,13 +50,16 @@ def with_index(df: DataFrame, order_col: str, by: Sequence[str] = (), out: str =
                   .drop("_c", "_r", "_o"))
 
 
-def with_row_id(df: DataFrame, out: str = "row_id") -> DataFrame:
-    """Dense 0-based ids in input order, assigned at ingest (call it on the scan).
+def with_row_id(df: DataFrame, out: str = "row_id", dense: bool = True) -> DataFrame:
+    """Ids in input order, assigned at ingest (call it on the scan).
 
     ``monotonically_increasing_id`` is unique and follows file / split order but
-    leaves gaps; ``with_index`` makes it dense without a single-task window.
-    Persist the result if the ids must survive a re-read with other splits.
+    leaves gaps (no shuffle: ``dense=False``); ``dense=True`` turns it into
+    0..n-1 with ``with_index`` (one shuffle, no single-task window). Persist the
+    result if the ids must survive a re-read with other splits.
     """
+    if not dense:
+        return df.withColumn(out, F.monotonically_increasing_id())
     return with_index(df.withColumn("_mono", F.monotonically_increasing_id()), "_mono", out=out).drop("_mono")
 
 
