@@ -22,6 +22,10 @@ from glossa.session import scratch_path
 # Rows per range: big enough that small groups stay one range, small enough
 # that a hot group spreads over many tasks.
 ROWS_PER_RANGE = 1_000_000
+# The per-group stats table (key, 3 longs) is broadcast when it has at most this
+# many groups (counted exactly, a few tens of MB at the bound); above it the
+# join stays sort-merge.
+MAX_BROADCAST_GROUPS = 1_000_000
 
 
 def with_index(df: DataFrame, order_col: str, by: Sequence[str] = (), out: str = "idx",
@@ -29,9 +33,13 @@ def with_index(df: DataFrame, order_col: str, by: Sequence[str] = (), out: str =
     by = list(by)
     o = F.col(order_col)
     if by:
-        stats = df.groupBy(*by).agg(F.min(o).alias("_lo"), F.max(o).alias("_hi"),
-                                    F.count(F.lit(1)).alias("_n"))
-        x = df.join(stats, by, "inner")
+        # Stats are written once (a small table, one row per group) and counted,
+        # so the broadcast below is behind an exact size check and the data side
+        # is not shuffled just to meet its stats.
+        stats = cut_lineage(df.groupBy(*by).agg(F.min(o).alias("_lo"), F.max(o).alias("_hi"),
+                                                F.count(F.lit(1)).alias("_n")), "index-stats")
+        small = stats.count() <= MAX_BROADCAST_GROUPS
+        x = df.join(F.broadcast(stats) if small else stats, by, "inner")
     else:
         s = df.select(F.struct(F.min(o).alias("lo"), F.max(o).alias("hi"),
                                F.count(F.lit(1)).alias("n"))).scalar()
