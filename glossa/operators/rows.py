@@ -43,7 +43,9 @@ def with_index(df: DataFrame, order_col: str, by: Sequence[str] = (), out: str =
     else:
         s = df.select(F.struct(F.min(o).alias("lo"), F.max(o).alias("hi"),
                                F.count(F.lit(1)).alias("n"))).scalar()
-        x = df.withColumns({"_lo": s.getField("lo"), "_hi": s.getField("hi"), "_n": s.getField("n")})
+        # one scalar subquery, projected once, then read field by field
+        x = df.withColumn("_s", s)
+        x = x.withColumns({"_lo": F.col("_s.lo"), "_hi": F.col("_s.hi"), "_n": F.col("_s.n")}).drop("_s")
     ranges = F.ceil(F.col("_n") / F.lit(float(rows_per_range)))
     span = (F.col("_hi") - F.col("_lo")).cast("double") + F.lit(1.0)
     chunk = F.least(F.floor((o - F.col("_lo")).cast("double") / span * ranges), ranges - 1)
