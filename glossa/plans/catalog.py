@@ -21,7 +21,7 @@ from glossa.operators import metrics as M
 from glossa.operators import prompts as P
 from glossa.operators import sweep as S
 from glossa.operators import training as T
-from glossa.operators.rows import head_in_order
+from glossa.operators.rows import cut_lineage, head_in_order
 from glossa.operators.scoring import (encode_texts, generate_judgements, response_content, score_requests,
                                       score_segments)
 from glossa.operators.stubs import EchoClient, HashingEncoder, LengthRatioScorer, StubJudge
@@ -102,46 +102,51 @@ def _prompts(spark: SparkSession, d: str) -> DataFrame:
         .select("row_id", "pair", "content")
 
 
-def _keyed(spark: SparkSession, d: str) -> DataFrame:
-    return S.with_request_key(S.expand_models(_prompts(spark, d), MODELS), "content")
+def _keyed(prompts: DataFrame) -> DataFrame:
+    return S.with_request_key(S.expand_models(prompts, MODELS), "content")
 
 
-def _requests(spark: SparkSession, d: str) -> DataFrame:
-    return S.unique_requests(_prompts(spark, d), MODELS, "content")
-
-
-def _warm_cache(spark: SparkSession, d: str) -> ResponseCache:
+def _warm_cache(spark: SparkSession, prompts: DataFrame) -> ResponseCache:
     """A cache holding a previous sweep over one language pair."""
     cache = ResponseCache(spark, scratch_path(spark, "cache"))
-    earlier = S.unique_requests(_prompts(spark, d).where(F.col("pair") == WARM_PAIR), MODELS, "content")
+    earlier = S.unique_requests(prompts.where(F.col("pair") == WARM_PAIR), MODELS, "content")
     cache.append(score_requests(earlier, EchoClient, backoff_s=0.0))
     return cache
 
 
+def _staged_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Rendered once and written: the cache queries read the prompts three times."""
+    return cut_lineage(_prompts(spark, d), "prompts")
+
+
 def sweep_expand(spark: SparkSession, d: str) -> DataFrame:
-    return _keyed(spark, d).groupBy("chat_model").agg(
+    return _keyed(_prompts(spark, d)).groupBy("chat_model").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct("request_id").alias("n_keys"))
 
 
 def sweep_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    k = _keyed(spark, d)
+    k = _keyed(_prompts(spark, d))
     return k.groupBy("request_id", "chat_model").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def cache_misses(spark: SparkSession, d: str) -> DataFrame:
-    cache = _warm_cache(spark, d)
-    return S.split_cache(_requests(spark, d), cache.keys())[1].select("request_id", "chat_model")
+    prompts = _staged_prompts(spark, d)
+    cache = _warm_cache(spark, prompts)
+    requests = S.unique_requests(prompts, MODELS, "content")
+    return S.split_cache(requests, cache.keys())[1].select("request_id", "chat_model")
 
 
 def cache_report(spark: SparkSession, d: str) -> DataFrame:
-    cache = _warm_cache(spark, d)
-    return S.cache_report(_keyed(spark, d), cache.keys())
+    prompts = _staged_prompts(spark, d)
+    cache = _warm_cache(spark, prompts)
+    return S.cache_report(_keyed(prompts), cache.keys())
 
 
 def score_stub(spark: SparkSession, d: str) -> DataFrame:
-    cache = _warm_cache(spark, d)
-    S.fill_cache(_requests(spark, d), cache, EchoClient, waves=2, backoff_s=0.0)
-    out = S.attach_responses(_keyed(spark, d).drop("content"), cache)
+    prompts = _staged_prompts(spark, d)
+    cache = _warm_cache(spark, prompts)
+    S.fill_cache(S.unique_requests(prompts, MODELS, "content"), cache, EchoClient, waves=2, backoff_s=0.0)
+    out = S.attach_responses(_keyed(prompts).drop("content"), cache)
     return out.select("row_id", "chat_model", "response", judge_score("response").alias("score"),
                       "error", "attempts")
 
