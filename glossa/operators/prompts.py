@@ -20,6 +20,20 @@ from glossa.functions.text import as_python_text
 Slot = Column | str
 
 
+def strip_fence(template: str, fence: str = "'''") -> str:
+    """Drop a fence line at the start and at the end of a template file.
+
+    The template files begin and end with a literal fence line that is sent to
+    the model as is; rendering keeps the text verbatim unless this is applied.
+    """
+    lines = template.split("\n")
+    if lines and lines[0].strip() == fence:
+        lines = lines[1:]
+    if lines and lines[-1].strip() == fence:
+        lines = lines[:-1]
+    return "\n".join(lines)
+
+
 def parse_template(template: str) -> list[tuple[str, str | None]]:
     """``[(literal, field_or_None), ...]`` exactly as ``str.format`` reads the template."""
     out = []

@@ -105,9 +105,15 @@ def from_roles(long: DataFrame, roles: Sequence[str], keys: Sequence[str] = ("ba
     return long.groupBy(*keys).pivot("role", list(roles)).agg(F.first("text"))
 
 
-def step_budget(n: F.Column, batch_size: F.Column, epochs: F.Column) -> F.Column:
-    """Optimisation steps: ``floor(n / batch) * epochs`` (gradient accumulation not applied)."""
-    return F.floor(n / batch_size).cast("long") * epochs
+def step_budget(n: F.Column, batch_size: F.Column, epochs: F.Column,
+                accumulation: F.Column | None = None) -> F.Column:
+    """Optimisation steps: ``floor(n / batch) * epochs``.
+
+    As configured runs compute it, gradient accumulation is not applied; pass
+    ``accumulation`` to divide (floor) the budget by the accumulation steps.
+    """
+    steps = F.floor(n / batch_size).cast("long") * epochs
+    return steps if accumulation is None else F.floor(steps / accumulation).cast("long")
 
 
 def fit_quality_head(train: DataFrame, features_col: str, label_col: str, reg: float = 0.0):

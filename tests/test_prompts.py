@@ -87,3 +87,10 @@ def test_judge_content_and_messages(spark):
                                                      rubric=JUDGE_RUBRIC)
     assert row.m[0].role == "user" and row.m[0].content == want
     assert row.flat == "<|im_start|>user\n" + want + "<|im_end|>\n<|im_start|>assistant\n"
+
+
+def test_strip_fence():
+    t = P.strip_fence(TEMPLATE_BASELINE)
+    assert not t.startswith("'''") and not t.rstrip().endswith("'''")
+    assert t == TEMPLATE_BASELINE[len("'''\n"):-len("\n'''")]
+    assert P.strip_fence("no fence {source}") == "no fence {source}"

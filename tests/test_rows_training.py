@@ -115,3 +115,10 @@ def test_vocab_ids_all_padding(spark):
         "tokens", pad_tokens(whitespace_tokens(F.col("t")), 3))
     vocab = spark.createDataFrame([("x", 5)], "token string, id long")
     assert vocab_ids(df, "tokens", vocab, "k").first().input_ids == [0, 0, 0]
+
+
+def test_step_budget_accumulation(spark):
+    df = spark.createDataFrame([(50000, 8, 2, 4)], "n long, b int, e int, g int")
+    r = df.select(T.step_budget(F.col("n"), F.col("b"), F.col("e")).alias("s"),
+                  T.step_budget(F.col("n"), F.col("b"), F.col("e"), F.col("g")).alias("a")).first()
+    assert (r.s, r.a) == (12500, 3125)
