@@ -28,36 +28,58 @@ ROWS_PER_RANGE = 1_000_000
 MAX_BROADCAST_GROUPS = 1_000_000
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], hint_broadcast: bool = False):
+    """Inner join on same-named keys where null matches null (a null group is a group)."""
+    r = right.select(*[F.col(k).alias(f"_j_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    if hint_broadcast:
+        r = F.broadcast(r)
+    cond = [left[k].eqNullSafe(r[f"_j_{k}"]) for k in keys]
+    return left.join(r, cond, "inner").drop(*[f"_j_{k}" for k in keys])
+
+
 def with_index(df: DataFrame, order_col: str, by: Sequence[str] = (), out: str = "idx",
                rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """0-based position within each ``by`` group in ``order_col`` order.
+
+    Same result as ``row_number() over (partition by by order by order_col) - 1``
+    (null keys form a group, null order values come first) for an order column
+    unique within its group.
+    """
     by = list(by)
     o = F.col(order_col)
     if by:
-        # Stats are written once (a small table, one row per group) and counted,
-        # so the broadcast below is behind an exact size check and the data side
-        # is not shuffled just to meet its stats.
+        # Stats are written once (a small table, one row per group, with a
+        # non-null surrogate group id) and counted, so the broadcast below is
+        # behind an exact size check and the data side is not shuffled just to
+        # meet its stats. Null keys form a group, so that join is null-safe;
+        # everything after it keys on the surrogate.
         stats = cut_lineage(df.groupBy(*by).agg(F.min(o).alias("_lo"), F.max(o).alias("_hi"),
-                                                F.count(F.lit(1)).alias("_n")), "index-stats")
-        small = stats.count() <= MAX_BROADCAST_GROUPS
-        x = df.join(F.broadcast(stats) if small else stats, by, "inner")
+                                                F.count(F.lit(1)).alias("_n"))
+                            .withColumn("_gid", F.monotonically_increasing_id()), "index-stats")
+        x = _join_null_safe(df, stats, by, hint_broadcast=stats.count() <= MAX_BROADCAST_GROUPS)
+        keys = ["_gid"]
     else:
         s = df.select(F.struct(F.min(o).alias("lo"), F.max(o).alias("hi"),
                                F.count(F.lit(1)).alias("n"))).scalar()
         # one scalar subquery, projected once, then read field by field
         x = df.withColumn("_s", s)
         x = x.withColumns({"_lo": F.col("_s.lo"), "_hi": F.col("_s.hi"), "_n": F.col("_s.n")}).drop("_s")
+        keys = []
     ranges = F.ceil(F.col("_n") / F.lit(float(rows_per_range)))
     span = (F.col("_hi") - F.col("_lo")).cast("double") + F.lit(1.0)
-    chunk = F.least(F.floor((o - F.col("_lo")).cast("double") / span * ranges), ranges - 1)
+    # null order values sort first, so they belong to the first range (``least``
+    # skips nulls, so the null case is explicit)
+    chunk = F.when(o.isNull(), F.lit(0)).otherwise(
+        F.least(F.floor((o - F.col("_lo")).cast("double") / span * ranges), ranges - 1))
     x = (x.withColumn("_c", chunk.cast("long")).drop("_lo", "_hi", "_n")
-          .repartition(*by, "_c"))
-    ranked = x.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_c").orderBy(o)) - 1)
-    counts = x.groupBy(*by, "_c").agg(F.count(F.lit(1)).alias("_k"))
-    before = Window.partitionBy(*by).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*by, "_c", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_o"))
-    return (ranked.join(offsets, [*by, "_c"], "inner")
+          .repartition(*keys, "_c"))
+    ranked = x.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_c").orderBy(o)) - 1)
+    counts = x.groupBy(*keys, "_c").agg(F.count(F.lit(1)).alias("_k"))
+    before = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_c", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_o"))
+    return (ranked.join(offsets, [*keys, "_c"], "inner")
                   .withColumn(out, (F.col("_o") + F.col("_r")).cast("long"))
-                  .drop("_c", "_r", "_o"))
+                  .drop(*keys, "_c", "_r", "_o"))
 
 
 def with_row_id(df: DataFrame, out: str = "row_id", dense: bool = True) -> DataFrame:

@@ -122,3 +122,12 @@ def test_step_budget_accumulation(spark):
     r = df.select(T.step_budget(F.col("n"), F.col("b"), F.col("e")).alias("s"),
                   T.step_budget(F.col("n"), F.col("b"), F.col("e"), F.col("g")).alias("a")).first()
     assert (r.s, r.a) == (12500, 3125)
+
+
+def test_with_index_null_keys_and_orders(spark):
+    data = [(1, None), (2, None), (None, "a"), (3, "a"), (5, "a"), (None, None)]
+    df = spark.createDataFrame(data, "id long, k string")
+    ours = with_index(df, "id", by=["k"], out="idx", rows_per_range=1)
+    ref = df.withColumn("idx", (F.row_number().over(Window.partitionBy("k").orderBy("id")) - 1).cast("long"))
+    assert sorted(map(tuple, ours.select("id", "k", "idx").collect()), key=str) == \
+        sorted(map(tuple, ref.select("id", "k", "idx").collect()), key=str)
