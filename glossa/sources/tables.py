@@ -16,14 +16,22 @@ CSV_READ = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"',
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", na_rules: str = "spark",
-               schema: str | None = None, infer: bool = True) -> DataFrame:
+               schema: str | None = None, infer: bool = False, sampling_ratio: float = 0.05) -> DataFrame:
     """Read a table. ``na_rules='pandas'`` turns the pandas NA spellings of
-    string cells (``NA``, ``null``, ``None``, ``nan``, ...) into nulls."""
+    string cells (``NA``, ``null``, ``None``, ``nan``, ...) into nulls.
+
+    CSV without a schema reads every column as text (no extra pass); typed
+    columns are cast where they are used (``try_cast``). ``infer=True`` infers
+    types from a ``sampling_ratio`` sample instead of a full pass over the data.
+    """
     r = spark.read
     if schema:
         r = r.schema(schema)
     if fmt == "csv":
-        df = r.options(**CSV_READ).option("inferSchema", "true" if (infer and not schema) else "false").csv(path)
+        r = r.options(**CSV_READ)
+        if infer and not schema:
+            r = r.option("inferSchema", "true").option("samplingRatio", str(sampling_ratio))
+        df = r.csv(path)
     else:
         df = r.format(fmt).load(path)
     if na_rules == "pandas":
