@@ -107,11 +107,11 @@ def fill_cache(requests: DataFrame, cache: ResponseCache, client_factory: Callab
     """
     spark = requests.sparkSession
     staged = scratch_path(spark, "misses")
-    (split_cache(requests, cache.keys())[1]
-        .withColumn("wave", _wave(F.col("request_id"), waves))
-        .write.partitionBy("wave").parquet(staged))
+    misses = split_cache(requests, cache.keys())[1].withColumn("wave", _wave(F.col("request_id"), waves))
+    misses.write.partitionBy("wave").parquet(staged)
     for w in range(waves):
-        part = spark.read.parquet(staged).where(F.col("wave") == w).drop("wave")
+        # explicit schema: with nothing missing the staged folder holds no files
+        part = spark.read.schema(misses.schema).parquet(staged).where(F.col("wave") == w).drop("wave")
         todo = part.join(cache.keys(), "request_id", "left_anti")
         cache.append(score_requests(todo, client_factory, model_col=model_col, content_col=content_col,
                                     **score_opts))

@@ -79,3 +79,12 @@ def test_cache_compaction(spark):
     assert small.raw().count() == 12
     assert sorted(map(tuple, small.entries().select("request_id", "error").collect())) == \
         sorted(map(tuple, cache.entries().select("request_id", "error").collect()))
+
+
+def test_rerun_with_everything_cached(spark):
+    data = spark.createDataFrame([(1, "abc"), (2, "abcd")], "row_id long, content string")
+    cache = ResponseCache(spark, scratch_path(spark, "cache-full"))
+    S.run_sweep(data, MODELS, "content", cache, EchoClient, backoff_s=0.0)
+    n = cache.raw().count()
+    again = S.run_sweep(data, MODELS, "content", cache, EchoClient, backoff_s=0.0, waves=2)
+    assert again.count() == 4 and cache.raw().count() == n
