@@ -18,7 +18,7 @@ from glossa.operators import prompts as P
 from glossa.operators.metrics import score_document
 from glossa.operators.rows import head_in_order, with_index, with_row_id
 from glossa.operators.scoring import JUDGE_SAMPLING, generate_judgements, score_segments
-from glossa.operators.sweep import run_sweep
+from glossa.operators.sweep import read_models, run_sweep
 from glossa.sources.cache import ResponseCache
 from glossa.sources.sinks import with_output_name, write_document, write_table
 from glossa.sources.tables import read_table
@@ -47,9 +47,14 @@ def prompt_job(spark: SparkSession, input_path: str, output_path: str, *, fmt: s
 
 
 def sweep_job(spark: SparkSession, input_path: str, output_path: str, cache_path: str,
-              client_factory: Callable, *, models: list[str] = MODELS, content_col: str = "QA",
+              client_factory: Callable, *, models: list[str] | str = MODELS, content_col: str = "QA",
               fmt: str = "csv", test_size: int | None = None, waves: int = 1, **score_opts) -> DataFrame:
-    """Every prompt to every model through the cache; results per (model, input file)."""
+    """Every prompt to every model through the cache; results per (model, input file).
+
+    ``models`` is a list of ids or the path of a model-list file (one id per line).
+    """
+    if isinstance(models, str):
+        models = read_models(spark, models)
     rows = load(spark, input_path, fmt, test_size)
     answered = run_sweep(rows, models, content_col, ResponseCache(spark, cache_path), client_factory,
                          waves=waves, **score_opts)

@@ -34,8 +34,10 @@ def test_prompt_then_sweep(spark, tmp):
     assert base[None] == TEMPLATE_BASELINE.format(source="nan", translation="quoted \"text\"\nwith newline",
                                                   questions=QUESTIONS)
     assert {"prompt_variant=baseline", "prompt_variant=stepwise"} <= set(os.listdir(f"{tmp}/prompts"))
+    with open(f"{tmp}/models.txt", "w") as f:
+        f.write("openai/gpt-4o-mini\nm2\n")
     swept = jobs.sweep_job(spark, f"{tmp}/prompts/prompt_variant=baseline", f"{tmp}/results",
-                           f"{tmp}/cache", EchoClient, models=["openai/gpt-4o-mini", "m2"], fmt="parquet",
+                           f"{tmp}/cache", EchoClient, models=f"{tmp}/models.txt", fmt="parquet",
                            backoff_s=0.0, test_size=2)
     got = swept.collect()
     assert len(got) == 4 and all(r.response.startswith("Feedback: stub") or r.error for r in got)
