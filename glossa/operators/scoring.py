@@ -44,8 +44,17 @@ def score_requests(requests: DataFrame, client_factory: Callable, model_col: str
                    content_col: str = "content", temperature: float = TEMPERATURE,
                    include_reasoning: bool = INCLUDE_REASONING, threads: int = 8,
                    timeout_s: float = TIMEOUT_S, attempts: int = RETRY_ATTEMPTS,
-                   backoff_s: float = 1.0, partitions: int | None = None) -> DataFrame:
-    """Send one chat request per row; returns ``RESULT_SCHEMA`` rows (raw JSON kept)."""
+                   backoff_s: float = 1.0, partitions: int | None = None,
+                   concurrency: int | None = None) -> DataFrame:
+    """Send one chat request per row; returns ``RESULT_SCHEMA`` rows (raw JSON kept).
+
+    ``concurrency`` caps the requests in flight across the cluster (e.g. the
+    sweep's 30, or 5 in test mode): it picks ``partitions`` x ``threads`` with
+    a product of at most ``concurrency``.
+    """
+    if concurrency:
+        partitions = -(-concurrency // max(1, min(threads, concurrency)))
+        threads = concurrency // partitions
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = client_factory()

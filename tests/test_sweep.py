@@ -88,3 +88,13 @@ def test_rerun_with_everything_cached(spark):
     n = cache.raw().count()
     again = S.run_sweep(data, MODELS, "content", cache, EchoClient, backoff_s=0.0, waves=2)
     assert again.count() == 4 and cache.raw().count() == n
+
+
+def test_concurrency_cap(spark):
+    req = spark.createDataFrame([(f"k{i}", "m", f"text {i}") for i in range(40)],
+                                "request_id string, chat_model string, content string")
+    out = score_requests(req, EchoClient, backoff_s=0.0, concurrency=5)
+    assert out.rdd.getNumPartitions() == 1
+    assert out.count() == 40
+    out = score_requests(req, EchoClient, backoff_s=0.0, concurrency=30, threads=8)
+    assert out.rdd.getNumPartitions() == 4
