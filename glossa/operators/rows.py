@@ -95,7 +95,7 @@ def with_row_id(df: DataFrame, out: str = "row_id", dense: bool = True) -> DataF
     return with_index(df.withColumn("_mono", F.monotonically_increasing_id()), "_mono", out=out).drop("_mono")
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, min_partitions: int | None = None, current_partitions: int | None = None) -> DataFrame:
     """Give a narrow, CPU-heavy stage at least as many tasks as the cluster has cores.
 
     A scan yields one task per file split; a file written as one row group is
@@ -105,7 +105,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     more splits than cores — this is a no-op and adds no shuffle.
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    parts = df.rdd.getNumPartitions() if current_partitions is None else current_partitions
+    return df.repartition(target) if parts < target else df
 
 
 def attach_checked(rows: DataFrame, results: DataFrame, on: str | list[str], how: str = "left") -> DataFrame:

@@ -17,13 +17,28 @@ N_QUESTIONS = 25
 FACT_TABLES = {"documents", "events", "embeddings", "conversations", "pages", "lineitem", "orders"}
 
 
+_SPLITS: dict[tuple[str, str], int] = {}
+_SCHEMAS: dict[tuple[str, str], object] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     """A parquet table; fact tables are spread over the cluster's cores when their
-    file splits are fewer (see ``spread``). ``columns`` prunes before the spread."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    file splits are fewer (see ``spread``). ``columns`` prunes before the spread.
+    The schema and split count of a path are looked up once per application."""
+    path = f"{sf_dir}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key in _SCHEMAS:
+        df = spark.read.schema(_SCHEMAS[key]).parquet(path)
+    else:
+        df = spark.read.parquet(path)
+        _SCHEMAS[key] = df.schema
     if columns:
         df = df.select(*columns)
-    return spread(df) if name in FACT_TABLES else df
+    if name not in FACT_TABLES:
+        return df
+    if key not in _SPLITS:
+        _SPLITS[key] = df.rdd.getNumPartitions()
+    return spread(df, current_partitions=_SPLITS[key])
 
 
 def v_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
