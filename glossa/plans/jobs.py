@@ -73,7 +73,8 @@ def judge_job(spark: SparkSession, input_path: str, output_path: str, generator_
     judged = generate_judgements(rows.withColumn("_prompt", prompt), "_prompt", generator_factory, sampling)
     out = judged.drop("_prompt").withColumn("llm_score", judge_score("llm_response"))
     write_table(out, output_path, fmt=out_fmt)
-    return out
+    # read the written result back: acting on ``out`` again would call the model again
+    return read_table(spark, output_path, fmt=out_fmt, schema=out.schema)
 
 
 def segment_job(spark: SparkSession, input_path: str, output_path: str, scorer_factory: Callable, *,
@@ -89,4 +90,5 @@ def segment_job(spark: SparkSession, input_path: str, output_path: str, scorer_f
     segs = segs.select(*cols, "error_spans")
     summary = score_document(segs, by=(), model_info=model_info)
     write_document(summary, segs, output_path)
-    return segs
+    # the written segments, not the lazy plan (which would run the scorer again)
+    return spark.read.schema(segs.schema).json(f"{output_path}/segments")

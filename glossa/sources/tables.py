@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from glossa.functions.text import na_normalize
 
@@ -16,7 +17,8 @@ CSV_READ = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"',
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", na_rules: str = "spark",
-               schema: str | None = None, infer: bool = False, sampling_ratio: float = 0.05) -> DataFrame:
+               schema: str | StructType | None = None, infer: bool = False,
+               sampling_ratio: float = 0.05) -> DataFrame:
     """Read a table. ``na_rules='pandas'`` turns the pandas NA spellings of
     string cells (``NA``, ``null``, ``None``, ``nan``, ...) into nulls.
 
