@@ -28,7 +28,7 @@ from glossa.operators.stubs import EchoClient, HashingEncoder, LengthRatioScorer
 from glossa.plans.views import table, v_answers, v_judge, v_pairs, v_qa, v_qe, v_trip, v_turns
 from glossa.session import scratch_path
 from glossa.sources.cache import ResponseCache
-from glossa.sources.sinks import write_document, write_table
+from glossa.sources.sinks import write_scored_document, write_table
 
 PAD_LENGTH = 512          # max_length of the training configurations
 BATCH_SIZE = 8            # batch_size of the training configurations
@@ -196,10 +196,10 @@ def segment_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def score_document(spark: SparkSession, d: str) -> DataFrame:
-    seg = _segments(spark, d).select("model", "segment_id", "row_id", "src", "tgt", "score", "error_spans")
-    summary = M.score_document(seg, by=["model"])
+    seg = _segments(spark, d).select("model", "segment_id", "row_id", F.col("src").alias("source"),
+                                     F.col("tgt").alias("translation"), "score", "error_spans")
     path = scratch_path(spark, "score-doc")
-    write_document(summary, seg.withColumnRenamed("src", "source").withColumnRenamed("tgt", "translation"), path)
+    write_scored_document(seg, path, lambda x: M.score_document(x, by=["model"]))
     back = spark.read.schema("model string, system_score double, n_segments long, n_with_spans long") \
         .json(f"{path}/summary")
     return back.withColumn("system_score", F.round("system_score", 6))

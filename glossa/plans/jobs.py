@@ -20,7 +20,7 @@ from glossa.operators.rows import head_in_order, with_index, with_row_id
 from glossa.operators.scoring import JUDGE_SAMPLING, generate_judgements, score_segments
 from glossa.operators.sweep import read_models, run_sweep
 from glossa.sources.cache import ResponseCache
-from glossa.sources.sinks import with_output_name, write_document, write_table
+from glossa.sources.sinks import with_output_name, write_scored_document, write_table
 from glossa.sources.tables import read_table
 
 PROMPT_COLUMNS = ["src", "tgt", "QA", "pair", "model", "dataset"]
@@ -88,7 +88,5 @@ def segment_job(spark: SparkSession, input_path: str, output_path: str, scorer_f
     if ref_col:
         cols.append(F.col(ref_col).alias("reference"))
     segs = segs.select(*cols, "error_spans")
-    summary = score_document(segs, by=(), model_info=model_info)
-    write_document(summary, segs, output_path)
-    # the written segments, not the lazy plan (which would run the scorer again)
-    return spark.read.schema(segs.schema).json(f"{output_path}/segments")
+    # segments written first, summary from the files: the scorer runs once
+    return write_scored_document(segs, output_path, lambda x: score_document(x, by=(), model_info=model_info))

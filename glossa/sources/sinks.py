@@ -40,6 +40,20 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
 
 def write_document(summary: DataFrame, segments: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """A scoring document as two JSON tables: ``summary/`` (one row per key) and
-    ``segments/`` (one row per segment), both UTF-8 JSON lines."""
+    ``segments/`` (one row per segment), both UTF-8 JSON lines. For segments that
+    come from a model call use ``write_scored_document`` (one model pass)."""
     summary.write.mode(mode).json(f"{path}/summary")
     segments.write.mode(mode).json(f"{path}/segments")
+
+
+def write_scored_document(segments: DataFrame, path: str, summarize, mode: str = "errorifexists") -> DataFrame:
+    """Write the segments, then the summary computed from the *written* segments.
+
+    Segments usually come from a model call; writing them first and summarising
+    the files means the model runs once (two writes of one lazy plan would run
+    it twice). Returns the written segments.
+    """
+    segments.write.mode(mode).json(f"{path}/segments")
+    back = segments.sparkSession.read.schema(segments.schema).json(f"{path}/segments")
+    summarize(back).write.mode(mode).json(f"{path}/summary")
+    return back
