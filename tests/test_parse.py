@@ -2,7 +2,6 @@
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from glossa.functions.answers import normalize_answer, parse_answers
 from glossa.functions.text import judge_score
