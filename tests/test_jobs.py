@@ -3,7 +3,6 @@
 import json
 import os
 
-
 from glossa.fixed_text import QUESTIONS, TEMPLATE_BASELINE
 from glossa.operators.rows import with_row_id
 from glossa.operators.stubs import EchoClient, LengthRatioScorer, StubJudge
