@@ -14,7 +14,7 @@ import re
 from glossa.fixed_text import (DEBUG_EVAL_ROWS, DEBUG_SAMPLES, DEBUG_TRAIN_ROWS, DEFAULT_RANKING_SAMPLES,
                                JUDGE_RUBRIC, JUDGE_SYSTEM, JUDGE_TASK, MODELS, QUESTIONS, RUN_CONFIGS,
                                TEMPLATE_BASELINE, TEMPLATE_STEPWISE)
-from glossa.functions.text import PANDAS_NA_VALUES
+from glossa.functions.text import PANDAS_NA_VALUES, python_whitespace_class
 
 PAD_LENGTH = 512
 BATCH_SIZE = 8
@@ -55,8 +55,9 @@ def flat_sql(content: str) -> str:
 
 
 def score_sql(r: str) -> str:
-    """Judge score: token after the last marker, ASCII integer, clamped, null-safe."""
-    tok = f"regexp_extract(string_split({r}, '[RESULT]')[-1], '^\\s*(\\S+)', 1)"
+    """Judge score: token after the last marker (Python whitespace), ASCII integer, clamped, null-safe."""
+    ws = python_whitespace_class()
+    tok = f"regexp_extract(string_split({r}, '[RESULT]')[-1], '^[{ws}]*([^{ws}]+)', 1)"
     num = f"case when regexp_full_match({tok}, '[+-]?[0-9]+') then try_cast({tok} as double) end"
     return f"cast(case when ({num}) is not null then least(5.0, greatest(1.0, {num})) end as integer)"
 

@@ -28,6 +28,8 @@ CASES = [
     ("[RESULT] -12345678901234567890", 1),
     ("[RESULT]\t 0003 trailing", 3),
     ("no marker here", None),
+    ("[RESULT]\xa04\u3000good", 4),
+    ("[RESULT] 4\x1c5", 4),
 ]
 
 
@@ -54,7 +56,7 @@ def test_table_cases(spark):
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.lists(st.sampled_from(list("0123456789+- .\nab") + ["[RESULT]"]), max_size=12)
+@given(st.lists(st.lists(st.sampled_from(list("0123456789+- .\nab\xa0\u2003\x1c\x0b") + ["[RESULT]"]), max_size=12)
                 .map("".join), min_size=1, max_size=30))
 def test_matches_python_rule(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, r string")
