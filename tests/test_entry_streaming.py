@@ -68,3 +68,25 @@ def test_streaming_incremental_scoring(spark, tmp):
     out = read_scored(spark, f"{tmp}/scored")
     assert out.count() == 8
     assert spark.read.parquet(f"{tmp}/cache").count() == 6   # (a,b),(c,d),(e,f) x 2 models, each sent once
+
+
+def test_python_workers_get_the_package(tmp):
+    """A driver started outside the repo (package only on the driver's sys.path)
+    still runs Python-UDF queries: the package is shipped with addPyFile."""
+    import subprocess
+    import sys as _sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false") \\
+    .config("spark.checkpoint.dir", {tmp!r}).getOrCreate()
+import __spark_entry__ as E
+print("ROWS", E.queries()["segment_scores"](spark, "/root/testdata/sf0.001").count())
+spark.stop()
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([_sys.executable, "-c", script], cwd=tmp, env=env, capture_output=True, text=True,
+                         timeout=600)
+    assert "ROWS 200" in out.stdout, out.stderr[-2000:]
