@@ -89,9 +89,13 @@ def as_python_text(c: Column | str, null_text: str = "nan") -> Column:
     return F.coalesce(_c(c).cast("string"), F.lit(null_text))
 
 
-def stringify(c: Column | str, null_text: str = "None") -> Column:
-    """``str(v)`` of a row value: null becomes the text ``None``."""
-    return F.coalesce(_c(c).cast("string"), F.lit(null_text))
+def stringify(c: Column | str, null_text: str = "None", dtype: str | None = None) -> Column:
+    """``str(v)`` of a row value: null becomes ``None``; with ``dtype='boolean'``
+    the values read ``True`` / ``False`` as in Python."""
+    col = _c(c)
+    if dtype == "boolean":
+        return F.when(col, F.lit("True")).when(~col, F.lit("False")).otherwise(F.lit(null_text))
+    return F.coalesce(col.cast("string"), F.lit(null_text))
 
 
 def slug(c: Column | str) -> Column:

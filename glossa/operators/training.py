@@ -36,7 +36,8 @@ def prepare_triplets(df: DataFrame, keep: Sequence[str] = (), strict: bool = Fal
     if "ref" not in df.columns:
         df = df.withColumn("ref", F.col("src"))
     require(df, TRIPLET_ROLES)
-    conv = (lambda c: F.col(c).cast("string")) if strict else stringify
+    types = dict(df.dtypes)
+    conv = (lambda c: F.col(c).cast("string")) if strict else (lambda c: stringify(c, dtype=types[c]))
     return df.select(*keep, *[conv(c).alias(c) for c in TRIPLET_ROLES])
 
 
@@ -48,7 +49,8 @@ def prepare_regression(df: DataFrame, mapping: dict[str, str] = REGRESSION_MAPPI
     null and ``label_ok`` is false, instead of failing the whole job.
     """
     require(df, list(mapping))
-    out = [stringify(old).alias(new) for old, new in mapping.items()]
+    types = dict(df.dtypes)
+    out = [stringify(old, dtype=types[old]).alias(new) for old, new in mapping.items()]
     x = df.select(*keep, *out)
     label = mapping.get("score", "label")
     return x.withColumn(label, F.col(label).try_cast("double")) \

@@ -131,3 +131,9 @@ def test_with_index_null_keys_and_orders(spark):
     ref = df.withColumn("idx", (F.row_number().over(Window.partitionBy("k").orderBy("id")) - 1).cast("long"))
     assert sorted(map(tuple, ours.select("id", "k", "idx").collect()), key=str) == \
         sorted(map(tuple, ref.select("id", "k", "idx").collect()), key=str)
+
+
+def test_stringify_like_python(spark):
+    df = spark.createDataFrame([("s", True, None), ("t", False, 3)], "src string, pos boolean, neg int")
+    rows = [(r.src, r.pos, r.neg) for r in T.prepare_triplets(df).orderBy("src").collect()]
+    assert rows == [("s", str(True), str(None)), ("t", str(False), str(3))]
