@@ -71,9 +71,23 @@ def main() -> None:
                "judge_score": ("judge_responses_parsed_per_sec", counts["events"]),
                "answers_long": ("answers_exploded_per_sec", 25 * counts["events"])}
     rates = {label: round(n / times[q], 1) for q, (label, n) in per_row.items() if q in times}
+    # calls saved (not timed): rows x models vs distinct requests vs cache misses
+    sweep = {}
+    try:
+        exp = QUERIES["sweep_expand"](spark, sf_dir).collect()
+        rep = QUERIES["cache_report"](spark, sf_dir).collect()
+        rows_total = sum(r.n_rows for r in exp)
+        keys_total = sum(r.n_keys for r in exp)
+        misses = sum(r.misses for r in rep)
+        sweep = {"rows": rows_total, "distinct_requests": keys_total, "warm_cache_misses": misses,
+                 "saved_by_dedupe": round(1 - keys_total / rows_total, 4),
+                 "saved_by_warm_cache": round(1 - misses / keys_total, 4)}
+    except Exception as e:  # noqa: BLE001
+        errors["sweep_counts"] = f"{type(e).__name__}: {str(e)[:200]}"
     m = re.search(r"sf([0-9.]+)", sf_dir)
     out = {"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
-           "queries": times, "rates": rates, "sf": float(m.group(1)) if m else sf_dir, "cpus": cpus}
+           "queries": times, "rates": rates, "sweep": sweep, "sf": float(m.group(1)) if m else sf_dir,
+           "cpus": cpus}
     if errors:
         out["errors"] = errors
     print(json.dumps(out))
