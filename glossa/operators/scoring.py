@@ -28,13 +28,16 @@ RESULT_SCHEMA = "request_id string, chat_model string, full_response string, err
 CONTENT_PATH = "$.choices[0].message.content"
 
 
-def _call_with_retries(client, request: dict, attempts: int, timeout_s: float, backoff_s: float):
+def _call_with_retries(client, request: dict, attempts: int, timeout_s: float, backoff_s: float,
+                       retry_if: Callable | None = None):
     err = None
     for i in range(1, attempts + 1):
         try:
             return client(request, timeout=timeout_s), None, i
         except Exception as e:  # noqa: BLE001 - every failure becomes a row value
             err = f"{type(e).__name__}: {e}"
+            if retry_if is not None and not retry_if(e):
+                return None, err, i
             if i < attempts and backoff_s > 0:
                 time.sleep(backoff_s * (2 ** (i - 1)))
     return None, err, attempts
@@ -45,12 +48,13 @@ def score_requests(requests: DataFrame, client_factory: Callable, model_col: str
                    include_reasoning: bool = INCLUDE_REASONING, threads: int = 8,
                    timeout_s: float = TIMEOUT_S, attempts: int = RETRY_ATTEMPTS,
                    backoff_s: float = 1.0, partitions: int | None = None,
-                   concurrency: int | None = None) -> DataFrame:
+                   concurrency: int | None = None, retry_if: Callable | None = None) -> DataFrame:
     """Send one chat request per row; returns ``RESULT_SCHEMA`` rows (raw JSON kept).
 
     ``concurrency`` caps the requests in flight across the cluster (e.g. the
     sweep's 30, or 5 in test mode): it picks ``partitions`` x ``threads`` with
-    a product of at most ``concurrency``.
+    a product of at most ``concurrency``. ``retry_if(exception)`` decides whether
+    a failure is worth another attempt (default: every failure is retried).
     """
     if concurrency:
         partitions = -(-concurrency // max(1, min(threads, concurrency)))
@@ -63,8 +67,8 @@ def score_requests(requests: DataFrame, client_factory: Callable, model_col: str
                 reqs = [{"model": m, "messages": [{"role": "user", "content": c}],
                          "temperature": temperature, "include_reasoning": include_reasoning}
                         for m, c in zip(pdf[model_col], pdf[content_col])]
-                res = list(pool.map(lambda r: _call_with_retries(client, r, attempts, timeout_s, backoff_s),
-                                    reqs))
+                res = list(pool.map(lambda r: _call_with_retries(client, r, attempts, timeout_s, backoff_s,
+                                                                 retry_if), reqs))
                 yield pd.DataFrame({"request_id": pdf["request_id"].values,
                                     "chat_model": pdf[model_col].values,
                                     "full_response": [r[0] for r in res],

@@ -98,3 +98,10 @@ def test_concurrency_cap(spark):
     assert out.count() == 40
     out = score_requests(req, EchoClient, backoff_s=0.0, concurrency=30, threads=8)
     assert out.rdd.getNumPartitions() == 4
+
+
+def test_retry_if_stops_on_permanent_errors(spark):
+    req = spark.createDataFrame([("k1", "m", "hello")], "request_id string, chat_model string, content string")
+    out = score_requests(req, lambda: FlakyClient(9), backoff_s=0.0, attempts=5,
+                         retry_if=lambda e: not isinstance(e, TimeoutError)).first()
+    assert out.attempts == 1 and "TimeoutError" in out.error
