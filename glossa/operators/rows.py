@@ -59,11 +59,11 @@ def with_index(df: DataFrame, order_col: str, by: Sequence[str] = (), out: str =
         x = _join_null_safe(df, stats, by, hint_broadcast=stats.count() <= MAX_BROADCAST_GROUPS)
         keys = ["_gid"]
     else:
-        s = df.select(F.struct(F.min(o).alias("lo"), F.max(o).alias("hi"),
-                               F.count(F.lit(1)).alias("n"))).scalar()
-        # one scalar subquery, projected once, then read field by field
-        x = df.withColumn("_s", s)
-        x = x.withColumns({"_lo": F.col("_s.lo"), "_hi": F.col("_s.hi"), "_n": F.col("_s.n")}).drop("_s")
+        # one aggregate row (min, max, count), evaluated once and used as constants
+        lo, hi, n = df.agg(F.min(o), F.max(o), F.count(F.lit(1))).first()
+        if not n:
+            return df.withColumn(out, F.lit(None).cast("long"))
+        x = df.withColumns({"_lo": F.lit(lo), "_hi": F.lit(hi), "_n": F.lit(n)})
         keys = []
     ranges = F.ceil(F.col("_n") / F.lit(float(rows_per_range)))
     span = (F.col("_hi") - F.col("_lo")).cast("double") + F.lit(1.0)

@@ -69,9 +69,9 @@ def eval_split(df: DataFrame, order_col: str, frac: float = EVAL_FRACTION, key_c
         key = F.sha2(F.col(key_col or order_col).cast("string"), 256)
         cut = format(int(256 * frac), "02x")
         return df.withColumn("split", F.when(F.substring(key, 1, 2) < F.lit(cut), "eval").otherwise("train"))
-    n = df.select(F.count(F.lit(1))).scalar()
+    cut = int(df.count() * frac)        # floor(n * frac), evaluated once
     x = with_index(df, order_col, out="_pos")
-    return x.withColumn("is_eval", F.col("_pos") < F.floor(n * F.lit(frac))).drop("_pos")
+    return x.withColumn("is_eval", F.col("_pos") < F.lit(cut)).drop("_pos")
 
 
 def seeded_key(key_col: str, seed: int = SHUFFLE_SEED):

@@ -41,21 +41,27 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
     return spread(df, current_partitions=_SPLITS[key])
 
 
+def _bench_key(doc_id, n: int):
+    """``doc_id % n``; with an empty benchmark nothing pairs (and nothing divides by zero)."""
+    return doc_id % F.lit(n) if n else F.lit(None).cast("long")
+
+
 def v_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation pairs: each document paired with a benchmark passage.
 
-    ``doc_id % n`` needs the benchmark size; it is a scalar subquery (one tiny
-    aggregate job), then an equi-join on the computed key. The benchmark side
-    is broadcast by AQE only when its measured size is under the threshold.
+    ``doc_id % n`` needs the benchmark size; it is counted once (one tiny job)
+    and used as a constant, then an equi-join on the computed key. The
+    benchmark side is broadcast by AQE only when its measured size is under the
+    threshold.
     """
     d = table(spark, sf_dir, "documents")
     b = table(spark, sf_dir, "benchmark")
-    n = b.select(F.count(F.lit(1))).scalar()
+    n = b.count()
     left = d.select(F.col("doc_id").alias("row_id"), F.col("text").alias("src"),
                     F.concat(F.col("lang"), F.lit("-en")).alias("pair"),
                     F.col("source").alias("model"),
                     F.concat(F.lit("set"), (F.col("doc_id") % 3).cast("string")).alias("dataset"),
-                    (F.col("doc_id") % n).alias("_k"))
+                    _bench_key(F.col("doc_id"), n).alias("_k"))
     right = b.select(F.col("item_id").alias("_k"), F.col("text").alias("tgt"))
     return left.join(right, "_k", "inner").select("row_id", "src", "tgt", "pair", "model", "dataset")
 
@@ -117,9 +123,9 @@ def v_qe(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     lab = table(spark, sf_dir, "labels")
     b = table(spark, sf_dir, "benchmark")
-    n = b.select(F.count(F.lit(1))).scalar()
+    n = b.count()
     x = (d.select("doc_id", "text").join(lab.select("doc_id", "quality"), "doc_id", "inner")
-          .withColumn("_k", F.col("doc_id") % n))
+          .withColumn("_k", _bench_key(F.col("doc_id"), n)))
     return (x.join(b.select(F.col("item_id").alias("_k"), F.col("text").alias("target")), "_k", "inner")
              .select(F.col("doc_id").alias("row_id"), F.col("text").alias("source"), "target",
                      F.col("quality").alias("score")))
