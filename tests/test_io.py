@@ -71,3 +71,12 @@ def test_json_document_keeps_unicode(spark, tmp):
     text = "".join(open(f"{tmp}/doc/segments/{f}", encoding="utf-8").read() for f in files)
     assert "下雨" in text
     assert json.loads(text.strip().splitlines()[0])["source"] == "下雨"
+
+
+def test_csv_text_by_default_inference_opt_in(spark, tmp):
+    df = spark.createDataFrame([(1, "a", 0.5), (2, "b", 1.5)], "id long, s string, x double")
+    write_table(df.coalesce(1), f"{tmp}/typed", fmt="csv")
+    plain = read_table(spark, f"{tmp}/typed", fmt="csv")
+    assert dict(plain.dtypes) == {"id": "string", "s": "string", "x": "string"}
+    inferred = read_table(spark, f"{tmp}/typed", fmt="csv", infer=True, sampling_ratio=1.0)
+    assert dict(inferred.dtypes) == {"id": "int", "s": "string", "x": "double"}

@@ -60,3 +60,9 @@ def test_segment_job(spark, tmp):
     summary = [json.loads(line) for f in os.listdir(f"{tmp}/doc/summary") if f.endswith(".json")
                for line in open(f"{tmp}/doc/summary/{f}", encoding="utf-8")]
     assert len(summary) == 1 and summary[0]["n_segments"] == 3 and summary[0]["model_info"]["scorer"] == "length-ratio"
+
+
+def test_with_row_id_sparse(spark):
+    df = spark.range(0, 100).repartition(4)
+    ids = [r.row_id for r in with_row_id(df, dense=False).collect()]
+    assert len(set(ids)) == 100
