@@ -90,3 +90,45 @@ def segment_job(spark: SparkSession, input_path: str, output_path: str, scorer_f
     segs = segs.select(*cols, "error_spans")
     # segments written first, summary from the files: the scorer runs once
     return write_scored_document(segs, output_path, lambda x: score_document(x, by=(), model_info=model_info))
+
+
+def regression_tables_job(spark: SparkSession, input_path: str, output_path: str, *, fmt: str = "csv",
+                          batch_size: int = 8, frac: float = 0.2, debug: bool = False) -> dict[str, DataFrame]:
+    """Regression training tables: rename and check columns, label to float, the
+    evaluation slice (first ``frac`` of rows in file order, also kept in train),
+    a seeded order, batches; in debug mode 10 train rows and 4 eval rows.
+
+    Writes ``train/`` and ``eval/`` under ``output_path`` and returns them as read back.
+    """
+    from glossa.operators import training as T
+
+    rows = T.prepare_regression(load(spark, input_path, fmt), keep=["row_id"])
+    split = T.eval_split(rows, "row_id", frac=frac)
+    train = T.seeded_order(split, "row_id")
+    evals = train.where("is_eval")
+    if debug:
+        train = T.debug_sample(train, "row_id", 10)
+        evals = T.head_in_order(train, 4, "shuffle_key", "row_id")
+    out = {}
+    for name, df in (("train", train), ("eval", evals)):
+        batched = T.assign_batches(df, "row_id", batch_size) if not debug else df
+        batched.write.mode("errorifexists").parquet(f"{output_path}/{name}")
+        out[name] = spark.read.schema(batched.schema).parquet(f"{output_path}/{name}")
+    return out
+
+
+def ranking_tables_job(spark: SparkSession, input_path: str, output_path: str, *, fmt: str = "csv",
+                       batch_size: int = 8, max_length: int = 512, debug: bool = False) -> DataFrame:
+    """Ranking training table: ``ref`` filled from ``src`` when the column is
+    missing, values as text, batches of ``batch_size`` and the role layout
+    (src, ref, pos, neg) with padded tokens and masks per role; debug keeps 10 rows."""
+    from glossa.functions.tokens import pad_encode
+    from glossa.operators import training as T
+
+    rows = T.prepare_triplets(load(spark, input_path, fmt), keep=["row_id"])
+    if debug:
+        rows = T.head_in_order(rows, 10, "row_id")
+    long = T.to_roles(T.assign_batches(rows, "row_id", batch_size), T.TRIPLET_ROLES)
+    encoded = long.withColumn("enc", pad_encode(F.col("text"), max_length))
+    encoded.write.mode("errorifexists").parquet(output_path)
+    return spark.read.schema(encoded.schema).parquet(output_path)

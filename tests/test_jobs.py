@@ -66,3 +66,21 @@ def test_with_row_id_sparse(spark):
     df = spark.range(0, 100).repartition(4)
     ids = [r.row_id for r in with_row_id(df, dense=False).collect()]
     assert len(set(ids)) == 100
+
+
+def test_training_table_jobs(spark, tmp):
+    df = spark.createDataFrame([(f"s{i}", f"t{i}", float(i % 3) if i != 7 else None) for i in range(30)],
+                               "source string, target string, score double")
+    write_table(df.coalesce(1), f"{tmp}/regr", fmt="csv")
+    out = jobs.regression_tables_job(spark, f"{tmp}/regr", f"{tmp}/regr_out")
+    assert out["train"].count() == 30 and out["eval"].count() == 6
+    assert out["train"].where("not label_ok").count() == 1          # the missing score
+    dbg = jobs.regression_tables_job(spark, f"{tmp}/regr", f"{tmp}/regr_dbg", debug=True)
+    assert dbg["train"].count() == 10 and dbg["eval"].count() == 4
+    tri = spark.createDataFrame([(f"s{i}", f"p{i}", f"n{i}") for i in range(9)], "src string, pos string, neg string")
+    write_table(tri.coalesce(1), f"{tmp}/rank", fmt="csv")
+    long = jobs.ranking_tables_job(spark, f"{tmp}/rank", f"{tmp}/rank_out", max_length=4)
+    assert long.count() == 9 * 4
+    assert {r.role for r in long.collect()} == {"src", "ref", "pos", "neg"}
+    r = long.where("role = 'ref' and text = 's0'").first()
+    assert r.enc.tokens == ["s0", "<pad>", "<pad>", "<pad>"]
