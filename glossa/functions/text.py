@@ -27,13 +27,10 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _regex_quote(s: str) -> str:
-    return "".join("\\" + ch if not ch.isalnum() and ch != " " else ch for ch in s)
-
-
 def after_last(text: Column | str, marker: str) -> Column:
-    """Text after the last occurrence of ``marker``; the whole text when absent."""
-    return F.element_at(F.split(_c(text), _regex_quote(marker), -1), -1)
+    """Text after the last occurrence of ``marker``; the whole text when absent
+    (``str.split(marker)[-1]``), without building the split array."""
+    return F.substring_index(_c(text), marker, -1)
 
 
 @lru_cache(maxsize=1)
