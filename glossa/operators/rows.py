@@ -42,8 +42,9 @@ def with_index(df: DataFrame, order_col: str, by: Sequence[str] = (), out: str =
     """0-based position within each ``by`` group in ``order_col`` order.
 
     Same result as ``row_number() over (partition by by order by order_col) - 1``
-    (null keys form a group, null order values come first) for an order column
-    unique within its group.
+    (null keys form a group, null order values come first). ``order_col`` must be
+    numeric (ranges are cut on its value) and unique within its group (ties
+    would make any row numbering nondeterministic).
     """
     by = list(by)
     o = F.col(order_col)
