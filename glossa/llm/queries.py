@@ -7,8 +7,9 @@ their own general interfaces; the digest columns are derived here.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from glossa.llm.common import table
+from glossa.llm.common import held_out, table
 
 
 def vocab_path(name: str) -> str:
@@ -26,6 +27,33 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm import language_id as m
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", held_out("doc_id", 5, 0))
+    model = m.fit(docs.where(~F.col("held_out")))
+    return m.with_language(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm import toxicity as m
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out("doc_id", 5, 0))
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0)).select("doc_id", "toxic")
+    lexicon = m.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return m.with_toxicity(docs, lexicon).select("doc_id", "held_out", "score", "predicted")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), vocab_path("word_bpe_49k.json"))
+
+
 QUERIES = {
+    "op9_packing": op9_packing,
+    "op4_toxicity": op4_toxicity,
     "op6_token_counts": op6_token_counts,
+    "op10_language_id": op10_language_id,
 }
