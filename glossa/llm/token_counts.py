@@ -44,7 +44,7 @@ from glossa.llm.common import prepare
 
 CHUNK = 128               # characters per chunk of the prefix scan
 STREAM_CHARS = 2_000_000  # characters handled at once
-MAX_MEMO = 1_000_000      # distinct pieces remembered per worker
+MAX_MEMO = 400_000         # distinct pieces (and machine states) remembered per worker
 
 # Character classes. Letters of the contractions have classes of their own.
 SEP, WS, SP, APOS, LETTER, DIGIT, OTHER = range(7)
