@@ -19,6 +19,19 @@ def vocab_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.katz import score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(docs.withColumn("train", ~held_out("doc_id", 7, 2)))
+
+
+def op5_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.shingle_join import join
+
+    return join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossa.llm.token_counts import with_token_counts
 
@@ -51,9 +64,39 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), vocab_path("word_bpe_49k.json"))
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def op2_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.vector_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op7_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.vector_search import search
+
+    return search(table(spark, sf_dir, "embeddings"))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.html_text import with_main_text
+
+    return with_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
 QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_vector_dedup": op2_vector_dedup,
+    "op7_vector_search": op7_vector_search,
+    "op8_html_text": op8_html_text,
     "op9_packing": op9_packing,
     "op4_toxicity": op4_toxicity,
+    "op3_katz": op3_katz,
+    "op5_shingle_join": op5_shingle_join,
     "op6_token_counts": op6_token_counts,
     "op10_language_id": op10_language_id,
 }
