@@ -312,7 +312,7 @@ def _finish(counted: DataFrame, d: np.ndarray, split: dict[int, np.ndarray]):
             for i, x in enumerate(contexts.tolist()):
                 if x in shared.value:
                     table[i] = shared.value[x]
-            alpha = np.zeros(int(where.max(initial=-1)) + 1)
+            alpha = np.zeros(int(where.max(initial=0)) + 1)
             alpha[where] = weights(count, table)
         for k, batch, blob in zip(g["kind"], g["batch"], g["blob"]):
             if k == 1:

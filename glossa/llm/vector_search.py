@@ -117,7 +117,7 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                            F.explode(F.sequence(F.lit(0), F.lit(ib - 1))).alias("ib")))
     right = (index.select("id", "dim", "vector", "code", "scale",
                           F.pmod(F.xxhash64(F.lit("i"), "id"), F.lit(ib)).cast("int").alias("ib"),
-                          F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).cast("long").alias("qb")))
+                          F.explode(F.sequence(F.lit(0).cast("long"), F.lit(qb - 1).cast("long"))).alias("qb")))
     found = left.groupBy("dim", "qb", "ib").cogroup(right.groupBy("dim", "qb", "ib")).applyInPandas(
         lambda a, b: _block(a, b, k), "query_id long, vec_id long, score double")
     # an id that occurs with several vectors counts with its nearest
