@@ -43,10 +43,10 @@ from glossa.llm.vector_search import units, usable
 THRESHOLD = 0.98
 LINES = 24
 WINDOW = 2.0
-HALO = 1.5
-MISS = 1e-4
+HALO = 2.0
+MISS = 1e-7
 BLOCK = 1024
-SHRINK = 0.66        # bits a cut takes off a block's size, halo copies included
+SHRINK = 0.6         # bits a cut takes off a block's size, halo copies included
 SEED = 11
 
 
