@@ -52,7 +52,7 @@ WORD = regex.compile(r"\p{L}+")
 LOOKALIKES = dict(zip(map(ord, "авеікмнорстухѕјԁԛԝгαβεικνορτυχ"), "abeikmhopctyxsjdqwrabeiknoptux"))
 SIGNS = dict(zip("013457@$!|", "oieastasil"))
 _FOREIGN = regex.compile("[" + "".join(map(chr, LOOKALIKES)) + "]")
-_SIGN = regex.compile(r"(?<=\p{L})[013457@$!|]+(?=\p{L})|(?<![\p{L}\p{N}])[013457@$](?=\p{L}{2})")
+_SIGN = regex.compile(r"(?<=\p{L})[013457@$!|]+(?=\p{L})|(?<![\p{L}\p{N}])[013457@$](?=\p{L})")
 
 
 def fold(text: str) -> str:
