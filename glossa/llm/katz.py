@@ -20,9 +20,9 @@ Work flow. All tables are partitioned by hash and hold packed arrays, one row pe
 (bucket, batch) instead of one per token:
 
 1. Batches of texts become token tables: local word ids, word hashes, training counts.
-2. Word counts: words go to buckets by hash; a bucket adds up the counts and
-   answers every batch for its own words; counts of counts are added over buckets.
-3. Each batch, now knowing its words' counts, sends its distinct pairs with their
+2. Word counts: words go to buckets by hash; a bucket adds up the counts, numbers
+   its words and answers every batch for its own; counts of counts are added over buckets.
+3. Each batch, now knowing its words' numbers and counts, sends its distinct pairs with their
    training counts and the documents they occur in to buckets by context. Hot
    contexts (more than 1/``SALT`` of a bucket) are split by the second word.
 4. A bucket adds up pair counts over batches. All that does not depend on the
@@ -56,7 +56,8 @@ K = 5
 SALT = 8
 BATCH_CHARS = 12_000_000
 DOCS_PER_BUCKET = 4000
-END, BEGIN = 1, 2          # hashes of the end token and of the begin of a text
+END = 1                    # hash of the end token
+UNKNOWN, BEGIN = 0, 1      # word numbers; known words follow
 NO_ID = -(1 << 63)
 _U = np.uint64
 
@@ -82,8 +83,11 @@ def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
+    """Compressed arrays; the bytes of a number are stored in planes, so the mostly
+    empty high bytes and the skewed low ones compress by themselves."""
+    planes = [np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T) for a in arrays]
     raw = b"".join([np.array([len(arrays), *(a.nbytes for a in arrays)], np.int64).tobytes(),
-                    *(np.ascontiguousarray(a).tobytes() for a in arrays)])
+                    *(x.tobytes() for x in planes)])
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
@@ -93,7 +97,9 @@ def _unpack(blob: bytes, *dtypes) -> list[np.ndarray]:
     sizes = np.frombuffer(raw, np.int64, n, 8).tolist()
     out, at = [], 8 * (n + 1)
     for size, dtype in zip(sizes, dtypes, strict=True):
-        out.append(np.frombuffer(raw, dtype, size // np.dtype(dtype).itemsize, at))
+        width = np.dtype(dtype).itemsize
+        planes = np.frombuffer(raw, np.uint8, size, at).reshape(width, size // width)
+        out.append(np.ascontiguousarray(planes.T).view(dtype).reshape(-1))
         at += size
     return out
 
@@ -108,9 +114,10 @@ def _bucket(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> _U(32)) % _U(n)).astype(np.int64)
 
 
-def token_tables(docs: DataFrame) -> DataFrame:
+def token_tables(docs: DataFrame, buckets: int) -> DataFrame:
     """One row per batch: batch, documents (id, training flag, tokens), local word
-    ids of all tokens, word hashes and their training counts. ``docs``: doc_id, text, train."""
+    ids of all tokens, word hashes and their training counts, and the words' order by
+    bucket. ``docs``: doc_id, text, train."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task, k = TaskContext.get().partitionId() << 24, 0
         for b in batches:
@@ -128,18 +135,25 @@ def token_tables(docs: DataFrame) -> DataFrame:
                 ids = np.concatenate(ids)
                 train = part["train"].to_numpy(np.uint8)
                 hashes = np.array([END, *map(xxhash.xxh3_64_intdigest, index)], np.uint64)
+                # frequent words first: small numbers compress
+                order = np.argsort(-np.bincount(ids, minlength=len(hashes)), kind="stable")
+                place = np.empty(len(order), np.int32)
+                place[order] = np.arange(len(order), dtype=np.int32)
+                ids, hashes = place[ids], hashes[order]
                 counts = np.bincount(ids[np.repeat(train, n) > 0], minlength=len(hashes)).astype(np.uint32)
                 yield pd.DataFrame({"batch": [task + k], "docs": [_pack(
                     part["doc_id"].fillna(NO_ID).to_numpy(np.int64), train, n)],
-                    "ids": [_pack(ids)], "words": [_pack(hashes, counts)]})
+                    "ids": [_pack(ids)], "words": [_pack(hashes, counts)],
+                    "place": [_pack(np.argsort(_bucket(hashes, buckets), kind="stable").astype(np.uint32))]})
                 k += 1
 
-    return docs.mapInPandas(run, "batch long, docs binary, ids binary, words binary")
+    return docs.mapInPandas(run, "batch long, docs binary, ids binary, words binary, place binary")
 
 
 def word_counts(tokens: DataFrame, buckets: int) -> DataFrame:
-    """(batch, bucket, counts): the training counts of a batch's words of one bucket,
-    in the batch's order; batch -1 has the bucket's N, V and counts of counts."""
+    """(batch, bucket, counts): numbers and training counts of a batch's words of one
+    bucket, in the batch's order; batch -1 has the bucket's N, V and counts of counts.
+    A word's number is its rank by count in its bucket, interleaved over the buckets."""
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for batch, blob in zip(b["batch"], b["words"]):
@@ -155,8 +169,11 @@ def word_counts(tokens: DataFrame, buckets: int) -> DataFrame:
         got = [_unpack(x, np.uint64, np.uint32) for x in g["blob"]]
         _, back = np.unique(np.concatenate([x[0] for x in got]), return_inverse=True)
         total = np.bincount(back, np.concatenate([x[1] for x in got])).astype(np.int64)
+        rank = np.empty(len(total), np.int64)
+        rank[np.argsort(-total, kind="stable")] = np.arange(len(total))
+        number = np.where(total > 0, BEGIN + 1 + rank * buckets + int(g["bucket"].iat[0]), UNKNOWN)
         stop = np.cumsum([len(x[0]) for x in got])
-        blobs = [_pack(total[back[e - len(x[0]):e]]) for x, e in zip(got, stop.tolist())]
+        blobs = [_pack(number[back[e - len(x[0]):e]], total[back[e - len(x[0]):e]]) for x, e in zip(got, stop.tolist())]
         few = np.bincount(np.minimum(total, K + 2), minlength=K + 3)
         blobs.append(_pack(np.concatenate([[total.sum(), (total > 0).sum()], few[1:K + 2]]).astype(np.int64)))
         return pd.DataFrame({"batch": [*g["batch"], -1], "bucket": int(g["bucket"].iat[0]), "counts": blobs})
@@ -169,15 +186,25 @@ def _statistics(rows) -> np.ndarray:
     return np.sum([_unpack(r[0], np.int64)[0] for r in rows], axis=0) if rows else np.zeros(K + 3, np.int64)
 
 
+def _word_probability(stats: np.ndarray):
+    """(discounted p of a known word by its count, p of the unknown word)."""
+    n_all, d = int(stats[0]), discounts(stats[2:K + 3])
+    r = np.arange(1, K + 1)
+    known = (discounted(r, d) - r) @ stats[2:K + 2] + n_all
+    unknown = 1.0 - float(known) / (n_all + 1)
+    return (lambda c: np.where(c > 0, discounted(c, d) / (n_all + 1), unknown)), unknown
+
+
+def _hot(stats: np.ndarray, buckets: int) -> int:
+    return max(64, int(stats[0]) // (buckets * SALT))
+
+
 def _pairs(tokens: DataFrame, counts: DataFrame, buckets: int, stats: np.ndarray) -> DataFrame:
-    """Pairs of every batch by bucket of their context, and the batch's own document
-    rows (bucket of the batch, kind 0)."""
-    n_all, v = int(stats[0]), int(stats[1])
-    d = discounts(stats[2:])
-    p_unknown = 1.0 - float((discounted(np.arange(1, K + 1), d) * stats[2:K + 2]).sum()
-                            + n_all - (np.arange(1, K + 1) * stats[2:K + 2]).sum()) / (n_all + 1)
-    n_train = int(stats[K + 3])
-    hot = max(64, n_all // (buckets * SALT))
+    """Pairs of every batch by bucket of their context (kind 1), and the batch's own
+    document rows (bucket of the batch, kind 0)."""
+    n_all, v, n_train = (int(stats[k]) for k in (0, 1, K + 3))
+    p_word, _ = _word_probability(stats)
+    hot = _hot(stats, buckets)
 
     def run(t: pd.DataFrame, u: pd.DataFrame) -> pd.DataFrame:
         if t.empty:
@@ -185,58 +212,69 @@ def _pairs(tokens: DataFrame, counts: DataFrame, buckets: int, stats: np.ndarray
         batch = int(t["batch"].iat[0])
         doc_ids, train, n = _unpack(t["docs"].iat[0], np.int64, np.uint8, np.int32)
         (ids,) = _unpack(t["ids"].iat[0], np.int32)
-        hashes, _ = _unpack(t["words"].iat[0], np.uint64, np.uint32)
-        order = np.argsort(_bucket(hashes, buckets), kind="stable")
-        c = np.empty(len(hashes), np.int64)
-        c[order] = np.concatenate([_unpack(x, np.int64)[0] for x in u.sort_values("bucket")["counts"]])
-        doc = np.repeat(np.arange(len(n)), n)
+        # the answers come by bucket of the word; ``place`` is where each belongs
+        (place,) = _unpack(t["place"].iat[0], np.uint32)
+        got = [_unpack(x, np.int64, np.int64) for x in u.sort_values("bucket")["counts"]]
+        number, c = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
+        number[place] = np.concatenate([x[0] for x in got])
+        c[place] = np.concatenate([x[1] for x in got])
+        doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
         start = np.cumsum(n) - n
         base = np.bincount(doc, np.log10((c + 1.0) / (n_all + v + 1.0))[ids], len(n))
         known = np.bincount(doc, (c > 0)[ids], len(n)).astype(np.int64)
-        rows = [(batch % buckets, 0, batch, _pack(doc_ids, train, n, known, base))]
 
-        p1 = np.where(c > 0, discounted(c, d) / (n_all + 1), p_unknown)
-        m = len(hashes)
+        m = len(c)
         before = np.empty(len(ids), np.int64)
         before[1:] = ids[:-1]
         before[start] = m                                   # the begin of a text
-        context_hash = np.append(hashes, _U(BEGIN))
-        context_count = np.append(c, n_train)
-        # tokens by pair
-        key = before * m + ids
+        context, context_count = np.append(number, BEGIN), np.append(c, n_train)
+        # after an unknown context the word decides alone
+        alone = context_count[before] == 0
+        part = np.bincount(doc[alone], np.log10(p_word(c))[ids[alone]], len(n))
+        rows = [(batch % buckets, 0, batch, _pack(doc_ids, train, n, known, base, part))]
+        # the other tokens by pair; unknown words are one word
+        local = np.where(c > 0, np.arange(m), m)
+        keep = np.flatnonzero(~alone)
+        key = before[keep] * (m + 1) + local[ids[keep]]
         by = np.argsort(key, kind="stable")
-        key, token_doc = key[by], doc[by]
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(at, len(key)))
-        learn = np.add.reduceat(train[token_doc].astype(np.int64), at)
-        h, w = key[at] // m, key[at] % m
-        salt = np.where(context_count[h] > hot, hashes[w] >> _U(7), _U(0))
-        with np.errstate(over="ignore"):
-            to = _bucket((context_hash[h] ^ salt * _U(0x9E3779B97F4A7C15)) * _U(0xD6E8FEB86659FD93), buckets)
-        order = np.argsort(to, kind="stable")
-        cut = np.searchsorted(to[order], np.arange(buckets + 1))
-        for k in np.unique(to).tolist():
-            x = order[cut[k]:cut[k + 1]]
-            hk, hi = np.unique(h[x], return_inverse=True)
-            wk, wi = np.unique(w[x], return_inverse=True)
-            picked = np.repeat(at[x], size[x]) + np.arange(size[x].sum()) - np.repeat(np.cumsum(size[x]) - size[x], size[x])
-            rows.append((k, 1, batch, _pack(
-                np.array([len(n)], np.int64), context_hash[hk], context_count[hk], hashes[wk], p1[wk],
-                hi.astype(np.uint32), wi.astype(np.uint32), learn[x].astype(np.uint32), size[x].astype(np.uint32),
-                token_doc[picked].astype(np.uint32))))
+        key, token_doc = key[by], doc[keep[by]]
+        if len(key):
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(at, len(key)))
+            learn = np.add.reduceat(train[token_doc].astype(np.int64), at)
+            h, w = key[at] // (m + 1), key[at] % (m + 1)
+            word, word_count = np.append(number, UNKNOWN)[w], np.append(c, 0)[w]
+            salt = np.where(context_count[h] > hot, word, 0).astype(np.uint64)
+            with np.errstate(over="ignore"):
+                to = _bucket((context[h].astype(np.uint64) + salt * _U(0x9E3779B97F4A7C15)) * _U(0xD6E8FEB86659FD93), buckets)
+            order = np.lexsort((word, context[h], to))
+            cut = np.searchsorted(to[order], np.arange(buckets + 1))
+            for k in np.unique(to).tolist():
+                x = order[cut[k]:cut[k + 1]]
+                hk, first, per = np.unique(context[h[x]], return_index=True, return_counts=True)
+                wk, some, wi = np.unique(word[x], return_index=True, return_inverse=True)
+                many = size[x]
+                picked = np.repeat(at[x], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                rows.append((k, 1, batch, _pack(
+                    np.array([len(n)], np.int64), np.diff(hk, prepend=0), context_count[h[x][first]], per.astype(np.uint32),
+                    np.diff(wk, prepend=0), word_count[x[some]], wi.astype(np.uint32), learn[x].astype(np.uint32),
+                    many.astype(np.uint32), token_doc[picked].astype(np.uint32))))
         return pd.DataFrame(rows, columns=["bucket", "kind", "batch", "blob"])
 
     return tokens.groupBy("batch").cogroup(counts.groupBy("batch")).applyInPandas(
         run, "bucket int, kind int, batch long, blob binary")
 
 
-PAIR_TYPES = (np.int64, np.uint64, np.int64, np.uint64, np.float64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32)
+# documents of the batch; contexts: number (differences), count, pairs of each; words:
+# number (differences), count; pairs: word, training count, tokens; tokens: document
+PAIR_TYPES = (np.int64, np.int64, np.int64, np.uint32, np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.uint32)
 
 
-def _count_pairs(pairs: DataFrame, buckets: int, n_all: int) -> DataFrame:
+def _count_pairs(pairs: DataFrame, buckets: int, stats: np.ndarray) -> DataFrame:
     """Per bucket: kind 0 rows as they are; kind 1: partial sums per batch; kind 2:
     context statistics (kind 3: those of split contexts); kind 4: counts of counts."""
-    hot = max(64, n_all // (buckets * SALT))
+    hot = _hot(stats, buckets)
+    p_word, _ = _word_probability(stats)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         bucket = int(g["bucket"].iat[0])
@@ -246,14 +284,16 @@ def _count_pairs(pairs: DataFrame, buckets: int, n_all: int) -> DataFrame:
         if g.empty:
             return pd.DataFrame(rows, columns=["bucket", "kind", "batch", "blob"])
         got = [_unpack(x, *PAIR_TYPES) for x in g["blob"]]
-        contexts, first, hb = np.unique(np.concatenate([x[1] for x in got]), return_index=True, return_inverse=True)
+        contexts, first, hb = np.unique(np.concatenate([np.cumsum(x[1]) for x in got]), return_index=True,
+                                        return_inverse=True)
         count = np.concatenate([x[2] for x in got])[first]
-        words, first, wb = np.unique(np.concatenate([x[3] for x in got]), return_index=True, return_inverse=True)
-        p1 = np.concatenate([x[4] for x in got])[first]
+        words, first, wb = np.unique(np.concatenate([np.cumsum(x[4]) for x in got]), return_index=True,
+                                     return_inverse=True)
+        p1 = p_word(np.concatenate([x[5] for x in got])[first])
         key, ho, wo = [], 0, 0
         for x in got:
-            key.append(hb[ho + x[5]].astype(np.int64) * len(words) + wb[wo + x[6]])
-            ho, wo = ho + len(x[1]), wo + len(x[3])
+            key.append(np.repeat(hb[ho:ho + len(x[1])], x[3]) * len(words) + wb[wo + x[6]])
+            ho, wo = ho + len(x[1]), wo + len(x[4])
         pair, back = np.unique(np.concatenate(key), return_inverse=True)
         c = np.bincount(back, np.concatenate([x[7] for x in got])).astype(np.int64)
         h, w = pair // len(words), pair % len(words)
@@ -269,12 +309,12 @@ def _count_pairs(pairs: DataFrame, buckets: int, n_all: int) -> DataFrame:
         at = 0
         for batch, x in zip(g["batch"], got):
             n_docs = int(x[0][0])
-            token_pair = np.repeat(back[at:at + len(x[5])], x[8])
-            at += len(x[5])
+            token_pair = np.repeat(back[at:at + len(x[6])], x[8])
+            at += len(x[6])
             doc, ct = x[9], c[token_pair]
             sums = np.bincount(doc, part[token_pair], n_docs)
             small = np.stack([np.bincount(doc[ct == r], minlength=n_docs) for r in range(1, K + 1)]).astype(np.uint32)
-            no = (ct == 0) & (count[h[token_pair]] > 0)
+            no = ct == 0
             hn = h[token_pair[no]]
             asked[hn] = True
             used = np.flatnonzero((sums != 0) | (small.sum(0) > 0))
@@ -307,7 +347,7 @@ def _finish(counted: DataFrame, d: np.ndarray, split: dict[int, np.ndarray]):
         rows = [(b, 0, bucket, x) for k, b, x in zip(g["kind"], g["batch"], g["blob"]) if k == 0]
         alpha = np.zeros(0)
         for blob in g["blob"][g["kind"] == 2]:
-            where, contexts, count, table = _unpack(blob, np.uint32, np.uint64, np.int64, np.float64)
+            where, contexts, count, table = _unpack(blob, np.uint32, np.int64, np.int64, np.float64)
             table = table.reshape(-1, K + 2).copy()
             for i, x in enumerate(contexts.tolist()):
                 if x in shared.value:
@@ -325,11 +365,11 @@ def _finish(counted: DataFrame, d: np.ndarray, split: dict[int, np.ndarray]):
         return pd.DataFrame(rows, columns=["batch", "kind", "bucket", "blob"])
 
     def add(g: pd.DataFrame) -> pd.DataFrame:
-        doc_ids, train, n, known, base = _unpack(g["blob"][g["kind"] == 0].iat[0], np.int64, np.uint8, np.int32,
-                                                 np.int64, np.float64)
+        doc_ids, train, n, known, base, alone = _unpack(g["blob"][g["kind"] == 0].iat[0], np.int64, np.uint8, np.int32,
+                                                        np.int64, np.float64, np.float64)
         # the same order of addition whatever order the rows arrive in
         parts = g[g["kind"] == 1].sort_values("bucket")["blob"]
-        score = np.sum([_unpack(x, np.float64)[0] for x in parts], axis=0)
+        score = np.sum([alone, *(_unpack(x, np.float64)[0] for x in parts)], axis=0)
         return pd.DataFrame({"doc_id": doc_ids, "held_out": train == 0, "n_tokens": n.astype(np.int64),
                              "n_known": known, "base_score": base, "score": score})
 
@@ -346,16 +386,17 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", train: str =
                        F.coalesce(F.col(train), F.lit(True)).cast("int").alias("train"))
     buckets = max(partitions(spark), -(-slim.count() // DOCS_PER_BUCKET))
     n_train = slim.where("train = 1").count()
-    tokens = stage(token_tables(slim), "katz-tokens")
+    tokens = stage(token_tables(slim, buckets), "katz-tokens")
     counts = stage(word_counts(tokens, buckets), "katz-words")
     stats = np.append(_statistics(counts.where("batch = -1").select("counts").collect()), n_train)
-    pairs = _pairs(tokens, counts.where("batch >= 0"), buckets, stats)
-    counted = stage(_count_pairs(pairs, buckets, int(stats[0])), "katz-pairs")
+    # the hashes stay behind: from here on words are numbers
+    pairs = _pairs(tokens.select("batch", "docs", "ids", "place"), counts.where("batch >= 0"), buckets, stats)
+    counted = stage(_count_pairs(pairs, buckets, stats), "katz-pairs")
     few = np.sum([_unpack(r[0], np.int64)[0] for r in counted.where("kind = 4").select("blob").collect()]
                  or [np.zeros(K + 1, np.int64)], axis=0)
     split: dict[int, np.ndarray] = {}
     for r in counted.where("kind = 3").orderBy("bucket").select("blob").toLocalIterator():
-        contexts, _, table = _unpack(r[0], np.uint64, np.int64, np.float64)
+        contexts, _, table = _unpack(r[0], np.int64, np.int64, np.float64)
         for x, t in zip(contexts.tolist(), table.reshape(-1, K + 2)):
             split[x] = split.get(x, 0) + t
     run, add = _finish(counted, discounts(few), split)
