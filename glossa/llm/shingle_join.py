@@ -18,12 +18,14 @@ documents) do not count as rare, so a passage that many documents share rarely
 decides a signature. The order affects the work, never the result.
 
 Candidates and verification. Documents with the same set are one class (hash of
-the set) before anything is paired. Sets under one signature are first compared
-with the smallest of them (a star, linear in the signatures), by exact
-intersection. Where the members of a signature are then still in more than one
-component, all pairs across components are compared too, in tiles of bounded
-size, after a lower bound of the distance from 64-cell histograms has removed the
-hopeless ones. So every pair of similar sets is either linked or already in one component.
+the set) before anything is paired. A pair is first held against a lower bound of
+its distance (histograms of the shingles over 256 cells), then compared by exact
+intersection. Sets under one signature are first paired with the smallest of them
+(a star, linear in the signatures). Where the members of a signature are then still
+in more than one component, all pairs across components are taken too, in tiles of
+bounded size; signatures with the same members are one. So every pair of similar sets is
+either linked or already in one component. Only documents in a surviving pair have
+their sets built again; a bit map of fixed size keeps the others' texts out of the shuffle.
 
 Signatures travel as packed, compressed arrays per (batch, bucket): a row per
 signature would be an order of magnitude more rows.
@@ -54,7 +56,8 @@ LOAD = 2.0               # shingles per partition at a band's upper bound
 SMALL, SMALL_LOAD = 64, 0.25
 HOT_SHARE = 1000         # a shingle is common from one document in so many
 HOT_LEAST = 50
-CELLS = 64
+CELLS = 256
+BITS = 1 << 22          # slots of the bit map of wanted documents (512 KB)
 TILE = 2048
 BATCH_CHARS = 8_000_000
 DOCS_PER_BUCKET = 4000
@@ -119,7 +122,7 @@ def set_class(s: np.ndarray) -> int:
 
 
 def histogram(s: np.ndarray, cells: int = CELLS) -> np.ndarray:
-    return np.minimum(np.bincount((s >> _U(58)).astype(np.int64), minlength=cells), 255).astype(np.uint8)
+    return np.minimum(np.bincount((s % _U(cells)).astype(np.int64), minlength=cells), 255).astype(np.uint8)
 
 
 def bands(n: int) -> list[tuple[int, int, int]]:
@@ -197,15 +200,15 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def _pack(sig: np.ndarray, owner: np.ndarray, classes: np.ndarray, ids: np.ndarray, sizes: np.ndarray,
-          own: np.ndarray) -> bytes:
-    """Signatures (low 40 bits, sorted) with the index of their class, and document rows."""
+          own: np.ndarray, cells: np.ndarray) -> bytes:
+    """Signatures (low 40 bits, sorted) with the index of their class, and document rows with their histograms."""
     order = np.argsort(sig)
     sig, owner = sig[order], owner[order]
     used, index = np.unique(owner, return_inverse=True)
     head = np.array([len(sig), len(used), len(ids)], np.int64)
     raw = b"".join([head.tobytes(), (sig & _U(0xFFFFFFFF)).astype(np.uint32).tobytes(),
                     (sig >> _U(32) & _U(0xFF)).astype(np.uint8).tobytes(), classes[used].tobytes(),
-                    index.astype(np.uint32).tobytes(), ids.tobytes(), sizes.tobytes(), own.tobytes()])
+                    index.astype(np.uint32).tobytes(), ids.tobytes(), sizes.tobytes(), own.tobytes(), cells.tobytes()])
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
@@ -214,16 +217,16 @@ def _unpack(blob: bytes):
     n, m, k = np.frombuffer(raw, np.int64, 3).tolist()
     at = 24
     out = []
-    for dtype, count in ((np.uint32, n), (np.uint8, n), (np.int64, m), (np.uint32, n), (np.int64, k), (np.int64, k), (np.int64, k)):
+    for dtype, count in ((np.uint32, n), (np.uint8, n), (np.int64, m), (np.uint32, n), (np.int64, k), (np.int64, k), (np.int64, k), (np.uint8, k * CELLS)):
         out.append(np.frombuffer(raw, dtype, count, at))
         at += out[-1].nbytes
-    low, high, classes, index, ids, sizes, own = out
-    return low.astype(np.uint64) | high.astype(np.uint64) << _U(32), classes[index], ids, sizes, own
+    low, high, classes, index, ids, sizes, own, cells = out
+    return low.astype(np.uint64) | high.astype(np.uint64) << _U(32), classes[index], ids, sizes, own, cells
 
 
 def _sign(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
-    """kind 0: (doc_id, n_shingles, class); kind 1: (signature, smallest class
-    under it, class) for every signature that more than one class carries."""
+    """kind 0: (doc_id, n_shingles, class, histogram); kind 1: (signature, smallest
+    class under it, class) for every signature that more than one class carries."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -244,9 +247,11 @@ def _sign(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                 stop = np.cumsum(sizes)
                 seen: dict[int, int] = {}
                 sig, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                cells = np.zeros((len(sets), CELLS), np.uint8)
                 for i, (c, n) in enumerate(zip(own.tolist(), sizes.tolist())):
                     if n and c not in seen:
                         k = seen[c] = len(seen)
+                        cells[i] = histogram(sets[i])
                         got = signatures(sets[i], rare[stop[i] - n:stop[i]])
                         sig.append(got)
                         owner.append(np.full(len(got), k))
@@ -260,12 +265,12 @@ def _sign(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                 for k in np.union1d(to, doc_to).tolist():
                     at = order[cut[k]:cut[k + 1]]
                     d = np.flatnonzero(doc_to == k)
-                    rows.append((k, _pack(sig[at], owner[at], classes, ids[d], sizes[d], own[d])))
+                    rows.append((k, _pack(sig[at], owner[at], classes, ids[d], sizes[d], own[d], cells[d])))
                 yield pd.DataFrame(rows, columns=["bucket", "blob"])
 
     def gather(g: pd.DataFrame) -> pd.DataFrame:
         got = [_unpack(x) for x in g["blob"]]
-        sig, cls, ids, sizes, own = (np.concatenate([x[k] for x in got]) for k in range(5))
+        sig, cls, ids, sizes, own, cells = (np.concatenate([x[k] for x in got]) for k in range(6))
         order = np.lexsort((cls, sig))
         sig, cls = sig[order], cls[order]
         fresh = np.ones(len(sig), bool)
@@ -279,37 +284,67 @@ def _sign(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
         key = (sig[many] | _U(bucket) << _U(40)).view(np.int64)
         return pd.DataFrame({"kind": np.concatenate([np.zeros(len(ids), np.int32), np.ones(int(many.sum()), np.int32)]),
                              "a": np.concatenate([ids, key]), "b": np.concatenate([sizes, first[many]]),
-                             "c": np.concatenate([own, cls[many]])})
+                             "c": np.concatenate([own, cls[many]]),
+                             "cells": [x.tobytes() for x in cells.reshape(-1, CELLS)] + [None] * int(many.sum())})
 
     return docs.mapInPandas(emit, "bucket int, blob binary").groupBy("bucket").applyInPandas(
-        gather, "kind int, a long, b long, c long")
+        gather, "kind int, a long, b long, c long, cells binary")
+
+
+def _wanted_only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id may be in ``wanted``: a bit per hash slot, BITS in
+    all, so the broadcast side has a fixed size; a wrong bit only costs a row more."""
+    def slots(df):
+        return df.withColumn("_s", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)) + 1)
+    bits = slots(wanted).groupBy(F.bitmap_bucket_number("_s").alias("_b")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_s")).alias("_bits"))
+    at = F.bitmap_bit_position("_s")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return (slots(docs).withColumn("_b", F.bitmap_bucket_number("_s")).join(F.broadcast(bits), "_b")
+            .where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("_s", "_b", "_bits"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls, n, cells (histogram), hashes of the classes in ``wanted`` (cls, doc_id)."""
+    """cls, n, hashes of the classes in ``wanted`` (cls, doc_id). A class may come on
+    several rows when a doc_id does."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one = Shingler()
         for b in batches:
             for part in _parted(b):
-                rows = [(c, len(s), histogram(s).tobytes(), s.view(np.int64))
-                        for c, s in zip(part["cls"].tolist(), one.sets(part["text"].tolist()))
+                rows = [(c, len(s), s.view(np.int64)) for c, s in zip(part["cls"].tolist(), one.sets(part["text"].tolist()))
                         if len(s) and set_class(s) == c]
-                yield pd.DataFrame(rows, columns=["cls", "n", "cells", "hashes"])
+                yield pd.DataFrame(rows, columns=["cls", "n", "hashes"])
+
+    return (_wanted_only(docs, wanted).join(wanted, "doc_id").select("cls", "text")
+            .mapInPandas(run, "cls long, n long, hashes array<long>"))
+
+
+def _possible(pairs: DataFrame, info: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose histograms allow the similarity. ``info``: cls, n, cells."""
+    @F.pandas_udf("boolean")
+    def near(x: pd.Series, y: pd.Series, n: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=bool)
+        h = [np.frombuffer(b"".join(c), np.uint8).reshape(len(c), -1).astype(np.int16) for c in (x, y)]
+        return pd.Series(np.abs(h[0] - h[1]).sum(1) <= n.to_numpy() // 7)
 
-    return (docs.join(wanted, "doc_id").select("cls", "text")
-            .mapInPandas(run, "cls long, n long, cells binary, hashes array<long>").dropDuplicates(["cls"]))
+    def side(name):
+        return info.select(F.col("cls").alias(name), F.col("n").alias(f"n{name}"), F.col("cells").alias(f"c{name}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = both.where(4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb"))
+    return both.where(near("ca", "cb", F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, info: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) with a similarity of at least 0.75."""
-    left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
-    right = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
-    n = sets.select(F.col("cls"), "n")
-    fits = (pairs.join(n.select(F.col("cls").alias("a"), F.col("n").alias("_na")), "a")
-            .join(n.select(F.col("cls").alias("b"), F.col("n").alias("_nb")), "b")
-            .where(4 * F.least("_na", "_nb") >= 3 * F.greatest("_na", "_nb")).select("a", "b"))
-    both = fits.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("ha", "hb")))
-    return both.where(100 * F.col("i") >= 75 * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
+    pairs = stage(pairs, f"{name}-pairs")
+    ids = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+    sets = stage(_sets(docs, ids.join(info.select("cls", "doc_id"), "cls")), f"{name}-sets")
+    # whole sets are never broadcast, whatever the session's threshold is
+    left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha")).hint("merge")
+    right = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb")).hint("merge")
+    both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("ha", "hb")))
+    return stage(both.where(100 * F.col("i") >= 75 * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b"), name)
 
 
 def _across(rows: DataFrame, buckets: int) -> DataFrame:
@@ -351,22 +386,23 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     buckets = max(partitions(spark), -(-slim.count() // DOCS_PER_BUCKET))
     signed = stage(_sign(slim, common_shingles(slim), buckets), "shingle-signatures")
     rows = signed.where("kind = 0").select(F.when(F.col("a") != NO_ID, F.col("a")).alias("doc_id"),
-                                           F.col("b").alias("n_shingles"), F.when(F.col("b") > 0, F.col("c")).alias("cls"))
+                                           F.col("b").alias("n_shingles"), F.when(F.col("b") > 0, F.col("c")).alias("cls"), "cells")
     members = signed.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("rep"), F.col("c").alias("cls"))
-    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    wanted = members.select("cls").distinct().join(classes.where("doc_id is not null"), "cls")
-    sets = stage(_sets(slim, wanted), "shingle-sets")
+    classes = rows.where("cls is not null").groupBy("cls").agg(
+        F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("cells").alias("cells"))
+    info = stage(classes.where("doc_id is not null").join(members.select("cls").distinct(), "cls"), "shingle-info")
 
     star = members.where("rep <> cls").select(F.col("rep").alias("a"), F.col("cls").alias("b")).distinct()
-    links = stage(_verify(star, sets), "shingle-links")
+    links = _verify(_possible(star, info), slim, info, "shingle-links")
     comp = connected_components(links, "shingle-cc")
     placed = (members.join(comp.withColumnRenamed("node", "cls"), "cls", "left")
               .select("sig", "rep", "cls", F.coalesce("component", "cls").alias("comp")))
-    rest = placed.where("rep <> cls")       # the smallest was compared with all
-    mixed_up = (rest.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                .where("lo <> hi").select("sig"))
-    open_ = rest.join(mixed_up, "sig").join(sets.select("cls", "n", "cells"), "cls").select("sig", "cls", "comp", "n", "cells")
-    more = stage(_verify(_across(open_, buckets), sets), "shingle-more")
+    rest = placed.where("rep <> cls")       # the smallest was paired with all
+    open_sigs = (rest.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+                                         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("cls")).alias("who"))
+                 .where("lo <> hi").groupBy("n", "who").agg(F.min("sig").alias("sig")).select("sig"))
+    open_ = rest.join(open_sigs, "sig").join(info.select("cls", "n", "cells"), "cls").select("sig", "cls", "comp", "n", "cells")
+    more = _verify(_across(open_, buckets), slim, info, "shingle-more")
     comp = connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more),
                                 "shingle-cc2")
 
