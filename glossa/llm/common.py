@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+from contextlib import contextmanager
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,8 +47,17 @@ def fresh(prefix: str) -> str:
     return f"_{prefix}_{uuid.uuid4().hex[:8]}"
 
 
-def unpack(blob: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(blob, dtype=dtype)
+@contextmanager
+def no_cycle_scans():
+    """Pause the cycle collector around code that fills large tables of plain objects:
+    nothing there is cyclic, and every scan would walk all of them again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
 
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:

@@ -28,18 +28,21 @@ empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import random
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import prepare, stage
+from glossa.llm.common import no_cycle_scans, prepare, stage
 
 CAPACITY = 2048
 SHARD_ITEMS = 4096
@@ -52,26 +55,53 @@ BATCH_CHARS = 4_000_000
 MAX_IDS = 8_000_000      # ids remembered per worker before the word table starts anew
 
 
-class _Words(dict):
-    """word -> running number; new words are queued for the tokenizer."""
+class _Numbered(dict):
+    """item -> running number; new items are queued."""
 
-    def __init__(self):
+    def __init__(self, first: int):
         super().__init__()
-        self.new: list[bytes] = []
+        self.first, self.new = first, []
 
-    def __missing__(self, word: bytes) -> int:
-        i = self[word] = len(self) + 1       # 0 is the end id
-        self.new.append(word)
+    def __missing__(self, item):
+        i = self[item] = len(self) + self.first
+        self.new.append(item)
         return i
 
 
+class _Runs:
+    """Runs of ids by number, in growing arrays."""
+
+    def __init__(self, ids=()):
+        self.ids = np.array(ids, np.uint32)
+        n = int(len(ids) > 0)
+        self.start, self.size = np.zeros(n, np.int64), np.full(n, len(ids), np.int64)
+
+    def add(self, flat: np.ndarray, size: np.ndarray) -> None:
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, flat])
+
+    def gather(self, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs named by ``order``, one after the other, and where each ends."""
+        n = self.size[order]
+        stop = np.cumsum(n)
+        return self.ids[np.repeat(self.start[order] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)], stop
+
+
 class TextIds:
-    """Token ids of whole texts, one tokenizer call per distinct word of a worker.
+    """Token ids of whole texts, one tokenizer call per distinct word part of a worker.
 
     The tokenizer's split rule never crosses ASCII white space and its
-    normalisation acts inside words, so a text's ids are its words' ids in order.
+    normalisation acts inside words, so a text's ids are its words' ids in order. A
+    word of plain Latin characters is further cut by that rule (after lower-casing)
+    into runs of letters, single digits and runs of other characters, which repeat
+    much more than words with their punctuation do; other words, and words with a
+    special token in them, go to the tokenizer whole.
     """
 
+    PLAIN = regex.compile(r"[\x21-\x7e\u00a1-\u012f\u0131-\u017f]+")
+    PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}++|\p{N}|[^\s\p{L}\p{N}]++")
+
     def __init__(self, spec_text: str, end_id: int = 0):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -79,40 +109,52 @@ class TextIds:
         self.tokenizer = Tokenizer.from_str(spec_text)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.special = [t["content"] for t in json.loads(spec_text)["added_tokens"]]
         self.end_id = end_id
         self.reset()
 
     def reset(self):
-        self.words = _Words()
-        self.ids = np.array([self.end_id], np.uint32)
-        self.start, self.size = np.array([0]), np.array([1])
+        self.words, self.runs = _Numbered(1), _Runs([self.end_id])      # 0 is the end id
+        self.parts, self.part_runs = _Numbered(0), _Runs()
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in order, end position of every text); each text ends with the end id."""
-        if len(self.ids) > MAX_IDS:
+        if len(self.runs.ids) > MAX_IDS:
             self.reset()
         seq: list[np.ndarray] = []
-        for t in texts:
-            words = t.encode("utf-8", "replace").split()
-            seq.append(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)))
-            seq.append(np.zeros(1, np.int64))
-        self._learn()
+        with no_cycle_scans():
+            for t in texts:
+                words = t.encode("utf-8", "replace").split()
+                seq.append(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)))
+                seq.append(np.zeros(1, np.int64))
+            self._learn()
         order = np.concatenate(seq) if seq else np.zeros(0, np.int64)
-        size = self.size[order]
-        stop = np.cumsum(size)
-        flat = self.ids[np.repeat(self.start[order] - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
+        flat, stop = self.runs.gather(order)
         return flat, stop[order == 0]
 
+    def _cut(self, word: str) -> tuple | list:
+        if not (word.isascii() or self.PLAIN.fullmatch(word)):
+            return (word,)
+        low = word.lower()
+        if low.isalpha():
+            return (low,)
+        return (word,) if any(s in word for s in self.special) else self.PARTS.findall(low)
+
     def _learn(self):
         if not self.words.new:
             return
-        got = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8") for w in self.words.new],
-                                                          add_special_tokens=False)]
+        cut = [self._cut(w.decode("utf-8")) for w in self.words.new]
         self.words.new.clear()
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        start = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, np.fromiter((i for g in got for i in g), np.uint32, int(size.sum()))])
-        self.start, self.size = np.concatenate([self.start, start]), np.concatenate([self.size, size])
+        n = np.fromiter(map(len, cut), np.int64, len(cut))
+        order = np.fromiter(map(self.parts.__getitem__, chain.from_iterable(cut)), np.int64, int(n.sum()))
+        if self.parts.new:
+            got = [e.ids for e in self.tokenizer.encode_batch(self.parts.new, add_special_tokens=False)]
+            self.parts.new.clear()
+            size = np.fromiter(map(len, got), np.int64, len(got))
+            self.part_runs.add(np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum())), size)
+        flat, stop = self.part_runs.gather(order)
+        ends = np.concatenate([[0], stop])[np.cumsum(n)]
+        self.runs.add(flat, np.diff(ends, prepend=0))
 
 
 _TEXT_IDS: dict[int, TextIds] = {}
