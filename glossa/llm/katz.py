@@ -50,7 +50,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import partitions, prepare, stage
+from glossa.llm.common import no_cycle_scans, partitions, prepare, stage
 
 K = 5
 SALT = 8
@@ -128,9 +128,10 @@ def token_tables(docs: DataFrame, buckets: int) -> DataFrame:
                 part, base, at = b.iloc[at:to], size[to - 1], to
                 index, ids = _Index(), []
                 end = np.zeros(1, np.int32)
-                for t in part["text"]:
-                    words = t.encode("utf-8", "replace").lower().split()
-                    ids += [np.fromiter(map(index.__getitem__, words), np.int32, len(words)), end]
+                with no_cycle_scans():
+                    for t in part["text"]:
+                        words = t.encode("utf-8", "replace").lower().split()
+                        ids += [np.fromiter(map(index.__getitem__, words), np.int32, len(words)), end]
                 n = np.array([len(x) + 1 for x in ids[::2]], np.int32)
                 ids = np.concatenate(ids)
                 train = part["train"].to_numpy(np.uint8)

@@ -48,7 +48,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import connected_components, partitions, prepare, stage
+from glossa.llm.common import connected_components, no_cycle_scans, partitions, prepare, stage
 
 SHINGLE = 5
 BAND = 2.5               # ratio of a size band's bounds
@@ -93,7 +93,7 @@ class Shingler:
             self.words.clear()
         look, k = self.words.__getitem__, self.size
         parts, counts = [], np.zeros(len(texts), np.int64)
-        with np.errstate(over="ignore"):
+        with np.errstate(over="ignore"), no_cycle_scans():
             for i, t in enumerate(texts):
                 words = t.encode("utf-8", "replace").lower().split()
                 n = len(words)
