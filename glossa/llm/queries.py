@@ -54,7 +54,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out("doc_id", 5, 0))
     labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0)).select("doc_id", "toxic")
-    lexicon = m.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    lexicon = m.fit(docs, labels)
     return m.with_toxicity(docs, lexicon).select("doc_id", "held_out", "score", "predicted")
 
 

@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import prepare
+from glossa.llm.common import prepare, stage
 from glossa.llm.language_id import sample
 
 SAMPLE_DOCS = 20_000
@@ -128,12 +128,16 @@ def _count(texts: DataFrame, items) -> DataFrame:
     return parts.groupBy("item").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
         sample_docs: int = SAMPLE_DOCS) -> Lexicon:
-    """Learn lexicon, exceptions and curve from labelled rows (label 0 / 1)."""
-    prepare(rows.sparkSession)
-    picked = sample(rows.where(F.col(label).isNotNull()), key, sample_docs).select(
-        F.coalesce(text, F.lit("")).alias("text"), F.col(label).cast("int").alias("label"))
+    """Learn lexicon, exceptions and curve from the documents that ``labels`` (key,
+    label 0 / 1) marks. The sample is drawn from the labels, so the side that is
+    broadcast has about ``sample_docs`` rows at most, and only their texts are kept."""
+    prepare(docs.sparkSession)
+    chosen = sample(labels.where(F.col(label).isNotNull()).select(key, F.col(label).cast("int").alias("label")),
+                    key, sample_docs)
+    picked = stage(docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), key)
+                   .select("text", "label"), "toxic-sample")
     n1, n = picked.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count(F.lit(1))).first()
     if not n1 or n1 == n:
         return Lexicon({}, curve=(40.0 if n1 else -40.0, 0.0, 0.0))

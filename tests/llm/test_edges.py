@@ -325,7 +325,7 @@ def test_language_id(docs, empty, spark):
 def test_toxicity(docs, empty, spark):
     train = spark.createDataFrame([(i, f"you {'stupid idiot' if i % 4 == 0 else 'kind person'} number {i}", int(i % 4 == 0))
                                    for i in range(200)], "doc_id long, text string, toxic int")
-    lex = toxicity.fit(train)
+    lex = toxicity.fit(train.drop("toxic"), train.drop("text"))
     assert lex.score("what an idiot") > 0.5 > lex.score("what a person")
     assert lex.score("what an 1d10t") > 0.5 and lex.score("what an іdіоt") > 0.5      # digits, look-alike letters
     safe = toxicity.Lexicon(lex.weights, {" idiot proof "}, lex.curve)
@@ -334,7 +334,7 @@ def test_toxicity(docs, empty, spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
     assert got[3].predicted == got[4].predicted == 0
     assert not toxicity.with_toxicity(empty, lex).collect()
-    assert toxicity.fit(train.where("toxic = 0")).score("idiot") < 0.01
+    assert toxicity.fit(train.drop("toxic"), train.drop("text").where("toxic = 0")).score("idiot") < 0.01
 
 
 def test_fold():
