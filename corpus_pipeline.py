@@ -46,7 +46,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted to be toxic."""
     labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0)).select("doc_id", "toxic")
-    lexicon = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    lexicon = toxicity.fit(docs, labels)
     return toxicity.with_toxicity(docs.select(*COLUMNS), lexicon).where("predicted = 0").select(*COLUMNS)
 
 
