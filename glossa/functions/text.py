@@ -92,9 +92,39 @@ def stringify(c: Column | str, null_text: str = "None", dtype: str | None = None
     col = _c(c)
     if dtype == "boolean":
         return F.when(col, F.lit("True")).when(~col, F.lit("False")).otherwise(F.lit(null_text))
+    if dtype in ("double", "float"):
+        return F.coalesce(python_float(col), F.lit(null_text))
     return F.coalesce(col.cast("string"), F.lit(null_text))
 
 
+def python_float(col: Column) -> Column:
+    """``str(v)`` of a float: the digits the JVM prints, placed as Python does: plain
+    from 1e-4 to below 1e16, else with a two-digit exponent. (Before Java 19 the JVM
+    prints one digit more than needed for a few large values.)"""
+    text = col.cast("double").cast("string")
+    sign = F.when(F.startswith(text, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
+    body = F.regexp_replace(text, "^-", "")
+    exponent = F.coalesce(F.regexp_extract(body, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
+    whole = F.regexp_extract(body, r"^(\d+)", 1)
+    digits = F.regexp_replace(F.concat(whole, F.regexp_replace(F.regexp_extract(body, r"\.(\d+)", 1), "0+$", "")),
+                              "^0+", "")
+    # the value is 0.digits * 10^point
+    lead = F.length(F.regexp_extract(F.regexp_extract(body, r"^0\.(\d+)", 1), "^0*", 0))
+    point = F.when(whole == "0", -lead).otherwise(F.length(whole)) + exponent
+    trimmed = F.regexp_replace(digits, "0+$", "")
+    n = F.length(trimmed)
+    plain = (F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), trimmed))
+              .when(point >= n, F.concat(trimmed, F.repeat(F.lit("0"), point - n), F.lit(".0")))
+              .otherwise(F.concat(F.substring(trimmed, F.lit(1), point), F.lit("."), F.substring(trimmed, point + 1, n))))
+    e = point - 1
+    power = F.concat(F.when(e < 0, "e-").otherwise("e+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.length(F.abs(e).cast("string")), F.lit(2)), F.lit("0")))
+    mantissa = F.when(n > 1, F.concat(F.substring(trimmed, F.lit(1), F.lit(1)), F.lit("."), F.substring(trimmed, F.lit(2), n))
+                      ).otherwise(trimmed)
+    placed = F.when((e >= -4) & (e < 16), plain).otherwise(F.concat(mantissa, power))
+    return (F.when(F.isnan(col), F.lit("nan")).when(F.abs(col) == float("inf"), F.concat(sign, F.lit("inf")))
+             .when(col == 0, F.concat(sign, F.lit("0.0"))).otherwise(F.concat(sign, placed)))
+
+
 def slug(c: Column | str) -> Column:
     """Model id to a file-name part: '/' becomes '_'."""
     return F.regexp_replace(_c(c), "/", "_")

@@ -1,13 +1,11 @@
 """Row positions, ordered heads and lineage cuts.
 
-``with_index`` gives each row its 0-based position inside a group, ordered by a
-numeric column that is unique within the group (a row id). A plain
+``with_index`` gives each row its 0-based position inside a group. A plain
 ``row_number().over(Window.partitionBy(group))`` sends a whole group to one task;
-when one key holds a third of the table that task is the job. Here each group is
-cut into value ranges sized from its own min / max / count (deterministic
-aggregates, so every branch of the plan agrees on the cut), rows are numbered
-inside (group, range) partitions, and per-range running offsets — a table of
-groups x ranges, not of rows — are added back.
+when one key holds a third of the table that task is the job. Here the rows are
+range-partitioned by (group, order) with sampled bounds, so any distribution of
+ids and any hot group is spread evenly; they are written once with their place in
+their partition, and positions follow from the partitions' row counts.
 """
 
 from __future__ import annotations
@@ -19,68 +17,40 @@ from pyspark.sql import functions as F
 
 from glossa.session import scratch_path
 
-# Rows per range: big enough that small groups stay one range, small enough
-# that a hot group spreads over many tasks.
-ROWS_PER_RANGE = 1_000_000
-# The per-group stats table (key, 3 longs) is broadcast when it has at most this
-# many groups (counted exactly, a few tens of MB at the bound); above it the
-# join stays sort-merge.
-MAX_BROADCAST_GROUPS = 1_000_000
 
-
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], hint_broadcast: bool = False):
-    """Inner join on same-named keys where null matches null (a null group is a group)."""
-    r = right.select(*[F.col(k).alias(f"_j_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    if hint_broadcast:
-        r = F.broadcast(r)
-    cond = [left[k].eqNullSafe(r[f"_j_{k}"]) for k in keys]
-    return left.join(r, cond, "inner").drop(*[f"_j_{k}" for k in keys])
-
-
-def with_index(df: DataFrame, order_col: str, by: Sequence[str] = (), out: str = "idx",
-               rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def with_index(df: DataFrame, order_col: str | Sequence[str], by: Sequence[str] = (), out: str = "idx",
+               partitions: int | None = None) -> DataFrame:
     """0-based position within each ``by`` group in ``order_col`` order.
 
     Same result as ``row_number() over (partition by by order by order_col) - 1``
-    (null keys form a group, null order values come first). ``order_col`` must be
-    numeric (ranges are cut on its value) and unique within its group (ties
-    would make any row numbering nondeterministic).
+    (null keys form a group, null order values come first). The order columns may
+    have any sortable type and must be unique within a group (ties would make any
+    row numbering nondeterministic).
+
+    One range shuffle and one write: sampled bounds may differ when a plan runs
+    again, so the numbered partitions are fixed as a table before anything is
+    derived from them. The offsets are a table of partitions; a group's start is
+    the smallest position in it.
     """
-    by = list(by)
-    o = F.col(order_col)
-    if by:
-        # Stats are written once (a small table, one row per group, with a
-        # non-null surrogate group id) and counted, so the broadcast below is
-        # behind an exact size check and the data side is not shuffled just to
-        # meet its stats. Null keys form a group, so that join is null-safe;
-        # everything after it keys on the surrogate.
-        stats = cut_lineage(df.groupBy(*by).agg(F.min(o).alias("_lo"), F.max(o).alias("_hi"),
-                                                F.count(F.lit(1)).alias("_n"))
-                            .withColumn("_gid", F.monotonically_increasing_id()), "index-stats")
-        x = _join_null_safe(df, stats, by, hint_broadcast=stats.count() <= MAX_BROADCAST_GROUPS)
-        keys = ["_gid"]
-    else:
-        # one aggregate row (min, max, count), evaluated once and used as constants
-        lo, hi, n = df.agg(F.min(o), F.max(o), F.count(F.lit(1))).first()
-        if not n:
-            return df.withColumn(out, F.lit(None).cast("long"))
-        x = df.withColumns({"_lo": F.lit(lo), "_hi": F.lit(hi), "_n": F.lit(n)})
-        keys = []
-    ranges = F.ceil(F.col("_n") / F.lit(float(rows_per_range)))
-    span = (F.col("_hi") - F.col("_lo")).cast("double") + F.lit(1.0)
-    # null order values sort first, so they belong to the first range (``least``
-    # skips nulls, so the null case is explicit)
-    chunk = F.when(o.isNull(), F.lit(0)).otherwise(
-        F.least(F.floor((o - F.col("_lo")).cast("double") / span * ranges), ranges - 1))
-    x = (x.withColumn("_c", chunk.cast("long")).drop("_lo", "_hi", "_n")
-          .repartition(*keys, "_c"))
-    ranked = x.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_c").orderBy(o)) - 1)
-    counts = x.groupBy(*keys, "_c").agg(F.count(F.lit(1)).alias("_k"))
-    before = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_c", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_o"))
-    return (ranked.join(offsets, [*keys, "_c"], "inner")
-                  .withColumn(out, (F.col("_o") + F.col("_r")).cast("long"))
-                  .drop(*keys, "_c", "_r", "_o"))
+    by, order = list(by), [order_col] if isinstance(order_col, str) else list(order_col)
+    keys = [F.col(c) for c in (*by, *order)]
+    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    low = F.lit((1 << 33) - 1)        # the row's place in its partition
+    placed = cut_lineage(ranged.sortWithinPartitions(*keys)
+                         .withColumn("_rn", F.monotonically_increasing_id().bitwiseAND(low))
+                         .withColumn("_pid", F.spark_partition_id()), "index-rows")
+    counts = placed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_k"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)     # a table of partitions
+    offsets = counts.select("_pid", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_o"))
+    whole = placed.join(offsets, "_pid").withColumn(out, (F.col("_o") + F.col("_rn")).cast("long"))
+    whole = whole.drop("_pid", "_rn", "_o")
+    if not by:
+        return whole
+    starts = (placed.join(offsets, "_pid").groupBy(*by).agg(F.min(F.col("_o") + F.col("_rn")).alias("_start"))
+              .select(*[F.col(c).alias(f"_j_{c}") for c in by], "_start"))
+    same = [whole[c].eqNullSafe(starts[f"_j_{c}"]) for c in by]
+    return (whole.join(starts, same).withColumn(out, F.col(out) - F.col("_start"))
+                 .drop("_start", *[f"_j_{c}" for c in by]))
 
 
 def with_row_id(df: DataFrame, out: str = "row_id", dense: bool = True) -> DataFrame:
@@ -88,9 +58,11 @@ def with_row_id(df: DataFrame, out: str = "row_id", dense: bool = True) -> DataF
 
     ``monotonically_increasing_id`` is unique and follows file / split order but
     leaves gaps (no shuffle: ``dense=False``); ``dense=True`` turns it into
-    0..n-1 with ``with_index`` (one shuffle, no single-task window). Persist the
-    result if the ids must survive a re-read with other splits.
+    0..n-1 with ``with_index`` (one shuffle, no single-task window), whose written
+    table fixes the ids. A column of that name is kept as it is: ids are given once.
     """
+    if out in df.columns:
+        return df
     if not dense:
         return df.withColumn(out, F.monotonically_increasing_id())
     return with_index(df.withColumn("_mono", F.monotonically_increasing_id()), "_mono", out=out).drop("_mono")
@@ -114,15 +86,20 @@ def attach_checked(rows: DataFrame, results: DataFrame, on: str | list[str], how
     """Join per-row results back by key and fail loudly on a mismatch.
 
     Where a list zip would silently truncate to the shorter side, this counts
-    result keys without a row and rows without a result (two anti-joins) and
-    raises if either is non-zero.
+    result keys without a row, rows without a result and keys with several results
+    in one aggregate, and raises if any is non-zero. ``results`` (often the output of
+    a model) is written first, so it is evaluated once.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    orphans = results.select(*keys).join(rows.select(*keys), keys, "left_anti").count()
-    missing = rows.select(*keys).join(results.select(*keys), keys, "left_anti").count()
-    if orphans or missing:
+    results = cut_lineage(results, "attach-results")
+    sides = (rows.select(*keys, F.lit(1).alias("_row"), F.lit(0).alias("_res"))
+             .union(results.select(*keys, F.lit(0), F.lit(1)))
+             .groupBy(*keys).agg(F.sum("_row").alias("_row"), F.sum("_res").alias("_res")))
+    orphans, missing, doubled = sides.agg(F.count_if(F.col("_row") == 0), F.count_if(F.col("_res") == 0),
+                                                F.count_if(F.col("_res") > 1)).first()
+    if orphans or missing or doubled:
         raise ValueError(f"results do not line up with rows: {orphans} results without a row, "
-                         f"{missing} rows without a result")
+                         f"{missing} rows without a result, {doubled} keys with several results")
     return rows.join(results, keys, how)
 
 

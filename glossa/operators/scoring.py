@@ -11,7 +11,6 @@ Pass ``partitions`` to pin the task count when a provider rate limit applies.
 
 from __future__ import annotations
 
-import json
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -53,7 +52,7 @@ def score_requests(requests: DataFrame, client_factory: Callable, model_col: str
 
     ``concurrency`` caps the requests in flight across the cluster (e.g. the
     sweep's 30, or 5 in test mode): it picks ``partitions`` x ``threads`` with
-    a product of at most ``concurrency``. ``retry_if(exception)`` decides whether
+    a product of at most ``concurrency`` (a sweep keeps such a call small: one wave). ``retry_if(exception)`` decides whether
     a failure is worth another attempt (default: every failure is retried).
     """
     if concurrency:
@@ -130,27 +129,26 @@ def score_segments(df: DataFrame, src_col: str, mt_col: str, scorer_factory: Cal
             scores.extend(sc)
             spans.extend(sp)
         return pd.DataFrame({"score": pd.array(scores, dtype="float64"),
-                             "spans": [json.dumps(x) if x else None for x in spans]})
+                             "spans": [list(x) if x else None for x in spans]})
 
     if ref_col is None:
-        @F.pandas_udf("score double, spans string")
+        @F.pandas_udf(f"score double, spans {SPAN_SCHEMA}")
         def seg(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
             scorer = scorer_factory()
             for src, mt in it:
                 yield _pred(scorer, src.tolist(), mt.tolist(), None)
         s = seg(F.col(src_col), F.col(mt_col))
     else:
-        @F.pandas_udf("score double, spans string")
+        @F.pandas_udf(f"score double, spans {SPAN_SCHEMA}")
         def seg(it: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
             scorer = scorer_factory()
             for src, mt, ref in it:
                 yield _pred(scorer, src.tolist(), mt.tolist(), ref.tolist())
         s = seg(F.col(src_col), F.col(mt_col), F.col(ref_col))
 
-    spans = F.from_json(F.col("_seg.spans"), SPAN_SCHEMA)
     return (df.withColumn("_seg", s)
               .withColumn("score", F.col("_seg.score"))
-              .withColumn("error_spans", F.when(F.size(spans) > 0, spans))
+              .withColumn("error_spans", F.col("_seg.spans"))
               .drop("_seg"))
 
 

@@ -8,7 +8,6 @@ them. Lengths are UTF-8 byte lengths.
 from __future__ import annotations
 
 import json
-import zlib
 
 import numpy as np
 
@@ -74,19 +73,14 @@ class LengthRatioScorer:
         return scores, spans
 
 
-class HashingEncoder:
-    """Bag of hashed character trigrams, L2-normalised (CRC32 so every process agrees)."""
+class LetterEncoder:
+    """Counts of the letters a, b, c, ... in the text, scaled to unit length (a stand-in
+    that SQL can compute too)."""
 
-    def __init__(self, dim: int = 64):
-        self.dim = dim
+    def __init__(self, dim: int = 16):
+        self.letters = [chr(97 + i) for i in range(dim)]
 
     def encode(self, texts: list) -> list:
-        out = []
-        for t in texts:
-            v = np.zeros(self.dim, dtype=np.float32)
-            t = t or ""
-            for i in range(max(len(t) - 2, 0)):
-                v[zlib.crc32(t[i:i + 3].encode("utf-8")) % self.dim] += 1.0
-            n = float(np.linalg.norm(v))
-            out.append((v / n if n else v).tolist())
-        return out
+        x = np.array([[(t or "").count(c) for c in self.letters] for t in texts], dtype=np.float64)
+        n = np.sqrt((x * x).sum(1, keepdims=True))
+        return (x / np.where(n > 0, n, 1.0)).astype(np.float32).tolist()

@@ -1,48 +1,47 @@
 """Model sweep with request keys, dedupe and a write-through response cache.
 
-    rows --expand_models--> rows x models --with_request_key--> keyed rows
-         --distinct keys--> requests --left_anti cache--> misses
-         --score in waves, append each wave to the cache--> cache
-    rows --left join cache on request_id--> answered rows
+    rows --expand_models--> rows x models --request key--> keys (no text)
+         --distinct keys, anti-join with the cache, on digests--> misses
+         --waves: join the texts, render, score, append to the cache--> cache
+    keys --left join the cache entries they need--> answered rows
 
 Each distinct request is sent once; a rerun sends only keys without a
-successful cached answer. Scored output is persisted (cache append) before it
-is read again, so a recomputed plan never calls the paid client twice.
+successful cached answer. Only digests are shuffled, deduplicated and compared; the
+prompt is rendered again just before its call. Scored output is persisted (cache
+append) before it is read again, so a recomputed plan never calls the paid client
+twice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.fixed_text import INCLUDE_REASONING, TEMPERATURE
 from glossa.functions.keys import request_key
 from glossa.functions.text import strip_newlines
+from glossa.operators.rows import cut_lineage
 from glossa.operators.scoring import response_content, score_requests
 from glossa.session import scratch_path
-from glossa.sources.cache import ResponseCache
+from glossa.sources.cache import ResponseCache, key_prefix
 
-# A sweep's model list is configuration (a handful of ids), expanded as a literal
-# array — a narrow explode, no join. Longer lists are not a model sweep.
-MAX_MODELS = 1000
+# Requests per wave for every one that may be in flight: what a lost wave sends again.
+WAVE_PER_SLOT = 100
 
 
 def read_models(spark: SparkSession, path: str) -> list[str]:
     """Model list file: one id per line, newline stripped, blank lines dropped."""
-    lines = (spark.read.text(path).select(strip_newlines(F.trim("value")).alias("m"))
-             .where(F.col("m") != "").limit(MAX_MODELS + 1).collect())
-    if len(lines) > MAX_MODELS:
-        raise ValueError(f"model list longer than {MAX_MODELS}")
+    lines = spark.read.text(path).select(strip_newlines(F.trim("value")).alias("m")).where(F.col("m") != "").collect()
     return [r.m for r in lines]
 
 
 def expand_models(df: DataFrame, models: list[str], out: str = "chat_model") -> DataFrame:
-    """One row per (input row, model)."""
-    if not models or len(models) > MAX_MODELS:
-        raise ValueError("model list must hold 1..%d ids" % MAX_MODELS)
-    return df.withColumn(out, F.explode(F.array(*[F.lit(m) for m in models])))
+    """One row per (input row, model): one literal array and a narrow explode, whatever its length."""
+    if not models:
+        raise ValueError("the model list is empty")
+    return df.withColumn(out, F.explode(F.lit(list(models))))
 
 
 def with_request_key(df: DataFrame, content_col: str, model_col: str = "chat_model",
@@ -57,18 +56,17 @@ def distinct_requests(keyed: DataFrame, content_col: str, model_col: str = "chat
     return keyed.select("request_id", model_col, content_col).dropDuplicates(["request_id"])
 
 
-def unique_requests(rows: DataFrame, models: list[str], content_col: str,
-                    temperature: float = TEMPERATURE, include_reasoning: bool = INCLUDE_REASONING,
-                    model_col: str = "chat_model") -> DataFrame:
-    """The distinct requests of a sweep, deduplicated before the model expansion.
+def request_keys(rows: DataFrame, models: list[str], content: Column, row_key: str = "row_id",
+                 temperature: float = TEMPERATURE, include_reasoning: bool = INCLUDE_REASONING) -> DataFrame:
+    """(row_key, chat_model, request_id) of every row and model, without the text."""
+    texts = rows.select(row_key, content.alias("_content"))
+    return with_request_key(expand_models(texts, models), "_content", "chat_model", temperature,
+                            include_reasoning).drop("_content")
 
-    Same rows as ``distinct_requests(with_request_key(expand_models(rows)))``,
-    but each distinct prompt text crosses the shuffle once instead of once per
-    model (map-side partial dedupe first, then the literal model explode).
-    """
-    texts = rows.select(content_col).dropDuplicates([content_col])
-    return with_request_key(expand_models(texts, models, model_col), content_col, model_col, temperature,
-                            include_reasoning).select("request_id", model_col, content_col)
+
+def unique_requests(keyed: DataFrame, row_key: str = "row_id") -> DataFrame:
+    """One row per request key, with the smallest row that asks it (digests only)."""
+    return keyed.groupBy("request_id", "chat_model").agg(F.min(row_key).alias(row_key))
 
 
 def request_counts(keyed: DataFrame) -> DataFrame:
@@ -93,47 +91,63 @@ def cache_report(keyed: DataFrame, cache_keys: DataFrame, model_col: str = "chat
 
 
 def _wave(request_id_col, waves: int):
-    return F.floor(F.conv(F.substring(request_id_col, 1, 4), 16, 10).cast("long") * waves / 65536)
+    return F.floor(F.conv(F.substring(request_id_col, 5, 8), 16, 10).cast("long") * waves / (1 << 32))
 
 
-def fill_cache(requests: DataFrame, cache: ResponseCache, client_factory: Callable, *,
-               content_col: str = "content", model_col: str = "chat_model", waves: int = 1,
-               **score_opts) -> int:
+def fill_cache(requests: DataFrame, texts: DataFrame, content: Column, cache: ResponseCache,
+               client_factory: Callable, *, row_key: str = "row_id", waves: int | None = None,
+               concurrency: int | None = None, **score_opts) -> int:
     """Score every request without a cached answer and append the results.
 
-    The misses are written once (partitioned by wave) so each wave reads only
-    its slice; before scoring, a wave re-checks the cache, so a rerun after a
-    crash sends only what is still missing. Returns the number of waves run.
+    ``requests`` has request_id, chat_model and ``row_key``; ``content`` is rendered
+    from ``texts`` (``row_key`` and the template's slots) just before the call. The
+    misses (digests) are written once, partitioned by wave; each wave reads its
+    slice, re-checks the cache and appends its results, so a crash or a lost task
+    sends at most one wave again. With ``concurrency`` a wave has ``WAVE_PER_SLOT``
+    requests for each one in flight, unless ``waves`` is given. Returns the number of waves.
     """
     spark = requests.sparkSession
     staged = scratch_path(spark, "misses")
-    misses = split_cache(requests, cache.keys())[1].withColumn("wave", _wave(F.col("request_id"), waves))
+    misses = split_cache(requests, cache.keys(requests))[1]
+    if waves is None:
+        waves = max(1, -(-misses.count() // (concurrency * WAVE_PER_SLOT))) if concurrency else 1
+    misses = misses.withColumn("wave", _wave(F.col("request_id"), waves))
     misses.write.partitionBy("wave").parquet(staged)
     for w in range(waves):
         # explicit schema: with nothing missing the staged folder holds no files
         part = spark.read.schema(misses.schema).parquet(staged).where(F.col("wave") == w).drop("wave")
-        todo = part.join(cache.keys(), "request_id", "left_anti")
-        cache.append(score_requests(todo, client_factory, model_col=model_col, content_col=content_col,
-                                    **score_opts))
+        todo = part.join(cache.keys(part), "request_id", "left_anti").join(texts, row_key)
+        ready = todo.select("request_id", "chat_model", content.alias("content"))
+        # dealt by key prefix: few cache files per wave and partition
+        ready = ready.repartition(key_prefix()) if not concurrency else ready
+        cache.append(score_requests(ready, client_factory, concurrency=concurrency, **score_opts))
     return waves
 
 
 def attach_responses(keyed: DataFrame, cache: ResponseCache) -> DataFrame:
     """Rows with ``response``, ``full_response``, ``error``, ``attempts`` joined by key (never by position)."""
-    e = cache.entries().select("request_id", "full_response", "error", "attempts")
+    e = cache.entries(keyed).select("request_id", "full_response", "error", "attempts")
     return (keyed.join(e, "request_id", "left")
                  .withColumn("response", response_content("full_response")))
 
 
-def run_sweep(rows: DataFrame, models: list[str], content_col: str, cache: ResponseCache,
-              client_factory: Callable, *, waves: int = 1, temperature: float = TEMPERATURE,
-              include_reasoning: bool = INCLUDE_REASONING, **score_opts) -> DataFrame:
-    keyed = with_request_key(expand_models(rows, models), content_col, "chat_model", temperature,
-                             include_reasoning)
-    requests = unique_requests(rows, models, content_col, temperature, include_reasoning)
-    fill_cache(requests, cache, client_factory, content_col=content_col, waves=waves,
+def run_sweep(rows: DataFrame, models: list[str], content: str | Column, cache: ResponseCache,
+              client_factory: Callable, *, row_key: str = "row_id", waves: int | None = None,
+              temperature: float = TEMPERATURE, include_reasoning: bool = INCLUDE_REASONING,
+              **score_opts) -> DataFrame:
+    """Every row to every model through the cache.
+
+    ``content`` is the prompt: a column of ``rows`` (left out of the result) or an
+    expression over them, such as a rendered template, which then never crosses a
+    shuffle. ``row_key`` names the rows uniquely.
+    """
+    text = F.col(content) if isinstance(content, str) else content
+    # the digests are written once: dedupe, lookups and the answers read them, not the prompts
+    keyed = cut_lineage(request_keys(rows, models, text, row_key, temperature, include_reasoning), "request-keys")
+    fill_cache(unique_requests(keyed, row_key), rows, text, cache, client_factory, row_key=row_key, waves=waves,
                temperature=temperature, include_reasoning=include_reasoning, **score_opts)
-    return attach_responses(keyed.drop(content_col), cache)
+    answered = attach_responses(keyed, cache)
+    return (rows.drop(content) if isinstance(content, str) else rows).join(answered, row_key)
 
 
 def failed(answered: DataFrame) -> DataFrame:

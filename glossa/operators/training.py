@@ -58,27 +58,41 @@ def prepare_regression(df: DataFrame, mapping: dict[str, str] = REGRESSION_MAPPI
 
 
 def eval_split(df: DataFrame, order_col: str, frac: float = EVAL_FRACTION, key_col: str | None = None,
-               disjoint: bool = False) -> DataFrame:
+               disjoint: bool = False, dense: bool = False) -> DataFrame:
     """Mark the evaluation slice.
 
     Default: the first ``floor(n * frac)`` rows in input order are evaluation
     rows and stay in training too (``is_eval``). ``disjoint=True`` instead
-    assigns each row to exactly one side by a portable hash of ``key_col``.
+    assigns each row to exactly one side by a portable hash of ``key_col``. With
+    ``dense=True`` the order column already holds 0..n-1 (ids given at ingest) and
+    the slice is a comparison, not a numbering.
     """
     if disjoint:
-        key = F.sha2(F.col(key_col or order_col).cast("string"), 256)
-        cut = format(int(256 * frac), "02x")
-        return df.withColumn("split", F.when(F.substring(key, 1, 2) < F.lit(cut), "eval").otherwise("train"))
+        share = hash60(F.col(key_col or order_col).cast("string"))
+        return df.withColumn("split", F.when(share < F.lit(int(frac * (1 << 60))), "eval").otherwise("train"))
     cut = int(df.count() * frac)        # floor(n * frac), evaluated once
+    if dense:
+        return df.withColumn("is_eval", F.col(order_col) < F.lit(cut))
     x = with_index(df, order_col, out="_pos")
     return x.withColumn("is_eval", F.col("_pos") < F.lit(cut)).drop("_pos")
 
 
+def hash60(text) -> F.Column:
+    """The first 60 bits of the text's SHA-256 as a number (the same in any engine)."""
+    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
+
+
 def seeded_key(key_col: str, seed: int = SHUFFLE_SEED):
     """A portable shuffle key: SHA-256 of ``seed:key``."""
     return F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key_col).cast("string")), 256)
 
 
+def seeded_position(df: DataFrame, key_col: str, seed: int = SHUFFLE_SEED, out: str = "shuffle_pos") -> DataFrame:
+    """0-based position of every row in the seeded shuffle (ties of the 60-bit key by the key column)."""
+    keyed = df.withColumn("_h60", hash60(F.concat(F.lit(f"{seed}:"), F.col(key_col).cast("string"))))
+    return with_index(keyed, ["_h60", key_col], out=out).drop("_h60")
+
+
 def seeded_order(df: DataFrame, key_col: str, seed: int = SHUFFLE_SEED, out: str = "shuffle_key") -> DataFrame:
     return df.withColumn(out, seeded_key(key_col, seed))
 
@@ -90,21 +104,34 @@ def debug_sample(df: DataFrame, key_col: str, n: int, seed: int = SHUFFLE_SEED)
 
 def assign_batches(df: DataFrame, order_col: str, batch_size: int, by: Sequence[str] = ()) -> DataFrame:
     """Consecutive rows (in ``order_col`` order, per ``by`` key) into batches of ``batch_size``."""
-    x = with_index(df, order_col, by=by, out="_pos")
-    return (x.withColumn("batch", F.floor(F.col("_pos") / batch_size).cast("long"))
-             .withColumn("slot", (F.col("_pos") % batch_size).cast("int")).drop("_pos"))
+    return batches_of(with_index(df, order_col, by=by, out="_pos"), "_pos", batch_size).drop("_pos")
+
+
+def batches_of(df: DataFrame, pos_col: str, batch_size: int) -> DataFrame:
+    """``batch`` and ``slot`` from a dense 0-based position: arithmetic, no shuffle."""
+    return (df.withColumn("batch", F.floor(F.col(pos_col) / batch_size).cast("long"))
+              .withColumn("slot", (F.col(pos_col) % batch_size).cast("int")))
+
+
+def shuffled_batches(df: DataFrame, key_col: str, batch_size: int, seed: int = SHUFFLE_SEED) -> DataFrame:
+    """Batches cut along the seeded shuffle, the order training reads them in."""
+    return batches_of(seeded_position(df, key_col, seed), "shuffle_pos", batch_size)
 
 
-def to_roles(df: DataFrame, roles: Sequence[str], keys: Sequence[str] = ("batch", "slot")) -> DataFrame:
-    """Wide -> long: one row per (keys, role) with the role's text."""
-    items = F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).cast("string").alias("text")) for r in roles])
-    return df.select(*keys, F.posexplode(items).alias("role_pos", "_it")) \
-             .select(*keys, "role_pos", "_it.role", "_it.text")
+def to_roles(df: DataFrame, roles: Sequence[str], keys: Sequence[str] = ("batch", "slot"),
+             keep: Sequence[str] = (), value: str = "text") -> DataFrame:
+    """Wide -> long: one row per (keys, role) with the role's value, in its own type
+    (texts, token structs, vectors: all roles must share it). ``keep`` columns, such
+    as a label, go along on every row."""
+    items = F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias(value)) for r in roles])
+    return df.select(*keys, *keep, F.posexplode(items).alias("role_pos", "_it")) \
+             .select(*keys, *keep, "role_pos", "_it.role", f"_it.{value}")
 
 
-def from_roles(long: DataFrame, roles: Sequence[str], keys: Sequence[str] = ("batch", "slot")) -> DataFrame:
+def from_roles(long: DataFrame, roles: Sequence[str], keys: Sequence[str] = ("batch", "slot"),
+               keep: Sequence[str] = (), value: str = "text") -> DataFrame:
     """Long -> wide by role name (never by position in a flattened block)."""
-    return long.groupBy(*keys).pivot("role", list(roles)).agg(F.first("text"))
+    return long.groupBy(*keys, *keep).pivot("role", list(roles)).agg(F.first(value))
 
 
 def step_budget(n: F.Column, batch_size: F.Column, epochs: F.Column,

@@ -16,19 +16,19 @@ from glossa.fixed_text import (DEBUG_EVAL_ROWS, DEBUG_SAMPLES, DEBUG_TRAIN_ROWS,
 from glossa.functions.config import get_or, merge_right_wins, run_stamp
 from glossa.functions.answers import normalize_answer
 from glossa.functions.text import basename, has_suffix, judge_score, na_normalize, slug, stem
-from glossa.functions.tokens import pad_encode as pad_encode_expr, whitespace_tokens
+from glossa.functions.tokens import pad_encode as pad_encode_expr, pad_tokens, vocab_ids as vocab_ids_op, whitespace_tokens
 from glossa.operators import metrics as M
 from glossa.operators import prompts as P
 from glossa.operators import sweep as S
 from glossa.operators import training as T
-from glossa.operators.rows import cut_lineage, head_in_order
-from glossa.operators.scoring import (encode_texts, generate_judgements, response_content, score_requests,
-                                      score_segments)
-from glossa.operators.stubs import EchoClient, HashingEncoder, LengthRatioScorer, StubJudge
+from glossa.operators.rows import attach_checked, cut_lineage, head_in_order, with_index
+from glossa.operators.scoring import encode_texts, generate_judgements, response_content, score_segments
+from glossa.operators.stubs import EchoClient, LengthRatioScorer, LetterEncoder, StubJudge
 from glossa.plans.views import table, v_answers, v_judge, v_pairs, v_qa, v_qe, v_trip, v_turns
 from glossa.session import scratch_path
 from glossa.sources.cache import ResponseCache
-from glossa.sources.sinks import write_scored_document, write_table
+from glossa.sources.sinks import with_output_name, write_scored_document, write_table
+from glossa.sources.tables import read_table, read_wholetext
 
 PAD_LENGTH = 512          # max_length of the training configurations
 BATCH_SIZE = 8            # batch_size of the training configurations
@@ -53,11 +53,15 @@ def scan_head(spark: SparkSession, d: str) -> DataFrame:
 
 def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "pairs-csv")
-    write_table(v_pairs(spark, d).select("row_id", "src", "tgt"), path, fmt="csv")
-    back = spark.read.schema("row_id long, src string, tgt string") \
-        .options(header="true", multiLine="true", quote='"', escape='"').csv(path)
+    # a text with white space around it, of white space only, empty, or missing
+    k = F.col("row_id") % 5
+    edge = (F.when(k == 0, F.concat(F.lit("  "), "tgt")).when(k == 1, F.concat("tgt", F.lit(" \n\t")))
+             .when(k == 2, F.lit(" \t ")).when(k == 3, F.lit("")))
+    write_table(v_pairs(spark, d).select("row_id", "src", "tgt", edge.alias("edge")), path, fmt="csv")
+    back = read_table(spark, path, "csv", schema="row_id long, src string, tgt string, edge string", keep_corrupt=True)
     return back.select("row_id", sha("src").alias("src_sha"), sha("tgt").alias("tgt_sha"),
-                       F.length("src").alias("src_len"))
+                       F.length("src").alias("src_len"), sha("edge").alias("edge_sha"),
+                       F.col("_corrupt_record").isNotNull().cast("int").alias("malformed"))
 
 
 def model_slug(spark: SparkSession, d: str) -> DataFrame:
@@ -89,68 +93,97 @@ def render_judge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def question_table(spark: SparkSession, d: str) -> DataFrame:
-    bank = spark.createDataFrame([(QUESTIONS,)], "value string")
-    qs = P.question_rows(bank)
+    path = scratch_path(spark, "questions")          # the bank as a file, read whole
+    spark.createDataFrame([(QUESTIONS,)], "value string").coalesce(1).write.text(path)
+    qs = P.question_rows(read_wholetext(spark, path))
     counts = (v_answers(spark, d).groupBy("qid")
               .agg(F.count(normalize_answer("raw")).alias("n_valid"), F.count(F.lit(1)).alias("n_answers")))
     return qs.join(counts, "qid", "left").select("qid", "question", "n_valid", "n_answers")
 
 
 # ---------------------------------------------------------------- sweep, dedupe, cache
-def _prompts(spark: SparkSession, d: str) -> DataFrame:
-    return P.render_prompt(v_pairs(spark, d), TEMPLATE_BASELINE, _slots(), out="content") \
-        .select("row_id", "pair", "content")
+def _prompt_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The slots of the sweep's prompts; ``_content`` renders them where the text is needed."""
+    return v_pairs(spark, d).select("row_id", "pair", "src", "tgt")
 
 
-def _keyed(prompts: DataFrame) -> DataFrame:
-    return S.with_request_key(S.expand_models(prompts, MODELS), "content")
+def _content() -> F.Column:
+    return P.template_expr(TEMPLATE_BASELINE, _slots())
 
 
-def _warm_cache(spark: SparkSession, prompts: DataFrame) -> ResponseCache:
+def _keyed(rows: DataFrame) -> DataFrame:
+    return S.request_keys(rows, MODELS, _content())
+
+
+def _warm_cache(spark: SparkSession, rows: DataFrame) -> ResponseCache:
     """A cache holding a previous sweep over one language pair."""
     cache = ResponseCache(spark, scratch_path(spark, "cache"))
-    earlier = S.unique_requests(prompts.where(F.col("pair") == WARM_PAIR), MODELS, "content")
-    cache.append(score_requests(earlier, EchoClient, backoff_s=0.0))
+    earlier = rows.where(F.col("pair") == WARM_PAIR)
+    S.fill_cache(S.unique_requests(_keyed(earlier)), earlier, _content(), cache, EchoClient, backoff_s=0.0)
     return cache
 
 
-def _staged_prompts(spark: SparkSession, d: str) -> DataFrame:
-    """Rendered once and written: the cache queries read the prompts three times."""
-    return cut_lineage(_prompts(spark, d), "prompts")
-
-
 def sweep_expand(spark: SparkSession, d: str) -> DataFrame:
-    return _keyed(_prompts(spark, d)).groupBy("chat_model").agg(
+    return _keyed(_prompt_rows(spark, d)).groupBy("chat_model").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct("request_id").alias("n_keys"))
 
 
 def sweep_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    k = _keyed(_prompts(spark, d))
+    k = _keyed(_prompt_rows(spark, d))
     return k.groupBy("request_id", "chat_model").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def sweep_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Both prompt variants to every model of a model-list file."""
+    path = scratch_path(spark, "models")
+    spark.createDataFrame([(m,) for m in MODELS] + [("",)], "value string").coalesce(1).write.text(path)
+    prompts = P.render_variants(v_pairs(spark, d), {"baseline": TEMPLATE_BASELINE, "stepwise": TEMPLATE_STEPWISE},
+                                _slots(), out="content").select("row_id", "prompt_variant", "content")
+    keyed = S.with_request_key(S.expand_models(prompts, S.read_models(spark, path)), "content")
+    named = with_output_name(keyed, "chat_model", input_name="pairs.csv")
+    return named.groupBy("prompt_variant", "chat_model", "output_name").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("request_id").alias("n_keys"))
+
+
 def cache_misses(spark: SparkSession, d: str) -> DataFrame:
-    prompts = _staged_prompts(spark, d)
-    cache = _warm_cache(spark, prompts)
-    requests = S.unique_requests(prompts, MODELS, "content")
-    return S.split_cache(requests, cache.keys())[1].select("request_id", "chat_model")
+    rows = _prompt_rows(spark, d)
+    requests = S.unique_requests(cut_lineage(_keyed(rows), "request-keys"))
+    cache = _warm_cache(spark, rows)
+    return S.split_cache(requests, cache.keys(requests))[1].select("request_id", "chat_model")
 
 
 def cache_report(spark: SparkSession, d: str) -> DataFrame:
-    prompts = _staged_prompts(spark, d)
-    cache = _warm_cache(spark, prompts)
-    return S.cache_report(_keyed(prompts), cache.keys())
+    rows = _prompt_rows(spark, d)
+    keyed = cut_lineage(_keyed(rows), "request-keys")
+    return S.cache_report(keyed, _warm_cache(spark, rows).keys(keyed))
 
 
 def score_stub(spark: SparkSession, d: str) -> DataFrame:
-    prompts = _staged_prompts(spark, d)
-    cache = _warm_cache(spark, prompts)
-    S.fill_cache(S.unique_requests(prompts, MODELS, "content"), cache, EchoClient, waves=2, backoff_s=0.0)
-    out = S.attach_responses(_keyed(prompts).drop("content"), cache)
+    rows = _prompt_rows(spark, d)
+    cache = _warm_cache(spark, rows)
+    keyed = cut_lineage(_keyed(rows), "request-keys")
+    S.fill_cache(S.unique_requests(keyed), rows, _content(), cache, EchoClient, waves=2, backoff_s=0.0)
+    out = S.attach_responses(keyed, cache)
     return out.select("row_id", "chat_model", "response", judge_score("response").alias("score"),
                       "error", "attempts")
 
 
+def _answered(spark: SparkSession, d: str) -> DataFrame:
+    cache = ResponseCache(spark, scratch_path(spark, "cache"))
+    answered = S.run_sweep(_prompt_rows(spark, d), MODELS, _content(), cache, EchoClient, backoff_s=0.0)
+    return answered.withColumn("score", judge_score("response"))
+
+
+def failed_requests(spark: SparkSession, d: str) -> DataFrame:
+    return S.failed(_answered(spark, d)).select("row_id", "chat_model", "error", "attempts")
+
+
+def sweep_report(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, unparsed scores and failed requests per model."""
+    return M.parse_report(_answered(spark, d), "score", by=["chat_model"], error_col="error").withColumn(
+        "null_rate", F.round("null_rate", 6))
+
+
 def response_extract(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     full = F.to_json(F.struct(F.col("event_id").alias("id"), F.lit("chat.completion").alias("object"),
@@ -205,6 +238,27 @@ def score_document(spark: SparkSession, d: str) -> DataFrame:
     return back.withColumn("system_score", F.round("system_score", 6))
 
 
+def segments_table(spark: SparkSession, d: str) -> DataFrame:
+    """The written segment list of the scoring document, with the summary's model info."""
+    seg = _segments(spark, d).select("model", "segment_id", "row_id", F.col("src").alias("source"),
+                                     F.col("tgt").alias("translation"), "score", "error_spans")
+    path = scratch_path(spark, "score-doc")
+    back = write_scored_document(seg, path, lambda x: M.score_document(x, by=["model"], model_info={"scorer": "length"}))
+    info = spark.read.schema("model string, model_info struct<scorer:string>").json(f"{path}/summary")
+    return back.join(info, "model").select(
+        "model", "segment_id", "row_id", sha("source").alias("source_sha"), sha("translation").alias("translation_sha"),
+        F.round("score", 6).alias("score"), F.col("error_spans")[0]["end"].alias("span_end"),
+        F.col("error_spans")[0]["severity"].alias("severity"), F.col("model_info.scorer").alias("scorer"))
+
+
+def reference_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Reference-based segment scores, attached to their rows by a checked join."""
+    pairs = v_pairs(spark, d).select("row_id", "src", "tgt", "model")
+    scored = score_segments(pairs.withColumn("ref", F.upper("tgt")), "src", "tgt", LengthRatioScorer, ref_col="ref")
+    out = attach_checked(pairs.select("row_id", "model"), scored.select("row_id", "score"), "row_id")
+    return out.select("row_id", "model", F.round("score", 6).alias("score"))
+
+
 # ---------------------------------------------------------------- QA answers
 def answers_long(spark: SparkSession, d: str) -> DataFrame:
     return M.answer_tallies(M.answers_long(v_qa(spark, d)))
@@ -215,6 +269,27 @@ def qa_score(spark: SparkSession, d: str) -> DataFrame:
     return x.select("row_id", "model", F.round("score", 6).alias("score"))
 
 
+def qa_score_weighted(spark: SparkSession, d: str) -> DataFrame:
+    x = M.with_qa_score(v_qa(spark, d), "response", weights={str(k): (0.5 if k % 2 else 2.0) for k in range(1, 21)})
+    return x.select("row_id", "model", F.round("score", 6).alias("score"))
+
+
+def answer_pivot(spark: SparkSession, d: str) -> DataFrame:
+    p = M.answer_pivot(M.answers_long(v_qa(spark, d)), by=["model"])
+    return p.select("model", *[F.col(c).alias(f"n_{c.lower()}") for c in ("YES", "NO", "MAYBE", "INVALID")])
+
+
+def judged_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Mean judge score by model, pair and dataset, with subtotals and the null rate."""
+    k = F.col("row_id") % 7
+    response = F.when(k < 5, F.concat(F.lit("ok [RESULT] "), (k + 1).cast("string"))).when(k == 5, F.lit("no mark"))
+    x = v_pairs(spark, d).select("model", "pair", "dataset", judge_score(response).alias("score"))
+    r = M.score_rollup(x, ["model", "pair", "dataset"], {
+        "system_score": F.avg("score"), "null_rate": F.count_if(F.col("score").isNull()) / F.count(F.lit(1))})
+    return r.select("model", "pair", "dataset", "gid", "n", F.round("system_score", 6).alias("system_score"),
+                    F.round("null_rate", 6).alias("null_rate"))
+
+
 def score_rollup(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
     x = docs.join(table(spark, d, "labels"), "doc_id", "inner")
@@ -254,6 +329,41 @@ def assign_batches(spark: SparkSession, d: str) -> DataFrame:
     return T.assign_batches(docs, "doc_id", BATCH_SIZE, by=["lang"]).select("doc_id", "lang", "batch", "slot")
 
 
+def shuffled_batches(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id")
+    return T.shuffled_batches(docs, "doc_id", BATCH_SIZE).select("doc_id", "shuffle_pos", "batch", "slot")
+
+
+def regression_layout(spark: SparkSession, d: str) -> DataFrame:
+    """Shuffled batches of the regression rows: tokens and mask per role, with the label."""
+    p = T.prepare_regression(v_qe(spark, d), keep=["row_id"])
+    b = T.shuffled_batches(p, "row_id", BATCH_SIZE)
+    x = T.to_roles(b, ["src", "mt"], keep=["label"]).withColumn("enc", pad_encode_expr(F.col("text"), PAD_LENGTH))
+    return x.select("batch", "slot", "role", "label",
+                    F.aggregate("enc.attention_mask", F.lit(0), lambda a, m: a + m).alias("n_tokens"),
+                    sha(F.array_join("enc.tokens", "\u0001")).alias("tokens_sha"))
+
+
+def stack_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """The four role vectors of every triplet as rows of the batch layout, in their own type."""
+    b = T.assign_batches(v_trip(spark, d), "row_id", BATCH_SIZE)
+    x = T.to_roles(b, T.TRIPLET_ROLES, value="embedding")
+    return x.select("batch", "slot", "role_pos", "role", F.size("embedding").alias("dim"),
+                    F.round(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double")), 4).alias("total"))
+
+
+def vocab_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of documents from a vocabulary table (the benchmark's words, numbered in order)."""
+    words = table(spark, d, "benchmark").select(F.explode(whitespace_tokens(F.col("text"))).alias("token")).distinct()
+    vocab = with_index(words, "token", out="i").select("token", (F.col("i") + 2).alias("id"))
+    docs = table(spark, d, "documents").select("doc_id", pad_tokens(whitespace_tokens(F.col("text")), PAD_LENGTH).alias("tokens"))
+    ids = vocab_ids_op(docs, "tokens", vocab, "doc_id")
+    return ids.select("doc_id", F.size("input_ids").alias("length"),
+                      F.size(F.filter("input_ids", lambda i: i == 1)).alias("n_unknown"),
+                      F.size(F.filter("input_ids", lambda i: i == 0)).alias("n_pad"),
+                      F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, i: a + i).alias("id_sum"))
+
+
 def step_budget(spark: SparkSession, d: str) -> DataFrame:
     n_file = v_qe(spark, d).agg(F.count(F.lit(1)).alias("n_file"))
     cfg = F.array(*[F.struct(F.lit(name).alias("config"), F.lit(kind).alias("kind"), F.lit(b).alias("batch_size"),
@@ -296,7 +406,10 @@ def eval_split(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id")
     a = T.eval_split(docs, "doc_id")
     b = T.eval_split(a, "doc_id", disjoint=True)
-    return b.select("doc_id", F.col("is_eval").cast("int").alias("is_eval"), "split")
+    for name, frac in (("split_few", 0.003), ("split_half", 0.5), ("split_all", 1.0)):
+        b = T.eval_split(b.withColumnRenamed("split", "_s"), "doc_id", frac=frac, disjoint=True)
+        b = b.withColumnRenamed("split", name).withColumnRenamed("_s", "split")
+    return b.select("doc_id", F.col("is_eval").cast("int").alias("is_eval"), "split", "split_few", "split_half", "split_all")
 
 
 def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -309,8 +422,14 @@ def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def encode_text(spark: SparkSession, d: str) -> DataFrame:
-    t = v_turns(spark, d)
-    return encode_texts(t, "src", HashingEncoder).select("conv_id", "turn", "vec")
+    """Sentence vectors of every role of the triplet rows."""
+    x = T.prepare_triplets(v_turns(spark, d).withColumnRenamed("tgt", "pos").withColumn("neg", F.reverse("pos")),
+                           keep=["conv_id", "turn"])
+    long = T.to_roles(x, T.TRIPLET_ROLES, keys=["conv_id", "turn"])
+    vec = encode_texts(long, "text", LetterEncoder)
+    return vec.select("conv_id", "turn", "role", F.round(F.col("vec")[0].cast("double"), 3).alias("first"),
+                      F.round(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v.cast("double")), 3).alias("total"),
+                      F.size("vec").alias("dim"))
 
 
 def quality_head(spark: SparkSession, d: str) -> DataFrame:
@@ -322,6 +441,14 @@ def quality_head(spark: SparkSession, d: str) -> DataFrame:
     return T.predict_quality(model, pairs, "features").select("row_id", "kind", "prediction")
 
 
+def quality_line(spark: SparkSession, d: str) -> DataFrame:
+    """The learned head on one feature is the least-squares line."""
+    rows = v_qe(spark, d).select("row_id", F.array(F.octet_length("source") % 100 / 100.0).alias("features"),
+                                 F.col("score").cast("double").alias("label"))
+    model = T.fit_quality_head(rows, "features", "label")
+    return T.predict_quality(model, rows, "features").select("row_id", F.round("prediction", 4).alias("prediction"))
+
+
 def run_labels(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", "ts", "event_type", "value")
     base = F.create_map(F.lit("batch_size"), F.lit("8"), F.lit("num_epochs"), F.lit("2"), F.lit("run"), F.lit("base"))
@@ -342,7 +469,10 @@ QUERIES = {
     "question_table": question_table,
     "sweep_expand": sweep_expand,
     "sweep_dedupe": sweep_dedupe,
+    "sweep_variants": sweep_variants,
     "cache_misses": cache_misses,
+    "failed_requests": failed_requests,
+    "sweep_report": sweep_report,
     "cache_report": cache_report,
     "score_stub": score_stub,
     "response_extract": response_extract,
@@ -350,15 +480,24 @@ QUERIES = {
     "judge_score": judge_score_q,
     "parse_report": parse_report,
     "segment_scores": segment_scores,
+    "segments_table": segments_table,
+    "reference_scores": reference_scores,
     "system_score": system_score,
     "score_document": score_document,
     "answers_long": answers_long,
     "qa_score": qa_score,
+    "qa_score_weighted": qa_score_weighted,
+    "answer_pivot": answer_pivot,
+    "judged_rollup": judged_rollup,
     "score_rollup": score_rollup,
     "prepare_triplets": prepare_triplets,
     "prepare_regression": prepare_regression,
     "roles_roundtrip": roles_roundtrip,
     "assign_batches": assign_batches,
+    "shuffled_batches": shuffled_batches,
+    "regression_layout": regression_layout,
+    "stack_embeddings": stack_embeddings,
+    "vocab_ids": vocab_ids,
     "step_budget": step_budget,
     "pad_encode": pad_encode,
     "triplet_metrics": triplet_metrics,
@@ -367,5 +506,6 @@ QUERIES = {
     "seeded_sample": seeded_sample,
     "encode_text": encode_text,
     "quality_head": quality_head,
+    "quality_line": quality_line,
     "run_labels": run_labels,
 }

@@ -12,11 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.fixed_text import MODELS, QUESTIONS, TEMPLATE_BASELINE, TEMPLATE_STEPWISE
+from glossa.fixed_text import (CONCURRENCY, CONCURRENCY_TEST, MODELS, QUESTIONS, TEMPLATE_BASELINE,
+                               TEMPLATE_STEPWISE)
 from glossa.functions.text import judge_score
 from glossa.operators import prompts as P
 from glossa.operators.metrics import score_document
-from glossa.operators.rows import head_in_order, with_index, with_row_id
+from glossa.operators.rows import cut_lineage, head_in_order, with_index, with_row_id
 from glossa.operators.scoring import JUDGE_SAMPLING, generate_judgements, score_segments
 from glossa.operators.sweep import read_models, run_sweep
 from glossa.sources.cache import ResponseCache
@@ -26,109 +27,150 @@ from glossa.sources.tables import read_table
 PROMPT_COLUMNS = ["src", "tgt", "QA", "pair", "model", "dataset"]
 
 
+def ingest(spark: SparkSession, path: str, fmt: str = "csv", test_size: int | None = None,
+           schema: str | None = None) -> tuple[DataFrame, bool]:
+    """The input with ``row_id``, written once, and whether the ids are 0..n-1.
+
+    An input that has a ``row_id`` keeps it, so ids mean the same row in every step;
+    otherwise ids are given here, in input order. The written table is what the job
+    works on: a CSV is parsed once, and ids do not change between readers.
+    """
+    df = read_table(spark, path, fmt=fmt, na_rules="pandas" if fmt == "csv" else "spark", schema=schema)
+    dense = "row_id" not in df.columns
+    if dense:
+        df = with_row_id(df)
+    else:
+        df = cut_lineage(df.withColumn("row_id", F.col("row_id").try_cast("long")), "ingest")
+    return (head_in_order(df, test_size, "row_id") if test_size else df), dense
+
+
 def load(spark: SparkSession, path: str, fmt: str = "csv", test_size: int | None = None,
          schema: str | None = None) -> DataFrame:
-    df = with_row_id(read_table(spark, path, fmt=fmt, na_rules="pandas" if fmt == "csv" else "spark",
-                                schema=schema))
-    return head_in_order(df, test_size, "row_id") if test_size else df
+    return ingest(spark, path, fmt, test_size, schema)[0]
 
 
 def prompt_job(spark: SparkSession, input_path: str, output_path: str, *, fmt: str = "csv",
                templates: dict[str, str] | None = None, questions: str = QUESTIONS,
-               out_fmt: str = "csv") -> DataFrame:
+               out_fmt: str = "csv", mode: str = "errorifexists") -> DataFrame:
     """Render every template per pair; one output folder per variant, columns in the fixed order."""
     templates = templates or {"baseline": TEMPLATE_BASELINE, "stepwise": TEMPLATE_STEPWISE}
     pairs = load(spark, input_path, fmt)
     out = P.render_variants(pairs, templates, {"source": F.col("src"), "translation": F.col("tgt"),
                                                "questions": questions}, out="QA")
     out = out.select("row_id", "prompt_variant", *PROMPT_COLUMNS)
-    write_table(out, output_path, fmt=out_fmt, partition_by=["prompt_variant"])
+    write_table(out, output_path, fmt=out_fmt, partition_by=["prompt_variant"], mode=mode)
     return out
 
 
 def sweep_job(spark: SparkSession, input_path: str, output_path: str, cache_path: str,
               client_factory: Callable, *, models: list[str] | str = MODELS, content_col: str = "QA",
-              fmt: str = "csv", test_size: int | None = None, waves: int = 1, **score_opts) -> DataFrame:
+              fmt: str = "csv", test_size: int | None = None, waves: int | None = None,
+              mode: str = "errorifexists", **score_opts) -> DataFrame:
     """Every prompt to every model through the cache; results per (model, input file).
 
-    ``models`` is a list of ids or the path of a model-list file (one id per line).
+    ``models`` is a list of ids or the path of a model-list file (one id per line). At
+    most ``CONCURRENCY`` requests are in flight (``CONCURRENCY_TEST`` with a test size).
     """
     if isinstance(models, str):
         models = read_models(spark, models)
+    score_opts.setdefault("concurrency", CONCURRENCY_TEST if test_size else CONCURRENCY)
     rows = load(spark, input_path, fmt, test_size)
     answered = run_sweep(rows, models, content_col, ResponseCache(spark, cache_path), client_factory,
                          waves=waves, **score_opts)
     named = with_output_name(answered, "chat_model", input_name=input_path.rstrip("/").split("/")[-1])
-    write_table(named, output_path, partition_by=["output_name"])
+    write_table(named, output_path, partition_by=["output_name"], mode=mode)
     return named
 
 
 def judge_job(spark: SparkSession, input_path: str, output_path: str, generator_factory: Callable, *,
               source_col: str = "source", target_col: str = "tgt", fmt: str = "csv",
               test_size: int | None = None, sampling: dict = JUDGE_SAMPLING, layout: dict = P.CHATML,
-              out_fmt: str = "csv") -> DataFrame:
+              out_fmt: str = "csv", mode: str = "errorifexists") -> DataFrame:
     """Rubric judge: prompt, chat flattening, generation, score parsing, attach, write."""
     rows = load(spark, input_path, fmt, test_size)
     prompt = P.flatten_chat(P.as_messages(P.judge_content(F.col(source_col), F.col(target_col))), layout)
     judged = generate_judgements(rows.withColumn("_prompt", prompt), "_prompt", generator_factory, sampling)
     out = judged.drop("_prompt").withColumn("llm_score", judge_score("llm_response"))
-    write_table(out, output_path, fmt=out_fmt)
+    write_table(out, output_path, fmt=out_fmt, mode=mode)
     # read the written result back: acting on ``out`` again would call the model again
     return read_table(spark, output_path, fmt=out_fmt, schema=out.schema)
 
 
 def segment_job(spark: SparkSession, input_path: str, output_path: str, scorer_factory: Callable, *,
                 src_col: str = "src", mt_col: str = "tgt", ref_col: str | None = None, fmt: str = "csv",
-                test_size: int | None = None, batch_size: int = 8, model_info: dict | None = None) -> DataFrame:
+                test_size: int | None = None, batch_size: int = 8, model_info: dict | None = None,
+                mode: str = "errorifexists") -> DataFrame:
     """Segment scores with 0-based ids in input order, plus one summary row (the system score)."""
-    rows = load(spark, input_path, fmt, test_size)
-    scored = score_segments(rows, src_col, mt_col, scorer_factory, ref_col=ref_col, batch_size=batch_size)
-    segs = with_index(scored, "row_id", out="segment_id")
+    rows, dense = ingest(spark, input_path, fmt, test_size)
+    # ids given at ingest are the segment ids; kept ids are numbered before scoring
+    rows = rows.withColumn("segment_id", F.col("row_id")) if dense else with_index(rows, "row_id", out="segment_id")
+    segs = score_segments(rows, src_col, mt_col, scorer_factory, ref_col=ref_col, batch_size=batch_size)
     cols = ["segment_id", F.col(src_col).alias("source"), F.col(mt_col).alias("translation"), "score"]
     if ref_col:
         cols.append(F.col(ref_col).alias("reference"))
     segs = segs.select(*cols, "error_spans")
     # segments written first, summary from the files: the scorer runs once
-    return write_scored_document(segs, output_path, lambda x: score_document(x, by=(), model_info=model_info))
+    return write_scored_document(segs, output_path, lambda x: score_document(x, by=(), model_info=model_info), mode=mode)
+
+
+DEBUG_BATCH = 2      # batch size of the debug runs
 
 
 def regression_tables_job(spark: SparkSession, input_path: str, output_path: str, *, fmt: str = "csv",
-                          batch_size: int = 8, frac: float = 0.2, debug: bool = False) -> dict[str, DataFrame]:
+                          batch_size: int = 8, frac: float = 0.2, max_length: int = 512, debug: bool = False,
+                          mode: str = "errorifexists") -> dict[str, DataFrame]:
     """Regression training tables: rename and check columns, label to float, the
     evaluation slice (first ``frac`` of rows in file order, also kept in train),
-    a seeded order, batches; in debug mode 10 train rows and 4 eval rows.
+    train batches along the seeded shuffle, evaluation batches in file order; in
+    debug mode 10 train rows and 4 eval rows in batches of 2, with the same columns.
 
-    Writes ``train/`` and ``eval/`` under ``output_path`` and returns them as read back.
+    Writes ``train/`` and ``eval/`` (wide rows) and ``train_tokens/`` and
+    ``eval_tokens/`` (per role: padded tokens and mask, with the label) under
+    ``output_path`` and returns them as read back. The input is read once; the
+    slice and the evaluation batches are arithmetic on the ingest ids.
     """
+    from glossa.functions.tokens import pad_encode
     from glossa.operators import training as T
 
-    rows = T.prepare_regression(load(spark, input_path, fmt), keep=["row_id"])
-    split = T.eval_split(rows, "row_id", frac=frac)
-    train = T.seeded_order(split, "row_id")
-    evals = train.where("is_eval")
+    loaded, dense = ingest(spark, input_path, fmt)
+    if not dense:
+        loaded = with_index(loaded, "row_id", out="_file_pos")
+    pos = "row_id" if dense else "_file_pos"
+    rows = T.prepare_regression(loaded, keep=list(dict.fromkeys(["row_id", pos])))
+    split = T.eval_split(rows, pos, frac=frac, dense=True)
+    train = T.seeded_position(split, "row_id")
+    evals = split.where("is_eval").withColumn("shuffle_pos", F.col(pos))
     if debug:
-        train = T.debug_sample(train, "row_id", 10)
-        evals = T.head_in_order(train, 4, "shuffle_key", "row_id")
+        batch_size = DEBUG_BATCH
+        train = train.where(F.col("shuffle_pos") < 10)
+        evals = head_in_order(evals, 4, pos)
     out = {}
     for name, df in (("train", train), ("eval", evals)):
-        batched = T.assign_batches(df, "row_id", batch_size) if not debug else df
-        batched.write.mode("errorifexists").parquet(f"{output_path}/{name}")
-        out[name] = spark.read.schema(batched.schema).parquet(f"{output_path}/{name}")
+        batched = T.batches_of(df, "shuffle_pos", batch_size)
+        batched = batched.drop("_file_pos")
+        batched.write.mode(mode).parquet(f"{output_path}/{name}")
+        out[name] = wide = spark.read.schema(batched.schema).parquet(f"{output_path}/{name}")
+        tokens = T.to_roles(wide, ["src", "mt"], keep=["label", "label_ok"]).withColumn(
+            "enc", pad_encode(F.col("text"), max_length))
+        tokens.write.mode(mode).parquet(f"{output_path}/{name}_tokens")
+        out[f"{name}_tokens"] = spark.read.schema(tokens.schema).parquet(f"{output_path}/{name}_tokens")
     return out
 
 
 def ranking_tables_job(spark: SparkSession, input_path: str, output_path: str, *, fmt: str = "csv",
-                       batch_size: int = 8, max_length: int = 512, debug: bool = False) -> DataFrame:
+                       batch_size: int = 8, max_length: int = 512, debug: bool = False,
+                       mode: str = "errorifexists") -> DataFrame:
     """Ranking training table: ``ref`` filled from ``src`` when the column is
     missing, values as text, batches of ``batch_size`` and the role layout
     (src, ref, pos, neg) with padded tokens and masks per role; debug keeps 10 rows."""
     from glossa.functions.tokens import pad_encode
     from glossa.operators import training as T
 
-    rows = T.prepare_triplets(load(spark, input_path, fmt), keep=["row_id"])
+    loaded, dense = ingest(spark, input_path, fmt)
+    rows = T.prepare_triplets(loaded, keep=["row_id"])
     if debug:
-        rows = T.head_in_order(rows, 10, "row_id")
-    long = T.to_roles(T.assign_batches(rows, "row_id", batch_size), T.TRIPLET_ROLES)
-    encoded = long.withColumn("enc", pad_encode(F.col("text"), max_length))
-    encoded.write.mode("errorifexists").parquet(output_path)
+        rows = head_in_order(rows, 10, "row_id")
+    batched = T.batches_of(rows, "row_id", batch_size) if dense else T.assign_batches(rows, "row_id", batch_size)
+    encoded = T.to_roles(batched, T.TRIPLET_ROLES).withColumn("enc", pad_encode(F.col("text"), max_length))
+    encoded.write.mode(mode).parquet(output_path)
     return spark.read.schema(encoded.schema).parquet(output_path)

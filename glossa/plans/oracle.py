@@ -138,6 +138,19 @@ def _tokens(text: str) -> str:
     return f"list_filter(regexp_split_to_array(coalesce({text}, ''), '[ \\t\\n\\r]+'), lambda x: x <> '')"
 
 
+def _split(frac: float) -> str:
+    """Side of the disjoint split: the first 15 hex digits against the share of 2^60."""
+    cut = int(frac * (1 << 60))
+    if cut >= 1 << 60:
+        return "'eval'"
+    return f"case when substr(sha256(cast(doc_id as varchar)), 1, 15) < '{cut:015x}' then 'eval' else 'train' end"
+
+
+def _letters(text: str, n: int = 16) -> str:
+    counts = ", ".join(f"cast(length({text}) - length(replace({text}, '{chr(97 + i)}', '')) as double)" for i in range(n))
+    return f"[{counts}]"
+
+
 NA_LIST = ", ".join(lit(v) for v in PANDAS_NA_VALUES)
 
 ORACLE = {
@@ -146,7 +159,10 @@ select doc_id as row_id, case when text in ({NA_LIST}) then null else text end a
 from documents order by doc_id limit 100""",
 
     "csv_roundtrip": f"""with {V_PAIRS}
-select row_id, sha256(src) as src_sha, sha256(tgt) as tgt_sha, cast(length(src) as integer) as src_len from v_pairs""",
+select row_id, sha256(src) as src_sha, sha256(tgt) as tgt_sha, cast(length(src) as integer) as src_len,
+       sha256(case row_id % 5 when 0 then '  ' || tgt when 1 then tgt || ' ' || chr(10) || chr(9)
+              when 2 then ' ' || chr(9) || ' ' end) as edge_sha, 0 as malformed
+from v_pairs""",
 
     "model_slug": r"""
 select page_id, replace(url, '/', '_') as slug,
@@ -177,6 +193,23 @@ select chat_model, count(*) as n_rows, count(distinct request_id) as n_keys from
     "sweep_dedupe": f"""with {V_PAIRS}, {KEYED}
 select request_id, chat_model, count(*) as n_rows from keyed group by request_id, chat_model""",
 
+    "sweep_variants": f"""with {V_PAIRS},
+p as (select 'baseline' as prompt_variant, {prompt_sql(TEMPLATE_BASELINE, 'src', 'tgt')} as content from v_pairs
+      union all
+      select 'stepwise' as prompt_variant, {prompt_sql(TEMPLATE_STEPWISE, 'src', 'tgt')} as content from v_pairs)
+select prompt_variant, m.chat_model, replace(m.chat_model, '/', '_') || '_pairs.csv' as output_name,
+       count(*) as n_rows, count(distinct content) as n_keys
+from p cross join {MODELS_SQL} group by all""",
+
+    "failed_requests": f"""with {V_PAIRS}, {KEYED}
+select row_id, chat_model, 'RuntimeError: stub failure' as error, 5 as attempts from keyed where strlen(content) % 11 = 0""",
+
+    "sweep_report": f"""with {V_PAIRS}, {KEYED},
+y as (select chat_model, strlen(content) % 11 = 0 as bad from keyed)
+select chat_model, count(*) as n, count(*) filter (where bad) as n_null,
+       round(count(*) filter (where bad) / count(*), 6) as null_rate, count(*) filter (where bad) as n_failed
+from y group by chat_model""",
+
     "cache_misses": f"""with {V_PAIRS}, {KEYED}
 select distinct request_id, chat_model from keyed where request_id not in (select request_id from cached)""",
 
@@ -227,6 +260,38 @@ select model, round(avg(case when greatest(a, b) = 0 then 0.0 else least(a, b) /
        count(*) as n_segments, count(*) filter (where 2 * b < a) as n_with_spans
 from x group by model""",
 
+    "segments_table": f"""with {V_PAIRS},
+x as (select *, strlen(src) as a, strlen(tgt) as b from v_pairs)
+select model, row_number() over (partition by model order by row_id) - 1 as segment_id, row_id,
+       sha256(src) as source_sha, sha256(tgt) as translation_sha,
+       round(case when greatest(a, b) = 0 then 0.0 else least(a, b) / greatest(a, b) end, 6) as score,
+       cast(case when 2 * b < a then b end as integer) as span_end, case when 2 * b < a then 'major' end as severity,
+       'length' as scorer
+from x""",
+
+    "reference_scores": f"""with {V_PAIRS},
+x as (select row_id, model, strlen(src) as a, strlen(tgt) as b from v_pairs)
+select row_id, model, round(case when greatest(a, b) = 0 then 0.0 else least(a, b) / greatest(a, b) end, 6) as score
+from x""",
+
+    "qa_score_weighted": f"""with {V_ANSWERS},
+x as (select row_id, model, case {_norm('raw')} when 'YES' then 1.0 when 'MAYBE' then 0.5 when 'NO' then 0.0 end as v,
+             case when qid % 2 = 1 then 0.5 else 2.0 end as w
+      from v_answers where qid <= 20)
+select row_id, model, round(cast(sum(v * w) as double) / cast(sum(w) filter (where v is not null) as double), 6) as score
+from x group by row_id, model""",
+
+    "answer_pivot": f"""with {V_ANSWERS}, x as (select model, {_norm('raw')} as answer from v_answers)
+select model, count(*) filter (where answer = 'YES') as n_yes, count(*) filter (where answer = 'NO') as n_no,
+       count(*) filter (where answer = 'MAYBE') as n_maybe, count(*) filter (where answer is null) as n_invalid
+from x group by model""",
+
+    "judged_rollup": f"""with {V_PAIRS},
+x as (select model, pair, dataset, case when row_id % 7 < 5 then row_id % 7 + 1 end as score from v_pairs)
+select model, pair, dataset, grouping(model, pair, dataset) as gid, count(*) as n, round(avg(score), 6) as system_score,
+       round(count(*) filter (where score is null) / count(*), 6) as null_rate
+from x group by rollup (model, pair, dataset)""",
+
     "answers_long": f"""with {V_ANSWERS}, x as (select cast(qid as integer) as qid, model, {_norm('raw')} as answer from v_answers)
 select qid, model, count(*) filter (where answer = 'YES') as yes, count(*) filter (where answer = 'NO') as no,
        count(*) filter (where answer = 'MAYBE') as maybe, count(*) filter (where answer is null) as invalid
@@ -268,6 +333,41 @@ from x""",
 with x as (select doc_id, lang, row_number() over (partition by lang order by doc_id) - 1 as p from documents)
 select doc_id, lang, cast(p // {BATCH_SIZE} as bigint) as batch, cast(p % {BATCH_SIZE} as integer) as slot from x""",
 
+    "shuffled_batches": f"""
+with x as (select doc_id, row_number() over (order by substr(sha256(concat('42:', cast(doc_id as varchar))), 1, 15), doc_id) - 1 as p
+           from documents)
+select doc_id, cast(p as bigint) as shuffle_pos, cast(p // {BATCH_SIZE} as bigint) as batch,
+       cast(p % {BATCH_SIZE} as integer) as slot from x""",
+
+    "regression_layout": f"""with {V_QE},
+x as (select row_number() over (order by substr(sha256(concat('42:', cast(row_id as varchar))), 1, 15), row_id) - 1 as p,
+             source, target, cast(score as double) as label from v_qe),
+l as (select p, 'src' as role, source as text, label from x union all select p, 'mt', target, label from x),
+c as (select p, role, label, {_tokens('text')}[1:{PAD_LENGTH}] as cut from l)
+select cast(p // {BATCH_SIZE} as bigint) as batch, cast(p % {BATCH_SIZE} as integer) as slot, role, label,
+       cast(len(cut) as integer) as n_tokens,
+       sha256(array_to_string(list_concat(cut, list_transform(range({PAD_LENGTH} - len(cut)), lambda x: '<pad>')), chr(1))) as tokens_sha
+from c""",
+
+    "stack_embeddings": f"""with {V_TRIP},
+x as (select row_number() over (order by row_id) - 1 as p, src, ref, pos, neg from v_trip),
+l as (select p, 0 as role_pos, 'src' as role, src as e from x union all select p, 1, 'ref', ref from x
+      union all select p, 2, 'pos', pos from x union all select p, 3, 'neg', neg from x)
+select cast(p // {BATCH_SIZE} as bigint) as batch, cast(p % {BATCH_SIZE} as integer) as slot, cast(role_pos as integer) as role_pos,
+       role, cast(len(e) as integer) as dim, round(list_sum(list_transform(e, lambda v: cast(v as double))), 4) as total
+from l""",
+
+    "vocab_ids": f"""
+with w as (select distinct unnest({_tokens('text')}) as token from benchmark),
+v as (select token, row_number() over (order by token) + 1 as id from w),
+t as (select doc_id, {_tokens('text')}[1:{PAD_LENGTH}] as cut from documents),
+u as (select doc_id, unnest(cut) as token from t),
+s as (select u.doc_id, count(*) as n, count(*) filter (where v.id is null) as n_unknown, sum(coalesce(v.id, 1)) as id_sum
+      from u left join v on v.token = u.token group by u.doc_id)
+select t.doc_id, {PAD_LENGTH} as length, cast(coalesce(s.n_unknown, 0) as integer) as n_unknown,
+       cast({PAD_LENGTH} - coalesce(s.n, 0) as integer) as n_pad, cast(coalesce(s.id_sum, 0) as bigint) as id_sum
+from t left join s on s.doc_id = t.doc_id""",
+
     "step_budget": f"""with {V_QE}, f as (select count(*) as n_file from v_qe),
 x as (select c.config, case when c.kind = 'ranking' then coalesce(c.total, {DEFAULT_RANKING_SAMPLES})
                             when c.kind = 'regression_debug' then {DEBUG_SAMPLES}
@@ -299,12 +399,28 @@ x as (select ((strlen(source) % 100) / 100.0 + (strlen(target) % 100) / 100.0) /
              cast(score as double) as label from v_qe)
 select round(avg((pred - label) * (pred - label)), 6) as mse, count(pred - label) as n from x""",
 
-    "eval_split": """
+    "eval_split": f"""
 select doc_id,
        cast(row_number() over (order by doc_id) - 1 < floor(count(*) over () * 0.2) as integer) as is_eval,
-       case when substr(sha256(cast(doc_id as varchar)), 1, 2) < '33' then 'eval' else 'train' end as split
+       {_split(0.2)} as split, {_split(0.003)} as split_few, {_split(0.5)} as split_half, {_split(1.0)} as split_all
 from documents""",
 
+    "encode_text": f"""with {V_TURNS},
+l as (select conv_id, turn, 'src' as role, coalesce(src, 'None') as t from v_turns
+      union all select conv_id, turn, 'ref', coalesce(src, 'None') from v_turns
+      union all select conv_id, turn, 'pos', coalesce(tgt, 'None') from v_turns
+      union all select conv_id, turn, 'neg', coalesce(reverse(tgt), 'None') from v_turns),
+c as (select conv_id, turn, role, {_letters('t')} as v from l),
+n as (select *, sqrt(list_sum(list_transform(v, lambda x: x * x))) as norm from c)
+select conv_id, turn, role, round(case when norm > 0 then v[1] / norm else 0.0 end, 3) as first,
+       round(case when norm > 0 then list_sum(v) / norm else 0.0 end, 3) as total, cast(len(v) as integer) as dim
+from n""",
+
+    "quality_line": f"""with {V_QE},
+x as (select row_id, (strlen(source) % 100) / 100.0 as f, cast(score as double) as label from v_qe),
+m as (select regr_slope(label, f) as b, regr_intercept(label, f) as a from x)
+select x.row_id, round(m.a + m.b * x.f, 4) as prediction from x cross join m""",
+
     "seeded_sample": f"""
 with s as (select doc_id from documents order by sha256(concat('42:', cast(doc_id as varchar))), doc_id
            limit {DEBUG_TRAIN_ROWS}),

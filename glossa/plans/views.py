@@ -6,10 +6,10 @@ columns and pushes filters into the scans.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glossa.operators.rows import cut_lineage, spread, with_index
+from glossa.operators.rows import spread, with_index
 
 N_QUESTIONS = 25
 
@@ -83,29 +83,29 @@ def v_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(i.alias("row_id"), F.col("event_type").alias("model"), response.alias("response"))
 
 
+TRIP_BLOCK = 1024
+
+
 def v_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embedded triplets: per label, anchor k, ref k+1, pos k+2; neg = next label, same k.
 
-    Instead of three self-joins, each indexed row is exploded into the roles it
-    plays (src for anchor k, ref for anchor k-1, pos for anchor k-2) and grouped
-    by anchor key: one shuffle, groups of at most 3. The negative, whose
-    label mapping is not invertible, is one equi-join on ((label+1)%10, k).
+    The indexed rows are cut into blocks of consecutive k; the first two rows of a
+    block are also copied to the block before, so ref and pos are two ``lead`` values
+    inside (label, block): one shuffle of the vectors, groups of bounded size. The
+    negative, whose label mapping is not invertible, is one equi-join on
+    ((label+1)%10, k).
     """
-    # The indexed table feeds two branches that read different columns, so Spark
-    # could not reuse one shuffle for both; it is written once to the shared folder.
-    r = cut_lineage(with_index(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"),
-                               "vec_id", by=["label"], out="k"), "trip-index")
-    roles = r.select("vec_id", "label", "embedding", F.inline(F.array(
-        F.struct(F.lit("src").alias("role"), F.col("k").alias("ak")),
-        F.struct(F.lit("ref").alias("role"), (F.col("k") - 1).alias("ak")),
-        F.struct(F.lit("pos").alias("role"), (F.col("k") - 2).alias("ak")))))
-    pick = lambda role, c: F.max_by(F.col(c), F.when(F.col("role") == role, F.lit(1)))
-    anchors = (roles.groupBy("label", "ak")
-               .agg(pick("src", "vec_id").alias("row_id"), pick("src", "embedding").alias("src"),
-                    pick("ref", "embedding").alias("ref"), pick("pos", "embedding").alias("pos"))
-               .where(F.col("row_id").isNotNull() & F.col("ref").isNotNull() & F.col("pos").isNotNull()))
+    r = with_index(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"),
+                   "vec_id", by=["label"], out="k")
+    own = F.floor(F.col("k") / TRIP_BLOCK)
+    blocks = F.when((F.col("k") % TRIP_BLOCK < 2) & (F.col("k") >= TRIP_BLOCK), F.array(own, own - 1)).otherwise(F.array(own))
+    dealt = r.select("vec_id", "label", "embedding", "k", own.alias("own"), F.explode(blocks).alias("block"))
+    w = Window.partitionBy("label", "block").orderBy("k")
+    anchors = (dealt.withColumn("ref", F.lead("embedding", 1).over(w)).withColumn("pos", F.lead("embedding", 2).over(w))
+               .where((F.col("own") == F.col("block")) & F.col("ref").isNotNull() & F.col("pos").isNotNull())
+               .select(F.col("vec_id").alias("row_id"), "label", "k", F.col("embedding").alias("src"), "ref", "pos"))
     neg = r.select(F.col("label").alias("_nl"), F.col("k").alias("_nk"), F.col("embedding").alias("neg"))
-    return (anchors.join(neg, (((anchors.label + 1) % 10) == neg._nl) & (anchors.ak == neg._nk), "inner")
+    return (anchors.join(neg, (((anchors.label + 1) % 10) == neg._nl) & (anchors.k == neg._nk), "inner")
                    .select("row_id", "src", "ref", "pos", "neg"))
 
 
@@ -137,18 +137,12 @@ def _raw_answer_sql(event_id: str, qid: str) -> str:
             f"WHEN {r} = 9 THEN 'yes' ELSE 'N/A' END")
 
 
-def _raw_answer(event_id, qid):
-    r = (event_id + qid * qid * (event_id % 13)) % 11
-    return (F.when(r < 4, "YES").when(r < 7, "NO").when(r < 9, "MAYBE")
-             .when(r == 9, "yes").otherwise("N/A"))
-
-
 def v_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """QA answers in long form: every event answers the 25 questions (narrow explode)."""
     e = table(spark, sf_dir, "events").select("event_id", "event_type")
     x = e.select("event_id", "event_type", F.explode(F.sequence(F.lit(1), F.lit(N_QUESTIONS))).alias("qid"))
     return x.select(F.col("event_id").alias("row_id"), F.col("event_type").alias("model"),
-                    F.col("qid"), _raw_answer(F.col("event_id"), F.col("qid")).alias("raw"))
+                    F.col("qid"), F.expr(_raw_answer_sql("event_id", "qid")).alias("raw"))
 
 
 def v_qa(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,17 +4,31 @@ Append-only: a run writes only keys it scored; two runs may write the same key,
 so reads dedupe (a successful answer wins over an error, then the earliest
 write). Failed requests are kept for reporting but do not count as cached, so
 the next run retries them.
+
+The table is partitioned by the first hex digits of the key (``PREFIX_DIGITS``; one
+more digit is sixteen times the partitions, for a cache that has outgrown them). A lookup that
+names the keys it needs reads only their partitions and keeps only their rows
+before anything is compared or aggregated, so its cost follows the request, not
+the age of the cache.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
-CACHE_SCHEMA = ("request_id string, chat_model string, full_response string, error string, "
-                "attempts int, written_at timestamp")
 CACHE_COLUMNS = ["request_id", "chat_model", "full_response", "error", "attempts", "written_at"]
+CACHE_SCHEMA = ("request_id string, chat_model string, full_response string, error string, "
+                "attempts int, written_at timestamp, prefix string")
+
+
+PREFIX_DIGITS = 1
+
+
+def key_prefix(key: str = "request_id") -> Column:
+    """The partition of a key: at most 16 ** PREFIX_DIGITS values."""
+    return F.substring(key, 1, PREFIX_DIGITS)
 
 
 class ResponseCache:
@@ -22,22 +36,30 @@ class ResponseCache:
         self.spark = spark
         self.path = path
 
-    def raw(self) -> DataFrame:
+    def raw(self, wanted: DataFrame | None = None) -> DataFrame:
+        """All rows, or those of the keys in ``wanted`` (a ``request_id`` column)."""
         try:
-            return self.spark.read.schema(CACHE_SCHEMA).parquet(self.path)
-        except AnalysisException:
-            return self.spark.createDataFrame([], CACHE_SCHEMA)
+            rows = self.spark.read.schema(CACHE_SCHEMA).parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":      # any other trouble is not an empty cache
+                raise
+            rows = self.spark.createDataFrame([], CACHE_SCHEMA)
+        if wanted is None:
+            return rows.drop("prefix")
+        keys = wanted.select("request_id").distinct()
+        parts = [r[0] for r in keys.select(key_prefix().alias("p")).distinct().collect()]     # 16 ** PREFIX_DIGITS at most
+        return rows.where(F.col("prefix").isin(parts)).drop("prefix").join(keys, "request_id", "left_semi")
 
-    def entries(self) -> DataFrame:
+    def entries(self, wanted: DataFrame | None = None) -> DataFrame:
         """One row per key: the best entry (success first, then earliest write)."""
-        r = self.raw()
+        r = self.raw(wanted)
         rank = F.struct(F.col("error").isNotNull().alias("failed"), F.col("written_at").alias("t"))
         best = F.min_by(F.struct(*[F.col(c) for c in CACHE_COLUMNS if c != "request_id"]), rank)
         return r.groupBy("request_id").agg(best.alias("_e")).select("request_id", "_e.*")
 
-    def keys(self) -> DataFrame:
+    def keys(self, wanted: DataFrame | None = None) -> DataFrame:
         """Keys with a successful answer: what counts as cached."""
-        return self.raw().where(F.col("error").isNull()).select("request_id").distinct()
+        return self.raw(wanted).where(F.col("error").isNull()).select("request_id").distinct()
 
     def compact(self, out_path: str) -> "ResponseCache":
         """Write one row per key (the entry reads would pick) to a new table.
@@ -45,9 +67,12 @@ class ResponseCache:
         Reads dedupe on every lookup, so a long-lived cache with many appends is
         compacted now and then; the caller switches to the returned cache.
         """
-        self.entries().select(*CACHE_COLUMNS).write.mode("errorifexists").parquet(out_path)
+        self._write(self.entries(), out_path, "errorifexists")
         return ResponseCache(self.spark, out_path)
 
     def append(self, scored: DataFrame) -> None:
-        out = scored.withColumn("written_at", F.current_timestamp()).select(*CACHE_COLUMNS)
-        out.write.mode("append").parquet(self.path)
+        self._write(scored.withColumn("written_at", F.current_timestamp()), self.path, "append")
+
+    @staticmethod
+    def _write(rows: DataFrame, path: str, mode: str) -> None:
+        rows.select(*CACHE_COLUMNS, key_prefix().alias("prefix")).write.mode(mode).partitionBy("prefix").parquet(path)

@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 
 from glossa.functions.text import basename, slug
 
-CSV_WRITE = {"header": "true", "quote": '"', "escape": '"', "quoteAll": "false", "emptyValue": '""'}
+# White space is text: nothing is trimmed. An empty text is written as a quoted empty
+# cell and a missing value as a bare one; on reading both are missing, the rule of the
+# CSV inputs. Parquet keeps the difference.
+CSV_WRITE = {"header": "true", "quote": '"', "escape": '"', "quoteAll": "false", "emptyValue": '""', "nullValue": "",
+             "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def with_output_name(df: DataFrame, model_col: str, input_path_col: str | None = None,

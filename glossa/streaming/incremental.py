@@ -25,8 +25,9 @@ from glossa.sources.cache import ResponseCache
 def score_stream(spark: SparkSession, source_dir: str, schema: str, template: str, slots: dict,
                  models: list[str], cache_path: str, client_factory: Callable, output_path: str,
                  checkpoint_location: str, *, fmt: str = "parquet", available_now: bool = True,
-                 max_files_per_trigger: int | None = None, keep: list[str] | None = None,
+                 max_files_per_trigger: int | None = None, keep: list[str] | None = None, row_key: str = "row_id",
                  **score_opts) -> StreamingQuery:
+    """``row_key`` names the rows of a micro-batch uniquely; ``keep`` are the columns written with the answers."""
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -34,9 +35,8 @@ def score_stream(spark: SparkSession, source_dir: str, schema: str, template: st
     keep = keep or [c for c in rows.columns]
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        prompts = df.select(*keep, template_expr(template, slots).alias("content"))
-        answered = run_sweep(prompts, models, "content", ResponseCache(spark, cache_path), client_factory,
-                             **score_opts)
+        answered = run_sweep(df, models, template_expr(template, slots), ResponseCache(spark, cache_path),
+                             client_factory, row_key=row_key, **score_opts)
         out = answered.select(*keep, "chat_model", "request_id", "response",
                               judge_score("response").alias("score"), "error", "attempts")
         out.write.mode("overwrite").parquet(f"{output_path}/epoch={epoch_id}")

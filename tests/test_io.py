@@ -15,6 +15,8 @@ EDGE = [
     (3, 'NA', 'null'),
     (4, 'None', 'nan'),
     (5, '', 'plain'),
+    (6, '  lead', 'trail \t'),
+    (7, '\n x \n', '   '),
 ]
 
 
@@ -26,12 +28,33 @@ def test_csv_round_trip_and_na_rules(spark, tmp):
     assert got[1] == ('quoted\nnewline', 'a "doubled" quote')
     assert got[2] == ('back\\slash', 'comma, inside')
     assert got[3] == ('NA', 'null')           # Spark rules: only empty is missing
+    assert got[5] == (None, 'plain')
+    assert got[6] == ('  lead', 'trail \t') and got[7] == ('\n x \n', '   ')
     pandas_like = read_table(spark, f"{tmp}/out", fmt="csv", na_rules="pandas",
                              schema="row_id long, src string, tgt string")
     got = {r.row_id: (r.src, r.tgt) for r in pandas_like.collect()}
     assert got[3] == (None, None) and got[4] == (None, None) and got[5][0] is None
 
 
+def test_malformed_cells_are_counted(spark, tmp):
+    from glossa.sources.tables import malformed
+
+    with open(f"{tmp}/bad.csv", "w") as f:
+        f.write("row_id,src\n1,a\nx,b\n3,c\n")
+    df = read_table(spark, f"{tmp}/bad.csv", fmt="csv", schema="row_id long, src string", keep_corrupt=True)
+    assert malformed(df) == 1
+    assert {r.src: r.row_id for r in df.collect()} == {"a": 1, "b": None, "c": 3}
+
+
+def test_long_model_lists(spark, tmp):
+    from glossa.operators.sweep import expand_models, read_models
+
+    with open(f"{tmp}/many.txt", "w") as f:
+        f.writelines(f"org/model-{i}\n" for i in range(1500))
+    models = read_models(spark, f"{tmp}/many.txt")
+    assert len(models) == 1500 and expand_models(spark.range(2), models).count() == 3000
+
+
 def test_model_list_lines(spark, tmp):
     path = f"{tmp}/models.txt"
     with open(path, "w") as f:
@@ -42,22 +65,22 @@ def test_model_list_lines(spark, tmp):
 
 
 def test_name_functions(spark):
-    df = spark.createDataFrame([("openai/gpt-4o-mini", "data/final_set/PAR3-set.csv", "outputs/run/")],
+    df = spark.createDataFrame([("openai/gpt-4o-mini", "data/sets/pairs-set.csv", "outputs/run/")],
                                "m string, p string, d string")
     r = df.select(slug("m").alias("slug"), basename("p").alias("base"), stem("p").alias("stem"),
                   basename("d").alias("dir_base"), has_suffix("p", ".csv").alias("csv"),
                   has_suffix("p", ".ckpt").alias("ckpt")).first()
     assert (r.slug, r.base, r.stem, r.dir_base, r.csv, r.ckpt) == (
-        "openai_gpt-4o-mini", "PAR3-set.csv", "PAR3-set", "run", True, False)
+        "openai_gpt-4o-mini", "pairs-set.csv", "pairs-set", "run", True, False)
 
 
 def test_partitioned_sink(spark, tmp):
     df = spark.createDataFrame([(1, "openai/gpt-4o-mini", "x"), (2, "Qwen/Qwen2.5-32B-Instruct", "y")],
                                "row_id long, chat_model string, response string")
-    named = with_output_name(df, "chat_model", input_name="PAR3-final_set_with_QA.csv")
+    named = with_output_name(df, "chat_model", input_name="pairs-with_answers.csv")
     write_table(named, f"{tmp}/res", partition_by=["output_name"])
     dirs = sorted(os.listdir(f"{tmp}/res"))
-    assert "output_name=openai_gpt-4o-mini_PAR3-final_set_with_QA.csv" in dirs
+    assert "output_name=openai_gpt-4o-mini_pairs-with_answers.csv" in dirs
     back = spark.read.parquet(f"{tmp}/res").where(F.col("output_name").startswith("openai"))
     assert [r.row_id for r in back.collect()] == [1]
 
@@ -78,5 +101,5 @@ def test_csv_text_by_default_inference_opt_in(spark, tmp):
     write_table(df.coalesce(1), f"{tmp}/typed", fmt="csv")
     plain = read_table(spark, f"{tmp}/typed", fmt="csv")
     assert dict(plain.dtypes) == {"id": "string", "s": "string", "x": "string"}
-    inferred = read_table(spark, f"{tmp}/typed", fmt="csv", infer=True, sampling_ratio=1.0)
+    inferred = read_table(spark, f"{tmp}/typed", fmt="csv", infer=True)
     assert dict(inferred.dtypes) == {"id": "int", "s": "string", "x": "double"}

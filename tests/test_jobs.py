@@ -43,6 +43,24 @@ def test_prompt_then_sweep(spark, tmp):
                for d in os.listdir(f"{tmp}/results"))
 
 
+def test_ids_stay_the_same_between_steps(spark, tmp):
+    """A written step with several files keeps the ids its reader sees."""
+    df = spark.createDataFrame([(f"s{i:04d}", f"t{i}", "a-b", "m", "d") for i in range(2000)],
+                               "src string, tgt string, pair string, model string, dataset string")
+    write_table(df.coalesce(1), f"{tmp}/in", fmt="csv")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = jobs.prompt_job(spark, f"{tmp}/in", f"{tmp}/p", out_fmt="parquet")
+        want = {r.src: r.row_id for r in out.where("prompt_variant = 'baseline'").collect()}
+        back = jobs.load(spark, f"{tmp}/p/prompt_variant=baseline", fmt="parquet")
+        assert {r.src: r.row_id for r in back.collect()} == want
+        assert want == {f"s{i:04d}": i for i in range(2000)}
+        three = jobs.load(spark, f"{tmp}/p/prompt_variant=baseline", fmt="parquet", test_size=3)
+        assert sorted(r.src for r in three.collect()) == ["s0000", "s0001", "s0002"]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_judge_job(spark, tmp):
     df = spark.createDataFrame([("a source", "a translation"), ("b", "c")], "source string, tgt string")
     write_table(df.coalesce(1), f"{tmp}/judge_in", fmt="csv")
@@ -77,6 +95,12 @@ def test_training_table_jobs(spark, tmp):
     assert out["train"].where("not label_ok").count() == 1          # the missing score
     dbg = jobs.regression_tables_job(spark, f"{tmp}/regr", f"{tmp}/regr_dbg", debug=True)
     assert dbg["train"].count() == 10 and dbg["eval"].count() == 4
+    assert dbg["train"].schema == out["train"].schema and dbg["train"].where("slot > 1").count() == 0
+    # batches follow the seeded shuffle, tokens carry the label
+    first = [r.row_id for r in out["train"].where("batch = 0").orderBy("slot").collect()]
+    assert len(first) == 8 and first != list(range(8))
+    assert out["train_tokens"].count() == 60 and out["train_tokens"].where("label = 1.0").count() == 18
+    assert [r.row_id for r in out["eval"].orderBy("batch", "slot").collect()] == list(range(6))
     tri = spark.createDataFrame([(f"s{i}", f"p{i}", f"n{i}") for i in range(9)], "src string, pos string, neg string")
     write_table(tri.coalesce(1), f"{tmp}/rank", fmt="csv")
     long = jobs.ranking_tables_job(spark, f"{tmp}/rank", f"{tmp}/rank_out", max_length=4)

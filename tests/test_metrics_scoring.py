@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from glossa.functions.vectors import harmonic_mean, l2_distance
 from glossa.operators import metrics as M
 from glossa.operators.scoring import encode_texts, generate_judgements, score_segments
-from glossa.operators.stubs import HashingEncoder, LengthRatioScorer, StubJudge
+from glossa.operators.stubs import LetterEncoder, LengthRatioScorer, StubJudge
 from glossa.operators import training as T
 
 
@@ -76,7 +76,7 @@ def test_judge_generation_and_encoder(spark):
     df = spark.createDataFrame([(1, "hello"), (2, None)], "i int, p string")
     g = {r.i: r.llm_response for r in generate_judgements(df, "p", StubJudge, batch_size=1).collect()}
     assert g == {1: "Feedback: stub [RESULT] 5", 2: None}
-    e = encode_texts(df, "p", lambda: HashingEncoder(16)).collect()
+    e = encode_texts(df, "p", lambda: LetterEncoder(16)).collect()
     assert all(len(r.vec) == 16 for r in e)
     assert abs(float(np.linalg.norm(e[0].vec)) - 1.0) < 1e-5
 

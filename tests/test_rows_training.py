@@ -16,10 +16,10 @@ def skewed(spark, n=3000):
     return spark.createDataFrame(data, "id long, k int")
 
 
-@pytest.mark.parametrize("rows_per_range", [1, 37, 1_000_000])
-def test_with_index_matches_window(spark, rows_per_range):
+@pytest.mark.parametrize("partitions", [None, 1, 37])
+def test_with_index_matches_window(spark, partitions):
     df = skewed(spark)
-    ours = with_index(df, "id", by=["k"], out="idx", rows_per_range=rows_per_range)
+    ours = with_index(df, "id", by=["k"], out="idx", partitions=partitions)
     ref = df.withColumn("idx", F.row_number().over(Window.partitionBy("k").orderBy("id")) - 1)
     assert sorted(map(tuple, ours.select("id", "k", "idx").collect())) == \
         sorted(map(tuple, ref.select("id", "k", F.col("idx").cast("long")).collect()))
@@ -27,20 +27,41 @@ def test_with_index_matches_window(spark, rows_per_range):
 
 def test_with_index_global(spark):
     df = skewed(spark, 500)
-    ours = with_index(df, "id", out="idx", rows_per_range=40)
+    ours = with_index(df, "id", out="idx", partitions=12)
     got = sorted((r.id, r.idx) for r in ours.collect())
     assert [idx for _, idx in got] == list(range(500))
 
 
-def test_hot_group_is_split(spark):
-    df = skewed(spark)
-    ours = with_index(df, "id", by=["k"], out="idx", rows_per_range=100)
-    plan = ours._jdf.queryExecution().executedPlan().toString()
-    assert "Window" in plan
-    # the hot key (1040 rows) spans 11 ranges; numbering stays dense across them
-    n_hot = df.where("k = 0").count()
-    got = sorted(r.idx for r in ours.where("k = 0").collect())
-    assert got == list(range(n_hot)) and n_hot > 1000
+def task_rows(df):
+    """Rows per partition of the table that ``with_index`` wrote last."""
+    return sorted(r[0] for r in df.groupBy("_pid").count().select("count").collect())
+
+
+@pytest.mark.parametrize("ids", ["outlier", "clustered", "hot"])
+def test_no_task_gets_most_rows(spark, ids, monkeypatch):
+    """Outliers, clustered ids and a hot group: the largest task stays near the mean."""
+    from glossa.operators import rows as R
+
+    n = 20_000
+    base = spark.range(n)
+    if ids == "outlier":
+        df = base.select(F.when(F.col("id") == 0, 10**15).otherwise(F.col("id")).alias("id"), F.lit(1).alias("k"))
+    elif ids == "clustered":
+        df = base.repartition(3).select(F.monotonically_increasing_id().alias("id"), F.lit(1).alias("k"))
+    else:
+        df = base.select("id", F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 500).alias("k"))
+    written = []
+    cut = R.cut_lineage
+    monkeypatch.setattr(R, "cut_lineage", lambda d, name="cut": written.append(cut(d, name)) or written[-1])
+    got = with_index(df, "id", by=["k"], out="idx", partitions=16)
+    rows = task_rows(written[0])
+    assert len(rows) == 16 and rows[-1] < 2 * n / 16
+    ref = df.withColumn("idx", (F.row_number().over(Window.partitionBy("k").orderBy("id")) - 1).cast("long")) \
+        if ids != "clustered" else None
+    if ref is not None:
+        assert got.select("id", "idx").exceptAll(ref.select("id", "idx")).count() == 0
+    assert sorted(r.idx for r in got.where(F.col("k") == (-1 if ids == "hot" else 1)).collect()) == \
+        list(range(got.where(F.col("k") == (-1 if ids == "hot" else 1)).count()))
 
 
 def test_triplets_without_ref_and_stringify(spark):
@@ -78,6 +99,52 @@ def test_eval_split(spark):
     assert {r.split for r in y.collect()} == {"eval", "train"}
 
 
+def test_disjoint_split_at_any_fraction(spark):
+    df = spark.range(10_000).withColumnRenamed("id", "doc_id")
+    n = {f: T.eval_split(df, "doc_id", frac=f, disjoint=True).where("split = 'eval'").count() for f in (0.0, 0.003, 0.2, 1.0)}
+    assert n[0.0] == 0 and n[1.0] == 10_000 and 10 <= n[0.003] <= 60 and 1800 <= n[0.2] <= 2200
+
+
+def test_shuffled_batches_follow_the_seed(spark):
+    df = spark.range(100).withColumnRenamed("id", "doc_id")
+    first = [r.doc_id for r in T.shuffled_batches(df, "doc_id", 8).where("batch = 0").orderBy("slot").collect()]
+    assert len(first) == 8 and first != list(range(8))
+    assert first == [r.doc_id for r in T.shuffled_batches(df.repartition(5), "doc_id", 8).where("batch = 0")
+                     .orderBy("slot").collect()]
+
+
+def test_roles_keep_types_and_label(spark):
+    df = spark.createDataFrame([(0, 0, [1.0, 2.0], [3.0, 4.0], 0.5)],
+                               "batch long, slot int, src array<float>, mt array<float>, label double")
+    long = T.to_roles(df, ["src", "mt"], keep=["label"], value="embedding")
+    assert dict(long.dtypes)["embedding"] == "array<float>"
+    assert [(r.role, r.embedding, r.label) for r in long.orderBy("role_pos").collect()] == \
+        [("src", [1.0, 2.0], 0.5), ("mt", [3.0, 4.0], 0.5)]
+    wide = T.from_roles(long, ["src", "mt"], keep=["label"], value="embedding").first()
+    assert (wide.src, wide.mt, wide.label) == ([1.0, 2.0], [3.0, 4.0], 0.5)
+
+
+def test_attach_checked(spark):
+    from glossa.operators.rows import attach_checked
+
+    rows = spark.range(10).withColumnRenamed("id", "row_id")
+    good = rows.withColumn("score", F.col("row_id") * 2)
+    assert attach_checked(rows, good, "row_id").count() == 10
+    for bad, text in ((good.where("row_id < 9"), "1 rows without"), (good.union(good), "10 keys with several"),
+                      (good.union(spark.createDataFrame([(77, 1)], "row_id long, score long")), "1 results without")):
+        with pytest.raises(ValueError, match=text):
+            attach_checked(rows, bad, "row_id")
+
+
+def test_float_text_as_python(spark):
+    from glossa.functions.text import stringify
+
+    values = [1e-05, 1e10, 0.1, 123.456, 1e16, 1e15, 1.5e300, -2.5e-7, 0.0, -0.0, 1e-4, 0.00012345, 100.0, 12345678.9,
+              float("nan"), float("inf"), -float("inf")]
+    d = spark.createDataFrame([(v,) for v in values], "v double").select("v", stringify("v", dtype="double").alias("s"))
+    assert [(str(r.v), r.s) for r in d.collect()] == [(str(r), str(r)) for r in values]
+
+
 def test_debug_sample_is_seeded(spark):
     df = spark.range(200).withColumnRenamed("id", "doc_id")
     a = [r.doc_id for r in T.debug_sample(df, "doc_id", 10).collect()]
@@ -127,7 +194,7 @@ def test_step_budget_accumulation(spark):
 def test_with_index_null_keys_and_orders(spark):
     data = [(1, None), (2, None), (None, "a"), (3, "a"), (5, "a"), (None, None)]
     df = spark.createDataFrame(data, "id long, k string")
-    ours = with_index(df, "id", by=["k"], out="idx", rows_per_range=1)
+    ours = with_index(df, "id", by=["k"], out="idx", partitions=4)
     ref = df.withColumn("idx", (F.row_number().over(Window.partitionBy("k").orderBy("id")) - 1).cast("long"))
     assert sorted(map(tuple, ours.select("id", "k", "idx").collect()), key=str) == \
         sorted(map(tuple, ref.select("id", "k", "idx").collect()), key=str)

@@ -2,7 +2,9 @@
 
 import hashlib
 import json
+import sys
 
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from glossa.functions.keys import request_key
@@ -90,14 +92,93 @@ def test_rerun_with_everything_cached(spark):
     assert again.count() == 4 and cache.raw().count() == n
 
 
-def test_concurrency_cap(spark):
-    req = spark.createDataFrame([(f"k{i}", "m", f"text {i}") for i in range(40)],
-                                "request_id string, chat_model string, content string")
-    out = score_requests(req, EchoClient, backoff_s=0.0, concurrency=5)
-    assert out.rdd.getNumPartitions() == 1
-    assert out.count() == 40
-    out = score_requests(req, EchoClient, backoff_s=0.0, concurrency=30, threads=8)
-    assert out.rdd.getNumPartitions() == 4
+cloudpickle.register_pickle_by_value(sys.modules[__name__])     # workers cannot import this file
+
+
+class CountingClient(EchoClient):
+    """Notes every call, and how many calls run at the same time, in a shared folder."""
+
+    def __init__(self, folder, fail_once_at=None):
+        self.folder, self.fail_once_at = folder, fail_once_at
+
+    def __call__(self, request, timeout=None):
+        import os
+        import time
+        import uuid
+
+        name = uuid.uuid4().hex
+        mine = f"{self.folder}/now/{name}"
+        open(mine, "w").close()
+        n = len(os.listdir(f"{self.folder}/now"))
+        open(f"{self.folder}/calls/{n}-{name}", "w").close()
+        time.sleep(0.005)
+        os.remove(mine)
+        calls = len(os.listdir(f"{self.folder}/calls"))
+        if self.fail_once_at and calls >= self.fail_once_at and not os.path.exists(f"{self.folder}/failed"):
+            open(f"{self.folder}/failed", "w").close()
+            os._exit(1)                       # the worker dies: the task and its wave are lost
+        return super().__call__(request, timeout)
+
+
+def counted(tmp):
+    import os
+
+    for d in ("now", "calls"):
+        os.makedirs(f"{tmp}/{d}")
+    return lambda: [int(f.split("-")[0]) for f in os.listdir(f"{tmp}/calls")]
+
+
+def test_requests_in_flight_stay_under_the_limit(spark, tmp):
+    calls = counted(tmp)
+    data = spark.createDataFrame([(i, f"text number {i}") for i in range(120)], "row_id long, content string")
+    cache = ResponseCache(spark, scratch_path(spark, "cache-limit"))
+    out = S.run_sweep(data, ["m"], "content", cache, lambda: CountingClient(tmp), backoff_s=0.0, concurrency=5,
+                      attempts=1)
+    assert out.count() == 120 and len(calls()) == 120 and max(calls()) <= 5
+
+
+def test_a_lost_task_sends_at_most_its_wave_again(spark, tmp, monkeypatch):
+    import pytest
+
+    calls = counted(tmp)
+    monkeypatch.setattr(S, "WAVE_PER_SLOT", 8)
+    data = spark.createDataFrame([(i, f"text number {i}") for i in range(150)], "row_id long, content string")
+    cache = ResponseCache(spark, scratch_path(spark, "cache-lost"))
+    run = lambda: S.run_sweep(data, ["m"], "content", cache, lambda: CountingClient(tmp, 90), backoff_s=0.0,
+                              concurrency=5, attempts=1)
+    with pytest.raises(Exception):
+        run()
+    assert run().where("response is not null or error is not null").count() == 150
+    # waves hold about 5 x 8 requests; only the lost one was sent twice
+    assert 150 < len(calls()) <= 150 + 80
+
+
+def test_no_text_crosses_a_shuffle_before_the_call(spark):
+    data = spark.createDataFrame([(1, "a", "b")], "row_id long, src string, tgt string")
+    keyed = S.request_keys(data, MODELS, F.concat(F.lit("long prompt "), "src", "tgt"))
+    plan = S.unique_requests(keyed)._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("Exchange")[0]
+    assert "Exchange" in plan and "src" not in above and "tgt" not in above and "long prompt" not in above
+
+
+def test_a_small_lookup_reads_only_its_partitions(spark):
+    cache = ResponseCache(spark, scratch_path(spark, "cache-old"))
+    data = spark.createDataFrame([(i, f"old {i}") for i in range(400)], "row_id long, content string")
+    S.run_sweep(data, ["m"], "content", cache, EchoClient, backoff_s=0.0)
+    few = S.request_keys(data.where("row_id < 3"), ["m"], F.col("content"))
+    hit = cache.raw(few)
+    assert hit.count() == 3 and hit.select(F.input_file_name()).distinct().count() <= 3
+    scan = next(x for x in hit._jdf.queryExecution().executedPlan().toString().splitlines() if "PartitionFilters" in x)
+    parts = scan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "prefix" in parts
+
+
+def test_only_a_missing_path_is_an_empty_cache(spark, tmp):
+    import pytest
+
+    assert ResponseCache(spark, f"{tmp}/none").raw().count() == 0
+    with pytest.raises(Exception):
+        ResponseCache(spark, "no-such-scheme://x/y").raw().count()
 
 
 def test_retry_if_stops_on_permanent_errors(spark):
