@@ -36,7 +36,7 @@ MAX_WORDS = 60_000
 MIN_GRAM = 3
 LENGTHS = (4, 3, 2, 1)
 SHARPNESS = 8.0
-MAX_MEMO = 500_000
+MAX_MEMO = 300_000
 UNKNOWN = "und"
 WORD = regex.compile(r"\p{L}+")
 
