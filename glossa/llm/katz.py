@@ -209,7 +209,7 @@ def _pairs(tokens: DataFrame, counts: DataFrame, buckets: int, stats: np.ndarray
 
     def run(t: pd.DataFrame, u: pd.DataFrame) -> pd.DataFrame:
         if t.empty:
-            return pd.DataFrame({"bucket": [], "kind": [], "batch": [], "blob": []})
+            return pd.DataFrame([], columns=["bucket", "kind", "batch", "blob"])
         batch = int(t["batch"].iat[0])
         doc_ids, train, n = _unpack(t["docs"].iat[0], np.int64, np.uint8, np.int32)
         (ids,) = _unpack(t["ids"].iat[0], np.int32)

@@ -122,7 +122,9 @@ def _count(texts: DataFrame, items) -> DataFrame:
             for text, label in zip(b["text"], b["label"]):
                 (toxic if label else clean).update(items(text))
             keys = list(toxic.keys() | clean.keys())
-            yield pd.DataFrame({"item": keys, "toxic": [toxic[k] for k in keys], "clean": [clean[k] for k in keys]})
+            # an empty batch must keep the column's type
+            yield pd.DataFrame({"item": pd.Series(keys, dtype=object), "toxic": [toxic[k] for k in keys],
+                                "clean": [clean[k] for k in keys]})
 
     parts = texts.mapInPandas(run, "item string, toxic long, clean long")
     return parts.groupBy("item").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
