@@ -19,12 +19,15 @@ decides a signature. The order affects the work, never the result.
 
 Candidates and verification. Documents with the same set are one class (hash of
 the set) before anything is paired. A pair is first held against a lower bound of
-its distance (histograms of the shingles over 256 cells), then compared by exact
-intersection. Sets under one signature are first paired with the smallest of them
+its distance, then compared by exact intersection. The bound comes from parity
+sketches: the shingles' cells in a bit array, one flip each; every shingle that only one
+set has flips at most one bit of their difference, so the differing bits never exceed
+the distance. Sets under one signature are first paired with the smallest of them
 (a star, linear in the signatures). Where the members of a signature are then still
-in more than one component, all pairs across components are taken too, in tiles of
-bounded size; signatures with the same members are one. So every pair of similar sets is
-either linked or already in one component. Only documents in a surviving pair have
+in more than one component, pairs across components are taken too, in tiles of
+bounded size (signatures with the same members are one): first the nearest member of
+each other component by the sketches, then, where components are still apart, all. So
+every pair of similar sets is either linked or already in one component. Only documents in a surviving pair have
 their sets built again; a bit map of fixed size keeps the others' texts out of the shuffle.
 
 Signatures travel as packed, compressed arrays per (batch, bucket): a row per
@@ -56,7 +59,8 @@ LOAD = 2.0               # shingles per partition at a band's upper bound
 SMALL, SMALL_LOAD = 64, 0.25
 HOT_SHARE = 1000         # a shingle is common from one document in so many
 HOT_LEAST = 50
-CELLS = 256
+SKETCH, LARGE_SKETCH = 2048, 16384     # bits; the large one for sets from LARGE_SET on
+LARGE_SET = 1500
 BITS = 1 << 22          # slots of the bit map of wanted documents (512 KB)
 TILE = 2048
 BATCH_CHARS = 8_000_000
@@ -121,8 +125,34 @@ def set_class(s: np.ndarray) -> int:
     return int(key.view(np.int64)[0])
 
 
-def histogram(s: np.ndarray, cells: int = CELLS) -> np.ndarray:
-    return np.minimum(np.bincount((s % _U(cells)).astype(np.int64), minlength=cells), 255).astype(np.uint8)
+def sketch(s: np.ndarray) -> bytes:
+    """Parity of the number of shingles in each cell, packed."""
+    bits = LARGE_SKETCH if len(s) >= LARGE_SET else SKETCH
+    return np.packbits(np.bincount((s % _U(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def sketches(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(small sketches of all, rows with a large one, large sketches of those), as words
+    of 64 bits. A large sketch folds into a small one: cells are residues."""
+    large = np.flatnonzero(np.fromiter(map(len, blobs), np.int64, len(blobs)) > SKETCH // 8)
+    wide = np.frombuffer(b"".join(blobs[i] for i in large), np.uint64).reshape(len(large), LARGE_SKETCH // 64)
+    small = np.zeros((len(blobs), SKETCH // 64), np.uint64)
+    rest = np.setdiff1d(np.arange(len(blobs)), large)
+    small[rest] = np.frombuffer(b"".join(blobs[i] for i in rest), np.uint64).reshape(len(rest), SKETCH // 64)
+    small[large] = np.bitwise_xor.reduce(wide.reshape(len(large), LARGE_SKETCH // SKETCH, SKETCH // 64), axis=1)
+    place = np.full(len(blobs), -1)
+    place[large] = np.arange(len(large))
+    return small, place, wide
+
+
+def differing(a, i, b, j) -> np.ndarray:
+    """Lower bounds of the distance of the sets a[i] and b[j]; a, b from ``sketches``."""
+    low = np.bitwise_count(a[0][i] ^ b[0][j]).sum(-1, dtype=np.int64)
+    both = np.flatnonzero((a[1][i] >= 0) & (b[1][j] >= 0))
+    if len(both):
+        i, j = np.broadcast_arrays(i, j)
+        low[both] = np.bitwise_count(a[2][a[1][i[both]]] ^ b[2][b[1][j[both]]]).sum(-1, dtype=np.int64)
+    return low
 
 
 def bands(n: int) -> list[tuple[int, int, int]]:
@@ -200,15 +230,16 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def _pack(sig: np.ndarray, owner: np.ndarray, classes: np.ndarray, ids: np.ndarray, sizes: np.ndarray,
-          own: np.ndarray, cells: np.ndarray) -> bytes:
-    """Signatures (low 40 bits, sorted) with the index of their class, and document rows with their histograms."""
+          own: np.ndarray, cells: list[bytes]) -> bytes:
+    """Signatures (low 40 bits, sorted) with the index of their class, and document rows with their sketches."""
     order = np.argsort(sig)
     sig, owner = sig[order], owner[order]
     used, index = np.unique(owner, return_inverse=True)
     head = np.array([len(sig), len(used), len(ids)], np.int64)
     raw = b"".join([head.tobytes(), (sig & _U(0xFFFFFFFF)).astype(np.uint32).tobytes(),
                     (sig >> _U(32) & _U(0xFF)).astype(np.uint8).tobytes(), classes[used].tobytes(),
-                    index.astype(np.uint32).tobytes(), ids.tobytes(), sizes.tobytes(), own.tobytes(), cells.tobytes()])
+                    index.astype(np.uint32).tobytes(), ids.tobytes(), sizes.tobytes(), own.tobytes(),
+                    np.fromiter(map(len, cells), np.int64, len(cells)).tobytes(), *cells])
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
@@ -217,15 +248,17 @@ def _unpack(blob: bytes):
     n, m, k = np.frombuffer(raw, np.int64, 3).tolist()
     at = 24
     out = []
-    for dtype, count in ((np.uint32, n), (np.uint8, n), (np.int64, m), (np.uint32, n), (np.int64, k), (np.int64, k), (np.int64, k), (np.uint8, k * CELLS)):
+    for dtype, count in ((np.uint32, n), (np.uint8, n), (np.int64, m), (np.uint32, n), (np.int64, k), (np.int64, k), (np.int64, k), (np.int64, k)):
         out.append(np.frombuffer(raw, dtype, count, at))
         at += out[-1].nbytes
-    low, high, classes, index, ids, sizes, own, cells = out
+    low, high, classes, index, ids, sizes, own, length = out
+    stop = at + np.cumsum(length)
+    cells = [raw[b - n:b] for b, n in zip(stop.tolist(), length.tolist())]
     return low.astype(np.uint64) | high.astype(np.uint64) << _U(32), classes[index], ids, sizes, own, cells
 
 
 def _sign(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
-    """kind 0: (doc_id, n_shingles, class, histogram); kind 1: (signature, smallest
+    """kind 0: (doc_id, n_shingles, class, sketch); kind 1: (signature, smallest
     class under it, class) for every signature that more than one class carries."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
@@ -247,11 +280,11 @@ def _sign(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                 stop = np.cumsum(sizes)
                 seen: dict[int, int] = {}
                 sig, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-                cells = np.zeros((len(sets), CELLS), np.uint8)
+                cells = [b""] * len(sets)
                 for i, (c, n) in enumerate(zip(own.tolist(), sizes.tolist())):
                     if n and c not in seen:
                         k = seen[c] = len(seen)
-                        cells[i] = histogram(sets[i])
+                        cells[i] = sketch(sets[i])
                         got = signatures(sets[i], rare[stop[i] - n:stop[i]])
                         sig.append(got)
                         owner.append(np.full(len(got), k))
@@ -265,12 +298,14 @@ def _sign(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                 for k in np.union1d(to, doc_to).tolist():
                     at = order[cut[k]:cut[k + 1]]
                     d = np.flatnonzero(doc_to == k)
-                    rows.append((k, _pack(sig[at], owner[at], classes, ids[d], sizes[d], own[d], cells[d])))
+                    rows.append((k, _pack(sig[at], owner[at], classes, ids[d], sizes[d], own[d],
+                                          [cells[i] for i in d.tolist()])))
                 yield pd.DataFrame(rows, columns=["bucket", "blob"])
 
     def gather(g: pd.DataFrame) -> pd.DataFrame:
         got = [_unpack(x) for x in g["blob"]]
-        sig, cls, ids, sizes, own, cells = (np.concatenate([x[k] for x in got]) for k in range(6))
+        sig, cls, ids, sizes, own = (np.concatenate([x[k] for x in got]) for k in range(5))
+        cells = [c for x in got for c in x[5]]
         order = np.lexsort((cls, sig))
         sig, cls = sig[order], cls[order]
         fresh = np.ones(len(sig), bool)
@@ -285,7 +320,7 @@ def _sign(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
         return pd.DataFrame({"kind": np.concatenate([np.zeros(len(ids), np.int32), np.ones(int(many.sum()), np.int32)]),
                              "a": np.concatenate([ids, key]), "b": np.concatenate([sizes, first[many]]),
                              "c": np.concatenate([own, cls[many]]),
-                             "cells": [x.tobytes() for x in cells.reshape(-1, CELLS)] + [None] * int(many.sum())})
+                             "cells": pd.Series(cells + [None] * int(many.sum()), dtype=object)})
 
     return docs.mapInPandas(emit, "bucket int, blob binary").groupBy("bucket").applyInPandas(
         gather, "kind int, a long, b long, c long, cells binary")
@@ -320,13 +355,13 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _possible(pairs: DataFrame, info: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose histograms allow the similarity. ``info``: cls, n, cells."""
+    """The pairs (a, b) whose sketches allow the similarity. ``info``: cls, n, cells."""
     @F.pandas_udf("boolean")
     def near(x: pd.Series, y: pd.Series, n: pd.Series) -> pd.Series:
         if not len(x):
             return pd.Series([], dtype=bool)
-        h = [np.frombuffer(b"".join(c), np.uint8).reshape(len(c), -1).astype(np.int16) for c in (x, y)]
-        return pd.Series(np.abs(h[0] - h[1]).sum(1) <= n.to_numpy() // 7)
+        at = np.arange(len(x))
+        return pd.Series(differing(sketches(x.tolist()), at, sketches(y.tolist()), at) <= n.to_numpy() // 7)
 
     def side(name):
         return info.select(F.col("cls").alias(name), F.col("n").alias(f"n{name}"), F.col("cells").alias(f"c{name}"))
@@ -347,12 +382,19 @@ def _verify(pairs: DataFrame, docs: DataFrame, info: DataFrame, name: str) -> Da
     return stage(both.where(100 * F.col("i") >= 75 * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b"), name)
 
 
-def _across(rows: DataFrame, buckets: int) -> DataFrame:
+def _across(members: DataFrame, comp: DataFrame, info: DataFrame, buckets: int, nearest: bool) -> DataFrame:
     """Pairs (a, b) under one signature that lie in different components and whose
-    histograms allow the similarity. ``rows``: sig, cls, comp, n, cells."""
-    count = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("_n"))
+    sketches allow the similarity; with ``nearest``, per set and other component the one
+    with the nearest sketch."""
+    placed = (members.where("rep <> cls")       # the smallest was paired with all
+              .join(comp.withColumnRenamed("node", "cls"), "cls", "left")
+              .select("sig", "cls", F.coalesce("component", "cls").alias("comp")))
+    open_sigs = (placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+                                           F.count(F.lit(1)).alias("_n"), F.bit_xor(F.xxhash64("cls")).alias("who"))
+                 .where("lo <> hi").groupBy("_n", "who").agg(F.min("sig").alias("sig")).select("sig", "_n"))
     tiles = F.ceil(F.col("_n") / F.lit(float(TILE))).cast("int")
-    tiled = (rows.join(count, "sig").withColumn("_t", F.pmod(F.xxhash64("cls"), tiles).cast("int"))
+    tiled = (placed.join(open_sigs, "sig").join(info.select("cls", "n", "cells"), "cls")
+             .withColumn("_t", F.pmod(F.xxhash64("cls"), tiles).cast("int"))
              .withColumn("_o", F.explode(F.sequence(F.lit(0), tiles - 1)))
              .select(F.pmod(F.xxhash64("sig"), F.lit(buckets)).alias("bucket"), "sig", F.least("_t", "_o").alias("lo"),
                      F.greatest("_t", "_o").alias("hi"), F.col("_t").alias("tile"), "cls", "comp", "n", "cells"))
@@ -361,16 +403,22 @@ def _across(rows: DataFrame, buckets: int) -> DataFrame:
         out = []
         lo, hi = g["lo"].iat[0], g["hi"].iat[0]
         for _, x in g.groupby("sig", sort=False):
-            h = np.frombuffer(b"".join(x["cells"]), np.uint8).reshape(len(x), -1).astype(np.int16)
+            h = sketches(x["cells"].tolist())
             cls, comp, n, tile = (x[c].to_numpy() for c in ("cls", "comp", "n", "tile"))
             first, second = np.flatnonzero(tile == lo), np.flatnonzero(tile == hi)
             for i in first.tolist():
                 j = second[(comp[second] != comp[i]) & ((cls[second] > cls[i]) | (lo != hi))]
                 j = j[4 * np.minimum(n[j], n[i]) >= 3 * np.maximum(n[j], n[i])]
+                if not len(j):
+                    continue
+                low = differing(h, np.array([i]), h, j)
+                ok = low <= (n[j] + n[i]) // 7
+                j, low = j[ok], low[ok]
+                if nearest and len(j):
+                    order = np.lexsort((cls[j], low, comp[j]))
+                    j = j[order][np.flatnonzero(np.diff(comp[j][order], prepend=comp[j][order][0] - 1))]
                 if len(j):
-                    j = j[np.abs(h[j] - h[i]).sum(1) <= (n[j] + n[i]) // 7]
-                    if len(j):
-                        out.append(np.column_stack([np.minimum(cls[j], cls[i]), np.maximum(cls[j], cls[i])]))
+                    out.append(np.column_stack([np.minimum(cls[j], cls[i]), np.maximum(cls[j], cls[i])]))
         pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -395,16 +443,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     star = members.where("rep <> cls").select(F.col("rep").alias("a"), F.col("cls").alias("b")).distinct()
     links = _verify(_possible(star, info), slim, info, "shingle-links")
     comp = connected_components(links, "shingle-cc")
-    placed = (members.join(comp.withColumnRenamed("node", "cls"), "cls", "left")
-              .select("sig", "rep", "cls", F.coalesce("component", "cls").alias("comp")))
-    rest = placed.where("rep <> cls")       # the smallest was paired with all
-    open_sigs = (rest.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("cls")).alias("who"))
-                 .where("lo <> hi").groupBy("n", "who").agg(F.min("sig").alias("sig")).select("sig"))
-    open_ = rest.join(open_sigs, "sig").join(info.select("cls", "n", "cells"), "cls").select("sig", "cls", "comp", "n", "cells")
-    more = _verify(_across(open_, buckets), slim, info, "shingle-more")
-    comp = connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more),
-                                "shingle-cc2")
+    for nearest in (True, False):
+        name = f"shingle-{'near' if nearest else 'all'}"
+        more = _verify(_across(members, comp, info, buckets, nearest), slim, info, name)
+        comp = connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more),
+                                    f"{name}-cc")
 
     known = (classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left")
              .select("cls", "doc_id", F.coalesce("component", "cls").alias("comp")))
