@@ -55,7 +55,7 @@ from glossa.llm.common import no_cycle_scans, partitions, prepare, stage
 K = 5
 SALT = 8
 BATCH_CHARS = 12_000_000
-DOCS_PER_BUCKET = 4000
+DOCS_PER_BUCKET = 6000
 END = 1                    # hash of the end token
 UNKNOWN, BEGIN = 0, 1      # word numbers; known words follow
 NO_ID = -(1 << 63)
@@ -272,18 +272,20 @@ PAIR_TYPES = (np.int64, np.int64, np.int64, np.uint32, np.int64, np.int64, np.ui
 
 
 def _count_pairs(pairs: DataFrame, buckets: int, stats: np.ndarray) -> DataFrame:
-    """Per bucket: kind 0 rows as they are; kind 1: partial sums per batch; kind 2:
-    context statistics (kind 3: those of split contexts); kind 4: counts of counts."""
+    """Per bucket: kind 0 rows as they are; kind 2: context statistics and, per batch,
+    partial sums, in one row, so the next step needs no shuffle to bring them together;
+    kind 3: statistics of split contexts; kind 4: counts of counts."""
     hot = _hot(stats, buckets)
     p_word, _ = _word_probability(stats)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         bucket = int(g["bucket"].iat[0])
         own = g["kind"] == 0
-        rows = [(bucket, 0, b, x) for b, x in zip(g["batch"][own], g["blob"][own])]
+        rows = [(bucket, 0, b, x, None, None) for b, x in zip(g["batch"][own], g["blob"][own])]
+        names = ["bucket", "kind", "batch", "blob", "batches", "parts"]
         g = g[~own]
         if g.empty:
-            return pd.DataFrame(rows, columns=["bucket", "kind", "batch", "blob"])
+            return pd.DataFrame(rows, columns=names)
         got = [_unpack(x, *PAIR_TYPES) for x in g["blob"]]
         contexts, first, hb = np.unique(np.concatenate([np.cumsum(x[1]) for x in got]), return_index=True,
                                         return_inverse=True)
@@ -307,6 +309,7 @@ def _count_pairs(pairs: DataFrame, buckets: int, stats: np.ndarray) -> DataFrame
         table[:, K + 1] = np.bincount(h[c > K], c[c > K], len(contexts))
         part = np.where(seen, np.log10(np.maximum(c, 1)) - np.log10(count[h] + 1.0), np.log10(p1[w]))
         asked = np.zeros(len(contexts), bool)
+        parts = []
         at = 0
         for batch, x in zip(g["batch"], got):
             n_docs = int(x[0][0])
@@ -319,17 +322,18 @@ def _count_pairs(pairs: DataFrame, buckets: int, stats: np.ndarray) -> DataFrame
             hn = h[token_pair[no]]
             asked[hn] = True
             used = np.flatnonzero((sums != 0) | (small.sum(0) > 0))
-            rows.append((bucket, 1, batch, _pack(np.array([n_docs], np.int64), used.astype(np.uint32), sums[used],
-                                                 small[:, used].ravel(), doc[no].astype(np.uint32), hn.astype(np.uint32))))
+            parts.append(_pack(np.array([n_docs], np.int64), used.astype(np.uint32), sums[used],
+                               small[:, used].ravel(), doc[no].astype(np.uint32), hn.astype(np.uint32)))
         split = count > hot
         rows.append((bucket, 2, -1, _pack(np.flatnonzero(asked).astype(np.uint32), contexts[asked], count[asked],
-                                          table[asked].ravel())))
-        rows.append((bucket, 3, -1, _pack(contexts[split], count[split], table[split].ravel())))
+                                          table[asked].ravel()), g["batch"].tolist(), parts))
+        rows.append((bucket, 3, -1, _pack(contexts[split], count[split], table[split].ravel()), None, None))
         few = np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1:K + 2]
-        rows.append((bucket, 4, -1, _pack(few.astype(np.int64))))
-        return pd.DataFrame(rows, columns=["bucket", "kind", "batch", "blob"])
+        rows.append((bucket, 4, -1, _pack(few.astype(np.int64)), None, None))
+        return pd.DataFrame(rows, columns=names)
 
-    return pairs.groupBy("bucket").applyInPandas(run, "bucket int, kind int, batch long, blob binary")
+    return pairs.groupBy("bucket").applyInPandas(
+        run, "bucket int, kind int, batch long, blob binary, batches array<long>, parts array<binary>")
 
 
 def _finish(counted: DataFrame, d: np.ndarray, split: dict[int, np.ndarray]):
@@ -343,27 +347,29 @@ def _finish(counted: DataFrame, d: np.ndarray, split: dict[int, np.ndarray]):
         used = (table[:, 1:K + 1] @ gain + table[:, K + 1]) / (count + 1.0)
         return np.log10((1.0 - used) / (1.0 - table[:, 0]))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        bucket = int(g["bucket"].iat[0])
-        rows = [(b, 0, bucket, x) for k, b, x in zip(g["kind"], g["batch"], g["blob"]) if k == 0]
-        alpha = np.zeros(0)
-        for blob in g["blob"][g["kind"] == 2]:
-            where, contexts, count, table = _unpack(blob, np.uint32, np.int64, np.int64, np.float64)
-            table = table.reshape(-1, K + 2).copy()
-            for i, x in enumerate(contexts.tolist()):
-                if x in shared.value:
-                    table[i] = shared.value[x]
-            alpha = np.zeros(int(where.max(initial=0)) + 1)
-            alpha[where] = weights(count, table)
-        for k, batch, blob in zip(g["kind"], g["batch"], g["blob"]):
-            if k == 1:
-                n_docs, used, sums, small, doc, h = _unpack(blob, np.int64, np.uint32, np.float64, np.uint32, np.uint32, np.uint32)
-                total = np.zeros(int(n_docs[0]))
-                total[used] = sums + log_d @ small.reshape(K, -1)
-                if len(doc):
-                    total += np.bincount(doc, alpha[h], len(total))
-                rows.append((batch, 1, bucket, _pack(total)))
-        return pd.DataFrame(rows, columns=["batch", "kind", "bucket", "blob"])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for bucket, kind, batch, blob, batches, parts in f.itertuples(index=False):
+                if kind == 0:
+                    yield pd.DataFrame([(batch, 0, bucket, blob)], columns=["batch", "kind", "bucket", "blob"])
+                    continue
+                where, contexts, count, table = _unpack(blob, np.uint32, np.int64, np.int64, np.float64)
+                table = table.reshape(-1, K + 2).copy()
+                for i, x in enumerate(contexts.tolist()):
+                    if x in shared.value:
+                        table[i] = shared.value[x]
+                alpha = np.zeros(int(where.max(initial=0)) + 1)
+                alpha[where] = weights(count, table)
+                rows = []
+                for one, part in zip(batches, parts):
+                    n_docs, used, sums, small, doc, h = _unpack(part, np.int64, np.uint32, np.float64, np.uint32,
+                                                                np.uint32, np.uint32)
+                    total = np.zeros(int(n_docs[0]))
+                    total[used] = sums + log_d @ small.reshape(K, -1)
+                    if len(doc):
+                        total += np.bincount(doc, alpha[h], len(total))
+                    rows.append((one, 1, bucket, _pack(total)))
+                yield pd.DataFrame(rows, columns=["batch", "kind", "bucket", "blob"])
 
     def add(g: pd.DataFrame) -> pd.DataFrame:
         doc_ids, train, n, known, base, alone = _unpack(g["blob"][g["kind"] == 0].iat[0], np.int64, np.uint8, np.int32,
@@ -401,7 +407,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", train: str =
         for x, t in zip(contexts.tolist(), table.reshape(-1, K + 2)):
             split[x] = split.get(x, 0) + t
     run, add = _finish(counted, discounts(few), split)
-    partial = counted.groupBy("bucket").applyInPandas(run, "batch long, kind int, bucket int, blob binary")
+    partial = counted.where("kind in (0, 2)").select("bucket", "kind", "batch", "blob", "batches", "parts").mapInPandas(
+        run, "batch long, kind int, bucket int, blob binary")
     out = partial.groupBy("batch").applyInPandas(
         add, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias(key), "held_out", "n_tokens", "n_known",
