@@ -52,7 +52,7 @@ POPULATION = 5
 GENERATIONS = 12
 FROZEN = 0.97
 BATCH_CHARS = 4_000_000
-MAX_IDS = 8_000_000      # ids remembered per worker before the word table starts anew
+MAX_IDS = 6_000_000      # ids remembered per worker and table before it starts anew
 
 
 class _Numbered(dict):
@@ -111,16 +111,22 @@ class TextIds:
         self.tokenizer.no_padding()
         self.special = [t["content"] for t in json.loads(spec_text)["added_tokens"]]
         self.end_id = end_id
-        self.reset()
+        self._forget_words()
+        self._forget_parts()
 
-    def reset(self):
+    def _forget_words(self):
         self.words, self.runs = _Numbered(1), _Runs([self.end_id])      # 0 is the end id
+
+    def _forget_parts(self):
         self.parts, self.part_runs = _Numbered(0), _Runs()
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in order, end position of every text); each text ends with the end id."""
+        # words are cheap to learn again from their parts, parts are not
         if len(self.runs.ids) > MAX_IDS:
-            self.reset()
+            self._forget_words()
+        if len(self.part_runs.ids) > MAX_IDS:
+            self._forget_parts()
         seq: list[np.ndarray] = []
         with no_cycle_scans():
             for t in texts:
