@@ -67,9 +67,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The run's folder for written tables: one per application, or per ``glossa.run``
+    where the caller names runs within an application."""
+    run = spark.conf.get("glossa.run", None) or spark.sparkContext.applicationId
+    return os.path.join(shared_dir(spark), f"glossa-{run}")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique table location under the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh, unique table location under the run's folder."""
+    return os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Remove the run's written tables. To be called when its results are stored
+    elsewhere: DataFrames that still read a written table fail afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _SHIPPED: set[str] = set()

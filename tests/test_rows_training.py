@@ -204,3 +204,20 @@ def test_stringify_like_python(spark):
     df = spark.createDataFrame([("s", True, None), ("t", False, 3)], "src string, pos boolean, neg int")
     rows = [(r.src, r.pos, r.neg) for r in T.prepare_triplets(df).orderBy("src").collect()]
     assert rows == [("s", str(True), str(None)), ("t", str(False), str(3))]
+
+
+def test_scratch_of_a_run_is_cleared(spark):
+    import os
+
+    from glossa.operators.rows import cut_lineage
+    from glossa.session import clear_scratch, scratch_root
+
+    spark.conf.set("glossa.run", "to-clear")
+    try:
+        kept = cut_lineage(spark.range(5), "clear").count()
+        root = scratch_root(spark).removeprefix("file://")
+        assert kept == 5 and os.listdir(root)
+        assert clear_scratch(spark) and not os.path.exists(root)
+    finally:
+        spark.conf.unset("glossa.run")
+    assert not scratch_root(spark).endswith("to-clear")
