@@ -25,9 +25,10 @@ set has flips at most one bit of their difference, so the differing bits never e
 the distance. Sets under one signature are first paired with the smallest of them
 (a star, linear in the signatures). Where the members of a signature are then still
 in more than one component, pairs across components are taken too, in tiles of
-bounded size (signatures with the same members are one): first the nearest member of
-each other component by the sketches, then, where components are still apart, all. So
-every pair of similar sets is either linked or already in one component. Only documents in a surviving pair have
+bounded size (signatures with the same members are one): for ``NEAREST_ROUNDS`` rounds
+each set's nearest member of another component by the sketches, which joins most
+components, then, where components are still apart, all. So every pair of similar sets
+is either linked or already in one component. Only documents in a surviving pair have
 their sets built again; a bit map of fixed size keeps the others' texts out of the shuffle.
 
 Signatures travel as packed, compressed arrays per (batch, bucket): a row per
@@ -63,9 +64,10 @@ SKETCH, LARGE_SKETCH = 2048, 16384     # bits; the large one for sets from LARGE
 LARGE_SET = 1500
 BITS = 1 << 22          # slots of the bit map of wanted documents (512 KB)
 TILE = 2048
-BATCH_CHARS = 8_000_000
+NEAREST_ROUNDS = 2
+BATCH_CHARS = 5_000_000
 DOCS_PER_BUCKET = 4000
-MAX_WORDS = 2_000_000
+MAX_WORDS = 600_000
 NO_ID = -(1 << 63)
 
 _U = np.uint64
@@ -384,8 +386,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, info: DataFrame, name: str) -> Da
 
 def _across(members: DataFrame, comp: DataFrame, info: DataFrame, buckets: int, nearest: bool) -> DataFrame:
     """Pairs (a, b) under one signature that lie in different components and whose
-    sketches allow the similarity; with ``nearest``, per set and other component the one
-    with the nearest sketch."""
+    sketches allow the similarity; with ``nearest``, per set the one with the nearest sketch."""
     placed = (members.where("rep <> cls")       # the smallest was paired with all
               .join(comp.withColumnRenamed("node", "cls"), "cls", "left")
               .select("sig", "cls", F.coalesce("component", "cls").alias("comp")))
@@ -407,7 +408,7 @@ def _across(members: DataFrame, comp: DataFrame, info: DataFrame, buckets: int,
             cls, comp, n, tile = (x[c].to_numpy() for c in ("cls", "comp", "n", "tile"))
             first, second = np.flatnonzero(tile == lo), np.flatnonzero(tile == hi)
             for i in first.tolist():
-                j = second[(comp[second] != comp[i]) & ((cls[second] > cls[i]) | (lo != hi))]
+                j = second[(comp[second] != comp[i]) & ((cls[second] > cls[i]) | (lo != hi) | nearest)]
                 j = j[4 * np.minimum(n[j], n[i]) >= 3 * np.maximum(n[j], n[i])]
                 if not len(j):
                     continue
@@ -415,8 +416,7 @@ def _across(members: DataFrame, comp: DataFrame, info: DataFrame, buckets: int,
                 ok = low <= (n[j] + n[i]) // 7
                 j, low = j[ok], low[ok]
                 if nearest and len(j):
-                    order = np.lexsort((cls[j], low, comp[j]))
-                    j = j[order][np.flatnonzero(np.diff(comp[j][order], prepend=comp[j][order][0] - 1))]
+                    j = j[np.lexsort((cls[j], low))[:1]]
                 if len(j):
                     out.append(np.column_stack([np.minimum(cls[j], cls[i]), np.maximum(cls[j], cls[i])]))
         pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
@@ -443,7 +443,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     star = members.where("rep <> cls").select(F.col("rep").alias("a"), F.col("cls").alias("b")).distinct()
     links = _verify(_possible(star, info), slim, info, "shingle-links")
     comp = connected_components(links, "shingle-cc")
-    for nearest in (True, False):
+    for nearest in [True] * NEAREST_ROUNDS + [False]:
         name = f"shingle-{'near' if nearest else 'all'}"
         more = _verify(_across(members, comp, info, buckets, nearest), slim, info, name)
         comp = connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more),
