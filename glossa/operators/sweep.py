@@ -94,19 +94,30 @@ def _wave(request_id_col, waves: int):
     return F.floor(F.conv(F.substring(request_id_col, 5, 8), 16, 10).cast("long") * waves / (1 << 32))
 
 
+def require_row_key(rows: DataFrame, row_key: str) -> None:
+    """Raise unless ``row_key`` names every row: texts and answers are joined by it, so a
+    null would lose its row and a repeated key would send one row's text for another's."""
+    key = F.col(row_key)
+    n, named, distinct = rows.agg(F.count(F.lit(1)), F.count(key), F.count_distinct(key)).first()
+    if n != distinct:
+        raise ValueError(f"{row_key} does not name the rows: {n - named} of {n} are null, "
+                         f"{named - distinct} repeat another row's")
+
+
 def fill_cache(requests: DataFrame, texts: DataFrame, content: Column, cache: ResponseCache,
                client_factory: Callable, *, row_key: str = "row_id", waves: int | None = None,
                concurrency: int | None = None, **score_opts) -> int:
     """Score every request without a cached answer and append the results.
 
     ``requests`` has request_id, chat_model and ``row_key``; ``content`` is rendered
-    from ``texts`` (``row_key`` and the template's slots) just before the call. The
+    from ``texts`` (``row_key``, unique and not null, and the template's slots) just before the call. The
     misses (digests) are written once, partitioned by wave; each wave reads its
     slice, re-checks the cache and appends its results, so a crash or a lost task
     sends at most one wave again. With ``concurrency`` a wave has ``WAVE_PER_SLOT``
     requests for each one in flight, unless ``waves`` is given. Returns the number of waves.
     """
     spark = requests.sparkSession
+    require_row_key(texts, row_key)
     staged = scratch_path(spark, "misses")
     misses = split_cache(requests, cache.keys(requests))[1]
     if waves is None:
@@ -139,7 +150,7 @@ def run_sweep(rows: DataFrame, models: list[str], content: str | Column, cache:
 
     ``content`` is the prompt: a column of ``rows`` (left out of the result) or an
     expression over them, such as a rendered template, which then never crosses a
-    shuffle. ``row_key`` names the rows uniquely.
+    shuffle. ``row_key`` names the rows uniquely; nulls and repeats raise before a call is made.
     """
     text = F.col(content) if isinstance(content, str) else content
     # the digests are written once: dedupe, lookups and the answers read them, not the prompts

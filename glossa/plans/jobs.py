@@ -28,25 +28,35 @@ PROMPT_COLUMNS = ["src", "tgt", "QA", "pair", "model", "dataset"]
 
 
 def ingest(spark: SparkSession, path: str, fmt: str = "csv", test_size: int | None = None,
-           schema: str | None = None) -> tuple[DataFrame, bool]:
-    """The input with ``row_id``, written once, and whether the ids are 0..n-1.
-
-    An input that has a ``row_id`` keeps it, so ids mean the same row in every step;
-    otherwise ids are given here, in input order. The written table is what the job
-    works on: a CSV is parsed once, and ids do not change between readers.
+           schema: str | None = None) -> tuple[DataFrame, str, bool]:
+    """The input with a row key, written once; the key's name; whether its values are 0..n-1.
+
+    An input whose ``row_id`` names every row (whole numbers, no null, no repeat) keeps it
+    as the key, so ids mean the same row in every step. An input without ``row_id`` gets
+    one here, in input order. Any other ``row_id`` (the steps' variants in one table, say)
+    is a plain column: it stays as it is, and a key of its own is given in input order.
+    The written table is what the job works on: ids do not change between readers.
     """
     df = read_table(spark, path, fmt=fmt, na_rules="pandas" if fmt == "csv" else "spark", schema=schema)
-    dense = "row_id" not in df.columns
+    key, dense = "row_id", "row_id" not in df.columns
     if dense:
-        df = with_row_id(df)
+        rows = with_row_id(df)
     else:
-        df = cut_lineage(df.withColumn("row_id", F.col("row_id").try_cast("long")), "ingest")
-    return (head_in_order(df, test_size, "row_id") if test_size else df), dense
+        rows = cut_lineage(df.withColumn(key, F.col(key).try_cast("long")), "ingest")
+        n, distinct = rows.agg(F.count(F.lit(1)), F.count_distinct(key)).first()
+        if n != distinct:
+            key, dense = "_row_key", True
+            while key in df.columns:
+                key = f"_{key}"
+            rows = with_row_id(df, key)
+    return (head_in_order(rows, test_size, key) if test_size else rows), key, dense
 
 
 def load(spark: SparkSession, path: str, fmt: str = "csv", test_size: int | None = None,
          schema: str | None = None) -> DataFrame:
-    return ingest(spark, path, fmt, test_size, schema)[0]
+    """The ingested input without an internal key."""
+    rows, key, _ = ingest(spark, path, fmt, test_size, schema)
+    return rows if key == "row_id" else rows.drop(key)
 
 
 def prompt_job(spark: SparkSession, input_path: str, output_path: str, *, fmt: str = "csv",
@@ -74,9 +84,10 @@ def sweep_job(spark: SparkSession, input_path: str, output_path: str, cache_path
     if isinstance(models, str):
         models = read_models(spark, models)
     score_opts.setdefault("concurrency", CONCURRENCY_TEST if test_size else CONCURRENCY)
-    rows = load(spark, input_path, fmt, test_size)
+    rows, key, _ = ingest(spark, input_path, fmt, test_size)
     answered = run_sweep(rows, models, content_col, ResponseCache(spark, cache_path), client_factory,
-                         waves=waves, **score_opts)
+                         row_key=key, waves=waves, **score_opts)
+    answered = answered if key == "row_id" else answered.drop(key)
     named = with_output_name(answered, "chat_model", input_name=input_path.rstrip("/").split("/")[-1])
     write_table(named, output_path, partition_by=["output_name"], mode=mode)
     return named
@@ -101,9 +112,9 @@ def segment_job(spark: SparkSession, input_path: str, output_path: str, scorer_f
                 test_size: int | None = None, batch_size: int = 8, model_info: dict | None = None,
                 mode: str = "errorifexists") -> DataFrame:
     """Segment scores with 0-based ids in input order, plus one summary row (the system score)."""
-    rows, dense = ingest(spark, input_path, fmt, test_size)
+    rows, key, dense = ingest(spark, input_path, fmt, test_size)
     # ids given at ingest are the segment ids; kept ids are numbered before scoring
-    rows = rows.withColumn("segment_id", F.col("row_id")) if dense else with_index(rows, "row_id", out="segment_id")
+    rows = rows.withColumn("segment_id", F.col(key)) if dense else with_index(rows, key, out="segment_id")
     segs = score_segments(rows, src_col, mt_col, scorer_factory, ref_col=ref_col, batch_size=batch_size)
     cols = ["segment_id", F.col(src_col).alias("source"), F.col(mt_col).alias("translation"), "score"]
     if ref_col:
@@ -132,13 +143,13 @@ def regression_tables_job(spark: SparkSession, input_path: str, output_path: str
     from glossa.functions.tokens import pad_encode
     from glossa.operators import training as T
 
-    loaded, dense = ingest(spark, input_path, fmt)
+    loaded, key, dense = ingest(spark, input_path, fmt)
     if not dense:
-        loaded = with_index(loaded, "row_id", out="_file_pos")
-    pos = "row_id" if dense else "_file_pos"
-    rows = T.prepare_regression(loaded, keep=list(dict.fromkeys(["row_id", pos])))
+        loaded = with_index(loaded, key, out="_file_pos")
+    pos = key if dense else "_file_pos"
+    rows = T.prepare_regression(loaded, keep=list(dict.fromkeys(["row_id", key, pos])))
     split = T.eval_split(rows, pos, frac=frac, dense=True)
-    train = T.seeded_position(split, "row_id")
+    train = T.seeded_position(split, key)
     evals = split.where("is_eval").withColumn("shuffle_pos", F.col(pos))
     if debug:
         batch_size = DEBUG_BATCH
@@ -147,7 +158,7 @@ def regression_tables_job(spark: SparkSession, input_path: str, output_path: str
     out = {}
     for name, df in (("train", train), ("eval", evals)):
         batched = T.batches_of(df, "shuffle_pos", batch_size)
-        batched = batched.drop("_file_pos")
+        batched = batched.drop("_file_pos", *([key] if key != "row_id" else []))
         batched.write.mode(mode).parquet(f"{output_path}/{name}")
         out[name] = wide = spark.read.schema(batched.schema).parquet(f"{output_path}/{name}")
         tokens = T.to_roles(wide, ["src", "mt"], keep=["label", "label_ok"]).withColumn(
@@ -166,11 +177,12 @@ def ranking_tables_job(spark: SparkSession, input_path: str, output_path: str, *
     from glossa.functions.tokens import pad_encode
     from glossa.operators import training as T
 
-    loaded, dense = ingest(spark, input_path, fmt)
-    rows = T.prepare_triplets(loaded, keep=["row_id"])
+    loaded, key, dense = ingest(spark, input_path, fmt)
+    rows = T.prepare_triplets(loaded, keep=list(dict.fromkeys(["row_id", key])))
     if debug:
-        rows = head_in_order(rows, 10, "row_id")
-    batched = T.batches_of(rows, "row_id", batch_size) if dense else T.assign_batches(rows, "row_id", batch_size)
+        rows = head_in_order(rows, 10, key)
+    batched = T.batches_of(rows, key, batch_size) if dense else T.assign_batches(rows, key, batch_size)
+    batched = batched if key == "row_id" else batched.drop(key)
     encoded = T.to_roles(batched, T.TRIPLET_ROLES).withColumn("enc", pad_encode(F.col("text"), max_length))
     encoded.write.mode(mode).parquet(output_path)
     return spark.read.schema(encoded.schema).parquet(output_path)

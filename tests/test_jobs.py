@@ -5,7 +5,7 @@ import os
 
 from glossa.fixed_text import QUESTIONS, TEMPLATE_BASELINE
 from glossa.operators.rows import with_row_id
-from glossa.operators.stubs import EchoClient, LengthRatioScorer, StubJudge
+from glossa.operators.stubs import EchoClient, LengthRatioScorer, StubJudge, stub_answer
 from glossa.plans import jobs
 from glossa.sources.sinks import write_table
 
@@ -108,3 +108,24 @@ def test_training_table_jobs(spark, tmp):
     assert {r.role for r in long.collect()} == {"src", "ref", "pos", "neg"}
     r = long.where("role = 'ref' and text = 's0'").first()
     assert r.enc.tokens == ["s0", "<pad>", "<pad>", "<pad>"]
+
+
+def test_sweep_of_both_variants_at_once(spark, tmp):
+    """Every (row_id, prompt_variant) gets the answer to its own prompt."""
+    path = pairs_csv(spark, tmp)
+    prompts = jobs.prompt_job(spark, path, f"{tmp}/prompts", out_fmt="parquet").collect()
+    swept = jobs.sweep_job(spark, f"{tmp}/prompts", f"{tmp}/results", f"{tmp}/cache", EchoClient, models=["m"],
+                           fmt="parquet", backoff_s=0.0).collect()
+    want = {(r.row_id, r.prompt_variant): stub_answer(r.QA) if len(r.QA.encode()) % 11 else None for r in prompts}
+    assert len(prompts) == len(want) == len(swept) == 6
+    assert {(r.row_id, r.prompt_variant): r.response for r in swept} == want
+    assert spark.read.parquet(f"{tmp}/cache").count() == 6
+
+
+def test_rows_without_a_usable_id_are_swept(spark, tmp):
+    df = spark.createDataFrame([("a1", "one"), (None, "three"), ("7", "fourteen"), ("7", "twenty one")], "row_id string, QA string")
+    df.coalesce(1).write.parquet(f"{tmp}/in")
+    swept = jobs.sweep_job(spark, f"{tmp}/in", f"{tmp}/results", f"{tmp}/cache", EchoClient, models=["m"], fmt="parquet",
+                           backoff_s=0.0).collect()
+    assert sorted((r.row_id or "", r.response) for r in swept) == sorted(
+        (i, stub_answer(t)) for i, t in [("a1", "one"), ("", "three"), ("7", "fourteen"), ("7", "twenty one")])

@@ -186,3 +186,15 @@ def test_retry_if_stops_on_permanent_errors(spark):
     out = score_requests(req, lambda: FlakyClient(9), backoff_s=0.0, attempts=5,
                          retry_if=lambda e: not isinstance(e, TimeoutError)).first()
     assert out.attempts == 1 and "TimeoutError" in out.error
+
+
+def test_null_and_repeated_row_keys_raise_before_a_call(spark, tmp):
+    import pytest
+
+    calls = counted(tmp)
+    cache = ResponseCache(spark, scratch_path(spark, "cache-keys"))
+    for ids in ([1, 1, 2], [1, None, 2]):
+        data = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "row_id long, content string")
+        with pytest.raises(ValueError, match="row_id does not name the rows"):
+            S.run_sweep(data, ["m"], "content", cache, lambda: CountingClient(tmp), backoff_s=0.0)
+    assert not calls() and cache.raw().count() == 0
