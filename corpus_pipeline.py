@@ -7,8 +7,8 @@ Stages, in order; each works on all its predecessor kept:
                   chance, goes);
 2. ``toxicity``   drops the documents that the lexicon, learned from ``labels``,
                   predicts to be toxic;
-3. ``near_duplicates`` keeps one document of each group of similar documents, the
-                  one with the smallest doc_id;
+3. ``near_duplicates`` keeps one row of each group of similar texts, the one with
+                  the smallest doc_id;
 4. ``mixing``     takes each document as often as the mix of the sources says (zero,
                   one or more times, so rows may repeat);
 5. ``packing``    cuts and packs the documents' token ids into sequences.
@@ -18,13 +18,16 @@ result as Parquet to the shared folder and reads it again as the next one's inpu
 The models of the first two stages are learned from the stage's own rows.
 
 Edge cases: every stage passes an empty table through. Null texts go in the first
-stage. Rows without a doc_id are all kept by the third stage (nothing names
-them); of rows that repeat a doc_id, one is kept there.
+stage. The third stage judges every row by its own text: rows that repeat a doc_id
+with texts that are not similar are all kept, and rows without a doc_id come last in
+their group. Of equal rows one is kept there.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from itertools import count
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossa.llm import language_id, mixing, packing, shingle_join, toxicity
@@ -50,14 +53,27 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return toxicity.with_toxicity(docs.select(*COLUMNS), lexicon).where("predicted = 0").select(*COLUMNS)
 
 
+def row_keys(docs: DataFrame) -> Column:
+    """A 64-bit key that equal rows share and different rows never do: the seed is
+    changed until no key stands for two contents."""
+    parts = [F.coalesce(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")),
+                        F.lit("-")) for c in COLUMNS]
+    content = F.xxhash64(F.sha2(F.concat(*parts), 256))
+    for seed in count():
+        key = F.xxhash64(F.lit(seed), *COLUMNS, *[F.col(c).isNull() for c in COLUMNS])
+        found = docs.select(key.alias("k"), content.alias("c")).groupBy("k").agg(F.min("c").alias("a"), F.max("c").alias("b"))
+        if found.where("a <> b").isEmpty():
+            return key
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar documents."""
-    groups = shingle_join.join(docs.select("doc_id", "text"))
-    leaders = groups.where("component_id = doc_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(leaders, "doc_id", "left_semi")
-    # a doc_id that occurs on several rows is one document; the first row by content stays
-    kept = kept.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("d")).select("doc_id", "d.*")
-    return kept.union(docs.where("doc_id is null").select(*COLUMNS))
+    """One row of each group of similar texts."""
+    keyed = docs.select(*COLUMNS, row_keys(docs).alias("row_key"))
+    groups = shingle_join.join(keyed.select("row_key", "text"), key="row_key").select("row_key", "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    leaders = (keyed.select("row_key", "doc_id").distinct().join(groups, "row_key")
+               .groupBy("component_id").agg(F.min(order)["row_key"].alias("row_key")))
+    return keyed.join(leaders, "row_key", "left_semi").select(*COLUMNS).distinct()
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

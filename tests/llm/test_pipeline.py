@@ -126,3 +126,15 @@ def test_an_empty_table_passes_through(spark):
     for name, step in cp.STAGES:
         docs = stage(step(spark, docs, SF), f"test-empty-{name}")
         assert docs.count() == 0
+
+
+def test_near_duplicates_judges_every_row_by_its_own_text(spark):
+    """A doc_id on several rows: a near copy goes, a text similar to nothing stays."""
+    words = [f"w{i}" for i in range(80)]
+    first, copy = " ".join(words), " ".join(["a0", *words[1:]])
+    own, other = " ".join(f"x{i}" for i in range(60)), " ".join(f"y{i}" for i in range(60))
+    docs = [(3, first, "en", "s", 1), (7, copy, "en", "s", 2), (7, own, "en", "s", 3), (7, own, "en", "s", 3), (9, own, "en", None, 4),
+            (9, own, None, "s", 4), (None, copy, "en", "s", 5), (None, other, "en", "s", 6), (None, other, "en", "s", 6)]
+    given = stage(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), "test-rows")
+    got = cp.near_duplicates(spark, given, SF).collect()
+    assert sorted(r.n_chars for r in got) == [1, 3, 6]
