@@ -9,7 +9,9 @@ one per comma, plus up to three for length; the parent gets them in full, the
 grandparent half, further ancestors a third, a quarter, ... A container's points
 are discounted by its link density. The best container (widened to the article
 or main element it lies in) is kept, with those siblings that score a fifth of
-it or that read like text (headings, low link density). Kept blocks, white space
+it or that read like text (headings, low link density). Where the text lies in
+several containers of one depth, each wrapped on its own, the best one is first
+widened to its branch below their common ancestor. Kept blocks, white space
 collapsed, are joined in page order by one newline; nothing is cut or capped.
 
 Edge cases: null or empty html, or a page without any article block, gives the
@@ -239,6 +241,28 @@ class Page:
             else:
                 todo += reversed(at.children)
 
+    def _peers(self, best: Node, top: float) -> set[Node]:
+        """``best`` and the containers of its depth that score a fifth of it."""
+        depth, peers = {self.root: 0}, {best}
+        for node in self._nodes(self.root):
+            if node.parent is not None:
+                depth[node] = depth[node.parent] + 1
+        for node, d in depth.items():
+            if d == depth[best] and node.chars and not node.dropped and node.link_chars / node.chars < 0.25 \
+                    and self.score(node) >= 0.2 * top:
+                peers.add(node)
+        return peers
+
+    def _text_of(self, node: Node, peers: set[Node], above: set[Node]) -> Iterator[int]:
+        """The blocks of a branch; of one full of links only those of the peers in it."""
+        todo = [node]
+        while todo:
+            at = todo.pop()
+            if at in peers or at.link_chars / at.chars < 0.25:
+                yield from self._blocks(at)
+            else:
+                todo += [c for c in at.children if c in above]
+
     def text(self) -> str:
         best, top = None, 0.0
         for node in self._nodes(self.root):
@@ -254,7 +278,18 @@ class Page:
                 wide = at
             at = at.parent
         best = wide or best
-        kept = set(self._blocks(best))
+        # a plain container may be one of several sections, each wrapped on its own
+        peers, above = ({best}, set()) if wide else (self._peers(best, top), set())
+        for at in peers:
+            while at is not None and at not in above:
+                above.add(at)
+                at = at.parent
+        at = best
+        while at.parent is not None and wide is None:
+            if any(c is not at and c in above for c in at.parent.children):
+                best = at
+            at = at.parent
+        kept = set(self._text_of(best, peers, above))
         box = best.parent
         # an article element is complete; a plain container may have spilled into siblings
         if box is not None and wide is None:
@@ -263,8 +298,10 @@ class Page:
                     kept.add(sib)
                 elif sib is not best and sib.chars and not sib.dropped:
                     density = sib.link_chars / sib.chars
-                    if density < 0.25 and (self.score(sib) >= 0.2 * top or sib.tag in HEADINGS
-                                           or sib.tag in ("p", "pre", "blockquote", "ul", "ol", "table", "figure", "section")):
+                    if sib in above:
+                        kept.update(self._text_of(sib, peers, above))
+                    elif density < 0.25 and (self.score(sib) >= 0.2 * top or sib.tag in HEADINGS
+                                             or sib.tag in ("p", "pre", "blockquote", "ul", "ol", "table", "figure", "section")):
                         kept.update(self._blocks(sib))
         elif box is not None:
             for sib in box.children:   # a page may hold its text in several article elements

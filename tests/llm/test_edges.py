@@ -290,6 +290,21 @@ def test_packing_of_unfillable_pieces(spark):
     assert got.select("sequence_id").distinct().count() == got.count() == 9000
 
 
+def test_html_text_sections_wrapped_on_their_own():
+    """Without article or main: every section of one depth stays, each with its heading."""
+    def section(i, paras):
+        return (f"<div class=sec><h2>Head {i}</h2><div class=inner>"
+                + "".join(f"<p>Part {i}.{k}, with commas, and some words to count.</p>" for k in range(paras)) + "</div></div>")
+    def lines(i, paras):
+        return [f"Head {i}", *[f"Part {i}.{k}, with commas, and some words to count." for k in range(paras)]]
+    links = "<div><div class=x><a href=a>one link, two</a> <a href=b>three, four</a></div></div>"
+    for paras in ([3], [4, 2], [5, 3, 1], [2, 6, 2, 3]):
+        body = "".join(section(i, n) for i, n in enumerate(paras))
+        page = f"<body><div class=menu><p>menu, text, here</p></div><div>{body}</div>{links}<div class=footer>foot, text</div></body>"
+        kept = [i for i, n in enumerate(paras) if 5 * n >= max(paras)]
+        assert html_text.extract(page).split("\n") == [x for i in kept for x in lines(i, paras[i])]
+
+
 def test_html_text(spark):
     page = """<html><body class="has-sidebar"><header><h1>Site</h1><a href=/>home</a></header>
     <div id=main-menu><ul><li><a>x</a></ul></div><div class="cookie-notice">We use cookies, ok, yes.</div>
