@@ -2,9 +2,10 @@
 
 Stages, in order; each works on all its predecessor kept:
 
-1. ``language``   keeps the documents whose language is recognised (a document
-                  without a letter, or whose best language is no more likely than
-                  chance, goes);
+1. ``language``   keeps the documents whose language is recognised: a document
+                  without a letter goes, and one for which all languages are
+                  exactly equally likely. The score is a best share of k, so at
+                  least 1/k; there is no threshold that unsure texts would miss;
 2. ``toxicity``   drops the documents that the lexicon, learned from ``labels``,
                   predicts to be toxic;
 3. ``near_duplicates`` keeps one row of each group of similar texts, the one with
