@@ -14,8 +14,10 @@ sequence are then grouped into as few sequences as possible:
 * Migration. Between epochs each island's best solution also goes to the next
   island of the shard and joins its population. The best island wins.
 * Levels. Bins at least ``FROZEN`` full are final; the pieces of the others go
-  to fewer shards of the next level, until one shard holds the rest. So the
-  number of half-filled sequences does not grow with the number of shards.
+  to fewer shards of the next level, until one shard holds the rest. Where most
+  pieces lie in other bins (pieces so long that bins cannot fill), bins at least
+  half full are final too, and only the emptier ones climb. So the number of
+  half-filled sequences does not grow with the number of shards.
 
 A run that reaches the lower bound (total length / capacity, rounded up) stops
 early. All random choices are seeded by shard, island and epoch. The table of
@@ -351,12 +353,13 @@ def group_pieces(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     full = items.where(F.col("length") >= capacity).select(
         "uid", (F.lit(1 << 62) + F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = items.where(F.col("length") < capacity).select("uid", "length")
-    done, level = [full], 0
+    done, level, shards = [full], 0, None
     while True:
         n = rest.count()
         if not n:
             break
-        shards = -(-n // SHARD_ITEMS)
+        # at most half as many as before, also where thousands of pieces do not half fill a bin
+        shards = min(-(-n // SHARD_ITEMS), -(-shards // 2) if shards else n)
         dealt = rest.select(F.pmod(F.xxhash64(F.lit(level), "uid"), F.lit(shards)).alias("shard"), "uid", "length")
         rows = dealt.select("shard", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island"),
                             F.lit(-1).alias("origin"), "uid", "length", F.lit(0).cast("long").alias("bin"))
@@ -367,14 +370,15 @@ def group_pieces(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             rows = rows.withColumnRenamed("target", "island")
         winner = best.groupBy("shard").agg(F.min(F.struct("bins", "island")).alias("w"))
         won = best.join(winner, "shard").where(F.col("island") == F.col("w")["island"])
-        # the last shard, or pieces so long that bins cannot fill: nothing to gain higher up
-        last = shards == 1 or won.where(F.col("fill") < FROZEN * capacity).count() > n // 2
-        final = won if last else won.where(F.col("fill") >= FROZEN * capacity)
+        limit = FROZEN * capacity
+        if shards > 1 and won.where(F.col("fill") < limit).count() > n // 2:
+            limit = capacity / 2      # pieces so long that bins cannot fill
+        final = won if shards == 1 else won.where(F.col("fill") >= limit)
         done.append(final.select("uid", (F.lit(level << 56) + F.shiftleft("shard", 24) + F.col("bin"))
                                  .alias("sequence_id"), "offset"))
-        if last:
+        if shards == 1:
             break
-        rest = won.where(F.col("fill") < FROZEN * capacity).select("uid", "length")
+        rest = won.where(F.col("fill") < limit).select("uid", "length")
         level += 1
     out = done[0]
     for d in done[1:]:

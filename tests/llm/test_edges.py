@@ -290,6 +290,22 @@ def test_packing_of_unfillable_pieces(spark):
     assert got.select("sequence_id").distinct().count() == got.count() == 9000
 
 
+def test_packing_leaves_no_half_filled_sequence_per_shard(spark, monkeypatch):
+    """Pieces so long that no bin is 97 % full: the shards' emptiest bins are still combined."""
+    monkeypatch.setattr(packing, "SHARD_ITEMS", 50)
+    items = spark.range(1000).select(F.col("id").alias("uid"), F.lit(700).cast("long").alias("length"))
+    got = packing.group_pieces(items).collect()
+    assert sorted(r.uid for r in got) == list(range(1000)) and len({r.sequence_id for r in got}) == 500
+    assert len({(r.sequence_id, r.offset) for r in got}) == 1000 and {r.offset for r in got} == {0, 700}
+
+
+def test_packing_of_pieces_that_do_not_half_fill_a_shards_bin(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ITEMS", 50)
+    items = spark.range(400).select(F.col("id").alias("uid"), F.lit(1).cast("long").alias("length"))
+    got = packing.group_pieces(items, 1000).collect()
+    assert sorted(r.offset for r in got) == list(range(400)) and len({r.sequence_id for r in got}) == 1
+
+
 def test_html_text_sections_wrapped_on_their_own():
     """Without article or main: every section of one depth stays, each with its heading."""
     def section(i, paras):
