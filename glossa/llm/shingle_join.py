@@ -14,8 +14,9 @@ order, are enough: one of them is shared. A set with e <= d also signs empty
 partitions, in the same order after all others, so no pair is lost (pigeonhole over
 all n partitions). The order puts partitions with many rare shingles first: shingles
 that occur in more than one document in ``HOT_SHARE`` (counted over all
-documents) do not count as rare, so a passage that many documents share rarely
-decides a signature. The order affects the work, never the result.
+documents, kept as a bit map of fixed size) do not count as rare, so a passage that
+many documents share rarely decides a signature. The order affects the work, never
+the result.
 
 Candidates and verification. Documents with the same set are one class (hash of
 the set) before anything is paired. A pair is first held against a lower bound of
@@ -63,6 +64,7 @@ HOT_LEAST = 50
 SKETCH, LARGE_SKETCH = 2048, 16384     # bits; the large one for sets from LARGE_SET on
 LARGE_SET = 1500
 BITS = 1 << 22          # slots of the bit map of wanted documents (512 KB)
+HOT_BITS = 1 << 26      # slots of the bit map of common shingles (8 MB)
 TILE = 2048
 NEAREST_ROUNDS = 2
 BATCH_CHARS = 5_000_000
@@ -210,9 +212,10 @@ def _parted(b: pd.DataFrame, chars: int = BATCH_CHARS) -> Iterator[pd.DataFrame]
 
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles in more than one document in ``HOT_SHARE`` (sorted). Counted per
-    batch over all documents; what a batch reports is bounded by its share, so the
-    list has at most a few times HOT_SHARE x (mean set size) entries."""
+    """Shingles in more than one document in ``HOT_SHARE``, counted per batch over all
+    documents: a bit for every slot (hash modulo ``HOT_BITS``), packed. A rare shingle
+    in a common one's slot counts as common for all documents alike, so the order of
+    signatures stays global."""
     n = docs.count()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,9 +229,22 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
                 ok = counts >= max(2, len(texts) // (2 * HOT_SHARE))
                 yield pd.DataFrame({"h": keys[ok].view(np.int64), "n": counts[ok].astype(np.int64)})
 
-    hot = (docs.mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-           .where(F.col("n") >= max(HOT_LEAST, n // HOT_SHARE)).select("h").toPandas())
-    return np.sort(hot["h"].to_numpy(np.int64).view(np.uint64))
+    slots = (docs.mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+             .where(F.col("n") >= max(HOT_LEAST, n // HOT_SHARE))
+             .select((F.col("h").bitwiseAND(F.lit(HOT_BITS - 1)) + 1).alias("s")))
+    maps = slots.groupBy(F.bitmap_bucket_number("s").alias("b")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+    out = np.zeros(HOT_BITS // 8, np.uint8)
+    for r in maps.toLocalIterator():        # HOT_BITS / 32768 rows of 4 KB at most
+        at = (r["b"] - 1) * len(r["bits"])
+        out[at:at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def is_common(s: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Marks the shingles whose slot in ``common_shingles`` is set."""
+    slot = (s & _U(HOT_BITS - 1)).astype(np.int64)
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def _pack(sig: np.ndarray, owner: np.ndarray, classes: np.ndarray, ids: np.ndarray, sizes: np.ndarray,
@@ -274,11 +290,7 @@ def _sign(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                 sizes = np.array([len(s) for s in sets], np.int64)
                 own = np.array([set_class(s) if len(s) else 0 for s in sets], np.int64)
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
-                    rare = common[at] != flat
-                else:
-                    rare = np.ones(len(flat), bool)
+                rare = ~is_common(flat, common)
                 stop = np.cumsum(sizes)
                 seen: dict[int, int] = {}
                 sig, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]

@@ -370,3 +370,18 @@ def test_toxicity(docs, empty, spark):
 
 def test_fold():
     assert toxicity.fold("The&&& 1d10T $tupid, 2024 ab$$$") == " the idiot stupid ab "
+
+
+def test_common_shingles_are_a_bit_map_of_fixed_size(spark):
+    """As long as the map, however many shingles are common; every one of them is marked."""
+    import numpy as np
+
+    shared = " ".join(f"s{i}" for i in range(3000))
+    few = [f"{shared} own{i}" for i in range(60)]
+    own = " ".join(f"o{i}" for i in range(3000))
+    d = spark.createDataFrame([(i, t) for i, t in enumerate([*few, own])], "doc_id long, text string")
+    one, none = shingle_join.common_shingles(d), shingle_join.common_shingles(d.where("doc_id > 58"))
+    assert one.nbytes == none.nbytes == shingle_join.HOT_BITS // 8 and not none.any()
+    common, alone = shingle_join.Shingler().sets([shared, own])
+    assert shingle_join.is_common(common, one).all() and shingle_join.is_common(alone, one).mean() < 0.01
+    assert np.unpackbits(one).sum() <= len(common)
