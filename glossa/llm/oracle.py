@@ -6,6 +6,9 @@ The other queries learn models, draw hashed random numbers or call tokenizers;
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+# Runs of ASCII letters, digits and characters beyond ASCII.
+_TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+
 # Components of the undirected links (a, b): the smallest id that can be reached.
 _REACH = """
 reach(id, r) as (
@@ -46,4 +49,35 @@ links as (
   select a, b from shared join size p on p.id = a join size q on q.id = b where 100 * k >= 75 * (p.n + q.n - k)),
 nodes as (select distinct id from w),{_REACH}
 select size.id as doc_id, size.n as n_shingles, comp.component_id from size join comp on comp.id = size.id""",
+
+    "op11_exact_dedup": """
+with t as (select doc_id, coalesce(text, '') as text from documents)
+select doc_id, max(doc_id) over (partition by text) as keep_id, count(*) over (partition by text) as group_size,
+       row_number() over (partition by text order by doc_id desc nulls last) = 1 as kept, sha256(text) as text_sha256
+from t""",
+
+    "op12_lexical_search": f"""
+with d as (
+  select row_number() over () as r, doc_id,
+         regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '{_TERM}') as ts
+  from documents where text is not null),
+lens as (select r, doc_id, len(ts) as n from d where len(ts) > 0),
+total as (select count(*) as docs, sum(n)::bigint as words from lens),
+tf as (select r, t, count(*) as tf from (select r, unnest(ts) as t from d) group by all),
+weights as (
+  select t, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint as w
+  from (select t, count(*) as df from tf group by t), total),
+items as (
+  select item_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '{_TERM}')) as t
+  from benchmark where text is not null),
+asked as (select item_id, t, count(*) as times from items group by all),
+scores as (
+  select item_id, tf.r,
+         sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))))::bigint as score
+  from asked join tf on tf.t = asked.t join weights on weights.t = tf.t join lens on lens.r = tf.r, total
+  group by all),
+ranked as (
+  select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score
+  from scores join lens using (r) where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 20""",
 }

@@ -88,6 +88,24 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.exact_dedup import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.lexical_search import search
+
+    return search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_vector_dedup": op2_vector_dedup,
@@ -99,4 +117,7 @@ QUERIES = {
     "op5_shingle_join": op5_shingle_join,
     "op6_token_counts": op6_token_counts,
     "op10_language_id": op10_language_id,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_whitening": op13_whitening,
 }
