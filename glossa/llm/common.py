@@ -47,6 +47,20 @@ def fresh(prefix: str) -> str:
     return f"_{prefix}_{uuid.uuid4().hex[:8]}"
 
 
+def maybe_in(rows: DataFrame, wanted: DataFrame, *by: str, bits: int = 1 << 26) -> DataFrame:
+    """The rows whose columns ``by`` may stand in ``wanted``, without a shuffle of ``rows``:
+    a bit per hash slot, ``bits`` in all (8 MB), so the broadcast side has a fixed size. No
+    row of ``wanted`` is missed; a slot that two values share only costs a row more."""
+    slot = F.pmod(F.xxhash64(*by), F.lit(bits)) + 1
+    s, bucket, found = fresh("s"), fresh("bucket"), fresh("bits")
+    marks = wanted.select(slot.alias(s)).groupBy(F.bitmap_bucket_number(s).alias(bucket)).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(s)).alias(found))
+    at = F.bitmap_bit_position(s)
+    byte = F.conv(F.hex(F.substring(found, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return (rows.withColumn(s, slot).withColumn(bucket, F.bitmap_bucket_number(s)).join(F.broadcast(marks), bucket)
+            .where(F.getbit(byte, (at % 8).cast("int")) == 1).drop(s, bucket, found))
+
+
 @contextmanager
 def no_cycle_scans():
     """Pause the cycle collector around code that fills large tables of plain objects:

@@ -5,7 +5,7 @@ stays. Only DataFrame functions are used.
 
 * Digests. One scan writes a narrow table: key, SHA-256 of the text. A digest that
   occurs once proves its text unique, so only rows with a repeated digest go on; a
-  bit map of fixed size (``BITS`` slots) keeps the other texts out of every shuffle.
+  bit map of fixed size (8 MB) keeps the other texts out of every shuffle.
   A slot that two digests share only costs a text more.
 * Combining, each time by digest *and* full text, so a clash of digests can never
   merge two texts: (1) every task deduplicates its own rows (the map side of the
@@ -32,24 +32,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import partitions, stage
-
-BITS = 1 << 26          # slots of the bit map of repeated digests (8 MB)
-
-
-def _slot(digest: str = "digest"):
-    return F.pmod(F.xxhash64(digest), F.lit(BITS)) + 1
-
-
-def _with_repeated(rows: DataFrame, repeated: DataFrame) -> DataFrame:
-    """The rows whose digest may be in ``repeated``: a bit per slot, BITS in all."""
-    bits = repeated.select(_slot().alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
-    rows = rows.withColumn("s", _slot()).withColumn("bucket", F.bitmap_bucket_number("s"))
-    at = F.bitmap_bit_position("s")
-    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-    return (rows.join(F.broadcast(bits), "bucket").where(F.getbit(byte, (at % 8).cast("int")) == 1)
-            .drop("s", "bucket", "bits"))
+from glossa.llm.common import maybe_in, partitions, stage
 
 
 def combine(texts: DataFrame, salts: int) -> DataFrame:
@@ -84,7 +67,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", digest
     sizes = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
     repeated = stage(sizes.where("n > 1").select("digest"), "exact-repeated")
 
-    texts = _with_repeated(hashed, repeated).select("digest", "content", "id")
+    texts = maybe_in(hashed, repeated, "digest").select("digest", "content", "id")
     # the texts end here: what follows needs the digest, and how many texts stand behind it
     winners = stage(combine(texts, salts).groupBy("digest").agg(
         F.count(F.lit(1)).alias("texts"), F.max("keep").alias("keep"), F.sum("n").alias("n")), "exact-winners")
@@ -95,7 +78,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", digest
         "id", "sha", F.col("id").alias("keep"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("kept"))
     out = alone.union(plain)
     if not several.isEmpty():
-        clash = _with_repeated(hashed, several).join(several, "digest", "left_semi").select(
+        clash = maybe_in(hashed, several, "digest").join(several, "digest", "left_semi").select(
             F.monotonically_increasing_id().alias("row"), "id", "sha", "digest", "content")
         clash = stage(clash, "exact-clashes")
         out = out.union(_named(clash, combine(clash.select("digest", "content", "id"), salts), ["digest", "content"]))

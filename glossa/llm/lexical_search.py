@@ -5,15 +5,15 @@ document's impact for a term grows with the term's occurrences tf there and
 falls with the document's length; the query side multiplies it by the term's weight.
 
 * Index (``build``, independent of any query). Per document: its number of terms and a
-  sketch, an array of ``SPREAD`` cells or fewer per distinct term (a power of two, at most
-  ``WIDEST``). A term's cell keeps the largest tf of all terms that fall into it (255 stands
-  for 255 and more). For one document the impact is monotone in tf, so a cell is the maximum of
+  sketch, an array of ``CELLS`` cells of which the occupied ones are stored (3 bytes each). A
+  term's cell keeps the largest tf of all terms that fall into it (255 stands for 255 and
+  more). For one document the impact is monotone in tf, so a cell is the maximum of
   the impacts. Beside it a table of the document frequencies of all terms, counted per task
   and summed by Spark, and the totals. Texts are not copied: a document is found
   again by its key and a 128-bit digest of its text.
 * Bounds. Queries come in blocks of ``BLOCK_TERMS`` different terms at most (a query is not
-  split). For a batch of sketches of one width all terms of a block are looked up at once
-  and multiplied by the matrix of the terms' weights per query: upper bounds of all scores.
+  split). For a batch of sketches all cells of a block are looked up at once and multiplied by
+  the matrix of the terms' weights per cell and query: upper bounds of all scores.
 * Rescoring. Wave 1 scores the ``FIRST`` documents with the highest bounds per query
   exactly, from their whole texts; the k-th best of them is the threshold. Wave 2 scores
   every document whose bound still reaches the threshold (at a tie, those whose key comes
@@ -43,11 +43,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.common import no_cycle_scans, prepare, stage
+from glossa.llm.common import maybe_in, no_cycle_scans, prepare, stage
 
 TOP = 20
-SPREAD = 8
-NARROWEST, WIDEST = 64, 1 << 16
+CELLS = 1 << 16
 FIRST = 100
 BLOCK_TERMS = 8192
 BATCH_CHARS = 4_000_000
@@ -64,7 +63,7 @@ def terms(text: str | None) -> list[bytes]:
 
 
 def cell(term: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(term) & 0xFFFFFFFF
+    return xxhash.xxh3_64_intdigest(term) % CELLS
 
 
 def impact(tf, m):
@@ -80,11 +79,6 @@ def weight(docs: int, df: int) -> int:
     return math.floor(1000 * math.log((2 * docs + 2) / (2 * df + 1)))
 
 
-def width(distinct: np.ndarray) -> np.ndarray:
-    """Cells of a sketch: the largest power of two up to SPREAD times the distinct terms."""
-    return np.clip(1 << np.floor(np.log2(np.maximum(1, SPREAD * distinct))).astype(np.int64), NARROWEST, WIDEST)
-
-
 class _Numbers(dict):
     """term -> running number, with the terms' cells."""
 
@@ -113,7 +107,7 @@ def _text_key(text: str) -> list:
 
 @dataclass
 class Index:
-    """Sketches (doc, k1, k2, n, sketch), document frequencies (term, df) and totals."""
+    """Sketches (doc, k1, k2, n, cells, most), document frequencies (term, df) and totals."""
 
     sketches: DataFrame
     frequencies: DataFrame
@@ -143,16 +137,16 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
                 pair, tf = np.unique(doc * max(1, known) + flat, return_counts=True)
                 doc, term = pair // max(1, known), pair % max(1, known)
                 df[:known] += np.bincount(term, minlength=known)
-                distinct = np.bincount(doc, minlength=len(words))
-                wide = width(distinct)
-                start = np.cumsum(wide) - wide
-                cells = np.zeros(int(wide.sum()), np.uint8)
-                at = start[doc] + np.array(numbers.cells, np.int64)[term] % wide[doc]
-                order = np.argsort(tf, kind="stable")       # the largest tf of a cell is written last
-                cells[at[order]] = np.minimum(tf[order], 255)
-                raw = cells.tobytes()
-                yield pd.DataFrame({"row": part["row"], "n": n, "sketch": [
-                    raw[a:a + w] if d else b"" for a, w, d in zip(start.tolist(), wide.tolist(), distinct.tolist())]})
+                at = doc * CELLS + np.array(numbers.cells, np.int64)[term]
+                order = np.argsort(at, kind="stable")
+                at, tf = at[order], tf[order]
+                start = np.flatnonzero(np.diff(at, prepend=-1))
+                most = np.minimum(np.maximum.reduceat(tf, start), 255).astype(np.uint8) if len(at) else tf.astype(np.uint8)
+                at = at[start]
+                cells, ends = (at % CELLS).astype(np.uint16), np.searchsorted(at, np.arange(len(words) + 1) * CELLS)
+                yield pd.DataFrame({
+                    "row": part["row"], "n": n, "cells": [cells[a:z].tobytes() for a, z in zip(ends[:-1].tolist(), ends[1:].tolist())],
+                    "most": [most[a:z].tobytes() for a, z in zip(ends[:-1].tolist(), ends[1:].tolist())]})
                 if known > MAX_WORDS:
                     yield flush(numbers, df)
                     numbers, df = _Numbers(), np.zeros(MAX_WORDS, np.int64)
@@ -162,7 +156,7 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
     rows = docs.select(F.struct(F.col(key).cast("long").alias("doc"), *_text_key(text)).alias("row"),
                        F.coalesce(F.col(text), F.lit("")).alias("text"))
     made = stage(_past_python(rows, run), "lexical-index")
-    sketches = made.where("n > 0").select("doc", "k1", "k2", "n", "sketch")
+    sketches = made.where("n > 0").select("doc", "k1", "k2", "n", "cells", "most")
     frequencies = made.where("df is not null").groupBy("term").agg(F.sum("df").alias("df"))
     docs_with, total = sketches.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     return Index(sketches, frequencies, docs_with, total)
@@ -175,34 +169,51 @@ def _past_python(rows: DataFrame, run) -> DataFrame:
 
     def nullable(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for out in run(batches):
-            out = out.reindex(columns=["row", "n", "sketch", "term", "df"])
+            out = out.reindex(columns=["row", "n", "cells", "most", "term", "df"])
             for c in ("n", "df"):
                 out[c] = out[c].astype("Int64")
-            for c in ("row", "sketch", "term"):
+            for c in ("row", "cells", "most", "term"):
                 out[c] = out[c].astype(object).where(out[c].notna(), None)
             yield out
 
-    made = flat.mapInPandas(nullable, "row string, n long, sketch binary, term binary, df long")
+    made = flat.mapInPandas(nullable, "row string, n long, cells binary, most binary, term binary, df long")
     part = F.split("row", ",")
     return made.select(F.when(part[0] != "", part[0]).cast("long").alias("doc"), part[1].cast("long").alias("k1"),
-                       part[2].cast("long").alias("k2"), "n", "sketch", "term", "df")
+                       part[2].cast("long").alias("k2"), "n", "cells", "most", "term", "df")
 
 
 @dataclass
 class Block:
-    """Queries of one pass: their distinct terms with cells and weights, and how often
-    each occurs in each query. Its size is bounded by BLOCK_TERMS."""
+    """Queries of one pass: their distinct terms with weights times occurrences per query,
+    and the same summed by cell. Its size is bounded by BLOCK_TERMS."""
 
     queries: list[int]
     terms: list[bytes]
-    cells: np.ndarray
-    weights: np.ndarray          # terms x queries: weight times occurrences in the query
+    weights: np.ndarray          # terms x queries
+    place: np.ndarray            # cell -> row of by_cell, or -1
+    by_cell: np.ndarray          # occupied cells x queries
 
-    def bounds(self, sketches: np.ndarray, m: np.ndarray) -> np.ndarray:
+    def bounds(self, cells: list[bytes], most: list[bytes], m: np.ndarray) -> np.ndarray:
         """Upper bounds, documents x queries (exact in doubles: far below 2^53)."""
-        tf = sketches[:, self.cells % sketches.shape[1]].astype(np.int64)
-        most = np.where(tf == 255, FULL, impact(tf, m[:, None]))
-        return (most.astype(np.float64) @ self.weights).astype(np.int64)
+        size = np.fromiter(map(len, most), np.int64, len(most))
+        doc = np.repeat(np.arange(len(most)), size)
+        row = self.place[np.frombuffer(b"".join(cells), np.uint16)]
+        hit = np.flatnonzero(row >= 0)
+        doc, row = doc[hit], row[hit]
+        tf = np.frombuffer(b"".join(most), np.uint8)[hit].astype(np.int64)
+        part = np.where(tf == 255, FULL, impact(tf, m[doc])).astype(np.float64)
+        out = np.zeros((len(most), len(self.queries)), np.int64)
+        ends = np.searchsorted(doc, np.arange(len(most) + 1))
+        step = max(1, BATCH_CHARS // max(1, len(self.queries)))
+        at = 0
+        while at < len(most):        # whole documents, about ``step`` hits at a time
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + step, "right")) - 1)
+            a, z = ends[at], ends[to]
+            if z > a:
+                start = np.flatnonzero(np.diff(doc[a:z], prepend=-1))
+                out[doc[a:z][start]] = np.add.reduceat(part[a:z, None] * self.by_cell[row[a:z]], start, axis=0).astype(np.int64)
+            at = to
+        return out
 
 
 def _blocks(index: Index, items: DataFrame) -> Iterator[Block]:
@@ -226,7 +237,11 @@ def _blocks(index: Index, items: DataFrame) -> Iterator[Block]:
         at = {q: i for i, q in enumerate(queries)}
         for r in part:
             w[known[bytes(r.term)], at[r.q]] = weight(index.docs, r.df) * r.times
-        return Block(queries, list(known), np.array([cell(t) for t in known], np.int64), w)
+        used, at_cell = np.unique([cell(t) for t in known], return_inverse=True)
+        place, by_cell = np.full(CELLS, -1, np.int64), np.zeros((len(used), len(queries)))
+        place[used] = np.arange(len(used))
+        np.add.at(by_cell, at_cell, w)
+        return Block(queries, list(known), w, place, by_cell)
 
     part, seen = [], set()
     for r in rows.toLocalIterator():
@@ -257,22 +272,14 @@ def _candidates(index: Index, block, k: int, limits: dict[int, tuple[int, int]]
         for b in batches:
             doc, n = b["doc"].to_numpy(np.int64), b["n"].to_numpy(np.int64)
             m = length_factor(n, docs, total)
-            size = b["sketch"].str.len().to_numpy(np.int64)
-            bounds = np.zeros((len(b), len(one.queries)), np.int64)
-            for w in np.unique(size).tolist():
-                rows = np.flatnonzero(size == w)
-                step = max(1, BATCH_CHARS // max(w, 8 * len(one.terms)))
-                for at in range(0, len(rows), step):
-                    part = rows[at:at + step]
-                    cells = np.frombuffer(b"".join(b["sketch"].iloc[part]), np.uint8).reshape(len(part), w)
-                    bounds[part] = one.bounds(cells, m[part])
+            bounds = one.bounds(b["cells"].tolist(), b["most"].tolist(), m)
             at = [pick(bounds[:, c], doc, q) for c, q in enumerate(one.queries)]
             every = np.concatenate(at)
             column = np.repeat(np.arange(len(at)), [len(x) for x in at])
             yield pd.DataFrame({"q": np.array(one.queries)[column], "bound": bounds[every, column], "doc": doc[every],
                                 "k1": b["k1"].to_numpy()[every], "k2": b["k2"].to_numpy()[every]})
 
-    rows = index.sketches.select(F.coalesce("doc", F.lit(LAST_ID)).alias("doc"), "k1", "k2", "n", "sketch")
+    rows = index.sketches.select(F.coalesce("doc", F.lit(LAST_ID)).alias("doc"), "k1", "k2", "n", "cells", "most")
     found = rows.mapInPandas(run, "q long, bound long, doc long, k1 long, k2 long")
     if limits is None:
         best = Window.partitionBy("q").orderBy(F.desc("bound"), "doc", "k1", "k2")
@@ -285,10 +292,10 @@ def _best(index: Index, texts: DataFrame, block, found: DataFrame, k: int, name:
     """q, rank, doc, score: the k best of ``found`` by exact scores."""
     docs, total = index.docs, index.total
     found = stage(found, f"lexical-{name}")
-    # one document per text stands for it; it is read from the documents by key and digest
-    # (at most as many queries per text as the block has)
+    # one document per text stands for it (with at most as many queries as the block has);
+    # a bit map of fixed size keeps all other texts out of the shuffle
     wanted = found.groupBy("k1", "k2").agg(F.min("doc").alias("doc"), F.collect_set("q").alias("qs"))
-    picked = (texts.join(wanted, ["doc", "k1", "k2"]).groupBy("k1", "k2")
+    picked = (maybe_in(texts, wanted, "doc", "k1", "k2").join(wanted, ["doc", "k1", "k2"]).groupBy("k1", "k2")
               .agg(F.first("text").alias("text"), F.first("qs").alias("qs")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
