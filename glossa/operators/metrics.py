@@ -75,9 +75,9 @@ def triplet_metrics(df: DataFrame, eps: float = PAIRWISE_EPS, margin: float = RA
 
 def answers_long(df: DataFrame, response_col: str = "response", keep: Sequence[str] = ("row_id", "model")) -> DataFrame:
     """Response text -> one row per (row, question): ``qid``, ``raw``, ``answer`` (null if invalid)."""
-    # the map is a projection of its own: inside the explode it would be parsed twice
-    parsed = df.select(*keep, parse_answers(response_col).alias("_answers"))
-    x = parsed.select(*keep, F.explode("_answers").alias("_k", "raw"))
+    # the parse stands inside the explode: of a map column Catalyst would infer that it is not
+    # empty and test that below the exchange, parsing every response once more
+    x = df.select(*keep, F.explode(parse_answers(response_col)).alias("_k", "raw"))
     return x.select(*keep, F.col("_k").try_cast("int").alias("qid"), "raw",
                     normalize_answer("raw").alias("answer"))
 

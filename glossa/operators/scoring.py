@@ -5,18 +5,24 @@ picklable zero-argument callable) that builds the client / model once per task,
 so connections and weights are not shipped per row. Failures are captured per
 row (``error`` column, ``attempts`` count); one bad request never fails the job.
 
-Concurrency: requests in flight = concurrently running tasks x ``threads``.
-Pass ``partitions`` to pin the task count when a provider rate limit applies.
+Concurrency: requests in flight = the calls that the running tasks may make at a time.
+``concurrency`` fixes their sum (``in_flight``). A call that its client does not end within the
+timeout counts as failed when the time is up, and its place is free again.
 """
 
 from __future__ import annotations
 
+import queue
+import threading
 import time
-from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+import uuid
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql import functions as F
 
 from glossa.fixed_text import (INCLUDE_REASONING, JUDGE_MAX_TOKENS, JUDGE_TOP_P, RETRY_ATTEMPTS,
@@ -27,60 +33,228 @@ RESULT_SCHEMA = "request_id string, chat_model string, full_response string, err
 CONTENT_PATH = "$.choices[0].message.content"
 
 
-def _call_with_retries(client, request: dict, attempts: int, timeout_s: float, backoff_s: float,
-                       retry_if: Callable | None = None):
-    err = None
-    for i in range(1, attempts + 1):
+@dataclass(frozen=True)
+class Calls:
+    """How a request is sent: the fixed parts of the request, retries and deadline."""
+
+    temperature: float = TEMPERATURE
+    include_reasoning: bool = INCLUDE_REASONING
+    timeout_s: float = TIMEOUT_S
+    attempts: int = RETRY_ATTEMPTS
+    backoff_s: float = 1.0
+    retry_if: Callable | None = None       # decides whether a failure is worth another attempt (default: all are)
+
+    def request(self, model: str, content: str) -> dict:
+        return {"model": model, "messages": [{"role": "user", "content": content}],
+                "temperature": self.temperature, "include_reasoning": self.include_reasoning}
+
+
+class _Worker:
+    """A thread's state: when the attempt it is on began, and whether it was left behind."""
+
+    __slots__ = ("began", "item", "gone")
+
+    def __init__(self):
+        self.began, self.item, self.gone = None, None, False
+
+
+def call_all(requests: Iterable[tuple], client, places: int, how: Calls) -> Iterator[tuple]:
+    """(key, full response, error, attempts) for every (key, model, content), in the order in which the answers
+    come, with ``places`` calls at a time: as soon as one ends, the next goes out.
+
+    The client is told the timeout. An attempt that has not ended by then is a failed one: its thread is
+    left behind, another takes its place, and an answer that comes later is not used.
+    """
+    inbox, outbox, lock = queue.SimpleQueue(), queue.SimpleQueue(), threading.Lock()
+    workers: set[_Worker] = set()
+
+    def work(me: _Worker) -> None:
+        while (item := inbox.get()) is not None:
+            _, request, attempt = item
+            if attempt > 1 and how.backoff_s > 0:
+                time.sleep(how.backoff_s * 2 ** (attempt - 2))
+            me.item, me.began = item, time.monotonic()
+            try:
+                answer, error = client(request, timeout=how.timeout_s), None
+            except BaseException as e:  # noqa: BLE001 - every failure becomes a row value
+                answer, error = None, e
+            with lock:
+                me.began = None
+                if me.gone:
+                    return
+            outbox.put((item, answer, error))
+
+    def hire() -> None:
+        me = _Worker()
+        workers.add(me)
+        threading.Thread(target=work, args=(me,), daemon=True).start()
+
+    def overdue() -> list[tuple]:
+        late = []
+        with lock:
+            for w in [w for w in workers if w.began is not None and time.monotonic() - w.began > how.timeout_s]:
+                w.gone = True
+                workers.discard(w)
+                late.append((w.item, None, TimeoutError(f"no answer within {how.timeout_s:g} s")))
+        for _ in late:
+            hire()
+        return late
+
+    source, open_, more = iter(requests), 0, True
+    tick = min(1.0, how.timeout_s / 4)
+    look = time.monotonic() + tick
+    while True:
+        while more and open_ < places:
+            try:
+                key, model, content = next(source)
+            except StopIteration:
+                more = False
+                break
+            if len(workers) < places:
+                hire()
+            inbox.put((key, how.request(model, content), 1))
+            open_ += 1
+        if not open_:
+            break
         try:
-            return client(request, timeout=timeout_s), None, i
-        except Exception as e:  # noqa: BLE001 - every failure becomes a row value
-            err = f"{type(e).__name__}: {e}"
-            if retry_if is not None and not retry_if(e):
-                return None, err, i
-            if i < attempts and backoff_s > 0:
-                time.sleep(backoff_s * (2 ** (i - 1)))
-    return None, err, attempts
+            ended = [outbox.get(timeout=tick)]
+        except queue.Empty:
+            ended = []
+        if time.monotonic() >= look:
+            ended += overdue()
+            look = time.monotonic() + tick
+        for (key, request, attempt), answer, error in ended:
+            if error is None:
+                open_ -= 1
+                yield key, answer, None, attempt
+            elif attempt < how.attempts and (how.retry_if is None or how.retry_if(error)):
+                inbox.put((key, request, attempt + 1))
+            else:
+                open_ -= 1
+                yield key, None, f"{type(error).__name__}: {error}", attempt
+    for _ in workers:
+        inbox.put(None)
+
+
+def in_flight(concurrency: int | None, threads: int, slots: int) -> list[int]:
+    """Calls at a time for each of the tasks; with ``concurrency`` they add up to it exactly."""
+    if not concurrency:
+        return [threads] * slots
+    tasks = min(-(-concurrency // max(1, threads)), slots)
+    return [concurrency // tasks + (i < concurrency % tasks) for i in range(tasks)]
 
 
 def score_requests(requests: DataFrame, client_factory: Callable, model_col: str = "chat_model",
-                   content_col: str = "content", temperature: float = TEMPERATURE,
-                   include_reasoning: bool = INCLUDE_REASONING, threads: int = 8,
-                   timeout_s: float = TIMEOUT_S, attempts: int = RETRY_ATTEMPTS,
-                   backoff_s: float = 1.0, partitions: int | None = None,
-                   concurrency: int | None = None, retry_if: Callable | None = None) -> DataFrame:
+                   content_col: str = "content", threads: int = 8, partitions: int | None = None,
+                   concurrency: int | None = None, **calls) -> DataFrame:
     """Send one chat request per row; returns ``RESULT_SCHEMA`` rows (raw JSON kept).
 
-    ``concurrency`` caps the requests in flight across the cluster (e.g. the
-    sweep's 30, or 5 in test mode): it picks ``partitions`` x ``threads`` with
-    a product of at most ``concurrency`` (a sweep keeps such a call small: one wave). ``retry_if(exception)`` decides whether
-    a failure is worth another attempt (default: every failure is retried).
+    ``concurrency`` caps the requests in flight across the cluster; ``calls`` are the
+    fields of ``Calls``. An operator for one table of requests: a sweep over many uses
+    ``answer_requests``, which stores answers as they come.
     """
-    if concurrency:
-        partitions = -(-concurrency // max(1, min(threads, concurrency)))
-        threads = concurrency // partitions
+    how = Calls(**calls)
+    share = in_flight(concurrency, threads, requests.sparkSession.sparkContext.defaultParallelism) if concurrency else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = client_factory()
-        with ThreadPoolExecutor(max_workers=threads) as pool:
-            for pdf in batches:
-                reqs = [{"model": m, "messages": [{"role": "user", "content": c}],
-                         "temperature": temperature, "include_reasoning": include_reasoning}
-                        for m, c in zip(pdf[model_col], pdf[content_col])]
-                res = list(pool.map(lambda r: _call_with_retries(client, r, attempts, timeout_s, backoff_s,
-                                                                 retry_if), reqs))
-                yield pd.DataFrame({"request_id": pdf["request_id"].values,
-                                    "chat_model": pdf[model_col].values,
-                                    "full_response": [r[0] for r in res],
-                                    "error": [r[1] for r in res],
+        places = share[TaskContext.get().partitionId()] if share else threads
+        for pdf in batches:
+            got = {k: r for k, *r in call_all(zip(range(len(pdf)), pdf[model_col], pdf[content_col]), client, places, how)}
+            res = [got[k] for k in range(len(pdf))]
+            if res:
+                yield pd.DataFrame({"request_id": pdf["request_id"].values, "chat_model": pdf[model_col].values,
+                                    "full_response": [r[0] for r in res], "error": [r[1] for r in res],
                                     "attempts": pd.array([r[2] for r in res], dtype="int32")})
 
     ship_package(requests.sparkSession)
     x = requests.select("request_id", model_col, content_col)
-    if partitions:
-        x = x.repartition(partitions, "request_id")
+    if share or partitions:
+        x = x.repartition(len(share) if share else partitions, "request_id")
     return x.mapInPandas(run, RESULT_SCHEMA)
 
 
+CHUNK = 500          # answers per stored file: what a killed task sends again, at most
+CHUNK_S = 30.0       # or the answers of so many seconds
+
+
+def _answer_sink(folder: str, client_factory: Callable, share: list[int], how: Calls, chunk: int, chunk_s: float) -> type[DataSource]:
+    """A data source whose tasks send the rows they get (request_id, chat_model, content) and
+    store the answers chunk by chunk as Parquet files below ``folder`` (a URI)."""
+
+    class AnswerWriter(DataSourceArrowWriter):
+        def write(self, iterator):
+            import pyarrow as pa
+            import pyarrow.parquet as pq
+            from pyarrow import fs as pafs
+
+            schema = pa.schema([("request_id", pa.string()), ("chat_model", pa.string()), ("entry", pa.int64()),
+                                ("full_response", pa.string()), ("error", pa.string()), ("attempts", pa.int32()),
+                                ("written_at", pa.timestamp("us", tz="UTC"))])
+            part = TaskContext.get().partitionId()
+            fs, base = pafs.FileSystem.from_uri(folder)
+            fs.create_dir(base, recursive=True)
+            # an earlier attempt of this task has stored these; a task's rows are always the same
+            stored = [f.path for f in fs.get_file_info(pafs.FileSelector(base)) if f.base_name.startswith(f"p{part:05d}-")]
+            known = {k for f in stored for k in pq.read_table(f, columns=["request_id"], filesystem=fs)["request_id"].to_pylist()}
+
+            def requests():
+                for b in iterator:
+                    for key, model, content in zip(*(b.column(c).to_pylist() for c in ("request_id", "chat_model", "content"))):
+                        if key not in known:
+                            yield (key, model), model, content
+
+            buffer: list[tuple] = []
+            since = time.monotonic()
+
+            def store() -> None:
+                nonlocal since
+                if buffer:
+                    name = f"p{part:05d}-{uuid.uuid4().hex}.parquet"
+                    table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*buffer), schema)], schema=schema)
+                    pq.write_table(table, f"{base}/_{name}", filesystem=fs, compression="zstd")
+                    fs.move(f"{base}/_{name}", f"{base}/{name}")      # complete, or not seen
+                    buffer.clear()
+                since = time.monotonic()
+
+            for (key, model), *answer in call_all(requests(), client_factory(), share[part % len(share)], how):
+                buffer.append((key, model, uuid.uuid4().int >> 65, *answer, time.time_ns() // 1000))
+                if len(buffer) >= chunk or time.monotonic() - since > chunk_s:
+                    store()
+            store()
+            return WriterCommitMessage()
+
+    class AnswerSink(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return sink
+
+        def writer(self, schema, overwrite):
+            return AnswerWriter()
+
+    sink = f"answers_{uuid.uuid4().hex[:12]}"
+    return AnswerSink
+
+
+def answer_requests(requests: DataFrame, content: Column, folder: str, client_factory: Callable, *, threads: int = 8,
+                    concurrency: int | None = None, chunk: int = CHUNK, chunk_s: float = CHUNK_S, **calls) -> None:
+    """Send every request and store the answers below ``folder`` (a URI that tasks can write to).
+
+    ``requests`` has request_id, chat_model and what ``content`` renders the prompt from;
+    that crosses the one shuffle, the prompt does not. As many tasks as ``in_flight`` says run to
+    the end, each with its share of the requests by key and its share of ``concurrency``; no call
+    waits for another task or for a slower call. A killed task finds its stored
+    answers again and sends ``chunk`` requests again at most, besides those in flight.
+    """
+    spark = requests.sparkSession
+    ship_package(spark)
+    share = in_flight(concurrency, threads, spark.sparkContext.defaultParallelism)
+    sink = _answer_sink(folder, client_factory, share, Calls(**calls), chunk, chunk_s)
+    spark.dataSource.register(sink)
+    dealt = requests.repartition(len(share), "request_id")
+    dealt.select("request_id", "chat_model", content.alias("content")).write.format(sink.name()).mode("append").save()
+
+
 def response_content(full_response: Column | str, path: str = CONTENT_PATH) -> Column:
     """The answer text inside a raw chat-completion JSON (JVM-side JSON path)."""
     c = F.col(full_response) if isinstance(full_response, str) else full_response

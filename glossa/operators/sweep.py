@@ -1,20 +1,23 @@
 """Model sweep with request keys, dedupe and a write-through response cache.
 
     rows --expand_models--> rows x models --request key--> keys (no text)
-         --distinct keys, anti-join with the cache, on digests--> misses
-         --waves: join the texts, render, score, append to the cache--> cache
+         --distinct keys, one lookup in the cache, on digests--> misses
+         --claim key ranges, join the slots once, render, send--> answers, stored as they come
+         --settle--> cache
     keys --left join the cache entries they need--> answered rows
 
 Each distinct request is sent once; a rerun sends only keys without a
-successful cached answer. Only digests are shuffled, deduplicated and compared; the
-prompt is rendered again just before its call. Scored output is persisted (cache
-append) before it is read again, so a recomputed plan never calls the paid client
-twice.
+successful cached answer, and two sweeps at the same time share the work by claims on
+key ranges. Only digests are shuffled, deduplicated and compared; the
+prompt is rendered again just before its call. Answers are stored before they are read
+again, so a recomputed plan never calls the paid client twice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,12 +26,11 @@ from glossa.fixed_text import INCLUDE_REASONING, TEMPERATURE
 from glossa.functions.keys import request_key
 from glossa.functions.text import strip_newlines
 from glossa.operators.rows import cut_lineage
-from glossa.operators.scoring import response_content, score_requests
-from glossa.session import scratch_path
-from glossa.sources.cache import ResponseCache, key_prefix
+from glossa.operators.scoring import answer_requests, response_content
+from glossa.sources.cache import ResponseCache
+from glossa.sources.claims import RANGES, KeyClaims
 
-# Requests per wave for every one that may be in flight: what a lost wave sends again.
-WAVE_PER_SLOT = 100
+POLL_S = 2.0         # between looks at ranges that another sweep has claimed
 
 
 def read_models(spark: SparkSession, path: str) -> list[str]:
@@ -90,8 +92,9 @@ def cache_report(keyed: DataFrame, cache_keys: DataFrame, model_col: str = "chat
         F.count_if(F.col("_hit").isNull()).alias("misses"))
 
 
-def _wave(request_id_col, waves: int):
-    return F.floor(F.conv(F.substring(request_id_col, 5, 8), 16, 10).cast("long") * waves / (1 << 32))
+def _key_range(request_id: Column) -> Column:
+    """The claim range of a key, from its first digits."""
+    return F.floor(F.conv(F.substring(request_id, 1, 4), 16, 10).cast("long") * RANGES / (1 << 16)).cast("int")
 
 
 def require_row_key(rows: DataFrame, row_key: str) -> None:
@@ -105,34 +108,42 @@ def require_row_key(rows: DataFrame, row_key: str) -> None:
 
 
 def fill_cache(requests: DataFrame, texts: DataFrame, content: Column, cache: ResponseCache,
-               client_factory: Callable, *, row_key: str = "row_id", waves: int | None = None,
-               concurrency: int | None = None, **score_opts) -> int:
-    """Score every request without a cached answer and append the results.
-
-    ``requests`` has request_id, chat_model and ``row_key``; ``content`` is rendered
-    from ``texts`` (``row_key``, unique and not null, and the template's slots) just before the call. The
-    misses (digests) are written once, partitioned by wave; each wave reads its
-    slice, re-checks the cache and appends its results, so a crash or a lost task
-    sends at most one wave again. With ``concurrency`` a wave has ``WAVE_PER_SLOT``
-    requests for each one in flight, unless ``waves`` is given. Returns the number of waves.
+               client_factory: Callable, *, row_key: str = "row_id", slots: Sequence[str] | None = None,
+               **send_opts) -> int:
+    """Send every request without a cached answer and store the answers in the cache.
+
+    ``requests`` has request_id, chat_model and ``row_key``; ``content`` is rendered from
+    ``texts`` (``row_key``, unique and not null, and the ``slots`` that the prompt needs: all columns,
+    if not given) just before the call. The cache is looked up once; the misses (digests) are
+    written once. A sweep sends only what lies in key ranges it has claimed: ranges that another sweep
+    holds are waited for, and what that one has answered is not sent again. ``send_opts`` go to
+    ``answer_requests``. Returns the number of requests sent.
     """
-    spark = requests.sparkSession
     require_row_key(texts, row_key)
-    staged = scratch_path(spark, "misses")
-    misses = split_cache(requests, cache.keys(requests))[1]
-    if waves is None:
-        waves = max(1, -(-misses.count() // (concurrency * WAVE_PER_SLOT))) if concurrency else 1
-    misses = misses.withColumn("wave", _wave(F.col("request_id"), waves))
-    misses.write.partitionBy("wave").parquet(staged)
-    for w in range(waves):
-        # explicit schema: with nothing missing the staged folder holds no files
-        part = spark.read.schema(misses.schema).parquet(staged).where(F.col("wave") == w).drop("wave")
-        todo = part.join(cache.keys(part), "request_id", "left_anti").join(texts, row_key)
-        ready = todo.select("request_id", "chat_model", content.alias("content"))
-        # dealt by key prefix: few cache files per wave and partition
-        ready = ready.repartition(key_prefix()) if not concurrency else ready
-        cache.append(score_requests(ready, client_factory, concurrency=concurrency, **score_opts))
-    return waves
+    slots = [c for c in texts.columns if c != row_key] if slots is None else list(slots)
+    seen = cache.version()
+    misses = cut_lineage(split_cache(requests, cache.keys(requests))[1]
+                         .withColumn("_range", _key_range(F.col("request_id"))), "misses")
+    count = dict(misses.groupBy("_range").count().collect())       # RANGES rows at most
+    waiting, sent = set(count), 0
+    while waiting:
+        with KeyClaims(cache.spark, f"{cache.path}/claims") as claims:
+            got = claims.take(waiting)
+            if got:
+                part, n = misses.where(F.col("_range").isin(sorted(got))), sum(count[r] for r in got)
+                if cache.version() != seen:        # others have stored answers since the lookup
+                    part = cut_lineage(part.join(cache.keys(part, since=seen), "request_id", "left_anti"), "misses")
+                    n = part.count()
+                if n:
+                    sweep = uuid.uuid4().hex[:16]
+                    ready = part.join(texts.select(row_key, *slots), row_key).select("request_id", "chat_model", *slots)
+                    answer_requests(ready, content, cache.uri("pending", f"append={sweep}"), client_factory, **send_opts)
+                    cache.settle(sweep, n=n)
+                    sent += n
+                waiting -= got
+        if waiting:
+            time.sleep(POLL_S)
+    return sent
 
 
 def attach_responses(keyed: DataFrame, cache: ResponseCache) -> DataFrame:
@@ -143,20 +154,23 @@ def attach_responses(keyed: DataFrame, cache: ResponseCache) -> DataFrame:
 
 
 def run_sweep(rows: DataFrame, models: list[str], content: str | Column, cache: ResponseCache,
-              client_factory: Callable, *, row_key: str = "row_id", waves: int | None = None,
+              client_factory: Callable, *, row_key: str = "row_id", slots: Sequence[str] | None = None,
               temperature: float = TEMPERATURE, include_reasoning: bool = INCLUDE_REASONING,
-              **score_opts) -> DataFrame:
+              **send_opts) -> DataFrame:
     """Every row to every model through the cache.
 
     ``content`` is the prompt: a column of ``rows`` (left out of the result) or an
-    expression over them, such as a rendered template, which then never crosses a
-    shuffle. ``row_key`` names the rows uniquely; nulls and repeats raise before a call is made.
+    expression over them (over ``slots``, where given), such as a rendered template, which then
+    never crosses a shuffle. ``row_key`` names the rows uniquely; nulls and repeats raise before a
+    call is made.
     """
     text = F.col(content) if isinstance(content, str) else content
+    if isinstance(content, str):
+        slots = [content]
     # the digests are written once: dedupe, lookups and the answers read them, not the prompts
     keyed = cut_lineage(request_keys(rows, models, text, row_key, temperature, include_reasoning), "request-keys")
-    fill_cache(unique_requests(keyed, row_key), rows, text, cache, client_factory, row_key=row_key, waves=waves,
-               temperature=temperature, include_reasoning=include_reasoning, **score_opts)
+    fill_cache(unique_requests(keyed, row_key), rows, text, cache, client_factory, row_key=row_key, slots=slots,
+               temperature=temperature, include_reasoning=include_reasoning, **send_opts)
     answered = attach_responses(keyed, cache)
     return (rows.drop(content) if isinstance(content, str) else rows).join(answered, row_key)
 

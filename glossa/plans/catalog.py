@@ -162,7 +162,7 @@ def score_stub(spark: SparkSession, d: str) -> DataFrame:
     rows = _prompt_rows(spark, d)
     cache = _warm_cache(spark, rows)
     keyed = cut_lineage(_keyed(rows), "request-keys")
-    S.fill_cache(S.unique_requests(keyed), rows, _content(), cache, EchoClient, waves=2, backoff_s=0.0)
+    S.fill_cache(S.unique_requests(keyed), rows, _content(), cache, EchoClient, backoff_s=0.0)
     out = S.attach_responses(keyed, cache)
     return out.select("row_id", "chat_model", "response", judge_score("response").alias("score"),
                       "error", "attempts")

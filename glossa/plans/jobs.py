@@ -74,8 +74,7 @@ def prompt_job(spark: SparkSession, input_path: str, output_path: str, *, fmt: s
 
 def sweep_job(spark: SparkSession, input_path: str, output_path: str, cache_path: str,
               client_factory: Callable, *, models: list[str] | str = MODELS, content_col: str = "QA",
-              fmt: str = "csv", test_size: int | None = None, waves: int | None = None,
-              mode: str = "errorifexists", **score_opts) -> DataFrame:
+              fmt: str = "csv", test_size: int | None = None, mode: str = "errorifexists", **score_opts) -> DataFrame:
     """Every prompt to every model through the cache; results per (model, input file).
 
     ``models`` is a list of ids or the path of a model-list file (one id per line). At
@@ -86,7 +85,7 @@ def sweep_job(spark: SparkSession, input_path: str, output_path: str, cache_path
     score_opts.setdefault("concurrency", CONCURRENCY_TEST if test_size else CONCURRENCY)
     rows, key, _ = ingest(spark, input_path, fmt, test_size)
     answered = run_sweep(rows, models, content_col, ResponseCache(spark, cache_path), client_factory,
-                         row_key=key, waves=waves, **score_opts)
+                         row_key=key, **score_opts)
     answered = answered if key == "row_id" else answered.drop(key)
     named = with_output_name(answered, "chat_model", input_name=input_path.rstrip("/").split("/")[-1])
     write_table(named, output_path, partition_by=["output_name"], mode=mode)

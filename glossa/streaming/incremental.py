@@ -10,6 +10,7 @@ a replayed batch replaces its earlier partial output instead of duplicating it.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from glossa.functions.text import judge_score
 from glossa.operators.prompts import template_expr
+from glossa.operators.rows import cut_lineage
 from glossa.operators.sweep import run_sweep
 from glossa.sources.cache import ResponseCache
 
@@ -27,7 +29,8 @@ def score_stream(spark: SparkSession, source_dir: str, schema: str, template: st
                  checkpoint_location: str, *, fmt: str = "parquet", available_now: bool = True,
                  max_files_per_trigger: int | None = None, keep: list[str] | None = None, row_key: str = "row_id",
                  **score_opts) -> StreamingQuery:
-    """``row_key`` names the rows of a micro-batch uniquely; ``keep`` are the columns written with the answers."""
+    """``keep`` are the columns written with the answers. A micro-batch whose ``row_key`` does not name
+    its rows (nulls, repeats) gets a key of its own, so that no file can stop the stream."""
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -35,8 +38,13 @@ def score_stream(spark: SparkSession, source_dir: str, schema: str, template: st
     keep = keep or [c for c in rows.columns]
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        answered = run_sweep(df, models, template_expr(template, slots), ResponseCache(spark, cache_path),
-                             client_factory, row_key=row_key, **score_opts)
+        rows, key = cut_lineage(df, "micro-batch"), row_key
+        n, distinct = rows.agg(F.count(F.lit(1)), F.count_distinct(row_key)).first()
+        if n != distinct:
+            key = f"_key_{uuid.uuid4().hex[:8]}"
+            rows = cut_lineage(rows.withColumn(key, F.monotonically_increasing_id()), "micro-batch")
+        answered = run_sweep(rows, models, template_expr(template, slots), ResponseCache(df.sparkSession, cache_path),
+                             client_factory, row_key=key, **score_opts)
         out = answered.select(*keep, "chat_model", "request_id", "response",
                               judge_score("response").alias("score"), "error", "attempts")
         out.write.mode("overwrite").parquet(f"{output_path}/epoch={epoch_id}")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from glossa.fixed_text import QUESTIONS, TEMPLATE_BASELINE
 from glossa.operators.stubs import EchoClient
+from glossa.sources.cache import ResponseCache
 from glossa.streaming.incremental import read_scored, score_stream
 
 SF = "/root/testdata/sf0.001"
@@ -68,7 +69,20 @@ def test_streaming_incremental_scoring(spark, tmp):
     q.awaitTermination(300)
     out = read_scored(spark, f"{tmp}/scored")
     assert out.count() == 8
-    assert spark.read.parquet(f"{tmp}/cache").count() == 6   # (a,b),(c,d),(e,f) x 2 models, each sent once
+    assert ResponseCache(spark, f"{tmp}/cache").raw().count() == 6   # (a,b),(c,d),(e,f) x 2 models, each sent once
+
+
+def test_stream_goes_on_after_rows_that_their_key_does_not_name(spark, tmp):
+    src_dir = f"{tmp}/incoming"
+    os.makedirs(src_dir)
+    schema = "row_id long, src string, tgt string"
+    spark.createDataFrame([(1, "a", "b"), (1, "c", "d"), (None, "e", "f")], schema).write.parquet(f"{src_dir}/part1")
+    q = score_stream(spark, f"{src_dir}/*", schema, TEMPLATE_BASELINE,
+                     {"source": F.col("src"), "translation": F.col("tgt"), "questions": QUESTIONS}, ["m1"], f"{tmp}/cache",
+                     EchoClient, f"{tmp}/scored", f"{tmp}/ckpt", backoff_s=0.0, keep=["row_id", "src"])
+    q.awaitTermination(300)
+    got = read_scored(spark, f"{tmp}/scored").select("row_id", "src").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, "a"), (1, "c"), (None, "e")], key=str)
 
 
 def test_python_workers_get_the_package(tmp):

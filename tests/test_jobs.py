@@ -7,6 +7,7 @@ from glossa.fixed_text import QUESTIONS, TEMPLATE_BASELINE
 from glossa.operators.rows import with_row_id
 from glossa.operators.stubs import EchoClient, LengthRatioScorer, StubJudge, stub_answer
 from glossa.plans import jobs
+from glossa.sources.cache import ResponseCache
 from glossa.sources.sinks import write_table
 
 
@@ -119,7 +120,7 @@ def test_sweep_of_both_variants_at_once(spark, tmp):
     want = {(r.row_id, r.prompt_variant): stub_answer(r.QA) if len(r.QA.encode()) % 11 else None for r in prompts}
     assert len(prompts) == len(want) == len(swept) == 6
     assert {(r.row_id, r.prompt_variant): r.response for r in swept} == want
-    assert spark.read.parquet(f"{tmp}/cache").count() == 6
+    assert ResponseCache(spark, f"{tmp}/cache").raw().count() == 6
 
 
 def test_rows_without_a_usable_id_are_swept(spark, tmp):

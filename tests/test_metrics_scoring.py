@@ -109,3 +109,13 @@ def test_answer_pivot_and_cube(spark):
     d = spark.createDataFrame([("x", 1, 2.0), ("y", 1, 4.0)], "a string, b int, v double")
     cube = M.score_rollup(d, ["a", "b"], {"avg_v": F.avg("v")}, mode="cube").collect()
     assert len(cube) == 2 + 2 + 1 + 1
+
+
+def test_answers_are_parsed_once(spark):
+    """No second parse below the exchange, from a filter that Catalyst infers of the explode."""
+    from glossa.operators.metrics import answers_long
+
+    rows = spark.createDataFrame([(1, "m", "{'1': 'YES'}")], "row_id long, model string, response string").repartition(3)
+    plan = answers_long(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+    assert [tuple(r) for r in answers_long(rows).collect()] == [(1, "m", 1, "YES", "YES")]
