@@ -6,8 +6,13 @@ come from ``xxhash64`` of the token or from a vocabulary table (``vocab_ids``).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 PAD = "<pad>"
 WS = r"[ \t\n\r]+"
@@ -41,23 +46,47 @@ def pad_encode(text: Column, max_length: int, pad: str = PAD) -> Column:
                     attention_mask(toks, max_length).alias("attention_mask"))
 
 
+MAP_BYTES = 64 << 20     # a vocabulary up to this size is a dictionary in every worker
+GROUP_ROWS = 4096
+
+
 def vocab_ids(df: DataFrame, tokens_col: str, vocab: DataFrame, key: str, out: str = "input_ids",
-              pad: str = PAD, pad_id: int = 0, unk_id: int = 1) -> DataFrame:
-    """Token ids from a vocabulary table (``token string, id long``) by join.
-
-    Real tokens are exploded with their position, joined to the vocabulary (a
-    common word is a hot join key; AQE splits skewed join partitions) and
-    regrouped per row in position order — a group is bounded by the row's token
-    count. Padding, the hottest token of all, never enters the join: right
-    padding is re-appended as ``pad_id``. Unknown tokens get ``unk_id``.
-    ``key`` identifies a row.
+              pad: str = PAD, pad_id: int = 0, unk_id: int = 1, map_bytes: int = MAP_BYTES) -> DataFrame:
+    """Token ids from a vocabulary table (``token string``, unique, ``id long``).
+
+    A row's tokens stay in the row. The vocabulary's size is measured first: up to ``map_bytes`` it is
+    broadcast as a dictionary and rows are not shuffled at all. A larger one never becomes a
+    broadcast: rows are dealt into groups of about ``GROUP_ROWS`` by their key, each group's distinct
+    tokens are joined with the vocabulary, and the group looks its tokens up in what it got. Padding
+    gets ``pad_id``, unknown tokens ``unk_id``; null tokens of a row count as unknown, a null array
+    stays null. ``key`` only deals the rows and may repeat.
     """
-    real = df.select(key, F.posexplode(tokens_col).alias("_pos", "_tok")).where(F.col("_tok") != pad)
-    v = vocab.select(F.col("token").alias("_tok"), F.col("id").alias("_id"))
-    ids = real.join(v, "_tok", "left").select(
-        key, "_pos", F.coalesce(F.col("_id"), F.lit(unk_id).cast("long")).alias("_id"))
-    per_row = ids.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "_id"))).alias("_p"))
-    x = df.join(per_row, key, "left")
-    got = F.coalesce(F.transform("_p", lambda p: p["_id"]), F.array().cast("array<bigint>"))
-    padded = F.concat(got, F.array_repeat(F.lit(pad_id).cast("long"), F.size(tokens_col) - F.size(got)))
-    return x.withColumn(out, padded).drop("_p")
+    n, size = vocab.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("token") + 100), F.lit(0))).first()
+    rows = vocab.select("token", F.col("id").cast("long").alias("id"))
+    if size <= map_bytes:
+        known = {r.token: r.id for r in rows.toLocalIterator()}
+        shared = df.sparkSession.sparkContext.broadcast({**known, pad: pad_id})
+
+        @F.pandas_udf("array<long>")
+        def look_up(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            ids = shared.value.get
+            for s in batches:
+                yield pd.Series([None if ts is None else [ids(t, unk_id) for t in ts] for ts in s], dtype=object)
+
+        return df.withColumn(out, look_up(tokens_col))
+
+    groups = max(1, -(-df.count() // GROUP_ROWS))
+    dealt = df.withColumn("_group", F.pmod(F.xxhash64(key), F.lit(groups)))
+    wanted = dealt.select("_group", F.explode(F.array_distinct(tokens_col)).alias("token")).distinct()
+    found = wanted.join(rows, "token").select(F.col("_group").alias("_words_of"), "token", "id")
+    fields = [f for f in df.schema.fields if f.name != out]
+    schema = StructType([*fields, StructField(out, ArrayType(LongType()))])
+    names = [f.name for f in schema.fields]
+
+    def per_group(rows: pa.Table, words: pa.Table) -> pa.Table:
+        ids = dict(zip(words["token"].to_pylist(), words["id"].to_pylist()))
+        ids[pad] = pad_id
+        got = [None if ts is None else [ids.get(t, unk_id) for t in ts] for ts in rows[tokens_col].to_pylist()]
+        return rows.select(names[:-1]).append_column(out, pa.array(got, pa.list_(pa.int64())))
+
+    return dealt.groupBy("_group").cogroup(found.groupBy("_words_of")).applyInArrow(per_group, schema)

@@ -9,11 +9,15 @@ Batches and roles are keyed by name, never by position inside a flat tensor.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.fixed_text import EVAL_FRACTION, SHUFFLE_SEED
+from glossa.functions.permute import Permutation
 from glossa.functions.text import stringify
 from glossa.operators.rows import head_in_order, with_index
 
@@ -118,6 +122,33 @@ def shuffled_batches(df: DataFrame, key_col: str, batch_size: int, seed: int = S
     return batches_of(seeded_position(df, key_col, seed), "shuffle_pos", batch_size)
 
 
+def is_dense(df: DataFrame, id_col: str) -> tuple[bool, int]:
+    """Whether ``id_col`` holds 0..n-1, each once; n."""
+    n, distinct, low, high = df.agg(F.count(F.lit(1)), F.count_distinct(id_col), F.min(id_col), F.max(id_col)).first()
+    return n == distinct and (n == 0 or (low == 0 and high == n - 1)), n
+
+
+def permuted_position(df: DataFrame, id_col: str, n: int, seed: int = SHUFFLE_SEED, out: str = "shuffle_pos") -> DataFrame:
+    """Position of every row in a seeded permutation of its dense id (0..n-1): arithmetic, no shuffle."""
+    return df.withColumn(out, Permutation(n, seed).column(id_col))
+
+
+def permuted_batches(df: DataFrame, id_col: str, batch_size: int, seed: int = SHUFFLE_SEED) -> DataFrame:
+    """Batches along a seeded permutation. Dense ids (given at ingest) are permuted as they are; others
+    are numbered first."""
+    dense, n = is_dense(df, id_col)
+    if dense:
+        return batches_of(permuted_position(df, id_col, n, seed), "shuffle_pos", batch_size)
+    numbered = with_index(df, id_col, out="_pos")
+    return batches_of(permuted_position(numbered, "_pos", n, seed), "shuffle_pos", batch_size).drop("_pos")
+
+
+def permuted_sample(df: DataFrame, id_col: str, n: int, size: int, seed: int = SHUFFLE_SEED) -> DataFrame:
+    """The rows at the first ``size`` positions: a filter on their ids, found by the inverse."""
+    ids = Permutation(n, seed).of(range(min(size, n)), inverse=True)
+    return permuted_position(df, id_col, n, seed).where(F.col(id_col).isin([int(i) for i in ids]))
+
+
 def to_roles(df: DataFrame, roles: Sequence[str], keys: Sequence[str] = ("batch", "slot"),
              keep: Sequence[str] = (), value: str = "text") -> DataFrame:
     """Wide -> long: one row per (keys, role) with the role's value, in its own type
@@ -145,18 +176,66 @@ def step_budget(n: F.Column, batch_size: F.Column, epochs: F.Column,
     return steps if accumulation is None else F.floor(steps / accumulation).cast("long")
 
 
-def fit_quality_head(train: DataFrame, features_col: str, label_col: str, reg: float = 0.0):
-    """Least-squares head on vector features (distributed L-BFGS / normal equations)."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import LinearRegression
-
-    x = train.withColumn("_features", array_to_vector(F.col(features_col)))
-    model = LinearRegression(featuresCol="_features", labelCol=label_col, regParam=reg,
-                             predictionCol="prediction").fit(x)
-    return model
+def normal_sums(df: DataFrame, features_col: str, label_col: str) -> DataFrame:
+    """(i, j, v), i <= j: the sums of products of [features, 1, label] over the rows.
 
-
-def predict_quality(model, df: DataFrame, features_col: str) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
-
-    return model.transform(df.withColumn("_features", array_to_vector(F.col(features_col)))).drop("_features")
+    A task adds up its blocks as matrix products and returns one row per pair, Spark sums
+    these; what it returns grows with the square of the number of features, not with the rows.
+    Rows with a null or non-finite label or feature are left out. The sums of two tables add up
+    (``add_sums``), so a fit over a growing table or a stream reads only the new rows.
+    """
+    def run(batches):
+        total = None
+        for b in batches:
+            x = np.stack(b["x"].to_numpy()).astype(np.float64) if len(b) else None
+            if x is not None:
+                part = x.T @ x
+                total = part if total is None else total + part
+        if total is not None:
+            i, j = np.triu_indices(len(total))
+            yield pd.DataFrame({"i": i, "j": j, "v": total[i, j]})
+
+    x = F.concat(F.transform(features_col, lambda v: v.cast("double")), F.array(F.lit(1.0), F.col(label_col).cast("double")))
+    rows = df.select(x.alias("x")).where(F.forall("x", lambda v: v.isNotNull() & (F.abs(v) < float("inf"))))
+    return add_sums(rows.mapInPandas(run, "i int, j int, v double"))
+
+
+def add_sums(*parts: DataFrame) -> DataFrame:
+    total = parts[0]
+    for p in parts[1:]:
+        total = total.unionByName(p)
+    return total.groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
+@dataclass(frozen=True)
+class QualityHead:
+    """A linear head: weights of the features, intercept, rows it was fitted on, penalty."""
+
+    weights: list[float]
+    intercept: float
+    n: int
+    reg: float
+
+
+def solve_head(sums: DataFrame, reg: float = 0.0) -> QualityHead:
+    """Least squares from ``normal_sums``, in closed form; ``reg`` times n is added to the
+    features' squares (not to the intercept's)."""
+    rows = sums.toPandas()
+    size = int(rows["j"].max()) + 1 if len(rows) else 2
+    m = np.zeros((size, size))
+    m[rows["i"], rows["j"]] = m[rows["j"], rows["i"]] = rows["v"]
+    d, n = size - 2, m[-2, -2]
+    left = m[:-1, :-1] + np.diag([reg * n] * d + [0.0])
+    beta = np.linalg.lstsq(left, m[:-1, -1], rcond=None)[0]
+    return QualityHead(beta[:d].tolist(), float(beta[d]), int(n), reg)
+
+
+def fit_quality_head(train: DataFrame, features_col: str, label_col: str, reg: float = 0.0) -> QualityHead:
+    """Least-squares head on vector features."""
+    return solve_head(normal_sums(train, features_col, label_col), reg)
+
+
+def predict_quality(model: QualityHead, df: DataFrame, features_col: str, out: str = "prediction") -> DataFrame:
+    weights = F.lit(model.weights) if model.weights else F.array().cast("array<double>")
+    products = F.zip_with(features_col, weights, lambda x, w: x.cast("double") * w)
+    return df.withColumn(out, F.aggregate(products, F.lit(model.intercept), lambda s, p: s + p))

@@ -31,6 +31,7 @@ from glossa.sources.sinks import with_output_name, write_scored_document, write_
 from glossa.sources.tables import read_table, read_wholetext
 
 PAD_LENGTH = 512          # max_length of the training configurations
+HEAD_PENALTY = 0.1        # ridge penalty of the many-feature head
 BATCH_SIZE = 8            # batch_size of the training configurations
 WARM_PAIR = "en-en"       # the language pair a previous sweep already scored
 
@@ -334,6 +335,12 @@ def shuffled_batches(spark: SparkSession, d: str) -> DataFrame:
     return T.shuffled_batches(docs, "doc_id", BATCH_SIZE).select("doc_id", "shuffle_pos", "batch", "slot")
 
 
+def permuted_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Batches along a seeded permutation of the ids: arithmetic, no sort and no shuffle."""
+    docs = table(spark, d, "documents").select("doc_id")
+    return T.permuted_batches(docs, "doc_id", BATCH_SIZE).select("doc_id", "shuffle_pos", "batch", "slot")
+
+
 def regression_layout(spark: SparkSession, d: str) -> DataFrame:
     """Shuffled batches of the regression rows: tokens and mask per role, with the label."""
     p = T.prepare_regression(v_qe(spark, d), keep=["row_id"])
@@ -437,8 +444,16 @@ def quality_head(spark: SparkSession, d: str) -> DataFrame:
     pairs = trip.select("row_id", F.inline(F.array(
         F.struct(F.lit("pos").alias("kind"), F.concat("src", "pos").alias("features"), F.lit(1.0).alias("label")),
         F.struct(F.lit("neg").alias("kind"), F.concat("src", "neg").alias("features"), F.lit(0.0).alias("label")))))
-    model = T.fit_quality_head(pairs, "features", "label", reg=0.1)
-    return T.predict_quality(model, pairs, "features").select("row_id", "kind", "prediction")
+    model = T.fit_quality_head(pairs, "features", "label", reg=HEAD_PENALTY)
+    # the normal equations, from the predictions of all rows: features' sums times what is left over
+    left = T.predict_quality(model, pairs, "features").withColumn("rest", F.col("label") - F.col("prediction"))
+    rest = T.normal_sums(left, "features", "rest").where((F.col("i") <= len(model.weights)) & (F.col("j") == len(model.weights) + 1))
+    label = T.normal_sums(pairs, "features", "label").where((F.col("i") <= len(model.weights)) & (F.col("j") == len(model.weights) + 1))
+    weights = F.lit([w * model.n * model.reg for w in model.weights] + [0.0])
+    both = rest.select("i", F.col("v").alias("r")).join(label.select("i", "v"), "i")
+    residual = F.round(F.col("r") - F.element_at(weights, F.col("i") + 1), 6)
+    return both.select(F.col("i").alias("feature"), F.lit(model.n).cast("long").alias("n"), F.round("v", 4).alias("xy"),
+                       F.when(residual == 0, 0.0).otherwise(residual).alias("residual"))
 
 
 def quality_line(spark: SparkSession, d: str) -> DataFrame:
@@ -495,6 +510,7 @@ QUERIES = {
     "roles_roundtrip": roles_roundtrip,
     "assign_batches": assign_batches,
     "shuffled_batches": shuffled_batches,
+    "permuted_batches": permuted_batches,
     "regression_layout": regression_layout,
     "stack_embeddings": stack_embeddings,
     "vocab_ids": vocab_ids,

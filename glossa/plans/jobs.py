@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.fixed_text import (CONCURRENCY, CONCURRENCY_TEST, MODELS, QUESTIONS, TEMPLATE_BASELINE,
-                               TEMPLATE_STEPWISE)
+from glossa.fixed_text import (CONCURRENCY, CONCURRENCY_TEST, DEBUG_EVAL_ROWS, DEBUG_TRAIN_ROWS, MODELS, QUESTIONS,
+                               TEMPLATE_BASELINE, TEMPLATE_STEPWISE)
 from glossa.functions.text import judge_score
 from glossa.operators import prompts as P
 from glossa.operators.metrics import score_document
@@ -131,13 +131,13 @@ def regression_tables_job(spark: SparkSession, input_path: str, output_path: str
                           mode: str = "errorifexists") -> dict[str, DataFrame]:
     """Regression training tables: rename and check columns, label to float, the
     evaluation slice (first ``frac`` of rows in file order, also kept in train),
-    train batches along the seeded shuffle, evaluation batches in file order; in
-    debug mode 10 train rows and 4 eval rows in batches of 2, with the same columns.
+    train and evaluation batches along their seeded shuffles; in debug mode the first 10
+    rows of the train shuffle, and 4 of them for evaluation, in batches of 2, with the same columns.
 
     Writes ``train/`` and ``eval/`` (wide rows) and ``train_tokens/`` and
     ``eval_tokens/`` (per role: padded tokens and mask, with the label) under
     ``output_path`` and returns them as read back. The input is read once; the
-    slice and the evaluation batches are arithmetic on the ingest ids.
+    slice and both shuffles are arithmetic on the ingest ids.
     """
     from glossa.functions.tokens import pad_encode
     from glossa.operators import training as T
@@ -147,13 +147,15 @@ def regression_tables_job(spark: SparkSession, input_path: str, output_path: str
         loaded = with_index(loaded, key, out="_file_pos")
     pos = key if dense else "_file_pos"
     rows = T.prepare_regression(loaded, keep=list(dict.fromkeys(["row_id", key, pos])))
-    split = T.eval_split(rows, pos, frac=frac, dense=True)
-    train = T.seeded_position(split, key)
-    evals = split.where("is_eval").withColumn("shuffle_pos", F.col(pos))
+    n = loaded.count()
+    cut = int(n * frac)
+    train = T.permuted_position(rows.withColumn("is_eval", F.col(pos) < cut), pos, n)
     if debug:
         batch_size = DEBUG_BATCH
-        train = train.where(F.col("shuffle_pos") < 10)
-        evals = head_in_order(evals, 4, pos)
+        train = train.where(F.col("shuffle_pos") < DEBUG_TRAIN_ROWS)
+        evals = train.where(F.col("shuffle_pos") < DEBUG_EVAL_ROWS)
+    else:
+        evals = T.permuted_position(train.where("is_eval").drop("shuffle_pos"), pos, cut)
     out = {}
     for name, df in (("train", train), ("eval", evals)):
         batched = T.batches_of(df, "shuffle_pos", batch_size)

@@ -12,8 +12,9 @@ from __future__ import annotations
 import re
 
 from glossa.fixed_text import (DEBUG_EVAL_ROWS, DEBUG_SAMPLES, DEBUG_TRAIN_ROWS, DEFAULT_RANKING_SAMPLES,
-                               JUDGE_RUBRIC, JUDGE_SYSTEM, JUDGE_TASK, MODELS, QUESTIONS, RUN_CONFIGS,
+                               JUDGE_RUBRIC, JUDGE_SYSTEM, JUDGE_TASK, MODELS, QUESTIONS, RUN_CONFIGS, SHUFFLE_SEED,
                                TEMPLATE_BASELINE, TEMPLATE_STEPWISE)
+from glossa.functions.permute import PRIME, round_keys
 from glossa.functions.text import PANDAS_NA_VALUES, python_whitespace_class
 
 PAD_LENGTH = 512
@@ -153,6 +154,17 @@ def _letters(text: str, n: int = 16) -> str:
 
 NA_LIST = ", ".join(lit(v) for v in PANDAS_NA_VALUES)
 
+def _feistel(source: str) -> str:
+    """The rounds of the seeded permutation over ``source`` (doc_id, step, n, a, b, l, r)."""
+    for k, (m, c) in enumerate(round_keys(SHUFFLE_SEED)):
+        v = "l" if k % 2 else "r"
+        q = f"(({v} * {m} + {c}) % {PRIME})"
+        f = f"(({q} * {q} + {v}) % {PRIME})"
+        left, right = ("l", f"(r + {f}) % b") if k % 2 else (f"(l + {f}) % a", "r")
+        source = f"select doc_id, step, n, a, b, {left} as l, {right} as r from ({source})"
+    return source
+
+
 ORACLE = {
     "scan_head": f"""
 select doc_id as row_id, case when text in ({NA_LIST}) then null else text end as src, concat(lang, '-en') as pair
@@ -357,6 +369,16 @@ select cast(p // {BATCH_SIZE} as bigint) as batch, cast(p % {BATCH_SIZE} as inte
        role, cast(len(e) as integer) as dim, round(list_sum(list_transform(e, lambda v: cast(v as double))), 4) as total
 from l""",
 
+    "permuted_batches": f"""
+with recursive d as (select doc_id, row_number() over (order by doc_id) - 1 as id from documents),
+dims as (select n, a, greatest(1, cast(ceil(n / a) as bigint)) as b
+         from (select n, greatest(1, cast(ceil(sqrt(n)) as bigint)) as a from (select count(*) as n from documents))),
+walk(doc_id, step, v) as (
+  select doc_id, 0, cast(id as bigint) from d
+  union all
+  select doc_id, step + 1, l * b + r from ({_feistel("select doc_id, step, n, a, b, v // b as l, v % b as r from walk, dims where step = 0 or v >= n")})),
+p as (select doc_id, v as p from walk, dims where step > 0 and v < n)
+select doc_id, p as shuffle_pos, p // {BATCH_SIZE} as batch, cast(p % {BATCH_SIZE} as integer) as slot from p""",
     "vocab_ids": f"""
 with w as (select distinct unnest({_tokens('text')}) as token from benchmark),
 v as (select token, row_number() over (order by token) + 1 as id from w),
@@ -416,6 +438,11 @@ select conv_id, turn, role, round(case when norm > 0 then v[1] / norm else 0.0 e
        round(case when norm > 0 then list_sum(v) / norm else 0.0 end, 3) as total, cast(len(v) as integer) as dim
 from n""",
 
+    "quality_head": f"""with {V_TRIP},
+p as (select list_concat(src, pos) as x, 1.0::double as y from v_trip union all select list_concat(src, neg), 0.0 from v_trip),
+e as (select unnest(list_append(x, 1.0)) as x, unnest(range(0, len(x) + 1)) as i, y from p)
+select cast(i as integer) as feature, count(*) as n, round(sum(cast(x as double) * y), 4) as xy, 0.0::double as residual
+from e group by i""",
     "quality_line": f"""with {V_QE},
 x as (select row_id, (strlen(source) % 100) / 100.0 as f, cast(score as double) as label from v_qe),
 m as (select regr_slope(label, f) as b, regr_intercept(label, f) as a from x)

@@ -3,7 +3,8 @@
 import json
 import os
 
-from glossa.fixed_text import QUESTIONS, TEMPLATE_BASELINE
+from glossa.fixed_text import QUESTIONS, SHUFFLE_SEED, TEMPLATE_BASELINE
+from glossa.functions.permute import Permutation
 from glossa.operators.rows import with_row_id
 from glossa.operators.stubs import EchoClient, LengthRatioScorer, StubJudge, stub_answer
 from glossa.plans import jobs
@@ -101,7 +102,13 @@ def test_training_table_jobs(spark, tmp):
     first = [r.row_id for r in out["train"].where("batch = 0").orderBy("slot").collect()]
     assert len(first) == 8 and first != list(range(8))
     assert out["train_tokens"].count() == 60 and out["train_tokens"].where("label = 1.0").count() == 18
-    assert [r.row_id for r in out["eval"].orderBy("batch", "slot").collect()] == list(range(6))
+    # the evaluation slice is shuffled too; in debug mode its rows are the first of the train shuffle
+    evals = [r.row_id for r in out["eval"].orderBy("batch", "slot").collect()]
+    assert sorted(evals) == list(range(6)) and evals == sorted(range(6), key=lambda i: Permutation(6, SHUFFLE_SEED).of([i])[0])
+    order = [r.row_id for r in out["train"].orderBy("batch", "slot").collect()]
+    assert order == Permutation(30, SHUFFLE_SEED).of(range(30), inverse=True).tolist()
+    for name, n in (("train", 10), ("eval", 4)):
+        assert [r.row_id for r in dbg[name].orderBy("batch", "slot").collect()] == order[:n]
     tri = spark.createDataFrame([(f"s{i}", f"p{i}", f"n{i}") for i in range(9)], "src string, pos string, neg string")
     write_table(tri.coalesce(1), f"{tmp}/rank", fmt="csv")
     long = jobs.ranking_tables_job(spark, f"{tmp}/rank", f"{tmp}/rank_out", max_length=4)

@@ -1,6 +1,7 @@
 """Skew-safe numbering, batches, splits, training-table preparation."""
 
 import pytest
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -221,3 +222,70 @@ def test_scratch_of_a_run_is_cleared(spark):
     finally:
         spark.conf.unset("glossa.run")
     assert not scratch_root(spark).endswith("to-clear")
+
+
+def test_vocab_ids_beyond_the_broadcast_bound(spark):
+    """Same ids by either way; without a broadcast dictionary no row's tokens are regrouped."""
+    from glossa.functions.tokens import pad_tokens, vocab_ids, whitespace_tokens
+    df = spark.range(500).select("id", F.concat_ws(" ", *[F.concat(F.lit("w"), (F.col("id") * k) % 97) for k in (1, 3, 7)]).alias("t"))
+    df = df.union(df.limit(3)).withColumn("tokens", pad_tokens(whitespace_tokens(F.col("t")), 5))
+    df = df.union(df.limit(1).withColumn("tokens", F.lit(None).cast("array<string>")))
+    vocab = spark.range(60).select(F.concat(F.lit("w"), "id").alias("token"), (F.col("id") + 2).alias("id"))
+    one, two = (sorted(map(str, vocab_ids(df, "tokens", vocab, "id", map_bytes=b).collect())) for b in (1 << 20, 0))
+    assert one == two and len(one) == 504
+    plan = vocab_ids(df, "tokens", vocab, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan
+
+
+def test_permutations_and_their_inverse(spark):
+    from glossa.functions.permute import Permutation
+    for n in [*range(0, 40), 1000, 1001, 4095, 4097]:
+        p = Permutation(n, 7)
+        got = p.of(range(n))
+        assert sorted(got.tolist()) == list(range(n)) and (p.of(got, inverse=True) == np.arange(n)).all()
+    assert Permutation(1000, 1).of(range(1000)).tolist() != Permutation(1000, 2).of(range(1000)).tolist()
+    for n in (1, 2, 3, 5, 7, 1000, 10_007):
+        p = Permutation(n, 42)
+        rows = spark.range(n).withColumn("p", p.column("id")).withColumn("back", p.column("p", inverse=True)).toPandas()
+        assert (rows.back == rows.id).all() and (rows.p == p.of(rows.id)).all()
+    big = Permutation((1 << 52) - 3, 5)
+    ids = np.array([0, 1, 12345678901, (1 << 52) - 4])
+    rows = spark.createDataFrame([(int(i),) for i in ids], "id long").withColumn("p", big.column("id")).toPandas()
+    assert (big.of(big.of(ids), inverse=True) == ids).all() and (np.sort(rows.p) == np.sort(big.of(ids))).all()
+
+
+def test_a_permutation_spreads(spark):
+    """Neighbours land anywhere: every tenth of the ids meets every tenth of the positions evenly."""
+    from glossa.functions.permute import Permutation
+    n = 20_000
+    p = Permutation(n, 42).of(range(n))
+    table = np.histogram2d(np.arange(n), p, bins=10)[0]
+    assert abs(table - n / 100).max() < 80
+    assert abs(np.corrcoef(np.arange(n), p)[0, 1]) < 0.03
+
+
+def test_permuted_batches_have_no_exchange(spark):
+    df = spark.range(1000).withColumnRenamed("id", "row_id")
+    out = T.permuted_batches(df, "row_id", 8)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.select("batch", "slot").distinct().count() == 1000 and out.agg(F.max("batch")).first()[0] == 124
+    gaps = T.permuted_batches(df.withColumn("row_id", F.col("row_id") * 3), "row_id", 8)
+    assert sorted(r.shuffle_pos for r in gaps.collect()) == list(range(1000))
+    sample = T.permuted_sample(df, "row_id", 1000, 10)
+    assert sorted(r.shuffle_pos for r in sample.collect()) == list(range(10))
+
+
+def test_head_sums_add_up(spark):
+    rng = np.random.default_rng(2)
+    x, w = rng.normal(size=(300, 4)), np.array([1.0, -1.0, 2.0, 0.0])
+    y = x @ w + 3 + rng.normal(size=300) * 0.1
+    rows = [(x[i].tolist(), float(y[i])) for i in range(300)] + [([1.0, None, 0.0, 0.0], 1.0), ([1.0] * 4, None), ([float("nan")] * 4, 0.0)]
+    df = spark.createDataFrame(rows, "f array<double>, label double").withColumn("part", F.monotonically_increasing_id() % 2)
+    whole = T.normal_sums(df, "f", "label")
+    parts = [T.normal_sums(df.where(F.col("part") == k), "f", "label") for k in (0, 1)]
+    one, two = T.solve_head(whole, 0.1), T.solve_head(T.add_sums(*parts), 0.1)
+    assert one.n == two.n == 300 and np.allclose(one.weights, two.weights)
+    ext = np.column_stack([x, np.ones(300)])
+    want = np.linalg.solve(ext.T @ ext + np.diag([30.0] * 4 + [0.0]), ext.T @ y)
+    assert np.allclose([*one.weights, one.intercept], want)
+    assert T.solve_head(T.normal_sums(df.where("false"), "f", "label")).n == 0
