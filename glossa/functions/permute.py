@@ -7,7 +7,7 @@ walking); fewer than a points lie there, so the driver knows the longest such wa
 their inverse, need no sort and no shuffle.
 
 The round function is quadratic modulo a prime, in 64-bit integers any engine has; its
-keys are drawn from the SHA-256 of the seed. n may be up to 2**52.
+keys are drawn from the SHA-256 of the seed. n may be up to 2**48.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ def factors(n: int) -> tuple[int, int]:
 
 class Permutation:
     def __init__(self, n: int, seed: int):
-        if not 0 <= n <= 1 << 52:
+        if not 0 <= n <= 1 << 48:
             raise ValueError(f"cannot permute {n} ids")
         self.n, self.keys = n, round_keys(seed)
         self.a, self.b = factors(n)
@@ -62,7 +62,9 @@ class Permutation:
     @cached_property
     def walks(self) -> int:
         """The most times that a point is mapped once more."""
-        x, n = np.arange(self.n, self.a * self.b, dtype=np.int64), 0
+        beyond, n = np.arange(self.n, self.a * self.b, dtype=np.int64), 0
+        # only points that some id is mapped to; others may go round beyond n for ever
+        x = beyond[self._once(beyond, inverse=True) < self.n]
         while len(x):
             x, n = self._once(x), n + 1
             x = x[x >= self.n]
