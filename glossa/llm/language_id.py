@@ -9,9 +9,9 @@ word times ``SHARPNESS``.
 
 The tables are learned from a bounded sample of the labelled rows
 (``sample_docs``, chosen by a hash of the row's key, so reruns agree and every
-language keeps its share); counting is a Spark aggregation, and what reaches the
-driver is at most ``max_words`` words per language and the n-grams seen at least
-``min_gram`` times.
+language keeps its share); counting is a Spark aggregation. The model keeps the
+``max_words`` most frequent words per language (others fall back to their n-grams) and the
+n-grams seen at least ``min_gram`` times, as numbers: hash, language, occurrences.
 
 Edge cases: null text or text without a letter gives ``und`` with score 0. With
 no labelled row at all every text is ``und``. Ties go to the language that
@@ -20,13 +20,14 @@ sorts first. Repeated rows and extra columns are kept; empty table: empty result
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.llm.common import prepare, stage
@@ -41,35 +42,48 @@ UNKNOWN = "und"
 WORD = regex.compile(r"\p{L}+")
 
 
+SEED = 42                # of Spark's xxhash64
+
+
+def item_hash(item: str) -> int:
+    """What Spark's ``xxhash64`` gives for the text, unsigned."""
+    return xxhash.xxh64_intdigest(item.encode("utf-8"), SEED)
+
+
 class LanguageModel:
-    """Word and n-gram log frequencies per language (plain dictionaries)."""
-
-    def __init__(self, words: list[tuple[str, str, int]], grams: list[tuple[str, str, int]]):
-        self.langs = sorted({lang for lang, _, _ in words})
-        self.words = self._logs(words)
-        self.grams = {n: self._logs([g for g in grams if len(g[1]) == n]) for n in LENGTHS}
-
-    def _logs(self, rows):
-        at = {lang: i for i, lang in enumerate(self.langs)}
-        counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(self.langs)))
-        for lang, item, n in rows:
-            counts[item][at[lang]] += n
-        if not counts:
-            return {}
-        items, m = list(counts), np.array(list(counts.values()))
-        logs = np.log((m + 0.1) / (m.sum(0) + 0.1 * len(items)))
-        return dict(zip(items, logs))
+    """Log frequencies per language of words (length 0) and of n-grams, by the items' 64-bit
+    hashes: per length one sorted array of hashes and one matrix. No text is kept."""
+
+    def __init__(self, langs: list[str], counts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        """``counts``: length -> (hashes, languages by number, occurrences), one row per item and language."""
+        self.langs = langs
+        self.tables = {k: self._logs(*counts[k]) if k in counts else (np.zeros(0, np.uint64), np.zeros((0, len(langs))))
+                       for k in (0, *LENGTHS)}
+
+    def _logs(self, hashes: np.ndarray, lang: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        items, row = np.unique(hashes, return_inverse=True)
+        m = np.zeros((len(items), len(self.langs)))
+        m[row, lang] = n
+        return items, np.log((m + 0.1) / (m.sum(0) + 0.1 * len(items)))
+
+    def found(self, length: int, items: list[str]) -> np.ndarray:
+        """The rows of the known ones among ``items``."""
+        hashes, logs = self.tables[length]
+        if not len(hashes):
+            return logs
+        h = np.fromiter(map(item_hash, items), np.uint64, len(items))
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        return logs[at[hashes[at] == h]]
 
     def word(self, w: str) -> np.ndarray:
-        hit = self.words.get(w)
-        if hit is not None:
-            return hit
+        hit = self.found(0, [w])
+        if len(hit):
+            return hit[0]
         padded = f" {w} "
         for n in LENGTHS:
-            table = self.grams[n]
-            got = [table[g] for g in (padded[i:i + n] for i in range(len(padded) - n + 1)) if g in table]
-            if got:
-                return np.mean(got, 0)
+            got = self.found(n, [padded[i:i + n] for i in range(len(padded) - n + 1)])
+            if len(got):
+                return got.mean(0)
         return np.zeros(len(self.langs))
 
 
@@ -125,16 +139,22 @@ def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
                            F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))).alias("w"))
              .groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")))
     words = stage(words, "language-words")
-    langs = [r[0] for r in words.select("lang").distinct().collect()]
-    top = []
-    for one in langs:
-        top += words.where(F.col("lang") == one).orderBy(F.desc("n"), "w").limit(max_words).collect()
+    langs = sorted(r[0] for r in words.select("lang").distinct().collect())
+    number = F.array_position(F.lit(langs), F.col("lang")).cast("int") - 1 if langs else F.lit(0)
+    best = Window.partitionBy("lang").orderBy(F.desc("n"), "w")
+    top = (words.withColumn("r", F.row_number().over(best)).where(F.col("r") <= max_words)
+           .select(F.lit(0).alias("k"), F.xxhash64("w").alias("h"), number.alias("l"), "n"))
     padded = words.select("lang", "n", F.concat(F.lit(" "), "w", F.lit(" ")).alias("p"))
     grams = padded.select("lang", "n", F.explode(F.flatten(F.array(*[
         F.expr(f"transform(sequence(1, greatest(1, length(p) - {k - 1})), i -> substring(p, i, {k}))")
         for k in LENGTHS]))).alias("g")).groupBy("lang", "g").agg(F.sum("n").alias("n"))
-    grams = grams.where(F.col("n") >= min_gram).collect()
-    return LanguageModel([(r["lang"], r["w"], r["n"]) for r in top], [(r["lang"], r["g"], r["n"]) for r in grams])
+    grams = grams.where(F.col("n") >= min_gram).select(F.length("g").alias("k"), F.xxhash64("g").alias("h"), number.alias("l"), "n")
+    # numbers only: at most max_words rows per language, and the n-grams of a bounded sample
+    got = top.union(grams.where(F.col("k").isin(*LENGTHS))).toArrow()
+    k, h, lang, n = (got.column(c).to_numpy() for c in ("k", "h", "l", "n"))
+    del got
+    counts = {int(c): (h[k == c].astype(np.int64).view(np.uint64), lang[k == c], n[k == c]) for c in np.unique(k)}
+    return LanguageModel(langs, counts)
 
 
 def with_language(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:

@@ -347,6 +347,31 @@ def test_language_id(docs, empty, spark):
     assert got[3].lang_pred == got[4].lang_pred == got[10].lang_pred == "und" and got[3].score == 0.0
     assert got[1].lang_pred == "en" and 0.5 <= got[1].score <= 1
     one = language_id.Predictor(model)
+    # the model against dictionaries: words, then the longest known n-grams
+    text = {"en": "the cat and the dog of the house", "de": "der hund und die katze von dem haus"}
+    tables = {}
+    for k in (0, 4, 3, 2, 1):
+        tables[k] = c = {lang: {} for lang in ("de", "en")}
+        for lang, t in text.items():
+            for w in t.split():
+                for item in [w] if not k else [f" {w} "[i:i + k] for i in range(max(1, len(w) + 3 - k))]:
+                    if len(item) == k or not k:
+                        c[lang][item] = c[lang].get(item, 0) + 20
+    def logs(k, item):
+        known = set(tables[k]["de"]) | set(tables[k]["en"])
+        return [math.log((tables[k][x].get(item, 0) + 0.1) / (sum(tables[k][x].values()) + 0.1 * len(known)))
+                for x in ("de", "en")] if item in known else None
+    def plain(w):
+        if logs(0, w):
+            return logs(0, w)
+        for k in (4, 3, 2, 1):
+            got = [v for v in (logs(k, f" {w} "[i:i + k]) for i in range(len(w) + 3 - k)) if v]
+            if got:
+                return np.mean(got, 0)
+        return [0.0, 0.0]
+    assert model.langs == ["de", "en"]
+    for w in ["the", "katze", "katzen", "doghouse", "xyzzy", "und", "a", "zq", "ø"]:
+        assert np.allclose(model.word(w), plain(w)), w
     assert one("katzenhaus")[0] == "de" and one("doghouse")[0] == "en"      # unseen words by their n-grams
     assert not language_id.with_language(empty, model).collect()
     nothing = language_id.fit(empty.where("false"))
@@ -354,7 +379,9 @@ def test_language_id(docs, empty, spark):
 
 
 def test_toxicity(docs, empty, spark):
-    train = spark.createDataFrame([(i, f"you {'stupid idiot' if i % 4 == 0 else 'kind person'} number {i}", int(i % 4 == 0))
+    # toxic texts with two hits and with one: a sample of two only would put one hit on the boundary
+    bad = ["stupid idiot", "stupid person", "kind idiot"]
+    train = spark.createDataFrame([(i, f"you {bad[i // 4 % 3] if i % 4 == 0 else 'kind person'} number {i}", int(i % 4 == 0))
                                    for i in range(200)], "doc_id long, text string, toxic int")
     lex = toxicity.fit(train.drop("toxic"), train.drop("text"))
     assert lex.score("what an idiot") > 0.5 > lex.score("what a person")
@@ -365,6 +392,19 @@ def test_toxicity(docs, empty, spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
     assert got[3].predicted == got[4].predicted == 0
     assert not toxicity.with_toxicity(empty, lex).collect()
+    # the automaton against a scan for every entry
+    for t in ["what an 1d10t", "you stupid idiot", "idiot proof idiot", "stupidity and idiots", "kind", "", "proof " * 40 + "stupid"]:
+        folded, best = toxicity.fold(t), {}
+        for entry, weight in safe.weights.items():
+            for at in range(len(folded)):
+                if folded.startswith(entry, at):
+                    best[at] = max(best.get(at, 0.0), weight)
+        for entry in safe.exceptions:
+            for at in range(len(folded)):
+                if folded.startswith(entry, at):
+                    best = {k: w for k, w in best.items() if not at <= k < at + len(entry) - 1}
+        total = sum(best.values())
+        assert safe.features(t) == pytest.approx((total, total / math.sqrt(max(1, len(folded.split())))))
     assert toxicity.fit(train.drop("toxic"), train.drop("text").where("toxic = 0")).score("idiot") < 0.01
 
 
