@@ -11,16 +11,18 @@ sequence are then grouped into as few sequences as possible:
   Crossover injects whole well-filled bins of one parent into another, removes
   the bins that hold a duplicate, and puts the displaced pieces back best-fit,
   longest first. Fitness: fewer bins, then the sum of squared fills.
-* Migration. Between epochs each island's best solution also goes to the next
-  island of the shard and joins its population. The best island wins.
+* Migration. Between epochs an island keeps its population, and its best solution also joins
+  the next island of the shard. The best island wins.
 * Levels. Bins at least ``FROZEN`` full are final; the pieces of the others go
   to fewer shards of the next level, until one shard holds the rest. Where most
   pieces lie in other bins (pieces so long that bins cannot fill), bins at least
   half full are final too, and only the emptier ones climb. So the number of
   half-filled sequences does not grow with the number of shards.
 
-A run that reaches the lower bound (total length / capacity, rounded up) stops
-early. All random choices are seeded by shard, island and epoch. The table of
+Evolution goes on where the number of bins is already the least possible, as fuller bins
+leave fewer pieces for the next level; it ends early only when all bins but one are full. How many
+crossovers a shard had, and how many of them gained, stands in every epoch's table. All random choices
+are seeded by shard, island and epoch. The table of
 pieces and every epoch's result are written, so lost executors repeat one step.
 
 Edge cases: null and empty texts are a single end id. Repeated rows are packed
@@ -39,6 +41,8 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -50,8 +54,8 @@ CAPACITY = 2048
 SHARD_ITEMS = 4096
 ISLANDS = 2
 EPOCHS = 2
-POPULATION = 5
-GENERATIONS = 12
+POPULATION = 4
+GENERATIONS = 6
 FROZEN = 0.97
 BATCH_CHARS = 4_000_000
 MAX_IDS = 6_000_000      # ids remembered per worker and table before it starts anew
@@ -129,14 +133,15 @@ class TextIds:
             self._forget_words()
         if len(self.part_runs.ids) > MAX_IDS:
             self._forget_parts()
-        seq: list[np.ndarray] = []
+        # distinct words of the batch first: only these are looked up one by one
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        coded = words.flatten().dictionary_encode()
         with no_cycle_scans():
-            for t in texts:
-                words = t.encode("utf-8", "replace").split()
-                seq.append(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)))
-                seq.append(np.zeros(1, np.int64))
+            distinct = coded.dictionary.to_pylist()
+            number = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))
             self._learn()
-        order = np.concatenate(seq) if seq else np.zeros(0, np.int64)
+        ends = words.offsets.to_numpy()[1:] - words.offsets.to_numpy()[0]
+        order = np.insert(number[coded.indices.to_numpy()], ends, 0)
         flat, stop = self.runs.gather(order)
         return flat, stop[order == 0]
 
@@ -148,15 +153,23 @@ class TextIds:
             return (low,)
         return (word,) if any(s in word for s in self.special) else self.PARTS.findall(low)
 
+    def _ids(self, parts: list[str]) -> list[list[int]]:
+        """Ids of parts. A printable ASCII part is what the tokenizer's own normaliser and splitter would leave of it
+        (its byte alphabet has ASCII at its place), so it goes straight to the merges."""
+        direct = [p.isascii() and p.isprintable() and not any(s in p for s in self.special) for p in parts]
+        rest = iter(self.tokenizer.encode_batch([p for p, d in zip(parts, direct) if not d], add_special_tokens=False))
+        merge = self.tokenizer.model.tokenize
+        return [[t.id for t in merge(p)] if d else next(rest).ids for p, d in zip(parts, direct)]
+
     def _learn(self):
         if not self.words.new:
             return
-        cut = [self._cut(w.decode("utf-8")) for w in self.words.new]
+        cut = [self._cut(w) for w in self.words.new]
         self.words.new.clear()
         n = np.fromiter(map(len, cut), np.int64, len(cut))
         order = np.fromiter(map(self.parts.__getitem__, chain.from_iterable(cut)), np.int64, int(n.sum()))
         if self.parts.new:
-            got = [e.ids for e in self.tokenizer.encode_batch(self.parts.new, add_special_tokens=False)]
+            got = self._ids(self.parts.new)
             self.parts.new.clear()
             size = np.fromiter(map(len, got), np.int64, len(got))
             self.part_runs.add(np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum())), size)
@@ -285,41 +298,50 @@ def crossover(base: list[list[int]], donor: list[list[int]], sizes: list[int], c
     return best_fit(sizes, sorted(loose, key=lambda i: -sizes[i]), capacity, [*inject, *kept])
 
 
+def perfect(score: tuple[int, int], sizes: list[int], capacity: int) -> bool:
+    """As few bins as the total needs, and all but one of them full: nothing is left to gain."""
+    full, rest = divmod(sum(sizes), capacity)
+    return score == (full + (rest > 0), -(full * capacity ** 2 + rest ** 2))
+
+
 def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[list[int]]] = (),
-           population: int = POPULATION, generations: int = GENERATIONS) -> list[list[int]]:
-    """The best set of bins found; ``elites`` are solutions that join the population."""
+           population: int = POPULATION, generations: int = GENERATIONS, log: dict | None = None) -> list[list[list[int]]]:
+    """The population after ``generations`` crossovers, best first; ``elites`` are solutions that join
+    it at the start. It is filled up with best fit by falling size, and by sizes that are disturbed at
+    random. ``log`` gets the crossovers, and those whose child entered the population or led it."""
     rng = random.Random(seed)
-    bound = -(-sum(sizes) // capacity)
     n = len(sizes)
-    exact = sorted(range(n), key=lambda i: -sizes[i])
-    pool: list[tuple[tuple[int, int], list[list[int]]]] = []
-
-    def enter(sol):
+    log = log if log is not None else {}
+    log |= {"crossovers": 0, "entered": 0, "led": 0}
+    pool = [(fitness(e, sizes), e) for e in elites]
+    if not pool:
+        first = best_fit(sizes, sorted(range(n), key=lambda i: -sizes[i]), capacity)
+        pool.append((fitness(first, sizes), first))
+    while len(pool) < population:
+        spread = rng.uniform(0.02, 0.4)
+        sol = best_fit(sizes, sorted(range(n), key=lambda i: -sizes[i] * rng.uniform(1 - spread, 1)), capacity)
         pool.append((fitness(sol, sizes), sol))
-
-    for e in elites:
-        enter(e)
-    while len(pool) < population and not (pool and min(pool, key=lambda p: p[0])[0][0] <= bound):
-        if not pool:
-            enter(best_fit(sizes, exact, capacity))
-        else:
-            spread = rng.uniform(0.02, 0.4)
-            enter(best_fit(sizes, sorted(range(n), key=lambda i: -sizes[i] * rng.uniform(1 - spread, 1)), capacity))
+    pool.sort(key=lambda p: p[0])
+    del pool[max(population, 2):]
     for _ in range(generations):
-        pool.sort(key=lambda p: p[0])
-        if pool[0][0][0] <= bound or len(pool) < 2:
+        if perfect(pool[0][0], sizes, capacity) or len(pool) < 2:
             break
         a, b = rng.sample(range(len(pool)), 2)
         child = crossover(pool[a][1], pool[b][1], sizes, capacity, rng)
         score = fitness(child, sizes)
+        log["crossovers"] += 1
+        log["entered"] += score < pool[-1][0]
+        log["led"] += score < pool[0][0]
         if score < pool[-1][0]:
             pool[-1] = (score, child)
-    return min(pool, key=lambda p: p[0])[1]
+            pool.sort(key=lambda p: p[0])
+    return [sol for _, sol in pool]
 
 
 def _epoch(rows: DataFrame, capacity: int, epoch: int) -> DataFrame:
-    """One epoch of every (shard, island). ``rows``: shard, island, origin, uid,
-    length, bin; origin -1 has no bins yet, other origins are migrated solutions."""
+    """One epoch of every (shard, island). ``rows``: shard, island, origin, uid, length, bin;
+    origin -1 has no bins yet, the others are solutions: the island's population and the
+    neighbour's elite. Returns the population (rank 0 is the best) with what evolved."""
     def run(g: pd.DataFrame) -> pd.DataFrame:
         shard, island = int(g["shard"].iat[0]), int(g["island"].iat[0])
         g = g.sort_values(["origin", "uid"])
@@ -332,19 +354,23 @@ def _epoch(rows: DataFrame, capacity: int, epoch: int) -> DataFrame:
                 for i, b in enumerate(s["bin"].tolist()):
                     bins.setdefault(b, []).append(i)
                 elites.append(list(bins.values()))
-        best = evolve(sizes, capacity, (shard * 1009 + island) * 31 + epoch, elites)
-        where, offset, fill = np.empty(len(uid), np.int64), np.empty(len(uid), np.int64), np.empty(len(uid), np.int64)
-        for k, b in enumerate(best):
-            at = 0
-            for i in b:
-                where[i], offset[i] = k, at
-                at += sizes[i]
-            fill[b] = at
-        return pd.DataFrame({"shard": shard, "island": island, "uid": uid, "length": sizes, "bin": where,
-                             "offset": offset, "fill": fill, "bins": len(best)})
+        log: dict = {}
+        out = []
+        for rank, sol in enumerate(evolve(sizes, capacity, (shard * 1009 + island) * 31 + epoch, elites, log=log)):
+            where, offset, fill = np.empty(len(uid), np.int64), np.empty(len(uid), np.int64), np.empty(len(uid), np.int64)
+            for k, b in enumerate(sol):
+                at = 0
+                for i in b:
+                    where[i], offset[i] = k, at
+                    at += sizes[i]
+                fill[b] = at
+            out.append(pd.DataFrame({"shard": shard, "island": island, "rank": rank, "uid": uid, "length": sizes, "bin": where,
+                                     "offset": offset, "fill": fill, "bins": len(sol), "emptiness": fitness(sol, sizes)[1], **log}))
+        return pd.concat(out, ignore_index=True)
 
     return rows.groupBy("shard", "island").applyInPandas(
-        run, "shard long, island int, uid long, length long, bin long, offset long, fill long, bins long")
+        run, "shard long, island int, rank int, uid long, length long, bin long, offset long, fill long, bins long, "
+             "emptiness long, crossovers long, entered long, led long")
 
 
 def group_pieces(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -364,11 +390,15 @@ def group_pieces(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         rows = dealt.select("shard", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island"),
                             F.lit(-1).alias("origin"), "uid", "length", F.lit(0).cast("long").alias("bin"))
         for epoch in range(EPOCHS):
-            best = stage(_epoch(rows, capacity, epoch), f"pack-{level}-{epoch}")
-            rows = best.select("shard", F.explode(F.array(F.col("island"), (F.col("island") + 1) % ISLANDS))
-                               .alias("target"), F.col("island").alias("origin"), "uid", "length", "bin")
-            rows = rows.withColumnRenamed("target", "island")
-        winner = best.groupBy("shard").agg(F.min(F.struct("bins", "island")).alias("w"))
+            last = epoch == EPOCHS - 1
+            evolved = _epoch(rows, capacity, epoch)
+            best = stage(evolved.where("rank = 0") if last else evolved, f"pack-{level}-{epoch}")
+            # an island keeps its population; its best solution also goes to the next island
+            own = best.select("shard", "island", F.col("rank").alias("origin"), "uid", "length", "bin")
+            elite = best.where("rank = 0").select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"),
+                                                  F.lit(POPULATION).alias("origin"), "uid", "length", "bin")
+            rows = own.union(elite) if ISLANDS > 1 else own
+        winner = best.groupBy("shard").agg(F.min(F.struct("bins", "emptiness", "island")).alias("w"))
         won = best.join(winner, "shard").where(F.col("island") == F.col("w")["island"])
         limit = FROZEN * capacity
         if shards > 1 and won.where(F.col("fill") < limit).count() > n // 2:

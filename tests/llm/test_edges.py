@@ -274,14 +274,38 @@ def test_packing_text_ids_equal_the_library():
         assert ids[a:b].tolist() == [*e.ids, 0], t
 
 
-def test_evolve_beats_or_equals_best_fit():
+def test_evolution_gains_over_best_fit():
+    """Whole bins of one parent and best fit for the rest find what best fit alone does not."""
     rng = np.random.default_rng(7)
+    gained = fewer = 0
     for seed in range(6):
         sizes = rng.integers(300, 1400, 150).tolist()
         first = packing.best_fit(sizes, sorted(range(150), key=lambda i: -sizes[i]), 2048)
-        best = packing.evolve(sizes, 2048, seed)
+        log = {}
+        best = packing.evolve(sizes, 2048, seed, generations=60, log=log)[0]
         assert sorted(i for b in best for i in b) == list(range(150))
-        assert all(sum(sizes[i] for i in b) <= 2048 for b in best) and len(best) <= len(first)
+        assert all(sum(sizes[i] for i in b) <= 2048 for b in best)
+        assert packing.fitness(best, sizes) <= packing.fitness(first, sizes) and log["crossovers"] == 60
+        gained += packing.fitness(best, sizes) < packing.fitness(first, sizes) and log["led"] > 0
+        fewer += len(best) < len(first)
+    assert gained >= 3 and fewer >= 1
+
+
+def test_evolution_runs_on_the_documents(spark):
+    """Crossovers happen in every shard, and some children lead their population."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    cut = packing.pieces(docs, WORD_BPE).where("length < 2048").select(
+        F.lit(0).cast("long").alias("shard"), F.explode(F.array(F.lit(0), F.lit(1))).alias("island"), F.lit(-1).alias("origin"),
+        "uid", "length", F.lit(0).cast("long").alias("bin"))
+    got = packing._epoch(cut, 2048, 0).groupBy("island").agg(F.max("crossovers").alias("x"), F.max("entered").alias("e"),
+                                                             F.max("rank").alias("r")).collect()
+    assert all(r.x == packing.GENERATIONS and r.e > 0 and r.r == packing.POPULATION - 1 for r in got) and len(got) == 2
+
+
+def test_a_perfect_packing_ends_the_evolution():
+    log = {}
+    packing.evolve([1024] * 8, 2048, 0, log=log)
+    assert log["crossovers"] == 0
 
 
 def test_packing_of_unfillable_pieces(spark):
