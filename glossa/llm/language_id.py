@@ -38,6 +38,7 @@ MIN_GRAM = 3
 LENGTHS = (4, 3, 2, 1)
 SHARPNESS = 8.0
 MAX_MEMO = 300_000
+LEARN, TEXTS = 4096, 256      # words looked up at a time; texts whose words are counted at a time
 UNKNOWN = "und"
 WORD = regex.compile(r"\p{L}+")
 
@@ -66,25 +67,37 @@ class LanguageModel:
         m[row, lang] = n
         return items, np.log((m + 0.1) / (m.sum(0) + 0.1 * len(items)))
 
-    def found(self, length: int, items: list[str]) -> np.ndarray:
-        """The rows of the known ones among ``items``."""
+    def found(self, length: int, items: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``items`` are known, and the log frequencies of those."""
         hashes, logs = self.tables[length]
         if not len(hashes):
-            return logs
+            return np.zeros(len(items), bool), logs
         h = np.fromiter(map(item_hash, items), np.uint64, len(items))
         at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-        return logs[at[hashes[at] == h]]
+        known = hashes[at] == h
+        return known, logs[at[known]]
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """The log frequencies of words (words x languages): their own, or the mean of their longest
+        n-grams that are known, or 0."""
+        out = np.zeros((len(words), len(self.langs)))
+        known, logs = self.found(0, words)
+        out[known] = logs
+        left = np.flatnonzero(~known)
+        for n in LENGTHS:
+            padded = [f" {words[i]} " for i in left.tolist()]
+            size = np.array([max(0, len(p) - n + 1) for p in padded], np.int64)
+            known, logs = self.found(n, [p[i:i + n] for p in padded for i in range(len(p) - n + 1)])
+            owner = np.repeat(np.arange(len(left)), size)[known]
+            hits = np.bincount(owner, minlength=len(left))
+            some = hits > 0
+            for c in range(len(self.langs)):
+                out[left[some], c] = np.bincount(owner, logs[:, c], len(left))[some] / hits[some]
+            left = left[~some]
+        return out
 
     def word(self, w: str) -> np.ndarray:
-        hit = self.found(0, [w])
-        if len(hit):
-            return hit[0]
-        padded = f" {w} "
-        for n in LENGTHS:
-            got = self.found(n, [padded[i:i + n] for i in range(len(padded) - n + 1)])
-            if len(got):
-                return got.mean(0)
-        return np.zeros(len(self.langs))
+        return self.words([w])[0]
 
 
 class Predictor:
@@ -98,22 +111,34 @@ class Predictor:
         self.index: dict[str, int] = {}
         self.rows = np.zeros((1024, max(1, len(self.model.langs))))
 
-    def _row(self, w: str) -> int:
-        i = self.index.get(w)
-        if i is None:
-            i = self.index[w] = len(self.index)
-            if i == len(self.rows):
+    def _learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), LEARN):
+            part = words[at:at + LEARN]
+            first = len(self.index)
+            self.index.update(zip(part, range(first, first + len(part))))
+            while len(self.index) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[i] = self.model.word(w)
-        return i
+            self.rows[first:first + len(part)] = self.model.words(part)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(WORD.findall(text.lower())) if text else None
+        return self.predict([text])[0]
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, score) of each text; the new words of all are looked up together."""
+        out = []
+        for at in range(0, len(texts), TEXTS):
+            counts = [Counter(WORD.findall(t.lower())) if t else {} for t in texts[at:at + TEXTS]]
+            if len(self.index) > MAX_MEMO:
+                self.reset()
+            if self.model.langs:
+                self._learn(list(dict.fromkeys(w for c in counts for w in c if w not in self.index)))
+            out += [self._one(c) for c in counts]
+        return out
+
+    def _one(self, counts: dict[str, int]) -> tuple[str, float]:
         if not counts or not self.model.langs:
             return UNKNOWN, 0.0
-        if len(self.index) > MAX_MEMO:
-            self.reset()
-        idx = [self._row(w) for w in counts]
+        idx = np.fromiter(map(self.index.__getitem__, counts), np.int64, len(counts))
         n = np.fromiter(counts.values(), np.float64, len(counts))
         total = n @ self.rows[idx]
         best = int(np.argmax(total))
@@ -167,7 +192,7 @@ def with_language(docs: DataFrame, model: LanguageModel, text: str = "text") ->
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         one = Predictor(shared.value)
         for s in batches:
-            yield pd.DataFrame([one(t) for t in s], columns=["lang_pred", "score"])
+            yield pd.DataFrame(one.predict(s.tolist()), columns=["lang_pred", "score"])
 
     out = "_language_id"
     return (docs.withColumn(out, predict(F.col(text)))
