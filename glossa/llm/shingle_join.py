@@ -4,19 +4,27 @@ Documents whose sets of five-word shingles have a Jaccard similarity of at least
 0.75 are linked; components of the links are the near-duplicate groups.
 
 Signatures. Sets are put into size bands; a set also signs for the next band if a
-partner there is possible. Within a band the shingle domain is dealt by hash into
-n partitions, n in proportion to the band's upper size. Sets A and B that are similar
-differ in at most d = (|A| + |B|) / 7 shingles, so in at most d partitions; every
-other partition holds the same shingles in both. The signature of a non-empty
-partition is the hash of its content. Of the e non-empty partitions of a set at
-least e - d are shared with any partner, so d + 1 signatures, taken in one global
-order, are enough: one of them is shared. A set with e <= d also signs empty
-partitions, in the same order after all others, so no pair is lost (pigeonhole over
-all n partitions). The order puts partitions with many rare shingles first: shingles
-that occur in more than one document in ``HOT_SHARE`` (counted over all
-documents, kept as a bit map of fixed size) do not count as rare, so a passage that
-many documents share rarely decides a signature. The order affects the work, never
-the result.
+partner there is possible. Similar sets A and B differ in at most d = (|A| + |B|) / 7
+shingles. Within a band the shingle domain is dealt by hash into n first-level
+partitions, n a little above half of the largest d of the band, and each of them into
+``PARTS`` second-level ones. In at least one of any d / 2 + 1 first-level partitions A
+and B differ in one shingle at most, so they agree on all second-level parts but one:
+for every first-level partition all subsets of ``PARTS`` - 1 parts are enumerated, and
+the hash of a subset's content is a signature. One equal signature suffices.
+
+* Only subsets with content sign. A partition with two non-empty parts or more keeps
+  content in the shared subset whichever part differs; call it strong. A set signs its
+  first partitions up to the one that makes d / 2 + 1 strong ones. Of two sets, the one
+  that stops first has a strong partition with one difference at most, and the other
+  signs that far too. A set with too few strong partitions signs all.
+* Only rare shingles are dealt at first: on a part of the domain sets differ in no more
+  shingles than on all of it, so the argument holds there. Shingles in more than one
+  document in ``HOT_SHARE`` (counted over all documents, kept as a bit map of fixed
+  size) are not rare, so a passage that many documents share makes no signature.
+* Sets that have too few strong partitions of rare shingles (mostly passages, or very
+  short) sign again over all their shingles, and if even those are too few, subsets
+  without content too: two such sets then share a signature by the argument over all n.
+  So no pair is lost, whatever is rare.
 
 Candidates and verification. Documents with the same set are one class (hash of
 the set) before anything is paired. A pair is first held against a lower bound of
@@ -28,8 +36,9 @@ the distance. Sets under one signature are first paired with the smallest of the
 in more than one component, pairs across components are taken too, in tiles of
 bounded size (signatures with the same members are one): for ``NEAREST_ROUNDS`` rounds
 each set's nearest member of another component by the sketches, which joins most
-components, then, where components are still apart, all. So every pair of similar sets
-is either linked or already in one component. Only documents in a surviving pair have
+components, then, where components are still apart, all. A signature whose members the
+sketches keep apart in one round is done: components only grow. So every pair of similar
+sets is either linked or already in one component. Only documents in a surviving pair have
 their sets built again; a bit map of fixed size keeps the others' texts out of the shuffle.
 
 Signatures travel as packed, compressed arrays per (batch, bucket): a row per
@@ -56,9 +65,9 @@ from pyspark.sql import functions as F
 from glossa.llm.common import connected_components, no_cycle_scans, partitions, prepare, stage
 
 SHINGLE = 5
-BAND = 2.5               # ratio of a size band's bounds
-LOAD = 2.0               # shingles per partition at a band's upper bound
-SMALL, SMALL_LOAD = 64, 0.25
+BAND = 2.0               # ratio of a size band's bounds
+PARTS = 3                # second-level parts of a partition; subsets leave one out
+SPARE = 0.1              # share of first-level partitions beyond half the distance
 HOT_SHARE = 1000         # a shingle is common from one document in so many
 HOT_LEAST = 50
 SKETCH, LARGE_SKETCH = 2048, 16384     # bits; the large one for sets from LARGE_SET on
@@ -176,29 +185,42 @@ def bands(n: int) -> list[tuple[int, int, int]]:
 
 
 def _parts(upper: int) -> int:
-    return int(np.ceil(upper / (SMALL_LOAD if upper <= SMALL else LOAD)))
+    least = 2 * (upper - 1) // 7 // 2 + 1
+    return least + int(SPARE * least + 0.5)
+
+
+def _subsets(s: np.ndarray, band: int, n: int, d: int, salt: int, last: bool) -> tuple[np.ndarray, bool]:
+    """(signatures of the subsets, whether strong partitions were too few); with ``last``
+    a set with too few also signs subsets without content."""
+    cell = (mixed(s + _U(2 * band + salt + 1) * _U(0xD1342543DE82EF95)) >> _U(20)).astype(np.int64) % (n * PARTS)
+    content = np.zeros(n * PARTS, np.uint64)
+    np.add.at(content, cell, mixed(s ^ _U(0xA0761D6478BD642F)))
+    count = np.bincount(cell, minlength=n * PARTS).reshape(n, PARTS)
+    content = content.reshape(n, PARTS)
+    strong = np.cumsum((count > 0).sum(1) >= 2)
+    few = bool(strong[-1] <= d // 2)
+    stop = n if few else int(np.searchsorted(strong, d // 2 + 1)) + 1
+    content, count = content[:stop], count[:stop]
+    rest = content.sum(1, keepdims=True) - content
+    left = (count.sum(1, keepdims=True) - count).astype(np.uint64)
+    place = (np.arange(stop * PARTS) + (2 * band + salt << 40)).astype(np.uint64).reshape(stop, PARTS)
+    sig = mixed(rest + left * _U(0xE7037ED1A0B428DB) + place * _U(0x8EBC6AF09C88C6E3))
+    return (sig.ravel() if few and last else sig[left > 0]), few
 
 
 def signatures(s: np.ndarray, rare: np.ndarray) -> np.ndarray:
     """Signatures (64-bit) of one set; ``rare`` marks its rare shingles."""
-    out = []
+    out = [np.zeros(0, np.uint64)]
+    some = s[rare]
     with np.errstate(over="ignore"):
         for band, n, d in bands(len(s)):
-            part = (mixed(s + _U(band + 1) * _U(0xD1342543DE82EF95)) >> _U(20)).astype(np.int64) % n
-            order = np.argsort(part, kind="stable")
-            p = part[order]
-            at = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-            content = np.add.reduceat(mixed(s[order] ^ _U(0xA0761D6478BD642F)), at)
-            count = np.diff(np.append(at, len(p)))
-            sig = mixed(content + count.astype(np.uint64) * _U(0xE7037ED1A0B428DB)
-                        + (p[at] + (band << 40)).astype(np.uint64) * _U(0x8EBC6AF09C88C6E3))
-            if len(sig) > d:
-                weight = np.add.reduceat(rare[order].astype(np.int64), at)
-                sig = sig[np.lexsort((sig, -weight))[:d + 1]]
-            else:
-                gap = np.setdiff1d(np.arange(n), p[at], assume_unique=True)[:d + 1 - len(sig)]
-                sig = np.concatenate([sig, mixed((gap + (band << 40)).astype(np.uint64) * _U(0x589965CC75374CC3))])
+            if not d:           # only equal sets: the whole is the signature
+                out.append(mixed(mixed(s ^ _U(0xA0761D6478BD642F)).sum(keepdims=True) + _U(band)))
+                continue
+            sig, few = _subsets(some, band, n, d, 0, False)
             out.append(sig)
+            if few:
+                out.append(_subsets(s, band, n, d, 1, True)[0])
     return np.unique(np.concatenate(out))
 
 
@@ -249,14 +271,12 @@ def is_common(s: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 def _pack(sig: np.ndarray, owner: np.ndarray, classes: np.ndarray, ids: np.ndarray, sizes: np.ndarray,
           own: np.ndarray, cells: list[bytes]) -> bytes:
-    """Signatures (low 40 bits, sorted) with the index of their class, and document rows with their sketches."""
-    order = np.argsort(sig)
-    sig, owner = sig[order], owner[order]
-    used, index = np.unique(owner, return_inverse=True)
+    """Signatures (low 32 bits; the bucket tells the rest) by class with the number of each
+    class (``owner`` ascends), and document rows with their sketches."""
+    used, count = np.unique(owner, return_counts=True)
     head = np.array([len(sig), len(used), len(ids)], np.int64)
     raw = b"".join([head.tobytes(), (sig & _U(0xFFFFFFFF)).astype(np.uint32).tobytes(),
-                    (sig >> _U(32) & _U(0xFF)).astype(np.uint8).tobytes(), classes[used].tobytes(),
-                    index.astype(np.uint32).tobytes(), ids.tobytes(), sizes.tobytes(), own.tobytes(),
+                    classes[used].tobytes(), count.astype(np.int64).tobytes(), ids.tobytes(), sizes.tobytes(), own.tobytes(),
                     np.fromiter(map(len, cells), np.int64, len(cells)).tobytes(), *cells])
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
@@ -266,13 +286,13 @@ def _unpack(blob: bytes):
     n, m, k = np.frombuffer(raw, np.int64, 3).tolist()
     at = 24
     out = []
-    for dtype, count in ((np.uint32, n), (np.uint8, n), (np.int64, m), (np.uint32, n), (np.int64, k), (np.int64, k), (np.int64, k), (np.int64, k)):
+    for dtype, count in ((np.uint32, n), (np.int64, m), (np.int64, m), (np.int64, k), (np.int64, k), (np.int64, k), (np.int64, k)):
         out.append(np.frombuffer(raw, dtype, count, at))
         at += out[-1].nbytes
-    low, high, classes, index, ids, sizes, own, length = out
+    low, classes, count, ids, sizes, own, length = out
     stop = at + np.cumsum(length)
     cells = [raw[b - n:b] for b, n in zip(stop.tolist(), length.tolist())]
-    return low.astype(np.uint64) | high.astype(np.uint64) << _U(32), classes[index], ids, sizes, own, cells
+    return low, np.repeat(classes, count), ids, sizes, own, cells
 
 
 def _sign(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
@@ -320,6 +340,13 @@ def _sign(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
         got = [_unpack(x) for x in g["blob"]]
         sig, cls, ids, sizes, own = (np.concatenate([x[k] for x in got]) for k in range(5))
         cells = [c for x in got for c in x[5]]
+        ordered = np.sort(sig)
+        again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        if len(again):
+            at = np.minimum(np.searchsorted(again, sig), len(again) - 1)
+            sig, cls = sig[again[at] == sig], cls[again[at] == sig]
+        else:
+            sig, cls = sig[:0], cls[:0]
         order = np.lexsort((cls, sig))
         sig, cls = sig[order], cls[order]
         fresh = np.ones(len(sig), bool)
@@ -330,7 +357,7 @@ def _sign(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
         first = np.repeat(cls[start], size)
         many = np.repeat(size > 1, size)
         bucket = int(g["bucket"].iat[0])
-        key = (sig[many] | _U(bucket) << _U(40)).view(np.int64)
+        key = sig[many].astype(np.int64) | bucket << 32
         return pd.DataFrame({"kind": np.concatenate([np.zeros(len(ids), np.int32), np.ones(int(many.sum()), np.int32)]),
                              "a": np.concatenate([ids, key]), "b": np.concatenate([sizes, first[many]]),
                              "c": np.concatenate([own, cls[many]]),
@@ -397,7 +424,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, info: DataFrame, name: str) -> Da
 
 
 def _across(members: DataFrame, comp: DataFrame, info: DataFrame, buckets: int, nearest: bool) -> DataFrame:
-    """Pairs (a, b) under one signature that lie in different components and whose
+    """Pairs (sig, a, b) under one signature that lie in different components and whose
     sketches allow the similarity; with ``nearest``, per set the one with the nearest sketch."""
     placed = (members.where("rep <> cls")       # the smallest was paired with all
               .join(comp.withColumnRenamed("node", "cls"), "cls", "left")
@@ -415,7 +442,7 @@ def _across(members: DataFrame, comp: DataFrame, info: DataFrame, buckets: int,
     def run(g: pd.DataFrame) -> pd.DataFrame:
         out = []
         lo, hi = g["lo"].iat[0], g["hi"].iat[0]
-        for _, x in g.groupby("sig", sort=False):
+        for sig, x in g.groupby("sig", sort=False):
             h = sketches(x["cells"].tolist())
             cls, comp, n, tile = (x[c].to_numpy() for c in ("cls", "comp", "n", "tile"))
             first, second = np.flatnonzero(tile == lo), np.flatnonzero(tile == hi)
@@ -430,11 +457,11 @@ def _across(members: DataFrame, comp: DataFrame, info: DataFrame, buckets: int,
                 if nearest and len(j):
                     j = j[np.lexsort((cls[j], low))[:1]]
                 if len(j):
-                    out.append(np.column_stack([np.minimum(cls[j], cls[i]), np.maximum(cls[j], cls[i])]))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+                    out.append(np.column_stack([np.full(len(j), sig), np.minimum(cls[j], cls[i]), np.maximum(cls[j], cls[i])]))
+        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
+        return pd.DataFrame(pairs, columns=["sig", "a", "b"])
 
-    return tiled.groupBy("bucket", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
+    return tiled.groupBy("bucket", "lo", "hi").applyInPandas(run, "sig long, a long, b long")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -455,15 +482,21 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     star = members.where("rep <> cls").select(F.col("rep").alias("a"), F.col("cls").alias("b")).distinct()
     links = _verify(_possible(star, info), slim, info, "shingle-links")
     comp = connected_components(links, "shingle-cc")
+    tried = links.select("a", "b").where("false")
     for nearest in [True] * NEAREST_ROUNDS + [False]:
         name = f"shingle-{'near' if nearest else 'all'}"
-        more = _verify(_across(members, comp, info, buckets, nearest), slim, info, name)
+        found = stage(_across(members, comp, info, buckets, nearest), f"{name}-found")
+        pairs = found.select("a", "b").distinct()
+        more = _verify(pairs.join(tried, ["a", "b"], "left_anti"), slim, info, name)
+        members = members.join(found.select("sig").distinct(), "sig", "left_semi")
+        tried = tried.union(pairs)
         comp = connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more),
                                     f"{name}-cc")
 
     known = (classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left")
              .select("cls", "doc_id", F.coalesce("component", "cls").alias("comp")))
-    lowest = known.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    # written, so that the join by a large component can be split
+    lowest = stage(known.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "shingle-lowest")
     named = known.join(lowest, "comp").select("cls", "component_id")
     return (rows.join(named, "cls", "left")
             .select(F.col("doc_id").alias(key), "n_shingles",
