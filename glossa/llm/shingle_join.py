@@ -36,8 +36,8 @@ the distance. Sets under one signature are first paired with the smallest of the
 in more than one component, pairs across components are taken too, in tiles of
 bounded size (signatures with the same members are one): for ``NEAREST_ROUNDS`` rounds
 each set's nearest member of another component by the sketches, which joins most
-components, then, where components are still apart, all. A signature whose members the
-sketches keep apart in one round is done: components only grow. So every pair of similar
+components, then, where components are still apart, all. A set that the sketches keep apart
+from all others under a signature is done there: components only grow. So every pair of similar
 sets is either linked or already in one component. Only documents in a surviving pair have
 their sets built again; a bit map of fixed size keeps the others' texts out of the shuffle.
 
@@ -75,6 +75,7 @@ LARGE_SET = 1500
 BITS = 1 << 22          # slots of the bit map of wanted documents (512 KB)
 HOT_BITS = 1 << 26      # slots of the bit map of common shingles (8 MB)
 TILE = 2048
+PAIRS = 1 << 16         # pairs compared at a time
 NEAREST_ROUNDS = 2
 BATCH_CHARS = 5_000_000
 DOCS_PER_BUCKET = 4000
@@ -423,12 +424,33 @@ def _verify(pairs: DataFrame, docs: DataFrame, info: DataFrame, name: str) -> Da
     return stage(both.where(100 * F.col("i") >= 75 * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b"), name)
 
 
-def _across(members: DataFrame, comp: DataFrame, info: DataFrame, buckets: int, nearest: bool) -> DataFrame:
-    """Pairs (sig, a, b) under one signature that lie in different components and whose
-    sketches allow the similarity; with ``nearest``, per set the one with the nearest sketch."""
-    placed = (members.where("rep <> cls")       # the smallest was paired with all
-              .join(comp.withColumnRenamed("node", "cls"), "cls", "left")
-              .select("sig", "cls", F.coalesce("component", "cls").alias("comp")))
+def _tile_pairs(sig: np.ndarray, second: np.ndarray, one_tile: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs under one signature, in slices of about ``PAIRS``: all of one tile, or the first
+    tile's rows with the ``second`` one's. Rows are in order of (sig, second)."""
+    rows = np.arange(len(sig))
+    end = np.searchsorted(sig, sig, "right")
+    if one_tile:
+        start = rows + 1
+    else:
+        seconds = np.concatenate([[0], np.cumsum(second)])
+        start = end - (seconds[end] - seconds[np.searchsorted(sig, sig)])
+    count = end - start if one_tile else np.where(second, 0, end - start)
+    total = np.cumsum(count)
+    at = 0
+    while at < len(rows):
+        base = total[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(total, base + PAIRS, "right")))
+        i = np.repeat(rows[at:to], count[at:to])
+        if len(i):
+            yield i, start[i] + np.arange(len(i)) - (total[i] - count[i] - base)
+        at = to
+
+
+def _across(placed: DataFrame, info: DataFrame, buckets: int, nearest: bool) -> DataFrame:
+    """Pairs (sig, a, b) of ``placed`` (sig, cls, comp) under one signature that lie in different
+    components and whose sketches allow the similarity; with ``nearest``, per set and
+    tile the one with the nearest sketch."""
+    placed = placed.repartition("sig")
     open_sigs = (placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
                                            F.count(F.lit(1)).alias("_n"), F.bit_xor(F.xxhash64("cls")).alias("who"))
                  .where("lo <> hi").groupBy("_n", "who").agg(F.min("sig").alias("sig")).select("sig", "_n"))
@@ -440,26 +462,39 @@ def _across(members: DataFrame, comp: DataFrame, info: DataFrame, buckets: int,
                      F.greatest("_t", "_o").alias("hi"), F.col("_t").alias("tile"), "cls", "comp", "n", "cells"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        out = []
         lo, hi = g["lo"].iat[0], g["hi"].iat[0]
-        for sig, x in g.groupby("sig", sort=False):
-            h = sketches(x["cells"].tolist())
-            cls, comp, n, tile = (x[c].to_numpy() for c in ("cls", "comp", "n", "tile"))
-            first, second = np.flatnonzero(tile == lo), np.flatnonzero(tile == hi)
-            for i in first.tolist():
-                j = second[(comp[second] != comp[i]) & ((cls[second] > cls[i]) | (lo != hi) | nearest)]
-                j = j[4 * np.minimum(n[j], n[i]) >= 3 * np.maximum(n[j], n[i])]
-                if not len(j):
-                    continue
-                low = differing(h, np.array([i]), h, j)
-                ok = low <= (n[j] + n[i]) // 7
-                j, low = j[ok], low[ok]
-                if nearest and len(j):
-                    j = j[np.lexsort((cls[j], low))[:1]]
-                if len(j):
-                    out.append(np.column_stack([np.full(len(j), sig), np.minimum(cls[j], cls[i]), np.maximum(cls[j], cls[i])]))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
-        return pd.DataFrame(pairs, columns=["sig", "a", "b"])
+        second = (g["tile"].to_numpy() == hi) & (lo != hi)
+        order = np.lexsort((second, g["sig"].to_numpy()))
+        sig, cls, comp, n = (g[c].to_numpy()[order] for c in ("sig", "cls", "comp", "n"))
+        _, once, place = np.unique(cls, return_index=True, return_inverse=True)
+        h = sketches(g["cells"].iloc[order[once]].tolist())
+        best, by = np.full(len(sig), np.iinfo(np.int64).max), np.full(len(sig), -1)
+        out = [np.zeros((0, 3), np.int64)]
+
+        def add(i, j):
+            if len(i):
+                out.append(np.unique(np.column_stack([sig[i], np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])]), axis=0))
+
+        for i, j in _tile_pairs(sig, second[order], lo == hi):
+            ok = (comp[i] != comp[j]) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j]))
+            i, j = i[ok], j[ok]
+            # a pair of sets may stand under many signatures
+            pair, back = np.unique(np.minimum(place[i], place[j]) * len(once) + np.maximum(place[i], place[j]), return_inverse=True)
+            low = differing(h, pair // len(once), h, pair % len(once))[back]
+            ok = low <= (n[i] + n[j]) // 7
+            i, j, low = i[ok], j[ok], low[ok]
+            if not nearest:
+                add(i, j)
+                continue
+            row, other, low = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([low, low])
+            first = np.lexsort((cls[other], low, row))
+            first = first[np.concatenate([[True], row[first][1:] != row[first][:-1]])] if len(first) else first
+            row, other, low = row[first], other[first], low[first]
+            nearer = (low < best[row]) | ((low == best[row]) & (cls[other] < cls[by[row]]))
+            best[row[nearer]], by[row[nearer]] = low[nearer], other[nearer]
+        if nearest:
+            add(np.flatnonzero(by >= 0), by[by >= 0])
+        return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["sig", "a", "b"])
 
     return tiled.groupBy("bucket", "lo", "hi").applyInPandas(run, "sig long, a long, b long")
 
@@ -482,16 +517,20 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     star = members.where("rep <> cls").select(F.col("rep").alias("a"), F.col("cls").alias("b")).distinct()
     links = _verify(_possible(star, info), slim, info, "shingle-links")
     comp = connected_components(links, "shingle-cc")
+    live = members.where("rep <> cls").select("sig", "cls")         # the smallest was paired with all
     tried = links.select("a", "b").where("false")
     for nearest in [True] * NEAREST_ROUNDS + [False]:
         name = f"shingle-{'near' if nearest else 'all'}"
-        found = stage(_across(members, comp, info, buckets, nearest), f"{name}-found")
+        placed = (live.join(comp.withColumnRenamed("node", "cls"), "cls", "left")
+                  .select("sig", "cls", F.coalesce("component", "cls").alias("comp")))
+        found = stage(_across(placed, info, buckets, nearest), f"{name}-found")
         pairs = found.select("a", "b").distinct()
         more = _verify(pairs.join(tried, ["a", "b"], "left_anti"), slim, info, name)
-        members = members.join(found.select("sig").distinct(), "sig", "left_semi")
-        tried = tried.union(pairs)
         comp = connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more),
                                     f"{name}-cc")
+        # a set without a possible partner under a signature never has one there again
+        live = found.select("sig", F.explode(F.array("a", "b")).alias("cls")).distinct()
+        tried = tried.union(pairs)
 
     known = (classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left")
              .select("cls", "doc_id", F.coalesce("component", "cls").alias("comp")))
