@@ -21,7 +21,7 @@ from glossa.operators.rows import cut_lineage, head_in_order, with_index, with_r
 from glossa.operators.scoring import JUDGE_SAMPLING, generate_judgements, score_segments
 from glossa.operators.sweep import read_models, run_sweep
 from glossa.sources.cache import ResponseCache
-from glossa.sources.sinks import with_output_name, write_scored_document, write_table
+from glossa.sources.sinks import with_output_name, write_counted, write_scored_document, write_table
 from glossa.sources.tables import read_table
 
 PROMPT_COLUMNS = ["src", "tgt", "QA", "pair", "model", "dataset"]
@@ -74,8 +74,10 @@ def prompt_job(spark: SparkSession, input_path: str, output_path: str, *, fmt: s
 
 def sweep_job(spark: SparkSession, input_path: str, output_path: str, cache_path: str,
               client_factory: Callable, *, models: list[str] | str = MODELS, content_col: str = "QA",
-              fmt: str = "csv", test_size: int | None = None, mode: str = "errorifexists", **score_opts) -> DataFrame:
+              fmt: str = "csv", test_size: int | None = None, mode: str = "errorifexists",
+              report: dict | None = None, **score_opts) -> DataFrame:
     """Every prompt to every model through the cache; results per (model, input file).
+    A ``report`` receives the rows written (n), failed and without a response.
 
     ``models`` is a list of ids or the path of a model-list file (one id per line). At
     most ``CONCURRENCY`` requests are in flight (``CONCURRENCY_TEST`` with a test size).
@@ -88,20 +90,27 @@ def sweep_job(spark: SparkSession, input_path: str, output_path: str, cache_path
                          row_key=key, **score_opts)
     answered = answered if key == "row_id" else answered.drop(key)
     named = with_output_name(answered, "chat_model", input_name=input_path.rstrip("/").split("/")[-1])
-    write_table(named, output_path, partition_by=["output_name"], mode=mode)
+    counts = write_counted(named, output_path, {"n_failed": F.col("error").isNotNull(),
+                                                "n_no_response": F.col("response").isNull()},
+                           partition_by=["output_name"], mode=mode)
+    if report is not None:
+        report.update(counts)
     return named
 
 
 def judge_job(spark: SparkSession, input_path: str, output_path: str, generator_factory: Callable, *,
               source_col: str = "source", target_col: str = "tgt", fmt: str = "csv",
               test_size: int | None = None, sampling: dict = JUDGE_SAMPLING, layout: dict = P.CHATML,
-              out_fmt: str = "csv", mode: str = "errorifexists") -> DataFrame:
-    """Rubric judge: prompt, chat flattening, generation, score parsing, attach, write."""
+              out_fmt: str = "csv", mode: str = "errorifexists", report: dict | None = None) -> DataFrame:
+    """Rubric judge: prompt, chat flattening, generation, score parsing, attach, write.
+    A ``report`` receives the rows written (n) and those whose score did not parse."""
     rows = load(spark, input_path, fmt, test_size)
     prompt = P.flatten_chat(P.as_messages(P.judge_content(F.col(source_col), F.col(target_col))), layout)
     judged = generate_judgements(rows.withColumn("_prompt", prompt), "_prompt", generator_factory, sampling)
     out = judged.drop("_prompt").withColumn("llm_score", judge_score("llm_response"))
-    write_table(out, output_path, fmt=out_fmt, mode=mode)
+    counts = write_counted(out, output_path, {"n_null": F.col("llm_score").isNull()}, fmt=out_fmt, mode=mode)
+    if report is not None:
+        report.update(counts)
     # read the written result back: acting on ``out`` again would call the model again
     return read_table(spark, output_path, fmt=out_fmt, schema=out.schema)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from glossa.functions.text import basename, slug
@@ -42,6 +42,17 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
         w.format(fmt).save(path)
 
 
+def write_counted(df: DataFrame, path: str, counts: dict[str, Column], fmt: str = "parquet",
+                  partition_by: Sequence[str] = (), mode: str = "errorifexists") -> dict[str, int]:
+    """``write_table`` that returns ``n``, the rows written, and for every condition in ``counts``
+    the rows that meet it (a null is no hit), observed by the write itself: no further job, and
+    no second model call. An empty table counts 0."""
+    seen = Observation()
+    hits = [F.count_if(cond).alias(name) for name, cond in counts.items()]
+    write_table(df.observe(seen, F.count(F.lit(1)).alias("n"), *hits), path, fmt, partition_by, mode)
+    return {"n": 0, **dict.fromkeys(counts, 0), **seen.get}
+
+
 def write_document(summary: DataFrame, segments: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """A scoring document as two JSON tables: ``summary/`` (one row per key) and
     ``segments/`` (one row per segment), both UTF-8 JSON lines. For segments that

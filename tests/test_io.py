@@ -6,7 +6,7 @@ import os
 from pyspark.sql import functions as F
 
 from glossa.functions.text import basename, has_suffix, slug, stem
-from glossa.sources.sinks import with_output_name, write_document, write_table
+from glossa.sources.sinks import with_output_name, write_counted, write_document, write_table
 from glossa.sources.tables import read_lines, read_table
 
 EDGE = [
@@ -103,3 +103,21 @@ def test_csv_text_by_default_inference_opt_in(spark, tmp):
     assert dict(plain.dtypes) == {"id": "string", "s": "string", "x": "string"}
     inferred = read_table(spark, f"{tmp}/typed", fmt="csv", infer=True)
     assert dict(inferred.dtypes) == {"id": "int", "s": "string", "x": "double"}
+
+
+def test_counts_come_from_the_write_itself(spark, tmp):
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(batches):
+        for b in batches:
+            calls.add(len(b))
+            yield b
+
+    df = spark.range(1000).selectExpr("id", "if(id % 3 = 0, null, id) as score", "id % 4 as part").mapInPandas(
+        model, "id long, score double, part long")
+    checks = {"n_null": F.col("score").isNull(), "n_large": F.col("score") > 900}
+    got = write_counted(df, f"{tmp}/counted", checks, partition_by=["part"])
+    want = {"n": 1000, "n_null": 334, "n_large": sum(i > 900 and i % 3 != 0 for i in range(1000))}
+    assert got == want and calls.value == 1000          # the model ran once
+    assert spark.read.parquet(f"{tmp}/counted").count() == 1000
+    assert write_counted(df.where("false"), f"{tmp}/none", checks) == dict.fromkeys(want, 0)

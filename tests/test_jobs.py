@@ -66,11 +66,13 @@ def test_ids_stay_the_same_between_steps(spark, tmp):
 def test_judge_job(spark, tmp):
     df = spark.createDataFrame([("a source", "a translation"), ("b", "c")], "source string, tgt string")
     write_table(df.coalesce(1), f"{tmp}/judge_in", fmt="csv")
-    out = jobs.judge_job(spark, f"{tmp}/judge_in", f"{tmp}/judge_out", StubJudge)
+    report = {}
+    out = jobs.judge_job(spark, f"{tmp}/judge_in", f"{tmp}/judge_out", StubJudge, report=report)
     rows = out.collect()
     assert all(r.llm_response.startswith("Feedback: stub [RESULT]") and 1 <= r.llm_score <= 5 for r in rows)
     back = spark.read.options(header="true", multiLine="true", escape='"').csv(f"{tmp}/judge_out")
     assert back.count() == 2 and "llm_score" in back.columns
+    assert report == {"n": 2, "n_null": 0}
 
 
 def test_segment_job(spark, tmp):
@@ -122,12 +124,15 @@ def test_sweep_of_both_variants_at_once(spark, tmp):
     """Every (row_id, prompt_variant) gets the answer to its own prompt."""
     path = pairs_csv(spark, tmp)
     prompts = jobs.prompt_job(spark, path, f"{tmp}/prompts", out_fmt="parquet").collect()
+    report = {}
     swept = jobs.sweep_job(spark, f"{tmp}/prompts", f"{tmp}/results", f"{tmp}/cache", EchoClient, models=["m"],
-                           fmt="parquet", backoff_s=0.0).collect()
+                           fmt="parquet", backoff_s=0.0, report=report).collect()
     want = {(r.row_id, r.prompt_variant): stub_answer(r.QA) if len(r.QA.encode()) % 11 else None for r in prompts}
     assert len(prompts) == len(want) == len(swept) == 6
     assert {(r.row_id, r.prompt_variant): r.response for r in swept} == want
     assert ResponseCache(spark, f"{tmp}/cache").raw().count() == 6
+    lost = sum(v is None for v in want.values())
+    assert report == {"n": 6, "n_failed": lost, "n_no_response": lost}
 
 
 def test_rows_without_a_usable_id_are_swept(spark, tmp):
