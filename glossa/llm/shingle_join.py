@@ -54,15 +54,15 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import connected_components, no_cycle_scans, partitions, prepare, stage
+from glossa.llm.common import connected_components, partitions, prepare, stage
 
 SHINGLE = 5
 BAND = 2.0               # ratio of a size band's bounds
@@ -79,7 +79,7 @@ PAIRS = 1 << 16         # pairs compared at a time
 NEAREST_ROUNDS = 2
 BATCH_CHARS = 5_000_000
 DOCS_PER_BUCKET = 4000
-MAX_WORDS = 600_000
+SLICE = 1 << 19         # bytes hashed at a time
 NO_ID = -(1 << 63)
 
 _U = np.uint64
@@ -87,56 +87,104 @@ _U = np.uint64
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and odd multipliers)."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> _U(31))) * _U(0x7FB5D329728EA185)
-        x = (x ^ (x >> _U(27))) * _U(0x81DADEF4BC2DD44D)
-        return x ^ (x >> _U(33))
+    x = x ^ (x >> _U(31))
+    x *= _U(0x7FB5D329728EA185)
+    x ^= x >> _U(27)
+    x *= _U(0x81DADEF4BC2DD44D)
+    x ^= x >> _U(33)
+    return x
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+IN_WORD = np.ones(256, bool)
+IN_WORD[[9, 10, 11, 12, 13, 32]] = False
+# a random number for every byte, the same for A-Z and a-z, 0 for white space
+LETTER = mixed(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
+LETTER[65:91] = LETTER[97:123]
+LETTER[~IN_WORD] = 0
 
 
 class Shingler:
     """Sets of shingle hashes of texts (sorted, distinct)."""
 
     def __init__(self, size: int = SHINGLE):
-        self.size, self.words = size, _WordHash()
+        self.size = size
+        self.factors = np.zeros(0, np.uint64)
+
+    def _factors(self, n: int) -> np.ndarray:
+        """An odd random factor for every place of a letter in its word."""
+        if n > len(self.factors):
+            self.factors = mixed(np.arange(1, 2 * n + 64, dtype=np.uint64) * _U(0xD6E8FEB86659FD93)) | _U(1)
+        return self.factors
+
+    def words(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(first bytes, hashes) of the words of ``raw``, which starts and ends in white space:
+        sums of letter numbers times the factors of their places, some ``SLICE`` bytes at a time."""
+        b = np.frombuffer(raw, np.uint8)
+        inside = IN_WORD[b]
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        start, end = edges[::2], edges[1::2]
+        out = np.empty(len(start), np.uint64)
+        at = 0
+        while at < len(start):
+            to = max(at + 1, int(np.searchsorted(start, start[at] + SLICE)))
+            first, stop = start[at], end[to - 1]
+            rel = start[at:to] - first
+            gap = np.diff(rel, append=stop - first)
+            value = LETTER[b[first:stop]]
+            value *= self._factors(int(gap.max()))[np.arange(stop - first) - np.repeat(rel, gap)]
+            out[at:to] = np.add.reduceat(value, rel)
+            at = to
+        return start, mixed(out + (end - start).astype(np.uint64) * _U(0xA24BAED4963EE407))
 
     def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all shingle hashes in text order with repeats, number per text)."""
-        if len(self.words) > MAX_WORDS:
-            self.words.clear()
-        look, k = self.words.__getitem__, self.size
-        parts, counts = [], np.zeros(len(texts), np.int64)
-        with np.errstate(over="ignore"), no_cycle_scans():
-            for i, t in enumerate(texts):
-                words = t.encode("utf-8", "replace").lower().split()
-                n = len(words)
-                if not n:
-                    continue
-                w = np.fromiter(map(look, words), np.uint64, n)
-                m = max(1, n - k + 1)
-                h = np.full(m, min(n, k), np.uint64)
-                for j in range(min(n, k)):
-                    h = h * _U(0x9E3779B97F4A7C15) + w[j:j + m]
-                parts.append(h)
-                counts[i] = m
-        return (mixed(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)), counts
+        raw = [t.encode("utf-8", "replace") for t in texts]
+        k = self.size
+        bounds = np.cumsum([1, *[len(r) + 1 for r in raw]])
+        start, w = self.words(b"\n" + b"\n".join(raw) + b"\n")
+        cut = np.searchsorted(start, bounds)
+        n = np.diff(cut)
+        counts = np.where(n >= k, n - k + 1, n > 0).astype(np.int64)
+        place = np.cumsum(counts) - counts
+        out, whole = np.zeros(int(counts.sum()), np.uint64), np.ones(int(counts.sum()), bool)
+
+        def window(first: np.ndarray, size: int) -> np.ndarray:
+            h = np.full(len(first), size, np.uint64)
+            for j in range(size):
+                h = h * _U(0x9E3779B97F4A7C15) + w[first + j]
+            return h
+
+        for m in range(1, k):       # a text of fewer words is one shingle
+            short = np.flatnonzero(n == m)
+            out[place[short]] = window(cut[short], m)
+            whole[place[short]] = False
+        left = np.repeat(cut[1:], n) - np.arange(len(w))        # words to the text's end
+        out[whole] = window(np.flatnonzero(left >= k), k)
+        return mixed(out), counts
 
     def sets(self, texts: list[str]) -> list[np.ndarray]:
         flat, counts = self.flat(texts)
-        stop = np.cumsum(counts)
-        return [np.unique(flat[b - c:b]) for b, c in zip(stop.tolist(), counts.tolist())]
-
-
-def set_class(s: np.ndarray) -> int:
-    """Signed 64-bit key of a non-empty set."""
-    with np.errstate(over="ignore"):
-        key = mixed(np.array([mixed(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + _U(len(s))]))
-    return int(key.view(np.int64)[0])
+        out = []
+        for b, c in zip(np.cumsum(counts).tolist(), counts.tolist()):
+            s = np.sort(flat[b - c:b])
+            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])] if c > 1 else s)
+        return out
+
+
+def set_sums(flat: np.ndarray, sizes: np.ndarray, salt: int) -> np.ndarray:
+    """Sum of the salted hashes of every set; ``flat`` holds the sets one after the other, none empty."""
+    return np.add.reduceat(mixed(flat ^ _U(salt)), np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0, np.uint64)
+
+
+def set_classes(sets: list[np.ndarray]) -> np.ndarray:
+    """Signed 64-bit key of every set (0: empty)."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    out = np.zeros(len(sets), np.int64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        key = mixed(set_sums(np.concatenate(sets), sizes[some], 0x5851F42D4C957F2D) + sizes[some].astype(np.uint64))
+        out[some] = key.view(np.int64)
+    return out
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -169,6 +217,7 @@ def differing(a, i, b, j) -> np.ndarray:
     return low
 
 
+@lru_cache(1 << 16)
 def bands(n: int) -> list[tuple[int, int, int]]:
     """(band, partitions, largest distance to a partner there) that a set of ``n`` signs for."""
     j, low, high = 0, 1, 0
@@ -190,39 +239,71 @@ def _parts(upper: int) -> int:
     return least + int(SPARE * least + 0.5)
 
 
-def _subsets(s: np.ndarray, band: int, n: int, d: int, salt: int, last: bool) -> tuple[np.ndarray, bool]:
-    """(signatures of the subsets, whether strong partitions were too few); with ``last``
-    a set with too few also signs subsets without content."""
-    cell = (mixed(s + _U(2 * band + salt + 1) * _U(0xD1342543DE82EF95)) >> _U(20)).astype(np.int64) % (n * PARTS)
-    content = np.zeros(n * PARTS, np.uint64)
+def _subsets(flat: np.ndarray, start: np.ndarray, size: np.ndarray, band: np.ndarray, n: np.ndarray, d: np.ndarray,
+             salt: int, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures of the subsets, the entry of each, whether an entry's strong partitions were
+    too few). An entry is a set (``size`` shingles of ``flat`` from ``start`` on) in a band; with
+    ``last`` an entry with too few also signs subsets without content."""
+    entry = np.repeat(np.arange(len(n)), size)
+    s = flat[np.arange(len(entry)) + np.repeat(start - (np.cumsum(size) - size), size)]
+    tag = 2 * band + salt
+    cell = (mixed(s + ((tag + 1).astype(np.uint64) * _U(0xD1342543DE82EF95))[entry]) >> _U(20)).astype(np.int64)
+    first = np.cumsum(n) - n
+    cell = cell % (n * PARTS)[entry] + (first * PARTS)[entry]
+    cells = int(n.sum()) * PARTS
+    content = np.zeros(cells, np.uint64)
     np.add.at(content, cell, mixed(s ^ _U(0xA0761D6478BD642F)))
-    count = np.bincount(cell, minlength=n * PARTS).reshape(n, PARTS)
-    content = content.reshape(n, PARTS)
-    strong = np.cumsum((count > 0).sum(1) >= 2)
-    few = bool(strong[-1] <= d // 2)
-    stop = n if few else int(np.searchsorted(strong, d // 2 + 1)) + 1
-    content, count = content[:stop], count[:stop]
+    count = np.bincount(cell, minlength=cells).reshape(-1, PARTS)
+    content = content.reshape(-1, PARTS)
+    strong = ((count > 0).sum(1) >= 2).astype(np.int64)
+    few = np.add.reduceat(strong, first) <= d // 2
+    of = np.repeat(np.arange(len(n)), n)
+    before = np.cumsum(strong) - strong
+    row = np.flatnonzero(before - before[first][of] <= (d // 2)[of])
+    content, count, of = content[row], count[row], of[row]
     rest = content.sum(1, keepdims=True) - content
     left = (count.sum(1, keepdims=True) - count).astype(np.uint64)
-    place = (np.arange(stop * PARTS) + (2 * band + salt << 40)).astype(np.uint64).reshape(stop, PARTS)
+    place = (((row - first[of]) * PARTS + (tag << 40)[of])[:, None] + np.arange(PARTS)).astype(np.uint64)
     sig = mixed(rest + left * _U(0xE7037ED1A0B428DB) + place * _U(0x8EBC6AF09C88C6E3))
-    return (sig.ravel() if few and last else sig[left > 0]), few
+    ok = left > 0
+    if last:
+        ok |= few[of][:, None]
+    return sig[ok], np.repeat(of, ok.sum(1)), few
+
+
+def all_signatures(sets: list[np.ndarray], rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, number of the set of each, ascending) of non-empty sets; ``rare`` marks
+    the rare shingles of all sets, one after the other."""
+    if not sets:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat = np.concatenate(sets)
+    of, band, n, d = np.array([(i, *e) for i, size in enumerate(sizes.tolist()) for e in bands(size)], np.int64).T
+    # without a distance only equal sets are similar: the whole is the signature
+    sums = set_sums(flat, sizes, 0xA0761D6478BD642F)
+    same = d == 0
+    out, owner = [mixed(sums[of[same]] + band[same].astype(np.uint64))], [of[same]]
+    of, band, n, d = of[~same], band[~same], n[~same], d[~same]
+    if len(of):
+        stop = np.cumsum(sizes)
+        seen = np.concatenate([[0], np.cumsum(rare)])
+        start, end = seen[stop - sizes][of], seen[stop][of]
+        sig, at, few = _subsets(flat[rare], start, end - start, band, n, d, 0, False)
+        out.append(sig)
+        owner.append(of[at])
+        if few.any():
+            of, band, n, d = of[few], band[few], n[few], d[few]
+            sig, at, _ = _subsets(flat, (stop - sizes)[of], sizes[of], band, n, d, 1, True)
+            out.append(sig)
+            owner.append(of[at])
+    sig, owner = np.concatenate(out), np.concatenate(owner)
+    order = np.argsort(owner, kind="stable")
+    return sig[order], owner[order]
 
 
 def signatures(s: np.ndarray, rare: np.ndarray) -> np.ndarray:
-    """Signatures (64-bit) of one set; ``rare`` marks its rare shingles."""
-    out = [np.zeros(0, np.uint64)]
-    some = s[rare]
-    with np.errstate(over="ignore"):
-        for band, n, d in bands(len(s)):
-            if not d:           # only equal sets: the whole is the signature
-                out.append(mixed(mixed(s ^ _U(0xA0761D6478BD642F)).sum(keepdims=True) + _U(band)))
-                continue
-            sig, few = _subsets(some, band, n, d, 0, False)
-            out.append(sig)
-            if few:
-                out.append(_subsets(s, band, n, d, 1, True)[0])
-    return np.unique(np.concatenate(out))
+    """Distinct signatures of one set; ``rare`` marks its rare shingles."""
+    return np.unique(all_signatures([s], rare)[0])
 
 
 def _parted(b: pd.DataFrame, chars: int = BATCH_CHARS) -> Iterator[pd.DataFrame]:
@@ -309,22 +390,15 @@ def _sign(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                 ids = part["doc_id"].fillna(NO_ID).to_numpy(np.int64)
                 sets = one.sets(part["text"].tolist())
                 sizes = np.array([len(s) for s in sets], np.int64)
-                own = np.array([set_class(s) if len(s) else 0 for s in sets], np.int64)
-                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                rare = ~is_common(flat, common)
-                stop = np.cumsum(sizes)
-                seen: dict[int, int] = {}
-                sig, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                own = set_classes(sets)
+                some = np.flatnonzero(sizes)
+                once = np.sort(some[np.unique(own[some], return_index=True)[1]])    # one set of each class
                 cells = [b""] * len(sets)
-                for i, (c, n) in enumerate(zip(own.tolist(), sizes.tolist())):
-                    if n and c not in seen:
-                        k = seen[c] = len(seen)
-                        cells[i] = sketch(sets[i])
-                        got = signatures(sets[i], rare[stop[i] - n:stop[i]])
-                        sig.append(got)
-                        owner.append(np.full(len(got), k))
-                sig, owner = np.concatenate(sig), np.concatenate(owner)
-                classes = np.fromiter(seen, np.int64, len(seen))
+                for i in once.tolist():
+                    cells[i] = sketch(sets[i])
+                picked = [sets[i] for i in once.tolist()]
+                sig, owner = all_signatures(picked, ~is_common(np.concatenate([np.zeros(0, np.uint64), *picked]), common))
+                classes = own[once]
                 to = ((sig >> _U(40)) % _U(buckets)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
                 cut = np.searchsorted(to[order], np.arange(buckets + 1))
@@ -388,8 +462,9 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         one = Shingler()
         for b in batches:
             for part in _parted(b):
-                rows = [(c, len(s), s.view(np.int64)) for c, s in zip(part["cls"].tolist(), one.sets(part["text"].tolist()))
-                        if len(s) and set_class(s) == c]
+                sets = one.sets(part["text"].tolist())
+                rows = [(c, len(s), s.view(np.int64)) for c, s, own in
+                        zip(part["cls"].tolist(), sets, set_classes(sets).tolist()) if len(s) and own == c]
                 yield pd.DataFrame(rows, columns=["cls", "n", "hashes"])
 
     return (_wanted_only(docs, wanted).join(wanted, "doc_id").select("cls", "text")
