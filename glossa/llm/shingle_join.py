@@ -490,6 +490,8 @@ def _possible(pairs: DataFrame, info: DataFrame) -> DataFrame:
 def _verify(pairs: DataFrame, docs: DataFrame, info: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) with a similarity of at least 0.75."""
     pairs = stage(pairs, f"{name}-pairs")
+    if pairs.isEmpty():
+        return pairs
     ids = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
     sets = stage(_sets(docs, ids.join(info.select("cls", "doc_id"), "cls")), f"{name}-sets")
     # whole sets are never broadcast, whatever the session's threshold is
@@ -530,19 +532,25 @@ def _across(placed: DataFrame, info: DataFrame, buckets: int, nearest: bool) ->
                                            F.count(F.lit(1)).alias("_n"), F.bit_xor(F.xxhash64("cls")).alias("who"))
                  .where("lo <> hi").groupBy("_n", "who").agg(F.min("sig").alias("sig")).select("sig", "_n"))
     tiles = F.ceil(F.col("_n") / F.lit(float(TILE))).cast("int")
-    tiled = (placed.join(open_sigs, "sig").join(info.select("cls", "n", "cells"), "cls")
+    tiled = (placed.join(open_sigs, "sig")
              .withColumn("_t", F.pmod(F.xxhash64("cls"), tiles).cast("int"))
              .withColumn("_o", F.explode(F.sequence(F.lit(0), tiles - 1)))
              .select(F.pmod(F.xxhash64("sig"), F.lit(buckets)).alias("bucket"), "sig", F.least("_t", "_o").alias("lo"),
-                     F.greatest("_t", "_o").alias("hi"), F.col("_t").alias("tile"), "cls", "comp", "n", "cells"))
+                     F.greatest("_t", "_o").alias("hi"), F.col("_t").alias("tile"), "cls", "comp"))
+    # a set's sketch goes once to a bucket, with its signatures there (a set has a bounded number)
+    tiled = (tiled.repartition("cls").groupBy("bucket", "lo", "hi", "tile", "cls", "comp")
+             .agg(F.collect_list("sig").alias("sigs")).join(info.select("cls", "n", "cells"), "cls"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         lo, hi = g["lo"].iat[0], g["hi"].iat[0]
-        second = (g["tile"].to_numpy() == hi) & (lo != hi)
-        order = np.lexsort((second, g["sig"].to_numpy()))
-        sig, cls, comp, n = (g[c].to_numpy()[order] for c in ("sig", "cls", "comp", "n"))
+        row = np.repeat(np.arange(len(g)), g["sigs"].map(len))
+        sig = np.concatenate(g["sigs"].to_numpy())
+        second = ((g["tile"].to_numpy() == hi) & (lo != hi))[row]
+        order = np.lexsort((second, sig))
+        sig, second, row = sig[order], second[order], row[order]
+        cls, comp, n = (g[c].to_numpy()[row] for c in ("cls", "comp", "n"))
         _, once, place = np.unique(cls, return_index=True, return_inverse=True)
-        h = sketches(g["cells"].iloc[order[once]].tolist())
+        h = sketches(g["cells"].iloc[row[once]].tolist())
         best, by = np.full(len(sig), np.iinfo(np.int64).max), np.full(len(sig), -1)
         out = [np.zeros((0, 3), np.int64)]
 
@@ -550,7 +558,7 @@ def _across(placed: DataFrame, info: DataFrame, buckets: int, nearest: bool) ->
             if len(i):
                 out.append(np.unique(np.column_stack([sig[i], np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])]), axis=0))
 
-        for i, j in _tile_pairs(sig, second[order], lo == hi):
+        for i, j in _tile_pairs(sig, second, lo == hi):
             ok = (comp[i] != comp[j]) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j]))
             i, j = i[ok], j[ok]
             # a pair of sets may stand under many signatures
@@ -594,15 +602,22 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     comp = connected_components(links, "shingle-cc")
     live = members.where("rep <> cls").select("sig", "cls")         # the smallest was paired with all
     tried = links.select("a", "b").where("false")
-    for nearest in [True] * NEAREST_ROUNDS + [False]:
+    rounds = [True] * NEAREST_ROUNDS + [False]
+    while rounds:
+        nearest = rounds.pop(0)
         name = f"shingle-{'near' if nearest else 'all'}"
         placed = (live.join(comp.withColumnRenamed("node", "cls"), "cls", "left")
                   .select("sig", "cls", F.coalesce("component", "cls").alias("comp")))
         found = stage(_across(placed, info, buckets, nearest), f"{name}-found")
+        if found.isEmpty():     # no set has a possible partner in another component
+            break
         pairs = found.select("a", "b").distinct()
         more = _verify(pairs.join(tried, ["a", "b"], "left_anti"), slim, info, name)
-        comp = connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more),
-                                    f"{name}-cc")
+        if not more.isEmpty():
+            comp = connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more),
+                                        f"{name}-cc")
+        elif nearest:           # the nearest would be the same again
+            rounds = [False]
         # a set without a possible partner under a signature never has one there again
         live = found.select("sig", F.explode(F.array("a", "b")).alias("cls")).distinct()
         tried = tried.union(pairs)
