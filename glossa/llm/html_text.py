@@ -16,7 +16,8 @@ collapsed, are joined in page order by one newline; nothing is cut or capped.
 
 Edge cases: null or empty html, or a page without any article block, gives the
 empty text. Unclosed and stray tags are tolerated (a block-level start closes an
-open paragraph; end tags without a start are ignored). Repeated rows and extra
+open paragraph; end tags without a start are ignored). Hidden inline elements and inline
+adverts are left out, to the end of the element around them if they are not closed. Repeated rows and extra
 columns are kept; empty table: empty result.
 """
 
@@ -59,6 +60,8 @@ header masthead cookie cookies consent gdpr notice notices popup modal overlay n
 share sharing social related recommended recommendations widget toolbar pagination pager skip hidden
 disclaimer alert toast topbar""".split())
 ALWAYS_BAD = frozenset("comment comments disqus respond replies reply discussion reactions".split())
+INLINE_BAD = frozenset("ad ads adv advert advertisement adsense sponsor sponsored".split())
+FOREIGN = frozenset("svg math".split())
 GOOD = frozenset("article content body main post entry story text page".split())
 
 
@@ -75,16 +78,33 @@ class Node:
             parent.children.append(self)
 
 
+def _attributes(attrs: str) -> dict[str, str]:
+    a = {}
+    for m in _ATTR.finditer(attrs):
+        a.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+    return a
+
+
+def _hidden(a: dict[str, str]) -> bool:
+    return "hidden" in a or a.get("aria-hidden") == "true" or bool(
+        re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")))
+
+
+def _dropped_inline(attrs: str) -> bool:
+    """Whether an inline element is hidden or an advert."""
+    if not attrs or attrs.isspace():
+        return False
+    a = _attributes(attrs)
+    return _hidden(a) or bool(INLINE_BAD & set(_WORDS.findall(f"{a.get('class', '')} {a.get('id', '')}")))
+
+
 def _dropped(tag: str, attrs: str, inside_article: bool) -> bool:
     if tag in DROP or (tag == "header" and not inside_article):
         return True
     if not attrs or attrs.isspace():
         return False
-    a = {}
-    for m in _ATTR.finditer(attrs):
-        a.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
-    if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role") in ROLES \
-            or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")):
+    a = _attributes(attrs)
+    if _hidden(a) or a.get("role") in ROLES:
         return True
     if tag in ("html", "body"):
         return False
@@ -105,6 +125,8 @@ class Page:
         self.node, self.links, self.articles = self.root, 0, 0
         self.open: list[str] = []      # text pieces of the current block
         self.linked = 0                # their characters inside links
+        # inside a dropped inline element: its tag, how many of them are open, the element around
+        self.skip_tag, self.skip, self.skip_in = "", 0, None
         self._read(source)
 
     def _flush(self):
@@ -131,7 +153,7 @@ class Page:
         self.open, self.linked = [], 0
 
     def _text(self, s: str):
-        if s and not self.node.dropped:
+        if s and not self.skip and not self.node.dropped:
             if "&" in s:
                 s = html_lib.unescape(s)
             self.open.append(s)
@@ -147,6 +169,8 @@ class Page:
     def _leave(self):
         if self.node.wide:
             self.articles -= 1
+        if self.node is self.skip_in:      # an inline element ends with the one around it
+            self.skip, self.skip_in = 0, None
         self.node = self.node.parent
 
     def _start(self, tag: str, attrs: str):
@@ -156,11 +180,14 @@ class Page:
             elif tag == "hr":
                 self._flush()
             return
-        if tag == "a":
-            self.links = 1
+        if tag not in BLOCK and tag not in DROP:    # inline markup changes no block
+            if tag == "a":
+                self.links = 1
+            if self.skip:
+                self.skip += tag == self.skip_tag
+            elif _dropped_inline(attrs):
+                self.skip_tag, self.skip, self.skip_in = tag, 1, self.node
             return
-        if tag not in BLOCK and tag not in DROP:
-            return  # inline markup changes no block, unless it is hidden
         self._flush()
         if tag in BLOCK and self.node.tag == "p":
             self._leave()
@@ -180,10 +207,11 @@ class Page:
             self.articles += 1
 
     def _end(self, tag: str):
-        if tag == "a":
-            self.links = 0
-            return
         if tag not in BLOCK and tag not in DROP:
+            if tag == "a":
+                self.links = 0
+            if self.skip and tag == self.skip_tag:
+                self.skip -= 1
             return
         at = self.node
         while at.parent is not None and at.tag != tag:
@@ -213,6 +241,8 @@ class Page:
             if close:
                 self._end(tag)
                 continue
+            if tag in FOREIGN and attrs.endswith("/"):      # closed at once
+                continue
             self._start(tag, attrs)
             if tag in RAW and not attrs.endswith("/"):
                 end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(s, at)

@@ -345,6 +345,16 @@ def test_html_text_sections_wrapped_on_their_own():
         assert html_text.extract(page).split("\n") == [x for i in kept for x in lines(i, paras[i])]
 
 
+def test_html_text_inline_parts():
+    for piece, kept in [('<span style="display:none">secret</span>', ""), ('<span class="ad">BUY <span>now</span> it</span>', ""),
+                        ('<svg class="i"/>', ""), ('<svg><text>x</text></svg>', ""), ("<b hidden>no</b>", ""),
+                        ('<b class="share-price">12 up</b>', "12 up "), ('<a class="ads" href=q>shop</a>', "")]:
+        page = f"<article><p>First, one {piece} and more.</p><p>Second, two.</p></article>"
+        assert html_text.extract(page).replace("\n", " ") == f"First, one {kept}and more. Second, two.", piece
+    # not closed: it ends with its paragraph
+    assert html_text.extract("<article><p>One <i hidden>no<p>Two, three</article>") == "One\nTwo, three"
+
+
 def test_html_text(spark):
     page = """<html><body class="has-sidebar"><header><h1>Site</h1><a href=/>home</a></header>
     <div id=main-menu><ul><li><a>x</a></ul></div><div class="cookie-notice">We use cookies, ok, yes.</div>
