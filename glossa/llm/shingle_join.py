@@ -34,7 +34,8 @@ set has flips at most one bit of their difference, so the differing bits never e
 the distance. Sets under one signature are first paired with the smallest of them
 (a star, linear in the signatures). Where the members of a signature are then still
 in more than one component, pairs across components are taken too, in tiles of
-bounded size (signatures with the same members are one): for ``NEAREST_ROUNDS`` rounds
+bounded size (signatures with the same members are one; the largest component's sets
+have tiles of their own, which meet only the others'): for ``NEAREST_ROUNDS`` rounds
 each set's nearest member of another component by the sketches, which joins most
 components, then, where components are still apart, all. A set that the sketches keep apart
 from all others under a signature is done there: components only grow. So every pair of similar
@@ -75,6 +76,7 @@ LARGE_SET = 1500
 BITS = 1 << 22          # slots of the bit map of wanted documents (512 KB)
 HOT_BITS = 1 << 26      # slots of the bit map of common shingles (8 MB)
 TILE = 2048
+SPREAD = 2000           # sets dealt to the buckets at a time
 PAIRS = 1 << 16         # pairs compared at a time
 NEAREST_ROUNDS = 2
 BATCH_CHARS = 5_000_000
@@ -523,34 +525,83 @@ def _tile_pairs(sig: np.ndarray, second: np.ndarray, one_tile: bool) -> Iterator
         at = to
 
 
+def _spread(pdf: pd.DataFrame, buckets: int) -> Iterator[tuple]:
+    """(bucket, lo, hi, blob): the sets of ``pdf`` (cls, comp, n, cells and spots: signature, place,
+    signature, place ...) for every pair of tiles they are compared in; in a blob a set stands once."""
+    cls, comp, n = (pdf[c].to_numpy(np.int64) for c in ("cls", "comp", "n"))
+    cells = pdf["cells"].tolist()
+    spots = np.concatenate(pdf["spots"].to_numpy()).reshape(-1, 2)
+    row = np.repeat(np.arange(len(pdf)), pdf["spots"].map(len).to_numpy() // 2)
+    tile, core, rest = spots[:, 1] >> 42, spots[:, 1] >> 21 & 0x1FFFFF, spots[:, 1] & 0x1FFFFF
+    copies = np.where(tile < core, rest, core + rest)
+    at = np.repeat(np.arange(len(row)), copies)
+    other = np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies) + np.where(tile < core, core, 0)[at]
+    sig, row, tile = spots[at, 0], row[at], tile[at]
+    lo, hi = np.minimum(tile, other), np.maximum(tile, other)
+    to = (mixed(sig.view(np.uint64)) % _U(buckets)).astype(np.int64)
+    order = np.lexsort((row, hi, lo, to))
+    sig, row, tile, lo, hi, to = (x[order] for x in (sig, row, tile, lo, hi, to))
+    new = np.flatnonzero((np.diff(to) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)) + 1
+    for i, j in zip([0, *new.tolist()], [*new.tolist(), len(to)]):
+        used, count = np.unique(row[i:j], return_counts=True)
+        mine = [cells[k] for k in used.tolist()]
+        second = (tile[i:j] == hi[i]) & (lo[i] != hi[i])
+        yield int(to[i]), int(lo[i]), int(hi[i]), zstandard.ZstdCompressor(level=1).compress(b"".join([
+            np.array([j - i, len(used)], np.int64).tobytes(), sig[i:j].tobytes(), cls[used].tobytes(), comp[used].tobytes(),
+            n[used].tobytes(), count.astype(np.int64).tobytes(), np.fromiter(map(len, mine), np.int64, len(mine)).tobytes(),
+            second.tobytes(), *mine]))
+
+
+def _spread_out(blob: bytes) -> tuple:
+    """sig, second and set number per signature, then cls, comp, n and cells per set."""
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    k, m = np.frombuffer(raw, np.int64, 2).tolist()
+    words = np.frombuffer(raw, np.int64, k + 5 * m, 16)
+    cls, comp, n, count, length = words[k:].reshape(5, m)
+    at = 16 + words.nbytes
+    stop = at + k + np.cumsum(length)
+    return (words[:k], np.frombuffer(raw, bool, k, at), np.repeat(np.arange(m), count), cls, comp, n,
+            [raw[e - w:e] for e, w in zip(stop.tolist(), length.tolist())])
+
+
 def _across(placed: DataFrame, info: DataFrame, buckets: int, nearest: bool) -> DataFrame:
     """Pairs (sig, a, b) of ``placed`` (sig, cls, comp) under one signature that lie in different
     components and whose sketches allow the similarity; with ``nearest``, per set and
     tile the one with the nearest sketch."""
     placed = placed.repartition("sig")
-    open_sigs = (placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                           F.count(F.lit(1)).alias("_n"), F.bit_xor(F.xxhash64("cls")).alias("who"))
-                 .where("lo <> hi").groupBy("_n", "who").agg(F.min("sig").alias("sig")).select("sig", "_n"))
-    tiles = F.ceil(F.col("_n") / F.lit(float(TILE))).cast("int")
-    tiled = (placed.join(open_sigs, "sig")
-             .withColumn("_t", F.pmod(F.xxhash64("cls"), tiles).cast("int"))
-             .withColumn("_o", F.explode(F.sequence(F.lit(0), tiles - 1)))
-             .select(F.pmod(F.xxhash64("sig"), F.lit(buckets)).alias("bucket"), "sig", F.least("_t", "_o").alias("lo"),
-                     F.greatest("_t", "_o").alias("hi"), F.col("_t").alias("tile"), "cls", "comp"))
-    # a set's sketch goes once to a bucket, with its signatures there (a set has a bounded number)
-    tiled = (tiled.repartition("cls").groupBy("bucket", "lo", "hi", "tile", "cls", "comp")
-             .agg(F.collect_list("sig").alias("sigs")).join(info.select("cls", "n", "cells"), "cls"))
+    open_sigs = (placed.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("cls")).alias("who"))
+                 .groupBy("sig").agg(F.count(F.lit(1)).alias("comps"), F.sum("k").alias("_n"), F.bit_xor("who").alias("who"),
+                                     F.max(F.struct("k", "comp")).alias("_most"))
+                 .where("comps > 1").groupBy("_n", "who").agg(F.min(F.struct("sig", "_most")).alias("s"))
+                 .select("s.sig", "_n", F.col("s._most.k").alias("_k"), F.col("s._most.comp").alias("_core")))
+    # sets of the largest component have tiles of their own, which are not held against each other
+    tile, many = F.lit(float(TILE)), F.col("_n") > TILE
+    core = F.when(many, F.ceil(F.col("_k") / tile)).otherwise(0).cast("long")
+    rest = F.when(many, F.ceil((F.col("_n") - F.col("_k")) / tile)).otherwise(1).cast("long")
+    own = F.when(many & (F.col("comp") == F.col("_core")), F.pmod(F.xxhash64("cls"), core)).otherwise(
+        core + F.pmod(F.xxhash64("cls"), rest))
+    spot = F.shiftleft(own, 42) + F.shiftleft(core, 21) + rest
+    # a set meets its sketch once, with all its signatures (a bounded number)
+    sets = (placed.join(open_sigs, "sig").select("cls", "comp", "sig", spot.alias("spot")).repartition("cls")
+            .groupBy("cls", "comp").agg(F.flatten(F.collect_list(F.array("sig", "spot"))).alias("spots"))
+            .join(info.select("cls", "n", "cells"), "cls"))
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(0, len(b), SPREAD):
+                rows = list(_spread(b.iloc[i:i + SPREAD], buckets))
+                yield pd.DataFrame(rows, columns=["bucket", "lo", "hi", "blob"])
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
+        got = [_spread_out(x) for x in g["blob"]]
         lo, hi = g["lo"].iat[0], g["hi"].iat[0]
-        row = np.repeat(np.arange(len(g)), g["sigs"].map(len))
-        sig = np.concatenate(g["sigs"].to_numpy())
-        second = ((g["tile"].to_numpy() == hi) & (lo != hi))[row]
+        sig, second = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
+        first = np.cumsum([0] + [len(x[3]) for x in got])
+        row = np.concatenate([x[2] + k for x, k in zip(got, first.tolist())])
         order = np.lexsort((second, sig))
-        sig, second, row = sig[order], second[order], row[order]
-        cls, comp, n = (g[c].to_numpy()[row] for c in ("cls", "comp", "n"))
-        _, once, place = np.unique(cls, return_index=True, return_inverse=True)
-        h = sketches(g["cells"].iloc[row[once]].tolist())
+        sig, second, place = sig[order], second[order], row[order]
+        cls, comp, n = (np.concatenate([x[k] for x in got])[place] for k in (3, 4, 5))
+        h = sketches([c for x in got for c in x[6]])
         best, by = np.full(len(sig), np.iinfo(np.int64).max), np.full(len(sig), -1)
         out = [np.zeros((0, 3), np.int64)]
 
@@ -562,24 +613,25 @@ def _across(placed: DataFrame, info: DataFrame, buckets: int, nearest: bool) ->
             ok = (comp[i] != comp[j]) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j]))
             i, j = i[ok], j[ok]
             # a pair of sets may stand under many signatures
-            pair, back = np.unique(np.minimum(place[i], place[j]) * len(once) + np.maximum(place[i], place[j]), return_inverse=True)
-            low = differing(h, pair // len(once), h, pair % len(once))[back]
+            pair, back = np.unique(np.minimum(place[i], place[j]) * first[-1] + np.maximum(place[i], place[j]), return_inverse=True)
+            low = differing(h, pair // first[-1], h, pair % first[-1])[back]
             ok = low <= (n[i] + n[j]) // 7
             i, j, low = i[ok], j[ok], low[ok]
             if not nearest:
                 add(i, j)
                 continue
             row, other, low = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([low, low])
-            first = np.lexsort((cls[other], low, row))
-            first = first[np.concatenate([[True], row[first][1:] != row[first][:-1]])] if len(first) else first
-            row, other, low = row[first], other[first], low[first]
+            top = np.lexsort((cls[other], low, row))
+            top = top[np.concatenate([[True], row[top][1:] != row[top][:-1]])] if len(top) else top
+            row, other, low = row[top], other[top], low[top]
             nearer = (low < best[row]) | ((low == best[row]) & (cls[other] < cls[by[row]]))
             best[row[nearer]], by[row[nearer]] = low[nearer], other[nearer]
         if nearest:
             add(np.flatnonzero(by >= 0), by[by >= 0])
         return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["sig", "a", "b"])
 
-    return tiled.groupBy("bucket", "lo", "hi").applyInPandas(run, "sig long, a long, b long")
+    dealt = sets.mapInPandas(deal, "bucket long, lo long, hi long, blob binary")
+    return dealt.groupBy("bucket", "lo", "hi").applyInPandas(run, "sig long, a long, b long")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -136,6 +136,43 @@ def test_signatures_of_similar_sets_meet():
             assert len(np.intersect1d(shingle_join.signatures(a, rare(a)), shingle_join.signatures(b, rare(b))))
 
 
+def rows_made(plan, of):
+    """Rows out of the nodes of an executed plan whose description contains ``of``."""
+    name = plan.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return rows_made(plan.executedPlan(), of)
+    if name.endswith("QueryStage"):
+        return rows_made(plan.plan(), of)
+    metric = plan.metrics().get("numOutputRows")
+    own = metric.get().value() if "Join" in name and of in plan.simpleString(200) and metric.isDefined() else 0
+    return own + sum(rows_made(plan.children().apply(i), of) for i in range(plan.children().size()))
+
+
+def test_shingle_join_across_components(spark, monkeypatch):
+    """All pairs across components under many shared signatures, in small tiles; a set
+    meets its sketch once, however many signatures, buckets and tiles it has."""
+    monkeypatch.setattr(shingle_join, "TILE", 16)
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(60) > 0.08], rng.integers(0, 1 << 63, int(rng.integers(2, 9))).astype(np.uint64)]))
+            for _ in range(200)]
+    comp = [0] * 150 + list(range(150, 180)) + [7] * 20          # one large component, single sets, a small one
+    info = spark.createDataFrame([(i, len(x), shingle_join.sketch(x)) for i, x in enumerate(sets)], "cls long, n long, cells binary")
+    under = {(s, i) for s in range(12) for i in range(200) if (i + s) % 11}
+    placed = spark.createDataFrame([(s, i, comp[i]) for s, i in under], "sig long, cls long, comp long")
+    found = shingle_join._across(placed, info, 5, False)
+    got = {tuple(r) for r in found.collect()}
+    h, every = shingle_join.sketches([shingle_join.sketch(x) for x in sets]), np.arange(200)
+    size = np.array([len(x) for x in sets])
+    low = shingle_join.differing(h, np.repeat(every, 200), h, np.tile(every, 200)).reshape(200, 200)
+    near = (low <= (size[:, None] + size) // 7) & (4 * np.minimum(size[:, None], size) >= 3 * np.maximum(size[:, None], size))
+    # of signatures with the same members (0 and 11) only the smaller stays
+    want = {(s, a, b) for s in range(11) for a in range(200) for b in range(a + 1, 200)
+            if comp[a] != comp[b] and near[a, b] and (s, a) in under and (s, b) in under}
+    assert 1000 < len(want) < 11 * 200 * 199 // 2 and got == want
+    assert rows_made(found._jdf.queryExecution().executedPlan(), "[cls#") <= 200
+
+
 def test_connected_components(spark):
     chain = [(i, i + 1) for i in range(0, 200)] + [(1000, i) for i in range(1001, 1100)] + [(5000, 4000), (4000, 4500)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
