@@ -176,6 +176,7 @@ def score_requests(requests: DataFrame, client_factory: Callable, model_col: str
 
 CHUNK = 500          # answers per stored file: what a killed task sends again, at most
 CHUNK_S = 30.0       # or the answers of so many seconds
+TASK_REQUESTS = 20_000   # requests of a task, where only the slots bound the calls in flight
 
 
 def _answer_sink(folder: str, client_factory: Callable, share: list[int], how: Calls, chunk: int, chunk_s: float) -> type[DataSource]:
@@ -237,21 +238,28 @@ def _answer_sink(folder: str, client_factory: Callable, share: list[int], how: C
 
 
 def answer_requests(requests: DataFrame, content: Column, folder: str, client_factory: Callable, *, threads: int = 8,
-                    concurrency: int | None = None, chunk: int = CHUNK, chunk_s: float = CHUNK_S, **calls) -> None:
+                    concurrency: int | None = None, chunk: int = CHUNK, chunk_s: float = CHUNK_S,
+                    asks: str | None = None, by: str = "request_id", n: int = 0, **calls) -> None:
     """Send every request and store the answers below ``folder`` (a URI that tasks can write to).
 
     ``requests`` has request_id, chat_model and what ``content`` renders the prompt from;
-    that crosses the one shuffle, the prompt does not. As many tasks as ``in_flight`` says run to
+    that crosses the one shuffle, the prompt does not. With ``asks`` a row holds an array of
+    (request_id, chat_model) in that column, and its slots cross the shuffle once for all of them;
+    ``by`` then names the column that deals the rows. As many tasks as ``in_flight`` says run to
     the end, each with its share of the requests by key and its share of ``concurrency``; no call
-    waits for another task or for a slower call. A killed task finds its stored
-    answers again and sends ``chunk`` requests again at most, besides those in flight.
+    waits for another task or for a slower call. Without a ``concurrency`` the slots alone bound the calls
+    in flight, and ``n`` requests make a task for every ``TASK_REQUESTS``, if these are more. A killed task finds
+    its stored answers again and sends ``chunk`` requests again at most, besides those in flight.
     """
     spark = requests.sparkSession
     ship_package(spark)
     share = in_flight(concurrency, threads, spark.sparkContext.defaultParallelism)
     sink = _answer_sink(folder, client_factory, share, Calls(**calls), chunk, chunk_s)
     spark.dataSource.register(sink)
-    dealt = requests.repartition(len(share), "request_id")
+    tasks = len(share) if concurrency else max(len(share), -(-n // TASK_REQUESTS))
+    dealt = requests.repartition(tasks, by)
+    if asks:
+        dealt = dealt.select("*", F.inline(asks))
     dealt.select("request_id", "chat_model", content.alias("content")).write.format(sink.name()).mode("append").save()
 
 

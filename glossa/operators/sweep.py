@@ -136,8 +136,11 @@ def fill_cache(requests: DataFrame, texts: DataFrame, content: Column, cache: Re
                     n = part.count()
                 if n:
                     sweep = uuid.uuid4().hex[:16]
-                    ready = part.join(texts.select(row_key, *slots), row_key).select("request_id", "chat_model", *slots)
-                    answer_requests(ready, content, cache.uri("pending", f"append={sweep}"), client_factory, **send_opts)
+                    # a row's slots meet all its requests at once: they are not shuffled per model
+                    asks = part.groupBy(row_key).agg(F.sort_array(F.collect_list(F.struct("request_id", "chat_model"))).alias("_asks"))
+                    ready = texts.select(row_key, *slots).join(asks, row_key)
+                    answer_requests(ready, content, cache.uri("pending", f"append={sweep}"), client_factory, asks="_asks",
+                                    by=row_key, n=n, **send_opts)
                     cache.settle(sweep, n=n)
                     sent += n
                 waiting -= got

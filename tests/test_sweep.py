@@ -252,6 +252,25 @@ def test_a_sweep_reads_the_texts_twice_whatever_its_size(spark, tmp):
     assert read.value == 400
 
 
+def test_a_text_is_shuffled_once_for_all_models_and_tasks_grow_with_requests(spark, monkeypatch):
+    import glossa.operators.scoring as scoring
+    monkeypatch.setattr(scoring, "TASK_REQUESTS", 50)
+    dealt = []
+    deal = type(spark.range(1)).repartition
+
+    def seen(self, *args):
+        dealt.append((args[0], self.count()))
+        return deal(self, *args)
+
+    monkeypatch.setattr(type(spark.range(1)), "repartition", seen)
+    data = spark.createDataFrame([(i, f"text number {i % 290}") for i in range(300)], "row_id long, src string")
+    cache = ResponseCache(spark, scratch_path(spark, "cache-once"))
+    out = S.run_sweep(data, MODELS, F.concat(F.lit("prompt "), "src"), cache, EchoClient, backoff_s=0.0, attempts=1)
+    assert len(MODELS) == 2 and (12, 290) in dealt          # 580 requests of 290 texts, 50 a task
+    assert out.where("response is not null or error is not null").count() == 600
+    assert cache.raw().count() == 580
+
+
 def test_a_point_lookup_reads_a_small_part_of_the_cache(spark):
     cache = ResponseCache(spark, scratch_path(spark, "cache-big"))
     rows = spark.range(300_000).select(
