@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from glossa.fixed_text import (INCLUDE_REASONING, JUDGE_MAX_TOKENS, JUDGE_TOP_P, RETRY_ATTEMPTS,
                                TEMPERATURE, TIMEOUT_S)
-from glossa.session import ship_package
+from glossa.session import bound_batches, ship_package
 
 RESULT_SCHEMA = "request_id string, chat_model string, full_response string, error string, attempts int"
 CONTENT_PATH = "$.choices[0].message.content"
@@ -277,6 +277,7 @@ def generate_judgements(df: DataFrame, prompt_col: str, generator_factory: Calla
                         batch_size: int = 64) -> DataFrame:
     """Rubric-judge generation: the model is built once per task and fed Arrow batches."""
     ship_package(df.sparkSession)
+    bound_batches(df.sparkSession)
 
     @F.pandas_udf("string")
     def gen(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -301,6 +302,7 @@ def score_segments(df: DataFrame, src_col: str, mt_col: str, scorer_factory: Cal
     Adds ``score double`` and ``error_spans`` (kept only when non-empty).
     """
     ship_package(df.sparkSession)
+    bound_batches(df.sparkSession)
 
     def _pred(scorer, src, mt, ref):
         samples = [{"src": s, "mt": m} if ref is None else {"src": s, "mt": m, "ref": r}
@@ -338,6 +340,7 @@ def encode_texts(df: DataFrame, text_col: str, encoder_factory: Callable, out: s
                  batch_size: int = 64) -> DataFrame:
     """Text to a dense float vector (sentence embedding), batched per task."""
     ship_package(df.sparkSession)
+    bound_batches(df.sparkSession)
 
     @F.pandas_udf("array<float>")
     def enc(it: Iterator[pd.Series]) -> Iterator[pd.Series]:

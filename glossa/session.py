@@ -86,6 +86,16 @@ def clear_scratch(spark: SparkSession) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to the rows and bytes of ``SESSION_DEFAULTS``, so that a Python
+    worker's memory does not grow with its partition. A session with smaller batches keeps them."""
+    for name in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"):
+        most = SESSION_DEFAULTS[name]
+        now = spark.conf.get(name)
+        if not now.isdigit() or not 0 < int(now) <= int(most):     # none, or a text with a unit
+            spark.conf.set(name, most)
+
+
 _SHIPPED: set[str] = set()
 
 

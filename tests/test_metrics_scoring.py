@@ -119,3 +119,19 @@ def test_answers_are_parsed_once(spark):
     plan = answers_long(rows)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1
     assert [tuple(r) for r in answers_long(rows).collect()] == [(1, "m", 1, "YES", "YES")]
+
+
+def test_model_calls_get_bounded_batches(spark):
+    """A session that this package did not build has Spark's own batch limits."""
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = [spark.conf.get(n) for n in names]
+    df = spark.createDataFrame([(1, "a", "b")], "row_id long, src string, tgt string")
+    try:
+        for given, want in ((("10000", str(1 << 31)), ("2048", str(64 << 20))), (("100", "1000"), ("100", "1000"))):
+            for n, v in zip(names, given):
+                spark.conf.set(n, v)
+            score_segments(df, "src", "tgt", LengthRatioScorer)
+            assert tuple(spark.conf.get(n) for n in names) == want
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)
